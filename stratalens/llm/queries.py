@@ -6,10 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
-from .common import read
+from .chat import collapse_and_render
+from .common import read, remainder
 from .exact_dedup import exact_duplicates
 from .licenses import license_scan
 from .packing import pack_documents
+from .topk import top_k
+from .toxicity import FOLDS, HELD_OUT, score_documents, train
+
+
+def op2_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse_and_render(read(spark, sf_dir, "conversations"))
+
+
+OP2_SQL = """
+WITH turns AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+logged AS (
+  SELECT conv_id, list(role || chr(1) || text ORDER BY turn NULLS FIRST, role, text) AS said, count(*) AS n_turns,
+         string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text
+  FROM turns GROUP BY conv_id),
+prefixes AS (SELECT DISTINCT said[1:n] AS said FROM (SELECT said, unnest(range(1, n_turns)) AS n FROM logged)),
+firsts AS (SELECT min(conv_id) AS conv_id, said FROM logged GROUP BY said)
+SELECT l.conv_id, l.n_turns, l.text
+FROM logged l JOIN firsts f ON l.conv_id IS NOT DISTINCT FROM f.conv_id
+WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.said = l.said)
+"""
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,5 +58,25 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_packing, op6_bpe, op7_license_scan)}
-ORACLES = {"op3_exact_dedup": OP3_SQL}
+def op8_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = train(docs, read(spark, sf_dir, "labels"))
+    return score_documents(docs, model).select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op2_chat_snapshots, op3_exact_dedup, op5_packing, op6_bpe, op7_license_scan, op8_pivot_topk, op10_toxicity)}
+ORACLES = {"op2_chat_snapshots": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_pivot_topk": OP8_SQL}
