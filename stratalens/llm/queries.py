@@ -11,6 +11,7 @@ from .common import read, remainder
 from .exact_dedup import exact_duplicates
 from .licenses import license_scan
 from .packing import pack_documents
+from .simhash import near_duplicates
 from .topk import top_k
 from .toxicity import FOLDS, HELD_OUT, score_documents, train
 
@@ -72,11 +73,16 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = train(docs, read(spark, sf_dir, "labels"))
     return score_documents(docs, model).select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_snapshots, op3_exact_dedup, op5_packing, op6_bpe, op7_license_scan, op8_pivot_topk, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_chat_snapshots, op3_exact_dedup, op5_packing, op6_bpe, op7_license_scan, op8_pivot_topk, op9_simhash, op10_toxicity)}
 ORACLES = {"op2_chat_snapshots": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_pivot_topk": OP8_SQL}
