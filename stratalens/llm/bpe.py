@@ -54,8 +54,11 @@ class Encoder:
         vocab, chars = spec["model"]["vocab"], byte_characters()
         self.size = max(vocab.values()) + 1
         self.of_byte = np.zeros(256, dtype=np.int64)
+        end = spec["model"].get("end_of_word_suffix") or ""
+        self.of_last = self.of_byte.copy()
         for char, byte in chars.items():
             self.of_byte[byte] = vocab[char]
+            self.of_last[byte] = vocab[char + end]
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.parts = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
         self.rank = {a * self.size + b: r for r, (a, b, _) in reversed(list(enumerate(self.parts)))}
@@ -72,6 +75,7 @@ class Encoder:
         size, lengths = self.size, np.array([len(w) for w in words])
         symbol = self.of_byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
         n, ends = len(symbol), np.cumsum(lengths)
+        symbol[ends - 1] = self.of_last[np.frombuffer(b"".join([w[-1:] for w in words]), dtype=np.uint8)]
         after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
         after[ends - 1] = -1
         before[ends - lengths] = -1

@@ -15,25 +15,35 @@ from __future__ import annotations
 
 import bisect
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, small_batches, texts_of
+from .bpe import Encoder, slices
+from .common import small_batches, texts_of
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
-TIERS, STEP_TOKENS, SLICE_TOKENS, CACHE_WORDS = (2048, 1024, 512, 256), 16384, 4_000_000, 400_000
+TIERS, STEP_TOKENS, SLICE_TOKENS, CACHE_WORDS = (2048, 1024, 512, 256), 16384, 4_000_000, 600_000
+#: The vocabulary's own split of lower-cased text, and the words that it is applied to here.
+PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+LATIN = regex.compile(r"[\n!-~\u00a1-\u012f\u0131-\u0240]*")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_group long"
 
 
 class WordTokens:
-    """Ids per white-space separated word, kept; the vocabulary drops white space, so words are independent."""
+    """Ids per white-space separated word, kept; the vocabulary drops white space, so words are independent.
+
+    Words of Latin letters, digits and signs are merged together by the pair occurrence index; the tokenizers
+    library takes the few others.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,18 +52,33 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merges = Encoder(path)
         self.words: dict[bytes, bytes] = {}
 
+    def learn(self, new: list[bytes]) -> None:
+        together = b"\n".join(new).decode()
+        others: list[bytes] = []
+        if not LATIN.fullmatch(together) or "<|" in together:
+            fit = [bool(LATIN.fullmatch(t := w.decode())) and "<|" not in t for w in new]
+            others = [w for w, ok in zip(new, fit, strict=True) if not ok]
+            new = [w for w, ok in zip(new, fit, strict=True) if ok]
+            together = b"\n".join(new).decode()
+        texts = unicodedata.normalize("NFC", together).lower().split("\n") if new else []
+        parts = [[t] if t.isalpha() else [t[:-1], t[-1]] if t[:-1].isalpha() else PRE_TOKEN.findall(t) for t in texts]
+        tokens = list({p for some in parts for p in some})
+        ids = dict(zip(tokens, self.merges.merge([t.encode() for t in tokens]), strict=True))
+        self.words.update((word, ids[some[0]] if len(some) == 1 else b"".join([ids[p] for p in some])) for word, some in zip(new, parts, strict=True))
+        for at in range(0, len(others), 8192):
+            part = others[at : at + 8192]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.words[word] = b"".join(i.to_bytes(4, "little") for i in found.ids)
+
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         split = [t.split() for t in texts]  # bytes: at ASCII white space
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        new = [*{w for words in split for w in words if w not in self.words}]
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            for word, ids in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.words[word] = b"".join(i.to_bytes(4, "little") for i in ids.ids)
+        self.learn([*set().union(*split).difference(self.words)])
         return (b"".join(map(self.words.__getitem__, words)) for words in split)
 
 
@@ -144,7 +169,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, tiers: tuple[i
             streams.clear()
 
         held = 0
-        for batch in batches(frames):
+        for batch in slices(frames):
             for doc_id, stream in zip(batch.column(0).to_pylist(), tokens.encode(texts_of(batch.column(1))), strict=True):
                 ids.append(doc_id)
                 streams.append(stream + END_ID.to_bytes(4, "little"))

@@ -9,6 +9,7 @@ from .bpe import bpe_round_trip
 from .chat import collapse_and_render
 from .common import read, remainder
 from .exact_dedup import exact_duplicates
+from .lattice_lm import lattice_scores
 from .licenses import license_scan
 from .packing import pack_documents
 from .simhash import near_duplicates
@@ -16,6 +17,10 @@ from .topk import top_k
 from .toxicity import FOLDS, HELD_OUT, score_documents, train
 
 
+def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(read(spark, sf_dir, "documents"))
+
+
 def op2_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_and_render(read(spark, sf_dir, "conversations"))
 
@@ -84,5 +89,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, model).select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_snapshots, op3_exact_dedup, op5_packing, op6_bpe, op7_license_scan, op8_pivot_topk, op9_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_chat_snapshots, op3_exact_dedup, op5_packing, op6_bpe, op7_license_scan, op8_pivot_topk, op9_simhash, op10_toxicity)}
 ORACLES = {"op2_chat_snapshots": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_pivot_topk": OP8_SQL}
