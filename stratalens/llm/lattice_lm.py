@@ -2,8 +2,11 @@
 
 A public vocabulary's pieces, word ends marked, form a unigram model: a word's probability is the sum over all
 its segmentations, by forward recursion in log space over its bytes. Piece scores start from the vocabulary's
-own rank order and are re-estimated from the expected counts that the same lattices give over the training
-words (expectation maximisation, one Spark aggregation a round). A text is its words and one end token.
+own rank order and are re-estimated from the expected counts that the same lattices give over the distinct
+training words (expectation maximisation, one Spark aggregation a round). A training word is besides one arc
+over its whole lattice. The weights of these arcs by training count, and that of entering the pieces, are
+estimated on one of the training folds from the counts of the others (held-out estimation), and all words
+together have probability one at most. A text is its words and one end token.
 
 Work is done once per distinct word of the corpus: a table of words holds training count and lattice score.
 The words of the highest counts (HEAD_WORDS at most, of HEAD_BYTES at most) are sent to all tasks; a document's
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +35,8 @@ from .bpe import byte_characters, slices
 from .common import batches, materialize, remainder, small_batches, texts_of
 
 VOCABULARY, END_MARK = "word_bpe_49k.json", "</w>"
-FOLDS, HELD_OUT = 7, 2
-HEAD_WORDS, HEAD_BYTES, ROUNDS, PRIOR_WEIGHT = 100_000, 64, 2, 0.1
+FOLDS, HELD_OUT, WEIGHING = 7, 2, 3  # the fold that teaches nothing, and the training fold on which arcs are weighed
+HEAD_WORDS, HEAD_BYTES, ROUNDS, PRIOR_WEIGHT, MOST_COUNT = 100_000, 64, 2, 0.1, 40
 LN10 = math.log(10)
 
 
@@ -112,19 +116,41 @@ def log_sum(terms: list[float]) -> float:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word (binary), c: every distinct word of the corpus with its count in the training rows; docs: train, text."""
+    """word (binary), c, d: every distinct word of the corpus with its count in the training rows and in those of the weighing fold; docs: fold, text."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in slices(frames):
-            seen, held = Counter(), set()
-            for train, text in zip(table.column(0).to_pylist(), texts_of(table.column(1)), strict=True):
-                (seen if train else held).update(text.lower().split())
-            words = [*seen, *(w for w in held if w not in seen)]
-            counts = [*seen.values()] + [0] * (len(words) - len(seen))
-            for at in range(0, len(words), 20_000):
-                yield pa.record_batch([pa.array(words[at : at + 20_000], pa.binary()), pa.array(counts[at : at + 20_000], pa.int64())], ["word", "c"])
-
-    return docs.select("train", "text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+            parts: dict[int, Counter] = {HELD_OUT: Counter(), WEIGHING: Counter(), -1: Counter()}
+            for fold, text in zip(table.column(0).to_pylist(), texts_of(table.column(1)), strict=True):
+                parts[fold if fold in parts else -1].update(text.lower().split())
+            for fold, count in parts.items():
+                words, times = [*count], [*count.values()]
+                c, d = (0 if fold == HELD_OUT else 1), (1 if fold == WEIGHING else 0)
+                for at in range(0, len(words), 20_000):
+                    n = pa.array(times[at : at + 20_000], pa.int64())
+                    yield pa.record_batch([pa.array(words[at : at + 20_000], pa.binary()), pc.multiply(n, c), pc.multiply(n, d)], ["word", "c", "d"])
+
+    return docs.select("fold", "text").mapInArrow(run, "word binary, c long, d long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
+
+
+def arc_weights(counted: DataFrame) -> tuple[list[float], float]:
+    """Probability of one word of each training count, MOST_COUNT + 1: per unit of count above it; and of entering the pieces."""
+    top = MOST_COUNT + 1
+    by = lambda c: {r["k"]: r for r in counted.groupBy(F.least(c, F.lit(top)).alias("k")).agg(F.count(F.lit(1)).alias("types"), F.sum(c).alias("tokens"), F.sum("d").alias("weighed")).collect()}  # noqa: E731  # top + 1 rows
+    rest, full = by(F.col("c") - F.col("d")), by(F.col("c"))
+    seen, others = sum(r["weighed"] for r in rest.values()), sum(r["tokens"] for r in rest.values())
+    if not seen or not others:
+        tokens = sum(r["tokens"] for r in full.values())
+        enter = 0.5 if tokens else 1.0
+        return [0.0, *((1 - enter) * k / tokens if tokens else 0.0 for k in range(1, top)), (1 - enter) / tokens if tokens else 0.0], enter
+    enter = min(max(rest[0]["weighed"] / seen if 0 in rest else 0.0, 1e-4), 0.9)
+    weight = [0.0]
+    for k in range(1, top):
+        r = rest.get(k)
+        weight.append(max(r["weighed"] / seen * others / r["types"], 1e-3 * k) if r else float(k))
+    weight.append(max(rest[top]["weighed"] / seen * others / rest[top]["tokens"], 1e-3) if top in rest else 1.0)
+    total = sum(weight[k] * (r["tokens"] if k == top else r["types"]) for k, r in full.items() if k)
+    return [(1 - enter) * w / total for w in weight], enter
 
 
 def fitted(words: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Pieces:
@@ -136,8 +162,8 @@ def fitted(words: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Pieces:
         def run(frames: Iterator[pa.RecordBatch], now: Pieces = now) -> Iterator[pa.RecordBatch]:
             counts = np.zeros(len(now.log_p))
             for batch in frames:
-                for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    now.expect(word, c, counts)
+                for word in batch.column(0).to_pylist():
+                    now.expect(word, 1.0, counts)
             some = np.flatnonzero(counts)
             yield pa.record_batch([pa.array(some, pa.int64()), pa.array(counts[some], pa.float64())], ["piece", "n"])
 
@@ -153,16 +179,22 @@ def lattice_scores(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str =
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), (remainder(F.col(id_col), FOLDS) != HELD_OUT).alias("train"), F.col(text_col).alias("text"))
-    n_ends = rows.filter("train").count()
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), remainder(F.col(id_col), FOLDS).cast("int").alias("fold"), F.col(text_col).alias("text"))
+    n_ends = rows.filter(F.col("fold") != HELD_OUT).count()
     counted = materialize(word_counts(rows), "word-counts")
     n, distinct = counted.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n, distinct = n + n_ends, distinct + (n_ends > 0)
+    weights, enter = arc_weights(counted)
     pieces = fitted(counted, Pieces.load(public_tokenizers.path(vocabulary)))
 
     def score(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([pieces.forward(w) / LN10 for w in batch.column(0).to_pylist()], pa.float64())], ["word", "c", "lattice"])
+            scores = []
+            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                spelled = math.log(enter) + pieces.forward(word)
+                arc = weights[c] if c <= MOST_COUNT else weights[-1] * c
+                scores.append((log_sum([math.log(arc), spelled]) if arc else spelled) / LN10)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["word", "c", "lattice"])
 
     words = materialize(counted.mapInArrow(score, "word binary, c long, lattice double"), "words")
     # the head: the least count of which at most HEAD_WORDS words have as many
