@@ -13,6 +13,7 @@ from .lattice_lm import lattice_scores
 from .licenses import license_scan
 from .packing import pack_documents
 from .simhash import near_duplicates
+from .substring_dedup import remove_repeats
 from .topk import top_k
 from .toxicity import FOLDS, HELD_OUT, score_documents, train
 
@@ -52,6 +53,10 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
@@ -89,5 +94,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, model).select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_chat_snapshots, op3_exact_dedup, op5_packing, op6_bpe, op7_license_scan, op8_pivot_topk, op9_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_chat_snapshots, op3_exact_dedup, op4_substring_dedup, op5_packing, op6_bpe, op7_license_scan, op8_pivot_topk, op9_simhash, op10_toxicity)}
 ORACLES = {"op2_chat_snapshots": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_pivot_topk": OP8_SQL}
