@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import batches, small_batches, texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
-SLICE_BYTES, CACHE_WORDS = 16 << 20, 400_000
+SLICE_BYTES, CACHE_WORDS = 12 << 20, 300_000
 
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # white space as the library has it
 PRE_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")

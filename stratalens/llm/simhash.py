@@ -7,6 +7,12 @@ and the number of partitions, at the least estimated count of probe rows and can
 probed by their value on each partition with up to t_i bits flipped, verified on all bits in the join itself,
 and only links become rows. Equal fingerprints are one node, so copies are never paired.
 
+near_duplicate_clusters is the wider form for texts that share most of their shingles without sharing nearly all
+bits: a fingerprint of WORDS 64-bit words, cut into as many partitions as its width allows (threshold 0 on each), is
+probed by every partition's value; each text meets the least and the greatest of its bucket, so a bucket of any
+size gives two candidates a member, and all bits verify them: their share that differs gives the cosine, and with
+the numbers of shingles the Jaccard similarity.
+
 Defined results: null text counts as empty; a text of no words has fingerprint zero, linked like any other;
 repeated rows get the same component; a null doc_id takes part but is no component's smallest unless all are
 null; an empty table gives an empty result; other columns are not read.
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import batches, materialize, small_batches, texts_of
 from .components import components
 
-BITS, SEED, PART = 64, 42, 1 << 16
+BITS, SEED = 64, 42
 PROBE_COST, PAIR_COST = 8.0, 1.0
 
 
@@ -48,11 +54,17 @@ def shingle_hashes(data: bytes, size: int, seed: int = SEED) -> np.ndarray:
 
 def fingerprint(hashes: np.ndarray) -> int:
     """Signed 64-bit integer: a bit is 1 if set in over half of the hashes."""
-    total = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), PART):
-        part = hashes[at : at + PART]
-        total += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0])
+    return int(majority(hashes.reshape(-1, 1))[0])
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """For each column of 64-bit hashes the signed integer of the bits that are set in over half of its rows."""
+    n, width = hashes.shape
+    total = np.zeros(width * BITS, np.int64)
+    for at in range(0, n, 255):  # counts of 255 rows fit a byte
+        part = np.ascontiguousarray(hashes[at : at + 255], dtype="<u8")
+        total += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > n, bitorder="little").view("<i8")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,3 +192,69 @@ def near_duplicates(docs: DataFrame, tau: int = 3, shingle: int = 3, id_col: str
     linked = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     named = placed.join(materialize(linked, "linked"), "root", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id"))
     return prints.join(materialize(named, "named"), "fp").select("doc_id", "fp", "component_id")
+
+
+WORDS, SHINGLE, SIMILARITY, LOOSE_BITS = 20, 5, 0.8, 22
+#: Odd multipliers that derive the words of a wide fingerprint from one hash.
+MULTIPLIERS = np.array([xxhash.xxh64_intdigest(bytes([i]), 1) | 1 for i in range(WORDS)], dtype=np.uint64)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """WORDS signed integers over the distinct hashes; the first is the node's name."""
+    h = hashes[:, None] * MULTIPLIERS[None, :]
+    return majority((h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)).tolist()
+
+
+def partition_keys(words: np.ndarray, width: int) -> np.ndarray:
+    """For each row of fingerprint words the numbered value of each partition of `width` bits."""
+    bits = np.unpackbits(np.ascontiguousarray(words, dtype="<i8").view(np.uint8), axis=1, bitorder="little")
+    parts = bits.shape[1] // width
+    values = bits[:, : parts * width].reshape(len(bits), parts, width) @ (1 << np.arange(width, dtype=np.int64))
+    return values | (np.arange(parts, dtype=np.int64) << 40)
+
+
+def near_duplicate_clusters(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """name, h (of each row: doc_id as text, XXH64 of text), keep (whether it is the first of its group)."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(frames, 2 << 20):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in texts_of(batch.column(2))]
+            prints = [wide_fingerprint(s) for s in sets]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([p[0] for p in prints], pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "h", "node", "fp", "n"])
+
+    prints = materialize(rows.mapInArrow(run, "doc_id long, h long, node long, fp array<long>, n long"), "wide-prints")
+    nodes = materialize(prints.groupBy("node").agg(F.min(F.struct("doc_id", "h", "n", "fp")).alias("r"), F.count(F.lit(1)).alias("rows")).select("node", "r.*", "rows"), "nodes")
+    width = min(max(int(np.ceil(np.log2(max(nodes.count(), 1)))) + 2, 16), 32)  # so that chance leaves buckets nearly empty
+
+    def keys(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            values = partition_keys(np.array(batch.column(1).to_pylist(), dtype=np.int64).reshape(-1, WORDS), width)
+            yield pa.record_batch([pa.array(np.repeat(batch.column(0).to_numpy(), values.shape[1])), pa.array(values.ravel())], ["node", "key"])
+
+    keyed = materialize(nodes.filter("n > 0").select("node", "fp").mapInArrow(keys, "node long, key long"), "keys")
+    ends = materialize(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi"), "ends")
+    met = keyed.join(ends, "key").select("node", F.explode(F.array("lo", "hi")).alias("other"))
+    close = (F.col("node") != F.col("other")) & (differing(F.col("node"), F.col("other")) <= LOOSE_BITS)
+    pairs = materialize(met.filter(close).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
+    one, two = (nodes.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}"), F.col("n").cast("double").alias(f"n{c}")) for c in "ab")
+    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    shared = F.cos(apart * (np.pi / (WORDS * BITS))) * F.sqrt(F.col("na") * F.col("nb"))
+    links = pairs.join(one, "a").join(two, "b").filter(shared / (F.col("na") + F.col("nb") - shared) >= similarity - 0.01).select("a", "b")
+    roots = components(links).withColumnRenamed("root", "group")
+    grouped = nodes.select("node", "doc_id", "h", "rows").join(roots, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    first = grouped.groupBy("group").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.sum("rows").alias("rows")).filter("rows > 1").drop("rows")
+    stays = materialize(grouped.select("node", "group").join(materialize(first, "firsts"), "group").select("node", "first"), "stays")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    keep = F.col("first").isNull() | (F.struct("doc_id", "h").eqNullSafe(F.col("first")))
+    return prints.select("doc_id", "h", "node").join(stays, "node", "left").select(name.alias("name"), "h", keep.alias("keep"))
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The first document of each group (smallest doc_id), with all columns; rows that repeat doc_id and text stay or go together."""
+    gone = materialize(near_duplicate_clusters(docs, similarity, id_col=id_col, text_col=text_col).filter(~F.col("keep")).select(F.col("name").alias("__name"), F.col("h").alias("__h")), "near-copies")
+    marked = docs.withColumns({"__name": F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null")), "__h": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    return marked.join(gone, ["__name", "__h"], "left_anti").drop("__name", "__h")

@@ -120,18 +120,22 @@ def without(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """key, name, doc_id, text and the document's columns as one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     doc_id: Column = F.col(id_col).cast("long")
-    return docs.select(F.xxhash64(doc_id, text).alias("key"), F.coalesce(doc_id.cast("string"), F.lit("null")).alias("name"), doc_id.alias("doc_id"), text.alias("text"))
+    return docs.select(F.xxhash64(doc_id, text).alias("key"), F.coalesce(doc_id.cast("string"), F.lit("null")).alias("name"), doc_id.alias("doc_id"), text.alias("text"), F.struct(*docs.columns).alias("row"))
 
 
 FOUND = "key long, name string, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, text string, first array<int>, n array<int>, edges array<struct<a:long,b:long,first:int>>"
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, and with_text: kept (words joined by one space)."""
+    """One row per document: doc_id, n_words, n_removed, kept_sha256, and with_text: kept (words joined by one space) and row (its columns)."""
     small_batches(docs.sparkSession)
-    rows = keyed(docs, id_col, text_col)
+    rows = keyed(docs if with_text else docs.select(id_col, text_col), id_col, text_col)
+    if not with_text:
+        rows = rows.withColumn("row", F.struct(F.lit(True).alias("none")))
+    carried = f"row {rows.schema['row'].dataType.simpleString()}"
 
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in slices(frames, SLICE_BYTES):
@@ -182,13 +186,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 else:
                     row |= finished(words, spans, with_text) | {"edges": edges or None}
                 out.append(row)
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            yield pa.RecordBatch.from_pylist(out, schema=schema).append_column("row", batch.column(5))
 
     schema = pa.schema([
         ("key", pa.int64()), ("name", pa.string()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("text", pa.string()),
         ("first", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("edges", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("first", pa.int32())]))),
     ])
-    decided = materialize(rows.join(by_doc, "key", "left").select("key", "name", "doc_id", "text", "pieces").mapInArrow(decide, FOUND), "decided")
+    decided = materialize(rows.join(by_doc, "key", "left").select("key", "name", "doc_id", "text", "pieces", "row").mapInArrow(decide, f"{FOUND}, {carried}"), "decided")
     edges = materialize(decided.filter("edges is not null").select("key", "name", F.col("text").isNotNull().alias("open"), F.explode("edges").alias("e")).select("key", "name", "open", "e.*"), "edges")
     twice = materialize(edges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times"), "repeated-edges")
     more = materialize(edges.filter("open").join(twice, ["a", "b"]).groupBy("key", "name").agg(F.collect_set("first").alias("more")), "repeated-firsts")
@@ -196,18 +200,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     def finish(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames, SLICE_BYTES):
             out = []
-            for r in batch.to_pylist():
+            for r in batch.select(["doc_id", "text", "first", "n", "more"]).to_pylist():
                 words = r["text"].encode().split()
                 spans = spans_of(r["first"] + (r["more"] or []), r["n"] + [1] * len(r["more"] or []), window)
                 out.append({"doc_id": r["doc_id"], "n_words": len(words)} | finished(words, spans, with_text))
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]))
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])).append_column("row", batch.column(5))
 
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
-    still = decided.filter("text is not null").select("key", "name", "doc_id", "text", "first", "n").join(more, ["key", "name"], "left").select("doc_id", "text", "first", "n", "more")
-    done = decided.filter("text is null").select(names).union(still.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"))
-    return done if with_text else done.drop("kept")
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "row"]
+    still = decided.filter("text is not null").select("key", "name", "doc_id", "text", "first", "n", "row").join(more, ["key", "name"], "left").select("doc_id", "text", "first", "n", "more", "row")
+    done = decided.filter("text is null").select(names).union(still.mapInArrow(finish, f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, {carried}"))
+    return done if with_text else done.drop("kept", "row")
 
 
 def finished(words: list[bytes], spans: list[tuple[int, int]], with_text: bool) -> dict:
     left = b" ".join(without(words, spans) if spans else words)
     return {"n_removed": sum(b - a for a, b in spans), "kept_sha256": hashlib.sha256(left).hexdigest(), "kept": left.decode() if with_text else None}
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with their repeated words removed; texts that lose nothing stay as they are."""
+    found = remove_repeats(docs, id_col=id_col, text_col=text_col, with_text=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"row.{text_col}"))
+    return found.select(*(text.alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns))
