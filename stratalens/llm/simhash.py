@@ -10,8 +10,9 @@ and only links become rows. Equal fingerprints are one node, so copies are never
 near_duplicate_clusters is the wider form for texts that share most of their shingles without sharing nearly all
 bits: a fingerprint of WORDS 64-bit words, cut into as many partitions as its width allows (threshold 0 on each), is
 probed by every partition's value; each text meets the least and the greatest of its bucket, so a bucket of any
-size gives two candidates a member, and all bits verify them: their share that differs gives the cosine, and with
-the numbers of shingles the Jaccard similarity.
+size gives two candidates a member. All bits verify them: the share that differs gives the cosine, and with the
+numbers of shingles an estimate of the Jaccard similarity, which settles what is well above (SURE) or well below
+(DOUBTFUL) the threshold; the shingles themselves decide the rest.
 
 Defined results: null text counts as empty; a text of no words has fingerprint zero, linked like any other;
 repeated rows get the same component; a null doc_id takes part but is no component's smallest unless all are
@@ -194,7 +195,7 @@ def near_duplicates(docs: DataFrame, tau: int = 3, shingle: int = 3, id_col: str
     return prints.join(materialize(named, "named"), "fp").select("doc_id", "fp", "component_id")
 
 
-WORDS, SHINGLE, SIMILARITY, LOOSE_BITS = 20, 5, 0.8, 22
+WORDS, SHINGLE, SIMILARITY, LOOSE_BITS, SURE, DOUBTFUL = 20, 5, 0.8, 22, 0.1, -0.1
 #: Odd multipliers that derive the words of a wide fingerprint from one hash.
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(bytes([i]), 1) | 1 for i in range(WORDS)], dtype=np.uint64)
 
@@ -213,6 +214,11 @@ def partition_keys(words: np.ndarray, width: int) -> np.ndarray:
     return values | (np.arange(parts, dtype=np.int64) << 40)
 
 
+def key_of(doc_id: str, h: str) -> tuple[Column, Column]:
+    """What names a row: doc_id as text and the hash of its text."""
+    return F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).alias("name"), F.col(h).alias("h")
+
+
 def near_duplicate_clusters(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """name, h (of each row: doc_id as text, XXH64 of text), keep (whether it is the first of its group)."""
     spark = docs.sparkSession
@@ -235,7 +241,7 @@ def near_duplicate_clusters(docs: DataFrame, similarity: float = SIMILARITY, shi
             values = partition_keys(np.array(batch.column(1).to_pylist(), dtype=np.int64).reshape(-1, WORDS), width)
             yield pa.record_batch([pa.array(np.repeat(batch.column(0).to_numpy(), values.shape[1])), pa.array(values.ravel())], ["node", "key"])
 
-    keyed = materialize(nodes.filter("n > 0").select("node", "fp").mapInArrow(keys, "node long, key long"), "keys")
+    keyed = nodes.filter("n > 0").select("node", "fp").mapInArrow(keys, "node long, key long")
     ends = materialize(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi"), "ends")
     met = keyed.join(ends, "key").select("node", F.explode(F.array("lo", "hi")).alias("other"))
     close = (F.col("node") != F.col("other")) & (differing(F.col("node"), F.col("other")) <= LOOSE_BITS)
@@ -243,14 +249,30 @@ def near_duplicate_clusters(docs: DataFrame, similarity: float = SIMILARITY, shi
     one, two = (nodes.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}"), F.col("n").cast("double").alias(f"n{c}")) for c in "ab")
     apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     shared = F.cos(apart * (np.pi / (WORDS * BITS))) * F.sqrt(F.col("na") * F.col("nb"))
-    links = pairs.join(one, "a").join(two, "b").filter(shared / (F.col("na") + F.col("nb") - shared) >= similarity - 0.01).select("a", "b")
+    likely = shared / (F.col("na") + F.col("nb") - shared)
+    weighed = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", likely.alias("likely")).filter(F.col("likely") >= similarity + DOUBTFUL), "weighed")
+    sure = F.col("likely") >= similarity + SURE
+    open_nodes = weighed.filter(~sure).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = materialize(open_nodes.join(nodes, "node").select("node", *key_of("doc_id", "h")), "open-nodes")
+    texts = rows.select(*key_of("doc_id", "h"), "text").join(needed, ["name", "h"]).select("node", "text")
+
+    def sets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(frames, 2 << 20):
+            found = [np.unique(shingle_hashes(t, shingle).astype(np.uint32)).view(np.int32) for t in texts_of(batch.column(1))]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["node", "shingles"])
+
+    # rows that repeat doc_id and text give the same set
+    known = materialize(texts.mapInArrow(sets, "node long, shingles array<int>").groupBy("node").agg(F.first("shingles").alias("s")), "shingle-sets")
+    both = weighed.filter(~sure).join(known.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    exact = both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    links = weighed.filter(sure).select("a", "b").union(exact)
     roots = components(links).withColumnRenamed("root", "group")
     grouped = nodes.select("node", "doc_id", "h", "rows").join(roots, "node", "left").withColumn("group", F.coalesce("group", "node"))
     first = grouped.groupBy("group").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.sum("rows").alias("rows")).filter("rows > 1").drop("rows")
     stays = materialize(grouped.select("node", "group").join(materialize(first, "firsts"), "group").select("node", "first"), "stays")
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     keep = F.col("first").isNull() | (F.struct("doc_id", "h").eqNullSafe(F.col("first")))
-    return prints.select("doc_id", "h", "node").join(stays, "node", "left").select(name.alias("name"), "h", keep.alias("keep"))
+    return prints.select("doc_id", "h", "node").join(stays, "node", "left").select(*key_of("doc_id", "h"), keep.alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
