@@ -47,6 +47,7 @@ class Pieces:
         self.log_p = log_p
         self.number = inner, final
         self.inner, self.final = ({w: float(log_p[i]) for w, i in d.items()} for d in (inner, final))
+        self.share = tuple({w: (math.exp(log_p[i]), i) for w, i in d.items()} for d in (inner, final))
         self.longest = max(map(len, [*inner, *final]))
 
     @classmethod
@@ -62,48 +63,46 @@ class Pieces:
         share = 1 / (np.arange(max(vocab.values()) + 1) + 100.0)
         return cls(inner, final, np.log(share / share.sum()))
 
-    def arcs(self, word: bytes) -> list[list[tuple[int, float, int]]]:
-        """For each end position the pieces that end there: start, log-probability, number."""
-        n, out = len(word), []
-        inner_n, final_n = self.number
-        for j in range(1, n + 1):
-            table, number = (self.final, final_n) if j == n else (self.inner, inner_n)
-            here = []
-            for i in range(max(0, j - self.longest), j):
-                piece = word[i:j]
-                if (p := table.get(piece)) is not None:
-                    here.append((i, p, number[piece]))
-            out.append(here)
-        return out
-
     def forward(self, word: bytes) -> float:
         """Log-probability of the word, over all segmentations."""
-        n, longest, inner = len(word), self.longest, self.inner
+        n, longest, known = len(word), self.longest, self.inner.get
         alpha = [0.0]
         for j in range(1, n + 1):
-            table = self.final if j == n else inner
-            terms = [alpha[i] + table[word[i:j]] for i in range(max(0, j - longest), j) if word[i:j] in table]
+            if j == n:
+                known = self.final.get
+            terms = []
+            for i in range(j - longest if j > longest else 0, j):
+                if (p := known(word[i:j])) is not None:
+                    terms.append(alpha[i] + p)
             alpha.append(log_sum(terms))
         return alpha[n]
 
-    def expect(self, word: bytes, times: float, counts: np.ndarray) -> None:
-        """Add the expected number of each piece in `times` occurrences of word."""
-        arcs, alpha = self.arcs(word), [0.0]
-        for here in arcs:
-            alpha.append(log_sum([alpha[i] + p for i, p, _ in here]))
-        n = len(word)
-        beta = [-math.inf] * n + [0.0]
-        into: list[list[float]] = [[] for _ in range(n)]
-        for j in range(n, 0, -1):
-            if j < n:
-                beta[j] = log_sum(into[j])
-            for i, p, _ in arcs[j - 1]:
-                into[i].append(p + beta[j])
-        total = alpha[n]
+    def expect(self, word: bytes, counts: list[float]) -> None:
+        """Add the expected number of each piece in one occurrence of word; sums are scaled at each position, so no word underflows."""
+        n, longest, known = len(word), self.longest, self.share[0].get
+        alpha, arcs = [1.0], []
         for j in range(1, n + 1):
-            if beta[j] > -math.inf:
-                for i, p, k in arcs[j - 1]:
-                    counts[k] += times * math.exp(alpha[i] + p + beta[j] - total)
+            if j == n:
+                known = self.share[1].get
+            here, total = [], 0.0
+            for i in range(j - longest if j > longest else 0, j):
+                if (x := known(word[i:j])) is not None:
+                    share = alpha[i] * x[0]
+                    here.append((i, x[1], share))
+                    total += share
+            arcs.append((here, total))
+            alpha.append(total)
+            if total < 1e-200:  # once in dozens of bytes: lift what is still to be read
+                alpha[-longest:] = [a * 1e150 for a in alpha[-longest:]]
+        weight = [0.0] * n + [1.0]  # expected visits of each position
+        for j in range(n, 0, -1):
+            if visits := weight[j]:
+                here, total = arcs[j - 1]
+                scale = visits / total
+                for i, k, share in here:
+                    x = share * scale
+                    weight[i] += x
+                    counts[k] += x
 
 
 def log_sum(terms: list[float]) -> float:
@@ -160,10 +159,11 @@ def fitted(words: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Pieces:
         now = pieces
 
         def run(frames: Iterator[pa.RecordBatch], now: Pieces = now) -> Iterator[pa.RecordBatch]:
-            counts = np.zeros(len(now.log_p))
+            sums = [0.0] * len(now.log_p)
             for batch in frames:
                 for word in batch.column(0).to_pylist():
-                    now.expect(word, 1.0, counts)
+                    now.expect(word, sums)
+            counts = np.array(sums)
             some = np.flatnonzero(counts)
             yield pa.record_batch([pa.array(some, pa.int64()), pa.array(counts[some], pa.float64())], ["piece", "n"])
 
