@@ -26,10 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, small_batches, texts_of
+from .common import batches, small_batches, texts_of, worker_cache
 
 VOCABULARY = "byte_bpe_50k.json"
-SLICE_BYTES, CACHE_WORDS = 12 << 20, 300_000
+SLICE_BYTES, CACHE_WORDS = 8 << 20, 300_000
 
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # white space as the library has it
 PRE_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -53,7 +53,7 @@ class Encoder:
             spec = json.load(file)
         vocab, chars = spec["model"]["vocab"], byte_characters()
         self.size = max(vocab.values()) + 1
-        self.of_byte = np.zeros(256, dtype=np.int64)
+        self.of_byte = np.zeros(256, dtype=np.int32)
         end = spec["model"].get("end_of_word_suffix") or ""
         self.of_last = self.of_byte.copy()
         for char, byte in chars.items():
@@ -76,7 +76,7 @@ class Encoder:
         symbol = self.of_byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
         n, ends = len(symbol), np.cumsum(lengths)
         symbol[ends - 1] = self.of_last[np.frombuffer(b"".join([w[-1:] for w in words]), dtype=np.uint8)]
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends - 1] = -1
         before[ends - lengths] = -1
         where: dict[int, list[np.ndarray]] = defaultdict(list)
@@ -87,7 +87,7 @@ class Encoder:
             at = at[after[at] >= 0]
             if not len(at):
                 return
-            pair = symbol[at] * size + symbol[after[at]]
+            pair = symbol[at].astype(np.int64) * size + symbol[after[at]]
             order = np.argsort(pair, kind="stable")
             pair, at = pair[order], at[order]
             edges = np.flatnonzero(np.diff(pair)) + 1
@@ -97,7 +97,7 @@ class Encoder:
                         heapq.heappush(active, rank)
                     where[rank].append(at[start:end])
 
-        index(np.arange(n))
+        index(np.arange(n, dtype=np.int32))
         while active:
             rank = heapq.heappop(active)
             lists = where.pop(rank)
@@ -135,8 +135,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+        self.words = worker_cache("bpe", CACHE_WORDS)
         plans: list[list[tuple[list[bytes] | None, bytes]]] = []
         units, tokens = set(), set()
         for text in texts:

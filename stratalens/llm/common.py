@@ -57,3 +57,16 @@ def batches(frames: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[p
         step = max(1, int(batch.num_rows * most / batch.nbytes))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+_CACHE: dict[str, dict] = {}
+
+
+def worker_cache(owner: str, most: int) -> dict:
+    """What a Python worker keeps from task to task for one operator; it starts afresh above `most` entries, and when another operator takes over."""
+    if owner not in _CACHE:
+        _CACHE.clear()
+        _CACHE[owner] = {}
+    if len(_CACHE[owner]) > most:
+        _CACHE[owner].clear()
+    return _CACHE[owner]

@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, slices
-from .common import small_batches, texts_of
+from .common import small_batches, texts_of, worker_cache
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
-TIERS, STEP_TOKENS, SLICE_TOKENS, CACHE_WORDS = (2048, 1024, 512, 256), 16384, 4_000_000, 600_000
+TIERS, STEP_TOKENS, SLICE_TOKENS, CACHE_WORDS = (2048, 1024, 512, 256), 16384, 2_000_000, 300_000
 #: The vocabulary's own split of lower-cased text, and the words that it is applied to here.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 LATIN = regex.compile(r"[\n!-~\u00a1-\u012f\u0131-\u0240]*")
@@ -76,8 +76,7 @@ class WordTokens:
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         split = [t.split() for t in texts]  # bytes: at ASCII white space
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+        self.words = worker_cache("packing", CACHE_WORDS)
         self.learn([*set().union(*split).difference(self.words)])
         return (b"".join(map(self.words.__getitem__, words)) for words in split)
 

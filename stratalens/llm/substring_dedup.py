@@ -28,18 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import batches, materialize, small_batches, texts_of
+from .common import batches, materialize, small_batches, texts_of, worker_cache
 
-WINDOW, ANCHOR, SLICE_BYTES, CACHE_WORDS = 35, 8, 4 << 20, 500_000
+WINDOW, ANCHOR, SLICE_BYTES, CACHE_WORDS = 35, 8, 4 << 20, 300_000
 U = np.uint64
-_WORDS: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """XXH64 of each word."""
-    known = _WORDS
-    if len(known) > CACHE_WORDS:
-        known.clear()
+    known = worker_cache("substring_dedup", CACHE_WORDS)
     for w in set(words).difference(known):
         known[w] = xxhash.xxh64_intdigest(w)
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
