@@ -118,7 +118,7 @@ def rules() -> tuple[Rule, ...]:
     for label, keyword, name, versions in FAMILIES:
         for form, priority, confidence in FORMS:
             for version in ("", *versions):
-                full = name + (rf"(?: v(?:ersion)?)? {version}(?: 0)?(?: (?:only|or (?:any )?later(?: version)?))?" if version else "")
+                full = name + (rf" (?:v(?:ersion)? ?)?{version}(?: 0)?(?: (?:only|or (?:any )?later(?: version)?))?" if version else "")
                 tag = label + (f"-{version.replace(' ', '.')}" if version else "")
                 out.append(Rule(tag, keyword.encode(), re.compile(rb"\b" + form.format(name=full).encode() + rb"\b"), priority + 2 * bool(version), confidence))
     out += [Rule(label, keyword.encode(), re.compile(rb"\b" + pattern.encode() + rb"\b"), priority, confidence) for label, keyword, pattern, priority, confidence in NOTICES]
