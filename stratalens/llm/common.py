@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +54,7 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
 
 def batches(frames: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `most` bytes at most; a longer single text stays whole."""
+    fresh_task()
     for batch in frames:
         if batch.nbytes <= most or batch.num_rows <= 1:
             yield batch
@@ -60,13 +65,24 @@ def batches(frames: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[p
 
 
 _CACHE: dict[str, dict] = {}
+_TASK: list[int] = []
+
+
+def fresh_task() -> None:
+    """At a task's start, give back what the Python worker kept for an earlier one."""
+    context = TaskContext.get()
+    if context is None or _TASK[-1:] == [context.taskAttemptId()]:
+        return
+    _TASK[:] = [context.taskAttemptId()]
+    _CACHE.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can trim its heap
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def worker_cache(owner: str, most: int) -> dict:
-    """What a Python worker keeps from task to task for one operator; it starts afresh above `most` entries, and when another operator takes over."""
-    if owner not in _CACHE:
-        _CACHE.clear()
-        _CACHE[owner] = {}
-    if len(_CACHE[owner]) > most:
-        _CACHE[owner].clear()
-    return _CACHE[owner]
+    """What a task keeps for one operator; it starts afresh above `most` entries."""
+    kept = _CACHE.setdefault(owner, {})
+    if len(kept) > most:
+        kept.clear()
+    return kept

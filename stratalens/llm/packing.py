@@ -18,7 +18,7 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import pyarrow as pa
 import public_tokenizers
@@ -31,7 +31,7 @@ from .bpe import Encoder, slices
 from .common import small_batches, texts_of, worker_cache
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
-TIERS, STEP_TOKENS, SLICE_TOKENS, CACHE_WORDS = (2048, 1024, 512, 256), 16384, 2_000_000, 300_000
+TIERS, STEP_TOKENS, SLICE_TOKENS, SLICE_BYTES, CACHE_WORDS = (2048, 1024, 512, 256), 16384, 2_000_000, 4 << 20, 400_000
 #: The vocabulary's own split of lower-cased text, and the words that it is applied to here.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 LATIN = regex.compile(r"[\n!-~\u00a1-\u012f\u0131-\u0240]*")
@@ -46,14 +46,19 @@ class WordTokens:
     """
 
     def __init__(self, path: str) -> None:
+        self.path = path
+        self.merges = Encoder(path)
+        self.words: dict[bytes, bytes] = {}
+
+    @cached_property
+    def tokenizer(self):  # noqa: ANN201
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.merges = Encoder(path)
-        self.words: dict[bytes, bytes] = {}
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
 
     def learn(self, new: list[bytes]) -> None:
         together = b"\n".join(new).decode()
@@ -168,7 +173,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, tiers: tuple[i
             streams.clear()
 
         held = 0
-        for batch in slices(frames):
+        for batch in slices(frames, SLICE_BYTES):
             for doc_id, stream in zip(batch.column(0).to_pylist(), tokens.encode(texts_of(batch.column(1))), strict=True):
                 ids.append(doc_id)
                 streams.append(stream + END_ID.to_bytes(4, "little"))

@@ -117,17 +117,17 @@ def without(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key, name, doc_id, text and the document's columns as one."""
+    """key, name, doc_id, text and the document's other columns as one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     doc_id: Column = F.col(id_col).cast("long")
-    return docs.select(F.xxhash64(doc_id, text).alias("key"), F.coalesce(doc_id.cast("string"), F.lit("null")).alias("name"), doc_id.alias("doc_id"), text.alias("text"), F.struct(*docs.columns).alias("row"))
+    return docs.select(F.xxhash64(doc_id, text).alias("key"), F.coalesce(doc_id.cast("string"), F.lit("null")).alias("name"), doc_id.alias("doc_id"), text.alias("text"), F.struct(F.lit(True).alias("__any"), *(c for c in docs.columns if c != text_col)).alias("row"))
 
 
 FOUND = "key long, name string, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, text string, first array<int>, n array<int>, edges array<struct<a:long,b:long,first:int>>"
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, and with_text: kept (words joined by one space) and row (its columns)."""
+    """One row per document: doc_id, n_words, n_removed, kept_sha256, and with_text: kept (what is left, by one space between words if any is removed) and row (its other columns)."""
     small_batches(docs.sparkSession)
     rows = keyed(docs if with_text else docs.select(id_col, text_col), id_col, text_col)
     if not with_text:
@@ -181,7 +181,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 if edges and not all(inside(x["first"]) for x in edges):
                     row |= {"text": text.decode(), "first": firsts, "n": lengths, "edges": edges}
                 else:
-                    row |= finished(words, spans, with_text) | {"edges": edges or None}
+                    row |= finished(text, words, spans, with_text) | {"edges": edges or None}
                 out.append(row)
             yield pa.RecordBatch.from_pylist(out, schema=schema).append_column("row", batch.column(5))
 
@@ -198,9 +198,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         for batch in batches(frames, SLICE_BYTES):
             out = []
             for r in batch.select(["doc_id", "text", "first", "n", "more"]).to_pylist():
-                words = r["text"].encode().split()
+                text = r["text"].encode()
+                words = text.split()
                 spans = spans_of(r["first"] + (r["more"] or []), r["n"] + [1] * len(r["more"] or []), window)
-                out.append({"doc_id": r["doc_id"], "n_words": len(words)} | finished(words, spans, with_text))
+                out.append({"doc_id": r["doc_id"], "n_words": len(words)} | finished(text, words, spans, with_text))
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])).append_column("row", batch.column(5))
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "row"]
@@ -209,13 +210,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     return done if with_text else done.drop("kept", "row")
 
 
-def finished(words: list[bytes], spans: list[tuple[int, int]], with_text: bool) -> dict:
+def finished(text: bytes, words: list[bytes], spans: list[tuple[int, int]], with_text: bool) -> dict:
     left = b" ".join(without(words, spans) if spans else words)
-    return {"n_removed": sum(b - a for a, b in spans), "kept_sha256": hashlib.sha256(left).hexdigest(), "kept": left.decode() if with_text else None}
+    return {"n_removed": sum(b - a for a, b in spans), "kept_sha256": hashlib.sha256(left).hexdigest(), "kept": (left if spans else text).decode() if with_text else None}
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with their repeated words removed; texts that lose nothing stay as they are."""
+    """The documents with their repeated words removed; texts that lose nothing stay as they are, but a null text becomes empty."""
     found = remove_repeats(docs, id_col=id_col, text_col=text_col, with_text=True)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"row.{text_col}"))
-    return found.select(*(text.alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns))
+    return found.select(*(F.col("kept" if c == text_col else f"row.{c}").alias(c) for c in docs.columns))
