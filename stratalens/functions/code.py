@@ -284,3 +284,80 @@ def i08_use_trees(t: Tables) -> DataFrame:
 
     use = F.concat(F.lit("use crate::"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit("::{"), F.regexp_replace("p_name", " ", ", "), F.lit(", self, deep::{x, y as z}};"))
     return t.part.select("p_partkey", F.explode(uses(use)).alias("target"))
+
+
+@query(_LINES + """, code AS (SELECT path, no, line, length(line) - length(ltrim(line)) AS indent FROM lines WHERE path LIKE '%.py' AND trim(line) <> '' AND NOT starts_with(ltrim(line), '#')),
+  defs AS (SELECT path, no, indent FROM code WHERE regexp_matches(line, '^ *def ')), last AS (SELECT path, max(no) AS last FROM code GROUP BY path)
+  SELECT d.path, d.no AS start, coalesce(min(c.no) - 1, any_value(last)) AS end_no FROM defs d JOIN last USING (path) LEFT JOIN code c ON c.path = d.path AND c.no > d.no AND c.indent <= d.indent GROUP BY 1, 2""")
+def i10_indented_ends(t: Tables) -> DataFrame:
+    """End of each Python function: before the first later code line that is indented no deeper."""
+    trimmed = F.ltrim("line")
+    code = numbered_lines(t).filter(F.col("path").endswith(".py") & (trimmed != "") & ~trimmed.startswith("#")).select("path", "no", "line", (F.length("line") - F.length(trimmed)).alias("indent"))
+    defs = code.filter(F.col("line").rlike("^ *def ")).select("path", F.col("no").alias("start"), F.col("indent").alias("own"))
+    last = code.groupBy("path").agg(F.max("no").alias("last"))
+    later = defs.join(code, "path").filter((F.col("no") > F.col("start")) & (F.col("indent") <= F.col("own"))).groupBy("path", "start").agg((F.min("no") - 1).alias("stop"))
+    return defs.join(last, "path").join(later, ["path", "start"], "left").select("path", "start", F.coalesce("stop", "last").alias("end_no"))
+
+
+def blanked(text: str, hash_comments: bool = False) -> str:
+    """The text with strings and comments blanked out, line ends kept."""
+    out, i, n = [], 0, len(text)
+    while i < n:
+        two, c = text[i : i + 2], text[i]
+        if two == "/*":
+            end = text.find("*/", i + 2)
+            end = n if end < 0 else end + 2
+        elif two == "//" or hash_comments and c == "#":
+            end = text.find("\n", i)
+            end = n if end < 0 else end
+        elif c in "\"'`":
+            end = i + 1
+            while end < n and text[end] != c and (text[end] != "\n" or c == "`"):
+                end += 2 if text[end] == "\\" else 1
+            end = min(end + 1, n)
+        else:
+            out.append(c)
+            i += 1
+            continue
+        out += ["\n" if x == "\n" else " " for x in text[i:end]]
+        i = end
+    return "".join(out)
+
+
+def brace_end(text: str, start: int) -> int:
+    """Line (from 1) on which the block that opens at or after line `start` closes; the last line if it never does."""
+    depth, opened = 0, False
+    lines = blanked(text).split("\n")
+    for no in range(start, len(lines) + 1):
+        for c in lines[no - 1]:
+            depth += (c == "{") - (c == "}")
+            opened = opened or c == "{"
+        if opened and depth <= 0:
+            return no
+    return len(lines)
+
+
+@query()
+def i11_brace_ends(t: Tables) -> DataFrame:
+    """End of each braced function, by a scan that knows strings and comments; stateful, so an Arrow function, and no SQL check."""
+
+    @F.arrow_udf("long")
+    def end(text: pa.Array, start: pa.Array) -> pa.Array:
+        return pa.array([brace_end(x or "", s) for x, s in zip(text.to_pylist(), start.to_pylist(), strict=True)], pa.int64())
+
+    braced = symbols(t).filter(~F.col("path").endswith(".py")).join(corpus(t), "path")
+    return braced.select("path", "name", F.col("no").alias("start"), end("text", "no").alias("end_no"))
+
+
+@query()
+def i13_gate_terms(t: Tables) -> DataFrame:
+    """Branching terms of each file once strings and comments are blanked; the blanking is an Arrow function, and there is no SQL check."""
+
+    @F.arrow_udf("string")
+    def code(text: pa.Array, hashes: pa.Array) -> pa.Array:
+        return pa.array([blanked(x or "", h) for x, h in zip(text.to_pylist(), hashes.to_pylist(), strict=True)], pa.string())
+
+    python = F.col("path").endswith(".py")
+    clean = corpus(t).select("path", python.alias("python"), code("text", python).alias("code"))
+    words = F.when(F.col("python"), F.regexp_count("code", F.lit(r"\b(if|for|while|elif|except|and|or)\b"))).otherwise(F.regexp_count("code", F.lit(r"\b(if|for|while|match|case|catch)\b|&&|\|\|")))
+    return clean.select("path", words.cast("long").alias("terms"))
