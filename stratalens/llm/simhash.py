@@ -9,8 +9,8 @@ and only links become rows. Equal fingerprints are one node, so copies are never
 
 near_duplicate_clusters is the wider form for texts that share most of their shingles without sharing nearly all
 bits: a fingerprint of WORDS 64-bit words, cut into as many partitions as its width allows (threshold 0 on each), is
-probed by every partition's value; each text meets the least and the greatest of its bucket, so a bucket of any
-size gives two candidates a member. All bits verify them: the share that differs gives the cosine, and with the
+probed by every partition's value; each text meets the least of its bucket, so a bucket of any size gives one
+candidate a member, and texts of a group meet through many buckets. All bits verify them: the share that differs gives the cosine, and with the
 numbers of shingles an estimate of the Jaccard similarity, which settles what is well above (SURE) or well below
 (DOUBTFUL) the threshold; the shingles themselves decide the rest.
 
@@ -242,8 +242,8 @@ def near_duplicate_clusters(docs: DataFrame, similarity: float = SIMILARITY, shi
             yield pa.record_batch([pa.array(np.repeat(batch.column(0).to_numpy(), values.shape[1])), pa.array(values.ravel())], ["node", "key"])
 
     keyed = nodes.filter("n > 0").select("node", "fp").mapInArrow(keys, "node long, key long")
-    ends = materialize(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi"), "ends")
-    met = keyed.join(ends, "key").select("node", F.explode(F.array("lo", "hi")).alias("other"))
+    firsts = materialize(keyed.groupBy("key").agg(F.min("node").alias("other"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "bucket-firsts")
+    met = keyed.join(firsts, "key").select("node", "other")
     close = (F.col("node") != F.col("other")) & (differing(F.col("node"), F.col("other")) <= LOOSE_BITS)
     pairs = materialize(met.filter(close).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
     one, two = (nodes.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}"), F.col("n").cast("double").alias(f"n{c}")) for c in "ab")
