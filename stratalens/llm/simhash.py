@@ -9,10 +9,12 @@ and only links become rows. Equal fingerprints are one node, so copies are never
 
 near_duplicate_clusters is the wider form for texts that share most of their shingles without sharing nearly all
 bits: a fingerprint of WORDS 64-bit words, cut into as many partitions as its width allows (threshold 0 on each), is
-probed by every partition's value; each text meets the least of its bucket, so a bucket of any size gives one
-candidate a member, and texts of a group meet through many buckets. All bits verify them: the share that differs gives the cosine, and with the
-numbers of shingles an estimate of the Jaccard similarity, which settles what is well above (SURE) or well below
-(DOUBTFUL) the threshold; the shingles themselves decide the rest.
+probed by every partition's value. First each text meets one text of its bucket, by an order of the bucket's own;
+the links found join most of a large group. Then every pair of a bucket whose texts are not yet in one group meets,
+in blocks, verified on all bits in the join itself: in the end each pair of a bucket is either decided or within one
+group. The share of bits that differs gives the cosine, and with the numbers of shingles an estimate of the Jaccard
+similarity, which settles what is well above (SURE) or well below (DOUBTFUL) the threshold; the shingles themselves
+decide the rest.
 
 Defined results: null text counts as empty; a text of no words has fingerprint zero, linked like any other;
 repeated rows get the same component; a null doc_id takes part but is no component's smallest unless all are
@@ -196,6 +198,7 @@ def near_duplicates(docs: DataFrame, tau: int = 3, shingle: int = 3, id_col: str
 
 
 WORDS, SHINGLE, SIMILARITY, LOOSE_BITS, SURE, DOUBTFUL = 20, 5, 0.8, 22, 0.1, -0.1
+BLOCK = 256  # members of a bucket that meet all others in one task
 #: Odd multipliers that derive the words of a wide fingerprint from one hash.
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(bytes([i]), 1) | 1 for i in range(WORDS)], dtype=np.uint64)
 
@@ -214,6 +217,34 @@ def partition_keys(words: np.ndarray, width: int) -> np.ndarray:
     return values | (np.arange(parts, dtype=np.int64) << 40)
 
 
+def likely(fa: str, fb: str, na: str, nb: str) -> Column:
+    """Estimate of the Jaccard similarity from two wide fingerprints and their numbers of shingles."""
+    apart = reduce(Column.__add__, (differing(F.col(fa)[i], F.col(fb)[i]) for i in range(WORDS)))
+    a, b = F.col(na).cast("double"), F.col(nb).cast("double")
+    shared = F.cos(apart * (np.pi / (WORDS * BITS))) * F.sqrt(a * b)
+    return shared / (a + b - shared)
+
+
+def ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def pairs_across(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """a, b: pairs of a bucket in different groups with an estimated similarity of `least` or more.
+
+    members: node, key, root, main (the group of the bucket's first); nodes: node, fp, n. Those outside the main group
+    meet all members, in blocks of about BLOCK.
+    """
+    few = members.filter(F.col("root") != F.col("main")).groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    contested = materialize(members.join(few, "key").join(nodes.select("node", "fp", "n"), "node"), "contested")
+    a = contested.filter(F.col("root") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("x")
+    b = contested.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.root") != F.col("y.root")) & once
+    near = (differing(F.col("x.node"), F.col("y.node")) <= LOOSE_BITS) & (likely("x.fp", "y.fp", "x.n", "y.n") >= least)
+    return a.join(b, met & near).select(*ordered("x.node", "y.node")).distinct()
+
+
 def key_of(doc_id: str, h: str) -> tuple[Column, Column]:
     """What names a row: doc_id as text and the hash of its text."""
     return F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).alias("name"), F.col(h).alias("h")
@@ -239,34 +270,43 @@ def near_duplicate_clusters(docs: DataFrame, similarity: float = SIMILARITY, shi
     def keys(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
             values = partition_keys(np.array(batch.column(1).to_pylist(), dtype=np.int64).reshape(-1, WORDS), width)
-            yield pa.record_batch([pa.array(np.repeat(batch.column(0).to_numpy(), values.shape[1])), pa.array(values.ravel())], ["node", "key"])
+            node, root = (pa.array(np.repeat(batch.column(i).to_numpy(), values.shape[1])) for i in (0, 2))
+            yield pa.record_batch([node, pa.array(values.ravel()), root], ["node", "key", "root"])
 
-    keyed = nodes.filter("n > 0").select("node", "fp").mapInArrow(keys, "node long, key long")
-    firsts = materialize(keyed.groupBy("key").agg(F.min("node").alias("other"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "bucket-firsts")
-    met = keyed.join(firsts, "key").select("node", "other")
-    close = (F.col("node") != F.col("other")) & (differing(F.col("node"), F.col("other")) <= LOOSE_BITS)
-    pairs = materialize(met.filter(close).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
-    one, two = (nodes.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}"), F.col("n").cast("double").alias(f"n{c}")) for c in "ab")
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    shared = F.cos(apart * (np.pi / (WORDS * BITS))) * F.sqrt(F.col("na") * F.col("nb"))
-    likely = shared / (F.col("na") + F.col("nb") - shared)
-    weighed = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", likely.alias("likely")).filter(F.col("likely") >= similarity + DOUBTFUL), "weighed")
-    sure = F.col("likely") >= similarity + SURE
-    open_nodes = weighed.filter(~sure).select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = materialize(open_nodes.join(nodes, "node").select("node", *key_of("doc_id", "h")), "open-nodes")
-    texts = rows.select(*key_of("doc_id", "h"), "text").join(needed, ["name", "h"]).select("node", "text")
+    def keyed(grouped: DataFrame) -> DataFrame:
+        return grouped.filter("n > 0").select("node", "fp", "root").mapInArrow(keys, "node long, key long, root long")
 
     def sets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames, 2 << 20):
             found = [np.unique(shingle_hashes(t, shingle).astype(np.uint32)).view(np.int32) for t in texts_of(batch.column(1))]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["node", "shingles"])
 
-    # rows that repeat doc_id and text give the same set
-    known = materialize(texts.mapInArrow(sets, "node long, shingles array<int>").groupBy("node").agg(F.first("shingles").alias("s")), "shingle-sets")
-    both = weighed.filter(~sure).join(known.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    exact = both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    links = weighed.filter(sure).select("a", "b").union(exact)
+    def decided(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that are links."""
+        one, two = (nodes.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
+        weighed = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", likely("fa", "fb", "na", "nb").alias("likely")).filter(F.col("likely") >= similarity + DOUBTFUL), "weighed")
+        sure = F.col("likely") >= similarity + SURE
+        settled, doubtful = weighed.filter(sure).select("a", "b"), weighed.filter(~sure)
+        if doubtful.isEmpty():
+            return settled
+        needed = materialize(doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", *key_of("doc_id", "h")), "open-nodes")
+        texts = rows.select(*key_of("doc_id", "h"), "text").join(needed, ["name", "h"]).select("node", "text")
+        # rows that repeat doc_id and text give the same set
+        known = materialize(texts.mapInArrow(sets, "node long, shingles array<int>").groupBy("node").agg(F.first("shingles").alias("s")), "shingle-sets")
+        both = doubtful.join(known.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return materialize(settled.union(both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")), "decided")
+
+    salt = F.xxhash64("key")  # an order of each bucket's own, so that no text comes first everywhere
+    own = keyed(nodes.withColumn("root", F.col("node")))
+    firsts = materialize(own.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(salt)).alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("low").bitwiseXOR(salt).alias("other")), "bucket-firsts")
+    close = (F.col("node") != F.col("other")) & (differing(F.col("node"), F.col("other")) <= LOOSE_BITS)
+    links = decided(materialize(own.join(firsts, "key").filter(close).select(*ordered("node", "other")).distinct(), "pairs"))
+    roots = components(links)
+    grouped = materialize(nodes.join(roots, "node", "left").select("node", "fp", "n", F.coalesce("root", "node").alias("root")), "grouped")
+    mains = firsts.join(grouped.select(F.col("node").alias("other"), F.col("root").alias("main")), "other").select("key", "main")
+    across = materialize(pairs_across(materialize(keyed(grouped).join(mains, "key"), "members"), nodes, similarity + DOUBTFUL), "pairs-across")
+    links = links.union(decided(across))
     roots = components(links).withColumnRenamed("root", "group")
     grouped = nodes.select("node", "doc_id", "h", "rows").join(roots, "node", "left").withColumn("group", F.coalesce("group", "node"))
     first = grouped.groupBy("group").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.sum("rows").alias("rows")).filter("rows > 1").drop("rows")

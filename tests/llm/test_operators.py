@@ -306,6 +306,36 @@ def test_near_copies(spark):
     assert near == 0 and simhash.drop_near_duplicates(docs.filter("doc_id < 0")).count() == 0
 
 
+def shingle_sets(rows):
+    return {i: set(simhash.shingle_hashes(t.encode(), simhash.SHINGLE).tolist()) for i, t in rows}
+
+
+def first_of_groups(rows, similarity=simhash.SIMILARITY):
+    """The smallest id of each group that links of this similarity join, by brute force."""
+    sets, root = shingle_sets(rows), {i: i for i, _ in rows}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if root[a] != root[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    return set(root.values())
+
+
+def test_near_copies_among_template_texts(spark):
+    """All share three fifths with each other, and so their buckets; only the pairs planted are near copies."""
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"t{x}" for x in rng.integers(0, 50_000, n)]
+    template, rows = words(225), []
+    for i in range(500):
+        w = template + words(75)
+        rows.append((i, " ".join(w)))
+        if i % 5 == 0:
+            rows.append((1000 + i, " ".join(w[:-24] + words(24))))  # similarity 0.85
+    want = first_of_groups(rows)
+    assert len(want) == 500
+    left = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in left.select("doc_id").collect()} == want
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(4)
     rows, labels = [], []
