@@ -8,8 +8,9 @@ probed by their value on each partition with up to t_i bits flipped, verified on
 and only links become rows. Equal fingerprints are one node, so copies are never paired.
 
 near_duplicate_clusters is the wider form for texts that share most of their shingles without sharing nearly all
-bits: a fingerprint of WORDS 64-bit words, cut into as many partitions as its width allows (threshold 0 on each), is
-probed by every partition's value. First each text meets one text of its bucket, by an order of the bucket's own;
+bits: a fingerprint of WORDS 64-bit words is cut into partitions (threshold 0 on each) and probed by every
+partition's value. Their width follows the number of texts, and their number the width: the bits are cut again in
+other orders until two texts of the least similarity share a partition with a chance of RECALL. First each text meets one text of its bucket, by an order of the bucket's own;
 the links found join most of a large group. Then every pair of a bucket whose texts are not yet in one group meets,
 in blocks, verified on all bits in the join itself: in the end each pair of a bucket is either decided or within one
 group. The share of bits that differs gives the cosine, and with the numbers of shingles an estimate of the Jaccard
@@ -198,6 +199,7 @@ def near_duplicates(docs: DataFrame, tau: int = 3, shingle: int = 3, id_col: str
 
 
 WORDS, SHINGLE, SIMILARITY, LOOSE_BITS, SURE, DOUBTFUL = 20, 5, 0.8, 22, 0.1, -0.1
+RECALL = 0.95  # wanted at the least similarity; some is lost as cuts of the same bits are not independent
 BLOCK = 256  # members of a bucket that meet all others in one task
 #: Odd multipliers that derive the words of a wide fingerprint from one hash.
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(bytes([i]), 1) | 1 for i in range(WORDS)], dtype=np.uint64)
@@ -209,12 +211,22 @@ def wide_fingerprint(hashes: np.ndarray) -> list[int]:
     return majority((h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)).tolist()
 
 
-def partition_keys(words: np.ndarray, width: int) -> np.ndarray:
-    """For each row of fingerprint words the numbered value of each partition of `width` bits."""
+def layout(n: int, similarity: float) -> tuple[int, int]:
+    """Bits of a partition, so that chance leaves the buckets of n texts nearly empty, and the number of partitions."""
+    width = min(max(int(np.ceil(np.log2(max(n, 1)))) + 2, 16), 32)
+    alike = (1 - np.arccos(min(2 * similarity / (1 + similarity), 1.0)) / np.pi) ** width  # two texts of equal size
+    needed = int(np.ceil(np.log(1 - RECALL) / np.log1p(-alike))) if alike < 1 else 1
+    return width, max(WORDS * BITS // width, needed)
+
+
+def partition_keys(words: np.ndarray, width: int, parts: int) -> np.ndarray:
+    """For each row of fingerprint words the numbered value of each of `parts` partitions of `width` bits."""
     bits = np.unpackbits(np.ascontiguousarray(words, dtype="<i8").view(np.uint8), axis=1, bitorder="little")
-    parts = bits.shape[1] // width
-    values = bits[:, : parts * width].reshape(len(bits), parts, width) @ (1 << np.arange(width, dtype=np.int64))
-    return values | (np.arange(parts, dtype=np.int64) << 40)
+    a_cut, values = bits.shape[1] // width, []
+    for cut in range(-(-parts // a_cut)):  # the first in the order of the bits, each other in one of its own
+        order = np.random.default_rng([SEED, cut]).permutation(bits.shape[1]) if cut else np.arange(bits.shape[1])
+        values.append(bits[:, order[: a_cut * width]].reshape(len(bits), a_cut, width) @ (1 << np.arange(width, dtype=np.int64)))
+    return np.concatenate(values, axis=1)[:, :parts] | (np.arange(parts, dtype=np.int64) << 40)
 
 
 def likely(fa: str, fb: str, na: str, nb: str) -> Column:
@@ -265,11 +277,11 @@ def near_duplicate_clusters(docs: DataFrame, similarity: float = SIMILARITY, shi
 
     prints = materialize(rows.mapInArrow(run, "doc_id long, h long, node long, fp array<long>, n long"), "wide-prints")
     nodes = materialize(prints.groupBy("node").agg(F.min(F.struct("doc_id", "h", "n", "fp")).alias("r"), F.count(F.lit(1)).alias("rows")).select("node", "r.*", "rows"), "nodes")
-    width = min(max(int(np.ceil(np.log2(max(nodes.count(), 1)))) + 2, 16), 32)  # so that chance leaves buckets nearly empty
+    width, parts = layout(nodes.count(), similarity)
 
     def keys(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            values = partition_keys(np.array(batch.column(1).to_pylist(), dtype=np.int64).reshape(-1, WORDS), width)
+            values = partition_keys(np.array(batch.column(1).to_pylist(), dtype=np.int64).reshape(-1, WORDS), width, parts)
             node, root = (pa.array(np.repeat(batch.column(i).to_numpy(), values.shape[1])) for i in (0, 2))
             yield pa.record_batch([node, pa.array(values.ravel()), root], ["node", "key", "root"])
 

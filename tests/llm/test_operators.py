@@ -336,6 +336,33 @@ def test_near_copies_among_template_texts(spark):
     assert {r["doc_id"] for r in left.select("doc_id").collect()} == want
 
 
+@pytest.mark.parametrize("n", [10_000, 300_000, 4_000_000, 20_000_000])
+def test_recall_of_partitions(n):
+    """Pairs of similarity 0.8 that share a partition, as cut for n texts."""
+    rng, found = np.random.default_rng(6), 0
+    for _ in range(400):
+        h = rng.integers(0, 1 << 64, 300, dtype=np.uint64, endpoint=False)
+        prints = np.array([simhash.wide_fingerprint(h[:270]), simhash.wide_fingerprint(h[30:])])  # 240 of 300 shared
+        one, two = simhash.partition_keys(prints, *simhash.layout(n, 0.8))
+        found += bool((one == two).any())
+    assert found >= 0.9 * 400
+
+
+def test_near_copies_as_of_millions(spark, monkeypatch):
+    """Pairs of similarity 0.80 to 0.85 against brute force, with the partitions of 4 million texts."""
+    layout, rng = simhash.layout, np.random.default_rng(7)
+    monkeypatch.setattr(simhash, "layout", lambda n, similarity: layout(4_000_000, similarity))
+    words = lambda n: [f"t{x}" for x in rng.integers(0, 50_000, n)]
+    rows = []
+    for i in range(100):
+        w, k = words(300), int(rng.integers(24, 33))
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(w[:-k] + words(k)))]
+    want = first_of_groups(rows)
+    assert len(want) == 100
+    left = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    assert want <= left and len(left - want) <= 10
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(4)
     rows, labels = [], []
