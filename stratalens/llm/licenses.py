@@ -2,7 +2,8 @@
 
 A text is reduced to lower-case words joined by one space. Words that never occur in a license notice are
 skipped by the gate: only a document that holds a gate word is searched at all, and of the rules only those
-whose own keyword is present. A rule has a regular expression, a label, a priority and a confidence.
+whose own keyword is present; a version written to a keyword ("gplv3") is read as a word of its own ("gpl v3")
+by the rules, but not by the base phrases and word counts. A rule has a regular expression, a label, a priority and a confidence.
 Detections are resolved in order of priority, then length: one that lies within an interval already kept is
 suppressed. Base phrases are counted apart and are never suppressed.
 
@@ -132,6 +133,8 @@ def gate() -> frozenset[bytes]:
 
 #: Lower-cases A-Z and turns what separates words into spaces.
 NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+#: A family's short name with its version in one word.
+JOINED = re.compile(rb"(?<= )(a?gpl|lgpl)(v[0-9])(?= )")
 BASE_PATTERNS = tuple((re.compile(rb"(?= " + p.encode() + rb" )"), label) for p, label in BASE.items())
 
 
@@ -147,16 +150,17 @@ def resolve(found: list[tuple[int, int, int, str, float]]) -> list[tuple[int, in
 def scan(data: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
     """n_words, n_base, first_word, last_word, base_labels, labels, score of one text."""
     words = data.translate(NORMAL).split()
-    present = gate().intersection(words)
+    text = b" " + b" ".join(words) + b" "
+    apart = JOINED.sub(rb"\1 \2", text) if b"gplv" in text else text
+    present = gate().intersection(words if apart is text else apart.split())
     if not present:
         return len(words), 0, None, None, "", "", 0.0
-    text = b" " + b" ".join(words) + b" "
     places, base = [], set()
     for pattern, label in BASE_PATTERNS:
         at = [m.start() for m in pattern.finditer(text)]
         places += at
         base |= {label} if at else set()
-    found = [(r.priority, m.start(), m.end(), r.label, r.confidence) for r in rules() if r.keyword in present for m in r.pattern.finditer(text)]
+    found = [(r.priority, m.start(), m.end(), r.label, r.confidence) for r in rules() if r.keyword in present for m in r.pattern.finditer(apart)]
     doubt, labels = 1.0, set(base)
     for _, _, _, label, confidence in resolve(found):
         labels.add(label)

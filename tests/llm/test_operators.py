@@ -230,6 +230,16 @@ def test_licenses(docs, empty):
     assert len(licenses.rules()) > 200 and licenses.license_scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("name", ["gpl", "lgpl", "agpl"])
+def test_license_version_in_one_word(name):
+    for version in "123":
+        got = licenses.scan(f"licensed under {name.upper()}v{version}".encode())
+        tag = f"{name}-{version}" if version in next(f[3] for f in licenses.FAMILIES if f[1] == name) else name
+        assert got[:5] == (3, 0, None, None, "") and got[5] == tag and got[6] == 0.95
+    assert licenses.scan(f"{name}v3.0 or later".encode())[5] == f"{name}-3"
+    assert licenses.scan(f"x{name}v3 {name}v3x".encode())[5:] == ("", 0.0)
+
+
 def test_license_suppression():
     wide, inside = (40, 0, 30, "gpl-2", 0.9), (10, 5, 20, "gpl", 0.7)
     assert licenses.resolve([inside, wide, (10, 40, 50, "mit", 0.7)]) == [wide, (10, 40, 50, "mit", 0.7)]
