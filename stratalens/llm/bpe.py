@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, small_batches, texts_of, worker_cache
+from .common import batches, forget_unused, small_batches, texts_of, worker_cache
 
 VOCABULARY = "byte_bpe_50k.json"
 SLICE_BYTES, CACHE_WORDS = 8 << 20, 300_000
@@ -135,7 +135,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        self.words = worker_cache("bpe", CACHE_WORDS)
+        self.words = worker_cache("bpe")
         plans: list[list[tuple[list[bytes] | None, bytes]]] = []
         units, tokens = set(), set()
         for text in texts:
@@ -154,7 +154,9 @@ class Encoder:
             plans.append(plan)
         self.learn(units, whole=False)
         self.learn(tokens, whole=True)
-        return [b"".join(b"".join(map(self.words.__getitem__, found)) if found is not None else ids for found, ids in plan) for plan in plans]
+        out = [b"".join(b"".join(map(self.words.__getitem__, found)) if found is not None else ids for found, ids in plan) for plan in plans]
+        forget_unused(self.words, units | tokens, CACHE_WORDS)
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the text that the ids spell; what is no valid UTF-8 becomes U+FFFD."""

@@ -5,9 +5,10 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,9 +21,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.match(r"local(\[[^,\]]*(,\d+)?\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="stratalens-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -37,6 +40,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+BITMAP_BITS = 1 << 23  # of all a filter's bitmaps together: 1 MB
+
+
+def apart(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column) -> tuple[DataFrame, DataFrame]:
+    """df's rows whose key may be among those of `keys`, and those whose key surely is not.
+
+    The hashes of keys are bits of 256 rows of 4 KB at most, whatever the number of keys, so they can be broadcast;
+    the second part need not be shuffled to be joined. Only the size of the first part depends on the number of keys.
+    """
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(BITMAP_BITS)).cast("long")
+    bits = keys.select(place(keys_key).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("__bits"))
+    bits = materialize(bits, "key-bits")
+    marked = df.withColumn("__at", place(key)).withColumn("__bucket", F.bitmap_bucket_number("__at")).join(F.broadcast(bits), "__bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(bitmap_bit_position(__at) div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, F.expr("cast(bitmap_bit_position(__at) % 8 as int)")) == 1, F.lit(False))
+    marked = marked.withColumn("__hit", hit).drop("__at", "__bucket", "__bits")
+    return marked.filter("__hit").drop("__hit"), marked.filter("not __hit").drop("__hit")
+
+
+def without_keys(df: DataFrame, names: list[str], keys: DataFrame) -> DataFrame:
+    """df's rows whose columns `names` equal no row of `keys` (distinct rows, no nulls); rows that can't be among them are not shuffled."""
+    joined = lambda: F.xxhash64(*names)
+    maybe, surely = apart(df, joined(), keys, joined())
+    return maybe.join(keys, names, "left_anti").unionByName(surely)
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Bound the rows of an Arrow batch, so that long texts don't add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -69,20 +98,26 @@ _TASK: list[int] = []
 
 
 def fresh_task() -> None:
-    """At a task's start, give back what the Python worker kept for an earlier one."""
+    """At a task's start, give freed memory of an earlier one back to the system."""
     context = TaskContext.get()
     if context is None or _TASK[-1:] == [context.taskAttemptId()]:
         return
     _TASK[:] = [context.taskAttemptId()]
-    _CACHE.clear()
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):  # where the C library can trim its heap
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def worker_cache(owner: str, most: int) -> dict:
-    """What a task keeps for one operator; it starts afresh above `most` entries."""
-    kept = _CACHE.setdefault(owner, {})
+def worker_cache(owner: str) -> dict:
+    """What a Python worker keeps for one operator from task to task; another operator's goes."""
+    if owner not in _CACHE:
+        _CACHE.clear()
+    return _CACHE.setdefault(owner, {})
+
+
+def forget_unused(kept: dict, used: Iterable, most: int) -> None:
+    """Above `most` entries keep those that are in use, which a skewed corpus asks for again."""
     if len(kept) > most:
+        still = {k: kept[k] for k in used if k in kept}
         kept.clear()
-    return kept
+        kept.update(still)

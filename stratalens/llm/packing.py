@@ -20,7 +20,9 @@ import zlib
 from collections.abc import Iterator
 from functools import cache, cached_property
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark import TaskContext
@@ -28,26 +30,96 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, slices
-from .common import small_batches, texts_of, worker_cache
+from .common import forget_unused, small_batches, worker_cache
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
-TIERS, STEP_TOKENS, SLICE_TOKENS, SLICE_BYTES, CACHE_WORDS = (2048, 1024, 512, 256), 16384, 2_000_000, 4 << 20, 400_000
+TIERS, STEP_TOKENS, SLICE_BYTES, CACHE_WORDS = (2048, 1024, 512, 256), 16384, 16 << 20, 600_000
 #: The vocabulary's own split of lower-cased text, and the words that it is applied to here.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 LATIN = regex.compile(r"[\n!-~\u00a1-\u012f\u0131-\u0240]*")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_group long"
 
 
+class Merges:
+    """A vocabulary's merges, applied to many words at once: in each round every word merges its own lowest rank."""
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, path: str) -> None:
+        plain = Encoder(path)
+        self.of_byte, self.of_last, self.size = plain.of_byte, plain.of_last, plain.size
+        pair, rank = (np.array(x, np.int64) for x in zip(*sorted(plain.rank.items()), strict=True))
+        self.pair, self.rank = pair, rank.astype(np.int32)
+        self.made = np.array([c for _, _, c in plain.parts], np.int32)
+        self.twin = np.array([a == b for a, b, _ in plain.parts])
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        wanted = left.astype(np.int64) * self.size + right
+        at = np.minimum(np.searchsorted(self.pair, wanted), len(self.pair) - 1)
+        return np.where(self.pair[at] == wanted, self.rank[at], self.NONE)
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, which must not be empty, as little-endian 32-bit integers."""
+        if not words:
+            return []
+        count = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(words), np.uint8)
+        symbol, last = self.of_byte[data], np.cumsum(count) - 1
+        symbol[last] = self.of_last[data[last]]
+        rank = np.full(len(symbol), self.NONE, np.int32)
+        head = np.ones(len(symbol), bool)
+        head[last] = False
+        inner = np.flatnonzero(head)
+        rank[inner] = self.ranks(symbol[inner], symbol[inner + 1])
+        word, done = np.arange(len(words)), []
+        while len(word):
+            least = np.minimum.reduceat(rank, np.cumsum(count) - count)
+            over = least == self.NONE
+            if over.any():  # these words are ready
+                own = np.repeat(over, count)
+                done.append((word[over], count[over], symbol[own]))
+                symbol, rank, word, count, least = symbol[~own], rank[~own], word[~over], count[~over], least[~over]
+                if not len(word):
+                    break
+            at = np.flatnonzero(rank == np.repeat(least, count))
+            if self.twin[rank[at]].any():  # of a run of overlapping pairs of one symbol, every other one
+                chained = np.zeros(len(at), bool)
+                chained[1:] = (at[1:] == at[:-1] + 1) & self.twin[rank[at[1:]]] & (rank[at[1:]] == rank[at[:-1]])
+                starts = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+                at = at[(np.arange(len(at)) - starts) % 2 == 0]
+            ends = np.cumsum(count)
+            symbol[at] = self.made[rank[at]]
+            stays = np.ones(len(symbol), bool)
+            stays[at + 1] = False
+            place = at - np.arange(len(at))  # of the merged symbols when what they took is gone
+            gone = np.bincount(np.searchsorted(ends, at, side="right"), minlength=len(word))
+            symbol, rank, count = symbol[stays], rank[stays], count - gone
+            ends = np.cumsum(count)
+            final = np.zeros(len(symbol), bool)
+            final[ends - 1] = True
+            begun = np.zeros(len(symbol), bool)
+            begun[ends - count] = True
+            new = np.concatenate([place, place[~begun[place]] - 1])
+            rank[new] = self.NONE
+            new = new[~final[new]]
+            rank[new] = self.ranks(symbol[new], symbol[new + 1])
+        out: list[bytes] = [b""] * len(words)
+        for which, size, ids in done:
+            data, bounds = ids.astype("<u4").tobytes(), (np.cumsum(size) * 4).tolist()
+            for w, a, b in zip(which.tolist(), [0, *bounds], bounds, strict=False):
+                out[w] = data[a:b]
+        return out
+
+
 class WordTokens:
     """Ids per white-space separated word, kept; the vocabulary drops white space, so words are independent.
 
-    Words of Latin letters, digits and signs are merged together by the pair occurrence index; the tokenizers
-    library takes the few others.
+    Words of Latin letters, digits and signs are merged together; the tokenizers library takes the few others.
     """
 
     def __init__(self, path: str) -> None:
         self.path = path
-        self.merges = Encoder(path)
+        self.merges = Merges(path)
         self.words: dict[bytes, bytes] = {}
 
     @cached_property
@@ -71,19 +143,38 @@ class WordTokens:
         texts = unicodedata.normalize("NFC", together).lower().split("\n") if new else []
         parts = [[t] if t.isalpha() else [t[:-1], t[-1]] if t[:-1].isalpha() else PRE_TOKEN.findall(t) for t in texts]
         tokens = list({p for some in parts for p in some})
-        ids = dict(zip(tokens, self.merges.merge([t.encode() for t in tokens]), strict=True))
+        ids = dict(zip(tokens, self.merges([t.encode() for t in tokens]), strict=True))
         self.words.update((word, ids[some[0]] if len(some) == 1 else b"".join([ids[p] for p in some])) for word, some in zip(new, parts, strict=True))
         for at in range(0, len(others), 8192):
             part = others[at : at + 8192]
             for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 self.words[word] = b"".join(i.to_bytes(4, "little") for i in found.ids)
 
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        split = [t.split() for t in texts]  # bytes: at ASCII white space
-        self.words = worker_cache("packing", CACHE_WORDS)
-        self.learn([*set().union(*split).difference(self.words)])
-        return (b"".join(map(self.words.__getitem__, words)) for words in split)
+    def encode(self, texts: pa.Array | pa.ChunkedArray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, `end` behind each, and the offset at which each text starts and the last one stops."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))  # a text that starts or ends in white space has an empty word there
+        split = split.combine_chunks() if isinstance(split, pa.ChunkedArray) else split
+        if isinstance(split, pa.ChunkedArray):
+            split = pa.concat_arrays(split.chunks)
+        coded = split.flatten().dictionary_encode()
+        used = coded.dictionary.cast(pa.binary()).to_pylist()
+        self.words = worker_cache("packing")
+        self.words[b""] = b""
+        self.learn([w for w in used if w not in self.words])
+        blobs = [self.words[w] for w in used]
+        forget_unused(self.words, used, CACHE_WORDS)
+        if end is not None:
+            blobs.append(end.to_bytes(4, "little"))
+        known, n_ids = np.frombuffer(b"".join(blobs), "<u4"), np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        bounds, codes = np.asarray(split.offsets).astype(np.int64), coded.indices.to_numpy()
+        bounds -= bounds[0]
+        if end is not None:
+            codes = np.insert(codes, bounds[1:], len(blobs) - 1)
+            bounds = bounds + np.arange(len(bounds))
+        sizes = n_ids[codes]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        first = (np.cumsum(n_ids) - n_ids)[codes] - ends[:-1]  # from a place in the result to that in known
+        return known[np.repeat(first, sizes) + np.arange(ends[-1])], ends[bounds]
 
 
 @cache
@@ -150,38 +241,23 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, tiers: tuple[i
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, task = word_tokens(vocabulary), TaskContext.get().partitionId()
         first, group = task << 40, task << 40
-        ids: list[int | None] = []
-        streams: list[bytes] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal first, group
-            windows = pack([len(s) // 4 for s in streams], tiers)
+        names = [x.split()[0] for x in PIECES.split(", ")]
+        for table in slices(frames, SLICE_BYTES):
+            doc_ids = table.column(0).to_pylist()
+            ids, bounds = tokens.encode(table.column(1), END_ID)
+            data, starts, lengths = memoryview(ids).cast("B"), bounds[:-1].tolist(), np.diff(bounds).tolist()
+            windows = pack(lengths, tiers)
             sizes = [sum(n for _, _, n in w) for w in windows]
             steps = step_groups(sizes, step_tokens)
             rows = []
             for i, window in enumerate(windows):
                 offset = 0
                 for doc, start, n in window:
-                    crc = zlib.crc32(memoryview(streams[doc])[4 * start : 4 * (start + n)])
-                    rows.append((ids[doc], start, n, crc, len(streams[doc]) // 4, first + i, offset, sizes[i], group + steps[i]))
+                    at = starts[doc] + start
+                    rows.append((doc_ids[doc], start, n, zlib.crc32(data[4 * at : 4 * (at + n)]), lengths[doc], first + i, offset, sizes[i], group + steps[i]))
                     offset += n
             first, group = first + len(windows), group + max(steps, default=-1) + 1
-            names = [x.split()[0] for x in PIECES.split(", ")]
             for at in range(0, len(rows), 20_000):
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows[at : at + 20_000], strict=True)], names)
-            ids.clear()
-            streams.clear()
-
-        held = 0
-        for batch in slices(frames, SLICE_BYTES):
-            for doc_id, stream in zip(batch.column(0).to_pylist(), tokens.encode(texts_of(batch.column(1))), strict=True):
-                ids.append(doc_id)
-                streams.append(stream + END_ID.to_bytes(4, "little"))
-                held += len(stream) // 4 + 1
-            if held >= SLICE_TOKENS:
-                yield from flush()
-                held = 0
-        if ids:
-            yield from flush()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import batches, materialize, small_batches, texts_of, worker_cache
+from .common import batches, forget_unused, materialize, small_batches, texts_of, worker_cache
 
 WINDOW, ANCHOR, SLICE_BYTES, CACHE_WORDS = 35, 8, 4 << 20, 300_000
 U = np.uint64
@@ -36,10 +36,12 @@ U = np.uint64
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """XXH64 of each word."""
-    known = worker_cache("substring_dedup", CACHE_WORDS)
-    for w in set(words).difference(known):
+    known, used = worker_cache("substring_dedup"), set(words)
+    for w in used.difference(known):
         known[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    out = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    forget_unused(known, used, CACHE_WORDS)
+    return out
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
