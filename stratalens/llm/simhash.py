@@ -7,15 +7,17 @@ and the number of partitions, at the least estimated count of probe rows and can
 probed by their value on each partition with up to t_i bits flipped, verified on all bits in the join itself,
 and only links become rows. Equal fingerprints are one node, so copies are never paired.
 
-near_duplicate_clusters is the wider form for texts that share most of their shingles without sharing nearly all
-bits: a fingerprint of WORDS 64-bit words is cut into partitions (threshold 0 on each) and probed by every
-partition's value. Their width follows the number of texts, and their number the width: the bits are cut again in
-other orders until two texts of the least similarity share a partition with a chance of RECALL. First each text meets one text of its bucket, by an order of the bucket's own;
-the links found join most of a large group. Then every pair of a bucket whose texts are not yet in one group meets,
-in blocks, verified on all bits in the join itself: in the end each pair of a bucket is either decided or within one
-group. The share of bits that differs gives the cosine, and with the numbers of shingles an estimate of the Jaccard
-similarity, which settles what is well above (SURE) or well below (DOUBTFUL) the threshold; the shingles themselves
-decide the rest.
+near_duplicate_clusters is the form for texts that share most of their shingles without sharing nearly all bits.
+Two texts of similarity 0.8 on five-word shingles differ in about ten of 64 majority bits, and a fingerprint of more
+bits needs hundreds of partitions a text once the corpus is large. So the same pigeonhole is applied to another
+fingerprint of the same shingle hashes: MIN_WORDS words, each the least value of one hash function (two texts agree on
+a word with a chance equal to their similarity). The bits of a word go together, so partitions are BAND whole words,
+with threshold 0: a pair at 0.8 shares one of the PARTS partitions with a chance of 0.998, whatever the number of
+texts, and a pair at 0.3 with one of 0.1. First each text meets one text of its bucket, by one of SALTS orders; the
+links found join most of a large group. Then every pair of a bucket whose texts are not yet in one group meets, in
+blocks: in the end each pair of a bucket is decided or within one group. The words that agree estimate the similarity,
+and pairs estimated far below it (by DOUBT, over three standard deviations) are left out in the second pass; all others
+are links only if the two whole shingle sets say so. Texts of equal shingle sets are one node, so copies are never paired.
 
 Defined results: null text counts as empty; a text of no words has fingerprint zero, linked like any other;
 repeated rows get the same component; a null doc_id takes part but is no component's smallest unless all are
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialize, small_batches, texts_of
+from .common import apart, batches, materialize, small_batches, texts_of, without_keys
 from .components import components
 
 BITS, SEED = 64, 42
@@ -198,43 +200,34 @@ def near_duplicates(docs: DataFrame, tau: int = 3, shingle: int = 3, id_col: str
     return prints.join(materialize(named, "named"), "fp").select("doc_id", "fp", "component_id")
 
 
-WORDS, SHINGLE, SIMILARITY, LOOSE_BITS, SURE, DOUBTFUL = 20, 5, 0.8, 22, 0.1, -0.1
-RECALL = 0.95  # wanted at the least similarity; some is lost as cuts of the same bits are not independent
+MIN_WORDS, BAND, SHINGLE, SIMILARITY, DOUBT, SALTS = 48, 4, 5, 0.8, 0.2, 3
+PARTS = MIN_WORDS // BAND
 BLOCK = 256  # members of a bucket that meet all others in one task
-#: Odd multipliers that derive the words of a wide fingerprint from one hash.
-MULTIPLIERS = np.array([xxhash.xxh64_intdigest(bytes([i]), 1) | 1 for i in range(WORDS)], dtype=np.uint64)
+#: Odd multipliers that derive the hash functions from one hash.
+MULTIPLIERS = np.array([xxhash.xxh64_intdigest(bytes([i]), 1) | 1 for i in range(MIN_WORDS)], dtype=np.uint64)
+PRINTS = "row_id long, doc_id long, h long, d1 long, d2 long, keys array<long>, words array<int>, shingles array<long>"
 
 
-def wide_fingerprint(hashes: np.ndarray) -> list[int]:
-    """WORDS signed integers over the distinct hashes; the first is the node's name."""
-    h = hashes[:, None] * MULTIPLIERS[None, :]
-    return majority((h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)).tolist()
+def least_words(hashes: np.ndarray) -> np.ndarray:
+    """For each hash function the least of its values over the hashes, of which there is at least one."""
+    best = np.full(MIN_WORDS, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        h = hashes[at : at + 4096, None] * MULTIPLIERS[None, :]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        np.minimum(best, h.min(axis=0), out=best)
+    return best
 
 
-def layout(n: int, similarity: float) -> tuple[int, int]:
-    """Bits of a partition, so that chance leaves the buckets of n texts nearly empty, and the number of partitions."""
-    width = min(max(int(np.ceil(np.log2(max(n, 1)))) + 2, 16), 32)
-    alike = (1 - np.arccos(min(2 * similarity / (1 + similarity), 1.0)) / np.pi) ** width  # two texts of equal size
-    needed = int(np.ceil(np.log(1 - RECALL) / np.log1p(-alike))) if alike < 1 else 1
-    return width, max(WORDS * BITS // width, needed)
+def partition_keys(words: np.ndarray) -> list[int]:
+    """The value of each partition, with its number in it."""
+    data = words.astype("<u8").tobytes()
+    return [signed(xxhash.xxh64_intdigest(data[8 * BAND * i : 8 * BAND * (i + 1)], i)) for i in range(PARTS)]
 
 
-def partition_keys(words: np.ndarray, width: int, parts: int) -> np.ndarray:
-    """For each row of fingerprint words the numbered value of each of `parts` partitions of `width` bits."""
-    bits = np.unpackbits(np.ascontiguousarray(words, dtype="<i8").view(np.uint8), axis=1, bitorder="little")
-    a_cut, values = bits.shape[1] // width, []
-    for cut in range(-(-parts // a_cut)):  # the first in the order of the bits, each other in one of its own
-        order = np.random.default_rng([SEED, cut]).permutation(bits.shape[1]) if cut else np.arange(bits.shape[1])
-        values.append(bits[:, order[: a_cut * width]].reshape(len(bits), a_cut, width) @ (1 << np.arange(width, dtype=np.int64)))
-    return np.concatenate(values, axis=1)[:, :parts] | (np.arange(parts, dtype=np.int64) << 40)
-
-
-def likely(fa: str, fb: str, na: str, nb: str) -> Column:
-    """Estimate of the Jaccard similarity from two wide fingerprints and their numbers of shingles."""
-    apart = reduce(Column.__add__, (differing(F.col(fa)[i], F.col(fb)[i]) for i in range(WORDS)))
-    a, b = F.col(na).cast("double"), F.col(nb).cast("double")
-    shared = F.cos(apart * (np.pi / (WORDS * BITS))) * F.sqrt(a * b)
-    return shared / (a + b - shared)
+def likely(a: str, b: str) -> Column:
+    """Estimate of the similarity from the words of two fingerprints."""
+    return reduce(Column.__add__, ((F.col(a)[i] == F.col(b)[i]).cast("int") for i in range(MIN_WORDS))) / MIN_WORDS
 
 
 def ordered(a: str, b: str) -> list[Column]:
@@ -244,17 +237,16 @@ def ordered(a: str, b: str) -> list[Column]:
 def pairs_across(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """a, b: pairs of a bucket in different groups with an estimated similarity of `least` or more.
 
-    members: node, key, root, main (the group of the bucket's first); nodes: node, fp, n. Those outside the main group
+    members: node, key, root, main (the group of the bucket's first); nodes: node, words. Those outside the main group
     meet all members, in blocks of about BLOCK.
     """
     few = members.filter(F.col("root") != F.col("main")).groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    contested = materialize(members.join(few, "key").join(nodes.select("node", "fp", "n"), "node"), "contested")
+    contested = materialize(members.join(few, "key").join(nodes.select("node", "words"), "node"), "contested")
     a = contested.filter(F.col("root") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("x")
     b = contested.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.root") != F.col("y.root")) & once
-    near = (differing(F.col("x.node"), F.col("y.node")) <= LOOSE_BITS) & (likely("x.fp", "y.fp", "x.n", "y.n") >= least)
-    return a.join(b, met & near).select(*ordered("x.node", "y.node")).distinct()
+    return a.join(b, met & (likely("x.words", "y.words") >= least)).select(*ordered("x.node", "y.node")).distinct()
 
 
 def key_of(doc_id: str, h: str) -> tuple[Column, Column]:
@@ -262,73 +254,62 @@ def key_of(doc_id: str, h: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).alias("name"), F.col(h).alias("h")
 
 
-def near_duplicate_clusters(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """name, h (of each row: doc_id as text, XXH64 of text), keep (whether it is the first of its group)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(frames, 2 << 20):
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in texts_of(batch.column(2))]
-            prints = [wide_fingerprint(s) for s in sets]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([p[0] for p in prints], pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "h", "node", "fp", "n"])
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose whole shingle sets have the similarity."""
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row_id"), "node"), "asked")
+    held, _ = apart(prints.select("row_id", "shingles"), F.col("row_id"), asked, F.col("row_id"))
+    known = materialize(held.join(asked, "row_id").select("node", "shingles"), "shingle-sets")
+    both = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(known.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return materialize(both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar")
 
-    prints = materialize(rows.mapInArrow(run, "doc_id long, h long, node long, fp array<long>, n long"), "wide-prints")
-    nodes = materialize(prints.groupBy("node").agg(F.min(F.struct("doc_id", "h", "n", "fp")).alias("r"), F.count(F.lit(1)).alias("rows")).select("node", "r.*", "rows"), "nodes")
-    width, parts = layout(nodes.count(), similarity)
 
-    def keys(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
-            values = partition_keys(np.array(batch.column(1).to_pylist(), dtype=np.int64).reshape(-1, WORDS), width, parts)
-            node, root = (pa.array(np.repeat(batch.column(i).to_numpy(), values.shape[1])) for i in (0, 2))
-            yield pa.record_batch([node, pa.array(values.ravel()), root], ["node", "key", "root"])
+def near_duplicate_clusters(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """name, h (of each row: doc_id as text, XXH64 of text), keep (whether it is the first of its group).
 
-    def keyed(grouped: DataFrame) -> DataFrame:
-        return grouped.filter("n > 0").select("node", "fp", "root").mapInArrow(keys, "node long, key long, root long")
+    A text of no words has no shingles and is like no other: it stays.
+    """
+    small_batches(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
-    def sets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames, 2 << 20):
-            found = [np.unique(shingle_hashes(t, shingle).astype(np.uint32)).view(np.int32) for t in texts_of(batch.column(1))]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["node", "shingles"])
-
-    def decided(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that are links."""
-        one, two = (nodes.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
-        weighed = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", likely("fa", "fb", "na", "nb").alias("likely")).filter(F.col("likely") >= similarity + DOUBTFUL), "weighed")
-        sure = F.col("likely") >= similarity + SURE
-        settled, doubtful = weighed.filter(sure).select("a", "b"), weighed.filter(~sure)
-        if doubtful.isEmpty():
-            return settled
-        needed = materialize(doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", *key_of("doc_id", "h")), "open-nodes")
-        texts = rows.select(*key_of("doc_id", "h"), "text").join(needed, ["name", "h"]).select("node", "text")
-        # rows that repeat doc_id and text give the same set
-        known = materialize(texts.mapInArrow(sets, "node long, shingles array<int>").groupBy("node").agg(F.first("shingles").alias("s")), "shingle-sets")
-        both = doubtful.join(known.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return materialize(settled.union(both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")), "decided")
-
-    salt = F.xxhash64("key")  # an order of each bucket's own, so that no text comes first everywhere
-    own = keyed(nodes.withColumn("root", F.col("node")))
-    firsts = materialize(own.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(salt)).alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("low").bitwiseXOR(salt).alias("other")), "bucket-firsts")
-    close = (F.col("node") != F.col("other")) & (differing(F.col("node"), F.col("other")) <= LOOSE_BITS)
-    links = decided(materialize(own.join(firsts, "key").filter(close).select(*ordered("node", "other")).distinct(), "pairs"))
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in texts_of(batch.column(3))]
+            names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
+            words = [least_words(s) if len(s) else None for s in sets]
+            keys = [None if w is None else partition_keys(w) for w in words]
+            short = [None if w is None else (w >> np.uint64(32)).astype(np.uint32).view(np.int32) for w in words]
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int32())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                [x.split()[0] for x in PRINTS.split(", ")],
+            )
+
+    prints = materialize(rows.mapInArrow(run, PRINTS), "prints")
+    one = prints.filter("keys is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "h", "row_id")).alias("r"), F.first("keys").alias("keys"), F.first("words").alias("words"), F.count(F.lit(1)).alias("rows"))
+    nodes = materialize(one.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "r.*", "keys", "words", "rows"), "nodes")
+    salts = F.array(*(F.lit(signed(xxhash.xxh64_intdigest(bytes([i]), SEED))) for i in range(SALTS)))
+    own = nodes.select("node", F.posexplode("keys").alias("part", "key")).withColumn("salt", salts[F.col("part") % SALTS])
+    firsts = materialize(own.groupBy("key", "salt").agg(F.min(F.col("node").bitwiseXOR(F.col("salt"))).alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("low").bitwiseXOR(F.col("salt")).alias("other")), "bucket-firsts")
+    pairs = materialize(own.join(firsts, "key").filter(F.col("node") != F.col("other")).select(*ordered("node", "other")).distinct(), "pairs")
+    links = similar_pairs(pairs, nodes, prints, similarity)
     roots = components(links)
-    grouped = materialize(nodes.join(roots, "node", "left").select("node", "fp", "n", F.coalesce("root", "node").alias("root")), "grouped")
+    grouped = materialize(nodes.join(roots, "node", "left").select("node", "keys", F.coalesce("root", "node").alias("root")), "grouped")
     mains = firsts.join(grouped.select(F.col("node").alias("other"), F.col("root").alias("main")), "other").select("key", "main")
-    across = materialize(pairs_across(materialize(keyed(grouped).join(mains, "key"), "members"), nodes, similarity + DOUBTFUL), "pairs-across")
-    links = links.union(decided(across))
+    members = materialize(grouped.select("node", F.explode("keys").alias("key"), "root").join(mains, "key"), "members")
+    across = materialize(pairs_across(members, nodes, similarity - DOUBT), "pairs-across")
+    links = links.union(similar_pairs(across.join(pairs, ["a", "b"], "left_anti"), nodes, prints, similarity))
     roots = components(links).withColumnRenamed("root", "group")
-    grouped = nodes.select("node", "doc_id", "h", "rows").join(roots, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    first = grouped.groupBy("group").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.sum("rows").alias("rows")).filter("rows > 1").drop("rows")
-    stays = materialize(grouped.select("node", "group").join(materialize(first, "firsts"), "group").select("node", "first"), "stays")
-    keep = F.col("first").isNull() | (F.struct("doc_id", "h").eqNullSafe(F.col("first")))
-    return prints.select("doc_id", "h", "node").join(stays, "node", "left").select(*key_of("doc_id", "h"), keep.alias("keep"))
+    placed = nodes.select("node", "d1", "d2", "doc_id", "h", "rows").join(roots, "node", "left").filter("rows > 1 or group is not null").withColumn("group", F.coalesce("group", "node"))
+    placed = materialize(placed, "placed")
+    first = placed.groupBy("group").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    stays = materialize(placed.select("d1", "d2", "group").join(materialize(first, "firsts"), "group").select("d1", "d2", "first"), "stays")
+    keep = F.col("first").isNull() | F.struct("doc_id", "h").eqNullSafe(F.col("first"))
+    return prints.select("doc_id", "h", "d1", "d2").join(stays, ["d1", "d2"], "left").select(*key_of("doc_id", "h"), keep.alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The first document of each group (smallest doc_id), with all columns; rows that repeat doc_id and text stay or go together."""
-    gone = materialize(near_duplicate_clusters(docs, similarity, id_col=id_col, text_col=text_col).filter(~F.col("keep")).select(F.col("name").alias("__name"), F.col("h").alias("__h")), "near-copies")
+    gone = materialize(near_duplicate_clusters(docs, similarity, id_col=id_col, text_col=text_col).filter(~F.col("keep")).select(F.col("name").alias("__name"), F.col("h").alias("__h")).distinct(), "near-copies")
     marked = docs.withColumns({"__name": F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null")), "__h": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    return marked.join(gone, ["__name", "__h"], "left_anti").drop("__name", "__h")
+    return without_keys(marked, ["__name", "__h"], gone).drop("__name", "__h")
