@@ -8,7 +8,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,15 +31,38 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that materialize writes inside go at the end, but for those written by the function given: what is returned must read no others."""
+    start, kept = len(_WRITTEN), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = materialize(df, name)
+        kept.append(_WRITTEN.pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in _WRITTEN[start:]:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _WRITTEN[start:] = kept
+
+
 BITMAP_BITS = 1 << 23  # of all a filter's bitmaps together: 1 MB
 
 
@@ -60,15 +83,15 @@ def apart(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column) -> tupl
 
 
 def without_keys(df: DataFrame, names: list[str], keys: DataFrame) -> DataFrame:
-    """df's rows whose columns `names` equal no row of `keys` (distinct rows, no nulls); rows that can't be among them are not shuffled."""
-    joined = lambda: F.xxhash64(*names)
-    maybe, surely = apart(df, joined(), keys, joined())
+    """df's rows whose columns `names` equal no row of `keys` (distinct, no nulls); rows whose first of them is not among the keys are not shuffled."""
+    maybe, surely = apart(df, F.col(names[0]), keys, F.col(names[0]))
     return maybe.join(keys, names, "left_anti").unionByName(surely)
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bound the rows of an Arrow batch, so that long texts don't add up in a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 1024, most_bytes: int = 32 << 20) -> None:
+    """Bound an Arrow batch, so that long texts or large blocks don't add up in a Python worker; holds for the session from here on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
 
 
 def remainder(doc_id: Column, divisor: int) -> Column:

@@ -2,7 +2,7 @@
 
 Each text is cut where a rolling hash of its own bytes says so. A chunk's identifier is issued by the
 table of repeated chunks, keyed by SHA-256, length and an independent 128-bit hash together, so that a
-collision of one hash merges nothing. A document is then the ordered list of its chunks' identifiers, and
+collision of one hash merges nothing; the chunks' bytes themselves are not compared. A document is then the ordered list of its chunks' identifiers, and
 equal lists mean equal texts: the texts themselves are read once and never shuffled. A document holding a
 chunk that occurs once in the corpus has no copy and leaves before any list is built.
 
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialize, small_batches, texts_of
+from .common import apart, batches, materialize, scratch, small_batches, texts_of
 
 SHORTEST, MEAN_BITS, LONGEST = 2048, 12, 16384
 #: One 32-bit value per byte, from a rule: the low half of XXH64 of the byte.
@@ -102,12 +102,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; repeated rows leave one."""
+    """The documents that stay, with all their columns; repeated rows leave one. Only rows whose doc_id has a lost copy are shuffled."""
     as_key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     # rows that repeat doc_id and text share a key: the key is lost only if another doc_id stays, else one row of it stays
-    lost = materialize(
-        exact_duplicates(docs, id_col, text_col).filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(as_key(F.col("doc_id")).alias("__id"), F.col("text_sha256").alias("__hash")),
-        "dropped",
-    )
-    marked = docs.withColumns({"__id": as_key(F.col(id_col).cast("long")), "__hash": F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)})
-    return marked.join(lost, ["__id", "__hash"], "left_anti").dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")
+    with scratch(docs.sparkSession) as keep:
+        copies = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept"))
+        lost = keep(copies.select(as_key(F.col("doc_id")).alias("__id"), F.col("text_sha256").alias("__hash"), (~F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("__lost")), "dropped")
+    maybe, surely = apart(docs.withColumn("__id", as_key(F.col(id_col).cast("long"))), F.col("__id"), lost, F.col("__id"))
+    marked = maybe.withColumn("__hash", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    left = marked.join(lost.filter("__lost").drop("__lost"), ["__id", "__hash"], "left_anti").dropDuplicates(["__id", "__hash"])
+    return left.drop("__id", "__hash").unionByName(surely.drop("__id"))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, batches, materialize, small_batches, texts_of, without_keys
+from .common import apart, batches, materialize, scratch, small_batches, texts_of, without_keys
 from .components import components
 
 BITS, SEED = 64, 42
@@ -310,6 +310,8 @@ def near_duplicate_clusters(docs: DataFrame, similarity: float = SIMILARITY, shi
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The first document of each group (smallest doc_id), with all columns; rows that repeat doc_id and text stay or go together."""
-    gone = materialize(near_duplicate_clusters(docs, similarity, id_col=id_col, text_col=text_col).filter(~F.col("keep")).select(F.col("name").alias("__name"), F.col("h").alias("__h")).distinct(), "near-copies")
+    with scratch(docs.sparkSession) as keep:
+        clusters = near_duplicate_clusters(docs, similarity, id_col=id_col, text_col=text_col)
+        gone = keep(clusters.filter(~F.col("keep")).select(F.col("name").alias("__name"), F.col("h").alias("__h")).distinct(), "near-copies")
     marked = docs.withColumns({"__name": F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null")), "__h": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     return without_keys(marked, ["__name", "__h"], gone).drop("__name", "__h")
