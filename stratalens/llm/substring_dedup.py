@@ -2,14 +2,15 @@
 
 Every run of WINDOW words is an edge from its first to its last WINDOW-1 words. Consecutive edges of a document
 that share their minimizer (the least hash of ANCHOR words inside) are one piece of path; equal edges share it,
-so a minimizer's pieces hold all occurrences of its edges. A Spark aggregation over minimizers tells the pieces
+so a minimizer's pieces hold all occurrences of its edges. A piece's content is a 128-bit digest of its words, read at
+their source coordinates. A Spark aggregation over minimizers tells the pieces
 whose minimizer occurs once (no edge of theirs repeats), those whose minimizer always has the same content
 (nonbranching: all their edges repeat) and the rest, where contents differ (branching). A join brings that back
 to the documents, runs of nonbranching pieces compact into one path each, and only the edges of branching
-pieces are compared one by one, by a digest of the words at their source coordinates. The union of what
-repeats is removed.
+pieces are compared one by one, by such a digest too. The union of what repeats is removed.
 
-Texts are shuffled once; of documents with branching pieces the text is kept until their edges are decided.
+Texts with a repeated piece are shuffled once, others not at all; of documents with branching pieces the text is kept
+until their edges are decided. Documents are told apart by 96 bits of hashes of doc_id and text.
 
 Defined results: null text has no words; documents of fewer than WINDOW words lose none; rows that repeat doc_id
 and text repeat each other's words; overlaps within one document count; a null doc_id is a document like any
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import batches, forget_unused, materialize, small_batches, texts_of, worker_cache
+from .common import apart, batches, forget_unused, materialize, scratch, small_batches, texts_of, worker_cache
 
 WINDOW, ANCHOR, SLICE_BYTES, CACHE_WORDS = 35, 8, 4 << 20, 300_000
 U = np.uint64
@@ -78,24 +79,33 @@ def least_positions(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def pieces_of(counts: np.ndarray, hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """document, minimizer, content, first edge and number of edges of each piece; counts: words of each document."""
+    """document, minimizer, first edge, number of edges and first word among all words of each piece; counts: words of each document."""
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
     if len(hashes) < window:
         return (np.zeros(0, np.int64),) * 5
-    short, edge = run_hashes(hashes, anchor), run_hashes(hashes, window)
-    where = least_positions(short, window - anchor + 1)[: len(edge)]
-    doc = np.repeat(np.arange(len(counts)), counts)[: len(edge)]
-    first = np.arange(len(edge))
+    short = run_hashes(hashes, anchor)
+    n_edges = len(hashes) - window + 1
+    where = least_positions(short, window - anchor + 1)[:n_edges]
+    doc = np.repeat(np.arange(len(counts)), counts)[:n_edges]
+    first = np.arange(n_edges)
     valid = first + window <= (starts + counts)[doc]
-    first, where, doc, edge_v = first[valid], where[valid], doc[valid], edge[valid]
+    first, where, doc = first[valid], where[valid], doc[valid]
     if not len(first):
         return (np.zeros(0, np.int64),) * 5
     new = np.ones(len(first), bool)
     new[1:] = (where[1:] != where[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
     n = np.diff(np.concatenate([at, [len(first)]]))
-    content = mixed(edge_v[at] * U(0xC2B2AE3D27D4EB4F) + edge_v[at + n - 1]) + n.astype(np.uint64)
-    return doc[at], short[where[at]].astype(np.int64), mixed(content).astype(np.int64), first[at] - starts[doc[at]], n
+    return doc[at], short[where[at]].astype(np.int64), first[at] - starts[doc[at]], n, first[at]
+
+
+def digests(words: list[bytes], first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """128-bit digest, as two integers, of each run of n words from `first` on."""
+    joined = memoryview(b" ".join(words))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(starts[first].tolist(), ends[first + n - 1].tolist(), strict=True)]), "<i8").reshape(-1, 2)
 
 
 def spans_of(first: list[int], n: list[int], window: int) -> list[tuple[int, int]]:
@@ -119,12 +129,13 @@ def without(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key, name, doc_id, text and the document's other columns as one."""
+    """key and check (hashes that name the document), name, doc_id, text and the document's other columns as one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     doc_id: Column = F.col(id_col).cast("long")
-    return docs.select(F.xxhash64(doc_id, text).alias("key"), F.coalesce(doc_id.cast("string"), F.lit("null")).alias("name"), doc_id.alias("doc_id"), text.alias("text"), F.struct(F.lit(True).alias("__any"), *(c for c in docs.columns if c != text_col)).alias("row"))
+    return docs.select(F.xxhash64(doc_id, text).alias("key"), F.hash(text, doc_id).alias("check"), F.coalesce(doc_id.cast("string"), F.lit("null")).alias("name"), doc_id.alias("doc_id"), text.alias("text"), F.struct(F.lit(True).alias("__any"), *(c for c in docs.columns if c != text_col)).alias("row"))
 
 
+PIECE = ("least", "c", "d", "key", "check", "first", "n")
 FOUND = "key long, name string, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, text string, first array<int>, n array<int>, edges array<struct<a:long,b:long,first:int>>"
 
 
@@ -138,20 +149,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in slices(frames, SLICE_BYTES):
-            split = [t.split() for t in texts_of(table.column(1))]
-            counts = np.array([len(w) for w in split], np.int64)
-            doc, least, content, first, n = pieces_of(counts, word_hashes([w for words in split for w in words]), window, anchor)
-            keys = table.column(0).to_numpy()[doc]
+            split = [t.split() for t in texts_of(table.column(2))]
+            words = [w for some in split for w in some]
+            doc, least, first, n, at_word = pieces_of(np.array([len(w) for w in split], np.int64), word_hashes(words), window, anchor)
+            content = digests(words, at_word, n + window - 1) if len(doc) else np.zeros((0, 2), np.int64)
+            columns = (least, content[:, 0], content[:, 1], table.column(0).to_numpy()[doc], table.column(1).to_numpy()[doc], first, n)
             for at in range(0, len(doc), 50_000):
-                yield pa.record_batch([pa.array(x[at : at + 50_000], t) for x, t in zip((least, content, keys, first, n), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["least", "content", "key", "first", "n"])
-
-    pieces = materialize(rows.select("key", "text").mapInArrow(cut, "least long, content long, key long, first int, n int"), "pieces")
-    repeated = materialize(
-        pieces.groupBy("least").agg(F.count(F.lit(1)).alias("times"), F.min("content").alias("lo"), F.max("content").alias("hi")).filter("times > 1").select("least", (F.col("lo") == F.col("hi")).alias("single")),
-        "minimizers",
-    )
-    found = pieces.join(repeated, "least").select("key", F.struct("first", "n", "single").alias("piece"))
-    by_doc = materialize(found.groupBy("key").agg(F.sort_array(F.collect_set("piece")).alias("pieces")), "repeated-pieces")
+                yield pa.record_batch([pa.array(x[at : at + 50_000], pa.int32() if name in ("check", "first", "n") else pa.int64()) for x, name in zip(columns, PIECE, strict=True)], PIECE)
 
     def decide(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames, SLICE_BYTES):
@@ -173,13 +177,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 edges = []
                 branching = [p for p in pieces or () if not p["single"]]
                 if branching:
-                    joined = b" ".join(words)
-                    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-                    starts = np.concatenate([[0], ends[:-1] + 1])
-                    for p in branching:
-                        for e in range(p["first"], p["first"] + p["n"]):
-                            a, b = np.frombuffer(xxhash.xxh3_128_digest(joined[starts[e] : ends[e + window - 1]]), "<i8").tolist()
-                            edges.append({"a": a, "b": b, "first": e})
+                    firsts_of = np.concatenate([np.arange(p["first"], p["first"] + p["n"]) for p in branching])
+                    found = digests(words, firsts_of, np.full(len(firsts_of), window))
+                    edges = [{"a": a, "b": b, "first": e} for (a, b), e in zip(found.tolist(), firsts_of.tolist(), strict=True)]
                 if edges and not all(inside(x["first"]) for x in edges):
                     row |= {"text": text.decode(), "first": firsts, "n": lengths, "edges": edges}
                 else:
@@ -191,10 +191,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         ("key", pa.int64()), ("name", pa.string()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("text", pa.string()),
         ("first", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("edges", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("first", pa.int32())]))),
     ])
-    decided = materialize(rows.join(by_doc, "key", "left").select("key", "name", "doc_id", "text", "pieces", "row").mapInArrow(decide, f"{FOUND}, {carried}"), "decided")
-    edges = materialize(decided.filter("edges is not null").select("key", "name", F.col("text").isNotNull().alias("open"), F.explode("edges").alias("e")).select("key", "name", "open", "e.*"), "edges")
-    twice = materialize(edges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times"), "repeated-edges")
-    more = materialize(edges.filter("open").join(twice, ["a", "b"]).groupBy("key", "name").agg(F.collect_set("first").alias("more")), "repeated-firsts")
+    with scratch(docs.sparkSession) as keep:
+        pieces = materialize(rows.select("key", "check", "text").mapInArrow(cut, "least long, c long, d long, key long, check int, first int, n int"), "pieces")
+        same = (F.min("c") == F.max("c")) & (F.min("d") == F.max("d"))
+        repeated = materialize(pieces.groupBy("least").agg(F.count(F.lit(1)).alias("times"), same.alias("single")).filter("times > 1").drop("times"), "minimizers")
+        held, _ = apart(pieces, F.col("least"), repeated, F.col("least"))
+        found = held.join(repeated, "least").select("key", "check", F.struct("first", "n", "single").alias("piece"))
+        by_doc = materialize(found.groupBy("key", "check").agg(F.sort_array(F.collect_set("piece")).alias("pieces")), "repeated-pieces")
+        maybe, surely = apart(rows, F.col("key"), by_doc, F.col("key"))
+        names = ["key", "name", "doc_id", "text", "pieces", "row"]
+        whole = maybe.join(by_doc, ["key", "check"], "left").select(names).unionByName(surely.withColumn("pieces", F.lit(None).cast(by_doc.schema["pieces"].dataType)).select(names))
+        decided = keep(whole.mapInArrow(decide, f"{FOUND}, {carried}"), "decided")
+        edges = materialize(decided.filter("edges is not null").select("key", "name", F.col("text").isNotNull().alias("open"), F.explode("edges").alias("e")).select("key", "name", "open", "e.*"), "edges")
+        twice = materialize(edges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times"), "repeated-edges")
+        more = keep(edges.filter("open").join(twice, ["a", "b"]).groupBy("key", "name").agg(F.collect_set("first").alias("more")), "repeated-firsts")
 
     def finish(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames, SLICE_BYTES):
