@@ -3,11 +3,13 @@
 Vectors become integers floor(256 x). Giving every stored vector one more component that brings it to a common
 norm M turns the inner product into a distance: |q-x|^2 = |q|^2 + M^2 - 2 q.x. Distances from each stored
 vector to many pivots are computed once; |d(q,p) - d(x,p)|, at its largest over the pivots, bounds d(q,x) from
-below. Each block of queries meets each block of vectors: candidates are evaluated in order of their bounds,
-starting from the k-th best score among the pivots, until the next bound exceeds the k-th distance so far.
+below. Vectors and queries are sorted by their nearest pivot and the distance from it and cut into blocks, which keep
+the least and the greatest distance to each pivot. A query's k-th best score among the pivots is its first floor. Only
+block pairs whose intervals let some query of the block reach its floor are joined; within one, candidates are
+evaluated in order of their bounds until the next bound exceeds the k-th distance so far.
 
-Blocks are rows of a DataFrame joined on (dimension, vector group, query group), so nothing that grows is
-broadcast and no pair of vectors becomes a row; only the k best of each block do.
+What decides which blocks meet is a join of the intervals alone, spread over groups of stored blocks. Nothing that
+grows is broadcast and no pair of vectors becomes a row; only the k best of each block pair do.
 
 Defined results: vectors that are null, empty, without vec_id or that hold a null or non-finite component take no part; a query meets vectors of
 its own length; rows that repeat a vec_id are rows of their own, and a query row leaves out itself only; ties
@@ -25,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
-PIVOTS, VECTOR_BLOCK, QUERY_BLOCK = 32, 4096, 1024
+PIVOTS, VECTOR_BLOCK, QUERY_BLOCK, LEAST_BLOCK, GROUP = 32, 4096, 1024, 256, 1024
 VECTORS = "row_id long, vec_id long, dim int, v array<double>"
-BLOCKS = "dim int, block long, rows binary, ids binary, matrix binary, table binary"
+PLACED = "row_id long, vec_id long, dim int, v array<double>, cell int, near double"
+BLOCKS = "dim int, block long, rows binary, ids binary, matrix binary, table binary, floors binary, radius double, lo array<double>, hi array<double>"
 BEST = "query_row long, query_id long, vec_id long, score long"
 
 
@@ -69,8 +72,9 @@ def best_in_block(q: np.ndarray, own: int, x: np.ndarray, rows: np.ndarray, ids:
     return list(zip(found_ids[good].tolist(), found_scores[good].astype(np.int64).tolist(), strict=True))
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, n_pivots: int = PIVOTS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, n_pivots: int = PIVOTS, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best for each row whose id is divisible by `every`, against all rows."""
+    small_batches(vectors.sparkSession)
     table = materialize(quantised(vectors, id_col, vector_col), "vectors")
     asks = F.coalesce(F.col("vec_id") % every == 0, F.lit(False))
     total, n_queries, square = table.agg(F.count(F.lit(1)), F.count_if(asks), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()
@@ -81,26 +85,55 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, n_pivots: int = PIVOT
         chosen.setdefault(r["dim"], []).append((r["row_id"], r["v"]))
     pivots = {dim: (np.array([r for r, _ in ps]), np.array([v for _, v in ps])) for dim, ps in chosen.items()}
     rest = lambda m: np.sqrt(np.maximum(norm * norm - (m * m).sum(1), 0))
-    n_groups, n_blocks = max(1, -(-total // VECTOR_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
 
-    def block(frames: Iterator[pd.DataFrame], most: int, table: bool) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[pd.DataFrame]] = {}
-
-        def emit(dim: int) -> pd.DataFrame:
-            part = pd.concat(held.pop(dim))
-            m = np.array(part["v"].tolist(), dtype=np.float64)
-            p = pivots[dim][1]
-            d = distances(m, rest(m), p, rest(p)) if table else distances(m, np.zeros(len(m)), p, rest(p))
-            return pd.DataFrame({"dim": [dim], "block": [int(part["row_id"].iloc[0])], "rows": [part["row_id"].to_numpy().tobytes()], "ids": [part["vec_id"].to_numpy().tobytes()], "matrix": [m.tobytes()], "table": [d.tobytes()]})
+    def to_pivots(m: np.ndarray, dim: int, stored: bool) -> np.ndarray:
+        p = pivots[dim][1]
+        return distances(m, rest(m) if stored else np.zeros(len(m)), p, rest(p))
 
+    def place(frames: Iterator[pd.DataFrame], stored: bool) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for dim, part in pdf.groupby("dim"):
-                for at in range(0, len(part), most):
-                    held.setdefault(dim, []).append(part.iloc[at : at + most])
-                    if sum(map(len, held[dim])) >= most:
-                        yield emit(dim)
-        for dim in [*held]:
-            yield emit(dim)
+                d = to_pivots(np.array(part["v"].tolist(), dtype=np.float64), dim, stored)
+                yield part.assign(cell=d.argmin(axis=1).astype(np.int32), near=d.min(axis=1))
+
+    def blocked(rows: DataFrame, n: int, most: int, least: int, stored: bool) -> DataFrame:
+        """Blocks of `most` rows at most, in order of nearest pivot; a block of `least` rows ends where another pivot is nearest."""
+
+        def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: list[pd.DataFrame] = []
+
+            def emit() -> pd.DataFrame:
+                part = pd.concat(held)
+                held.clear()
+                dim = int(part["dim"].iloc[0])
+                m, own = np.array(part["v"].tolist(), dtype=np.float64), part["row_id"].to_numpy()
+                d = to_pivots(m, dim, stored)
+                floors = np.zeros(0)
+                if not stored:
+                    p_rows, p = pivots[dim]
+                    seeds = m @ p.T
+                    seeds[own[:, None] == p_rows[None, :]] = -np.inf
+                    floors = np.sort(seeds, axis=1)[:, -k] if len(p) >= k else np.full(len(m), -np.inf)
+                radius = np.inf if stored or not np.isfinite(floors).all() else float(np.sqrt(np.maximum((m * m).sum(1) + norm * norm - 2 * floors, 0)).max()) + 1e-6 * (1 + 2 * norm)
+                return pd.DataFrame({"dim": [dim], "block": [int(own[0])], "rows": [own.tobytes()], "ids": [part["vec_id"].to_numpy().tobytes()], "matrix": [m.tobytes()], "table": [d.tobytes()], "floors": [floors.tobytes()], "radius": [radius], "lo": [d.min(axis=0)], "hi": [d.max(axis=0)]})
+
+            for pdf in frames:
+                for (dim, cell), part in pdf.groupby(["dim", "cell"], sort=False):
+                    if held and (int(held[0]["dim"].iloc[0]) != dim or int(held[-1]["cell"].iloc[0]) != cell and sum(map(len, held)) >= least):
+                        yield emit()
+                    at = 0
+                    while at < len(part):
+                        take = most - sum(map(len, held))
+                        held.append(part.iloc[at : at + take])
+                        at += take
+                        if sum(map(len, held)) >= most:
+                            yield emit()
+            if held:
+                yield emit()
+
+        order = ["dim", "cell", "near"]
+        placed = materialize(rows.mapInPandas(lambda frames: place(frames, stored), PLACED), "placed")
+        return materialize(placed.repartitionByRange(max(1, -(-n // (4 * most))), *order).sortWithinPartitions(*order).mapInPandas(cut, BLOCKS), "blocks")
 
     def matrix(data: bytes, width: int) -> np.ndarray:
         return np.frombuffer(data, dtype=np.float64).reshape(-1, width)
@@ -108,30 +141,38 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, n_pivots: int = PIVOT
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for r in pdf.itertuples(index=False):
-                p_rows, p = pivots[r.dim]
+                n_p = len(pivots[r.dim][0])
                 x, q = matrix(r.matrix, r.dim), matrix(r.q_matrix, r.dim)
-                dx, dq = matrix(r.table, len(p)), matrix(r.q_table, len(p))
+                dx, dq, floors = matrix(r.table, n_p), matrix(r.q_table, n_p), np.frombuffer(r.q_floors, dtype=np.float64)
                 rows, ids, q_rows, q_ids = (np.frombuffer(b, dtype=np.int64) for b in (r.rows, r.ids, r.q_rows, r.q_ids))
-                seeds = q @ p.T
-                seeds[q_rows[:, None] == p_rows[None, :]] = -np.inf
-                floors = np.sort(seeds, axis=1)[:, -k] if len(p) >= k else np.full(len(q), -np.inf)
                 out = []
                 for at in range(0, len(q), 32):
                     part = dq[at : at + 32]
                     bounds = np.zeros((len(part), len(x)))
-                    for j in range(len(p)):
+                    for j in range(n_p):
                         np.maximum(bounds, np.abs(part[:, j, None] - dx[None, :, j]), out=bounds)
                     for i in range(len(part)):
                         n = at + i
                         out += [(int(q_rows[n]), int(q_ids[n]), v, s) for v, s in best_in_block(q[n], q_rows[n], x, rows, ids, bounds[i], floors[n], norm, k)]
                 yield pd.DataFrame(out, columns=["query_row", "query_id", "vec_id", "score"])
 
-    group = F.pmod(F.xxhash64("block"), F.lit(n_groups))
-    stored = table.mapInPandas(lambda frames: block(frames, VECTOR_BLOCK, True), BLOCKS)
-    stored = stored.withColumn("g", group).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    asked = table.filter(asks).mapInPandas(lambda frames: block(frames, QUERY_BLOCK, False), BLOCKS).withColumn("qb", F.pmod(F.xxhash64("block"), F.lit(n_blocks)).cast("int"))
-    asked = asked.select("dim", "qb", F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("table").alias("q_table"))
-    asked = asked.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))))
-    found = stored.join(asked, ["dim", "g", "qb"]).mapInPandas(search, BEST)
+    stored = blocked(table, total, vector_block, min(LEAST_BLOCK, vector_block), True)
+    asked = blocked(table.filter(asks), n_queries, query_block, query_block, False).select("dim", F.col("block").alias("q_block"), F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("table").alias("q_table"), F.col("floors").alias("q_floors"), "radius", F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"))
+    met = materialize(block_pairs(stored.select("dim", "block", "lo", "hi"), asked.select("dim", "q_block", "radius", "q_lo", "q_hi"), n_pivots, -(-total // (vector_block * GROUP))), "block-pairs")
+    shipped = met.join(stored.select("dim", "block", "rows", "ids", "matrix", "table"), ["dim", "block"]).join(asked.drop("radius", "q_lo", "q_hi"), ["dim", "q_block"])
+    found = shipped.mapInPandas(search, BEST)
     best = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def block_pairs(stored: DataFrame, asked: DataFrame, n_pivots: int, n_groups: int) -> DataFrame:
+    """dim, block, q_block: the pairs in which some stored vector can lie within the radius of some query.
+
+    The intervals of all query blocks are sent to each group of stored blocks: a few hundred bytes a block.
+    """
+    n_groups = max(1, n_groups)
+    gap = lambda i: F.greatest(F.coalesce(F.get("lo", F.lit(i)) - F.get("q_hi", F.lit(i)), F.lit(0.0)), F.coalesce(F.get("q_lo", F.lit(i)) - F.get("hi", F.lit(i)), F.lit(0.0)))
+    bound = gap(0) if n_pivots < 2 else F.greatest(*(gap(i) for i in range(n_pivots)))
+    one = stored.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(n_groups)))
+    two = asked.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))))
+    return one.join(two, ["dim", "g"]).filter(bound <= F.col("radius")).select("dim", "block", "q_block")
