@@ -6,8 +6,9 @@ change of the text's logit between the two is penalised, so a mention of a group
 Feature counts come from a Spark aggregation over the labelled sample, an L1 penalty leaves few weights, and
 every whole text is scored by them.
 
-The sample: at most MOST_ROWS labelled rows outside the held-out fold, by smallest hash of doc_id. Only the fit
-uses it. Labels, lang, source and doc_id are no inputs of a score.
+The sample: at most MOST_ROWS labelled documents outside the held-out fold, by smallest hash of doc_id, one row of
+each (of rows that repeat a doc_id the greatest text). Only the fit uses it. Of its features those that at least
+LEAST_ROWS examples hold take part, and of these the MOST_FEATURES that tell the labels apart best. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: null text counts as empty and gets the score of no features; rows with null labels teach
 nothing; a doc_id labelled twice counts as toxic if any label is; without labels the score is 0.5 or below for
@@ -127,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("__toxic")).filter("__id is not null and __toxic is not null").filter(remainder(F.col("__id"), FOLDS) != HELD_OUT)
     sample = known.groupBy("__id").agg(F.max("__toxic").alias("__toxic")).orderBy(F.xxhash64("__id"), "__id").limit(most_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    picked = texts.join(F.broadcast(sample), "__id").select(F.col("__toxic").alias("toxic"), F.col("__text").alias("text"))  # at most most_rows ids
+    # at most most_rows ids, and one row of each
+    picked = texts.join(F.broadcast(sample), "__id").groupBy("__id").agg(F.max("__toxic").alias("toxic"), F.max(F.coalesce("__text", F.lit(""))).alias("text")).select("toxic", "text")
     examples = materialize(picked.mapInArrow(_examples, "toxic int, plain array<binary>, swapped array<binary>"), "labelled")
     n, positive = examples.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n:

@@ -338,6 +338,24 @@ def test_topk(spark, n):
     assert by_row(topk.top_k(table), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
 
 
+def test_topk_ships_few_blocks(spark, monkeypatch):
+    """Of clustered vectors most block pairs are ruled out by their distances to the pivots, and the result is that of brute force."""
+    rng, seen = np.random.default_rng(12), []
+    centres = rng.normal(0, 20, (10, 6))
+    centres *= 40 / np.linalg.norm(centres, axis=1)[:, None]
+    x = np.concatenate([c + rng.normal(0, 0.05, (100, 6)) for c in centres])
+    table = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    pairs = topk.block_pairs
+    monkeypatch.setattr(topk, "block_pairs", lambda s, q, *rest: seen.append((s.count() * q.count(), (out := pairs(s, q, *rest)).count())) or out)
+    monkeypatch.setattr(topk, "LEAST_BLOCK", 8)
+    got = topk.top_k(table, every=10, n_pivots=64, vector_block=50, query_block=5)
+    v = np.floor(256 * x).astype(np.int64)
+    want = [(i, r + 1, j, s) for i in range(0, len(v), 10) for r, (s, j) in enumerate(sorted(((int(v[i] @ v[j]), j) for j in range(len(v)) if j != i), key=lambda p: (-p[0], p[1]))[:5])]
+    assert by_row(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+    every, shipped = seen[0]
+    assert every >= 200 and shipped < every / 3
+
+
 def test_simhash(docs, empty):
     prints = []
     for i, t in texts():
@@ -498,6 +516,21 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.keep_clean(docs, y.filter("doc_id < 0")).count() == docs.count()
 
 
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """A labelled doc_id that repeats in the documents teaches once, and no more than the bound reach the fit."""
+    fits, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda plain, *rest, **more: fits.append(len(plain)) or fit(plain, *rest, **more))
+    docs = spark.createDataFrame([(i, "stupid idiot go away" if i % 2 else "a kind word for all") for i in range(200)] + [(1, f"stupid idiot {k}") for k in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(1, 0), (1, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    taught = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(200))
+    assert fits == [taught]
+    score = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, model).collect()}
+    assert all((score[i] > 0.5) == bool(i % 2) for i in range(200))
+    toxicity.train(docs, labels, most_rows=50)
+    assert fits[1] == 50
+
+
 def test_swap_penalty_pulls_terms_together():
     plain, swapped = [[0, 1], [1], [2, 1], [1]] * 50, [[2, 1], None, [0, 1], None] * 50
     toxic = [1, 0, 0, 0] * 50
