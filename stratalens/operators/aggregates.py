@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalens.operators.joins import _PAIRS, _RUNS, benchmark_runs, co_changes, history_counts
+from stratalens.operators.reach import chain_depths, closure, settled
 from stratalens.plans.registry import Tables, query
 from stratalens.sources.bindings import commit_files, commits, files, imports, session_events, with_views
 
@@ -117,24 +120,48 @@ def heat(value: Column, top: Column) -> Column:
     return F.when(top <= 0, 0).otherwise(F.least(F.lit(100), F.greatest(F.lit(0), F.round(100 * value / top))))
 
 
-_RISK = _MODULES + """, t AS (SELECT module, n_files, greatest(0, sources - tests) AS gap, coalesce(churn, 0) AS churn, coalesce(coupling, 0) AS coupling FROM s LEFT JOIN c USING (module) LEFT JOIN o USING (module)),
-  h AS (SELECT module, round(100.0::DOUBLE * coupling / max(coupling) OVER ()) AS hc, round(100.0::DOUBLE * churn / max(churn) OVER ()) AS hh, round(100.0::DOUBLE * gap / max(gap) OVER ()) AS hg, round(100.0::DOUBLE * n_files / max(n_files) OVER ()) AS hs FROM t),
-  risk AS (SELECT module, CAST(round(hc * 0.36::DOUBLE + hh * 0.26::DOUBLE + hg * 0.26::DOUBLE + hs * 0.12::DOUBLE) AS BIGINT) AS risk FROM h)"""
+def blast_radius(edges: DataFrame) -> DataFrame:
+    """module, blast_radius: modules that can reach it and the weight of the edges at it; edges: src, dst, weight."""
+    edges = settled(edges)
+    reach = closure(edges).filter("src <> dst").groupBy(F.col("dst").alias("module")).agg(count().alias("n"))
+    at = edges.select(F.explode(F.array("src", "dst")).alias("module"), "weight").groupBy("module").agg(F.sum("weight").alias("coupling"))
+    return at.join(reach, "module", "left").select("module", (F.coalesce("n", F.lit(0)) + F.col("coupling")).alias("blast_radius"))
+
+
+_RISK = _MODULES + """, mc(src, dst) AS (SELECT src, dst FROM mw UNION SELECT mc.src, mw.dst FROM mc JOIN mw ON mc.dst = mw.src), reach AS (SELECT dst AS module, count(*) AS n FROM mc WHERE src <> dst GROUP BY 1),
+  grp AS (SELECT module, least(module, coalesce((SELECT min(a.dst) FROM mc a JOIN mc b ON a.src = b.dst AND a.dst = b.src WHERE a.src = module), module)) AS scc FROM (SELECT DISTINCT module FROM files)),
+  dag AS (SELECT DISTINCT a.scc AS src, b.scc AS dst FROM mw JOIN grp a ON a.module = mw.src JOIN grp b ON b.module = mw.dst WHERE a.scc <> b.scc), dep(node, depth) AS (SELECT DISTINCT scc, CAST(0 AS BIGINT) FROM grp UNION SELECT dag.src, depth + 1 FROM dep JOIN dag ON dag.dst = dep.node),
+  dp AS (SELECT grp.module, least(max(depth), 99) AS depth FROM grp JOIN dep ON dep.node = grp.scc GROUP BY 1),
+  ages AS (SELECT module, CAST(round(avg(age)) AS BIGINT) AS age FROM (SELECT module, path, ((SELECT max(ts) FROM commits) - max(ts)) // 86400 AS age FROM commit_files JOIN commits USING (hash) GROUP BY 1, 2) GROUP BY 1),
+  gf AS (SELECT module, count(*) FILTER (WHERE partkey % 5 = 0) AS git FROM files GROUP BY 1),
+  t AS (SELECT module, n_files, greatest(0, sources - tests) AS gap, coalesce(churn, 0) AS churn, coalesce(coupling, 0) AS coupling, coalesce(n, 0) + coalesce(coupling, 0) AS blast, coalesce(depth, 0) AS depth, coalesce(age, 0) AS age, git
+    FROM s LEFT JOIN c USING (module) LEFT JOIN o USING (module) LEFT JOIN reach USING (module) LEFT JOIN dp USING (module) LEFT JOIN ages USING (module) LEFT JOIN gf USING (module)),
+  h AS (SELECT module, """ + ", ".join(f"CASE WHEN max({c}) OVER () <= 0 THEN 0 ELSE round(100.0::DOUBLE * {c} / max({c}) OVER ()) END AS h_{c}" for c in ("coupling", "blast", "depth", "churn", "git", "gap", "age", "n_files")) + """ FROM t),
+  risk AS (SELECT module, CAST(round(""" + " + ".join(f"h_{c} * {w}::DOUBLE" for c, w in (("coupling", 0.18), ("blast", 0.18), ("depth", 0.14), ("churn", 0.14), ("git", 0.12), ("gap", 0.12), ("age", 0.07), ("n_files", 0.05))) + """) AS BIGINT) AS risk FROM h)"""
+
+# Weights of the heats of a module's risk.
+HEATS = (("coupling", 0.18), ("blast_radius", 0.18), ("depth", 0.14), ("churn", 0.14), ("git_files", 0.12), ("test_gap", 0.12), ("age", 0.07), ("n_files", 0.05))
 
 
 def module_risk(t: Tables) -> DataFrame:
-    """module, risk of 0 to 100 from heats relative to the largest module."""
-    m = modules(t)
-    top = m.agg(*(F.max(c).alias(f"max_{c}") for c in ("coupling", "churn", "test_gap", "n_files")))
+    """module, risk of 0 to 100 from eight heats relative to the greatest value; a part divisible by five stands for a dirty file."""
+    edges = settled(module_edges(t))
+    log = commit_files(t).join(commits(t).select("hash", "ts"), "hash")
+    now = log.agg(F.max("ts").alias("now"))
+    last = log.groupBy("module", "path").agg(F.max("ts").alias("last")).crossJoin(F.broadcast(now))  # one row
+    ages = last.groupBy("module").agg(F.round(F.avg(F.floor((F.col("now") - F.col("last")) / 86_400))).cast("long").alias("age"))
+    git = files(t).groupBy("module").agg(F.count_if(F.col("partkey") % 5 == 0).alias("git_files"))
+    m = modules(t).join(blast_radius(edges), "module", "left").join(chain_depths(edges).withColumnRenamed("node", "module"), "module", "left").join(ages, "module", "left").join(git, "module", "left").fillna(0, ["blast_radius", "depth", "age"])
+    m = settled(m)
+    top = m.agg(*(F.max(c).alias(f"max_{c}") for c, _ in HEATS))
     h = m.crossJoin(F.broadcast(top))  # one row
-    hot = lambda c: heat(F.col(c), F.col(f"max_{c}"))
-    score = hot("coupling") * 0.36 + hot("churn") * 0.26 + hot("test_gap") * 0.26 + hot("n_files") * 0.12
+    score = reduce(Column.__add__, (heat(F.col(c), F.col(f"max_{c}")) * w for c, w in HEATS))
     return h.select("module", F.round(score).cast("long").alias("risk"))
 
 
 @query(_RISK + " SELECT module, risk FROM risk")
 def d12_module_risk(t: Tables) -> DataFrame:
-    """Risk score of modules from heats of coupling, churn, test gap and size."""
+    """Risk score of modules from heats of coupling, blast radius, depth, churn, dirty files, test gap, age and size."""
     return module_risk(t)
 
 
@@ -179,9 +206,9 @@ def d17_risk_combine(t: Tables) -> DataFrame:
   SELECT commits, commits - used AS wide_skipped, pairs, observations FROM k""")
 def d18_cochange_observations(t: Tables) -> DataFrame:
     """Commits, wide ones left out, edges and observations of the co-change relation."""
-    from stratalens.operators.joins import WIDE, daily_files
+    from stratalens.operators.joins import WIDE, typed_files
 
-    sizes = daily_files(t).groupBy("hash").agg(count().alias("n")).agg(count().alias("commits"), F.count_if(F.col("n") > WIDE).alias("wide_skipped"))
+    sizes = typed_files(t).groupBy("hash").agg(count().alias("n")).agg(count().alias("commits"), F.count_if(F.col("n") > WIDE).alias("wide_skipped"))
     return sizes.crossJoin(co_changes(t).agg(count().alias("pairs"), F.sum("co_commits").alias("observations")))
 
 
@@ -240,13 +267,13 @@ def d24_retrieval_arms(t: Tables) -> DataFrame:
     return a.groupBy("category").agg(count().alias("graded"), F.round(F.avg(F.when(F.col("covered"), 1.0).otherwise(0.0)), 4).alias("coverage"), F.round(F.sum("bytes"), 2).alias("total_bytes"), F.round(F.avg(F.when(F.col("covered"), F.col("bytes"))), 2).alias("mean_covered"))
 
 
-@query("""WITH q AS (SELECT CASE WHEN c_acctbal >= 5000 THEN CASE WHEN c_nationkey >= 12 THEN 'Known Core' ELSE 'Critical Unknown' END ELSE CASE WHEN c_nationkey >= 12 THEN 'Supporting Context' ELSE 'Deferred Unknown' END END AS quadrant FROM customer WHERE c_acctbal >= 5000),
+@query("""WITH q AS (SELECT CASE WHEN c_acctbal >= 5000 THEN CASE WHEN c_nationkey >= 12 THEN 'Known Core' ELSE 'Critical Unknown' END ELSE CASE WHEN c_nationkey >= 12 THEN 'Supporting Context' ELSE 'Deferred Unknown' END END AS quadrant FROM customer),
   l(quadrant) AS (VALUES ('Known Core'), ('Critical Unknown'), ('Supporting Context'), ('Deferred Unknown')) SELECT l.quadrant, count(q.quadrant) AS n FROM l LEFT JOIN q ON q.quadrant = l.quadrant GROUP BY 1""")
 def d25_quadrant_counts(t: Tables) -> DataFrame:
     """Count per fixed label; labels without rows stay with zero (also j05)."""
     critical, sure = F.col("c_acctbal") >= 5000, F.col("c_nationkey") >= 12
     label = F.when(critical & sure, "Known Core").when(critical, "Critical Unknown").when(sure, "Supporting Context").otherwise("Deferred Unknown")
-    found = t.customer.filter("c_acctbal >= 5000").groupBy(label.alias("quadrant")).agg(count().alias("n"))
+    found = t.customer.groupBy(label.alias("quadrant")).agg(count().alias("n"))
     labels = t.spark.createDataFrame([("Known Core",), ("Critical Unknown",), ("Supporting Context",), ("Deferred Unknown",)], "quadrant string")
     return labels.join(found, "quadrant", "left").select("quadrant", F.coalesce("n", F.lit(0)).alias("n"))
 

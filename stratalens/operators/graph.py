@@ -1,57 +1,15 @@
-"""Graph operators: reachability by levels, components and depth, as joins repeated until nothing is new.
-
-Each level is written to the shared checkpoint folder, so plans stay short and lost executors cost one level.
-"""
+"""Graph operators over imports between files and modules; every edge counts."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.operators.aggregates import _EDGES, module_edges
+from stratalens.operators.joins import WIDE
+from stratalens.operators.reach import chain_depths, closure, condensed, connected_groups, distances, ends, peeled, settled
 from stratalens.plans.registry import Tables, query
-from stratalens.sources.bindings import files, imports, with_views
-
-MOST_LEVELS = 99
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df computed and kept in the shared checkpoint folder."""
-    spark: SparkSession = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = tempfile.mkdtemp(prefix="stratalens-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint()
-
-
-def distances(edges: DataFrame, seeds: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
-    """node, distance: breadth-first levels along edges (src, dst) from seeds (node)."""
-    level = settled(seeds.select("node").distinct().withColumn("distance", F.lit(0).cast("long")))
-    reached = level
-    for n in range(1, most + 1):
-        ahead = level.join(edges, level["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        level = settled(ahead.join(reached, "node", "left_anti").withColumn("distance", F.lit(n).cast("long")))
-        if level.isEmpty():
-            break
-        reached = reached.union(level)
-    return reached
-
-
-def closure(edges: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
-    """src, dst: pairs with a path of one edge or more; path lengths double each round."""
-    known = settled(edges.select("src", "dst").distinct())
-    n = known.count()
-    for _ in range(most):
-        longer = known.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        known = settled(known.union(longer).distinct())
-        if (more := known.count()) == n:
-            break
-        n = more
-    return known
+from stratalens.sources.bindings import commit_files, files, imports, with_views
 
 
 def part_edges(t: Tables) -> DataFrame:
@@ -60,51 +18,57 @@ def part_edges(t: Tables) -> DataFrame:
 
 
 _GRAPH = with_views("imports") + ", e AS (SELECT DISTINCT importer AS src, target AS dst FROM imports)"
+#: Two graphs side by side: all edges between modules, which are dense, and each file's most frequent import, which are sparse.
+_TWO = with_views("files", "imports") + _EDGES + """, counted AS (SELECT importer AS src, target AS dst, count(*) AS n FROM imports GROUP BY 1, 2),
+  g AS (SELECT src, dst FROM mw UNION ALL SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS k FROM counted) WHERE k = 1),
+  ends AS (SELECT src AS node FROM g UNION SELECT dst FROM g), c(src, dst) AS (SELECT src, dst FROM g UNION SELECT c.src, g.dst FROM c JOIN g ON c.dst = g.src)"""
+_GROUPS = _TWO + """, scc AS (SELECT node, least(node, coalesce((SELECT min(a.dst) FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src WHERE a.src = node), node)) AS scc FROM ends),
+  k AS (SELECT DISTINCT a.scc AS src, b.scc AS dst FROM g JOIN scc a ON a.node = g.src JOIN scc b ON b.node = g.dst WHERE a.scc <> b.scc)"""
+
 
+def two_graphs(t: Tables) -> DataFrame:
+    """src, dst of _TWO; names of modules and of files don't meet."""
+    counted = imports(t).groupBy(F.col("importer").alias("src"), F.col("target").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    first = counted.groupBy("src").agg(F.min_by("dst", F.struct(-F.col("n"), F.col("dst"))).alias("dst"))
+    return settled(module_edges(t).select("src", "dst").union(first.select("src", "dst")))
 
-@query(_GRAPH + ", b(node, distance) AS (SELECT DISTINCT dst, CAST(0 AS BIGINT) FROM e WHERE dst LIKE 'brand_1/%' UNION SELECT e.src, b.distance + 1 FROM b JOIN e ON e.dst = b.node WHERE b.distance < 5) SELECT node, min(distance) AS distance FROM b GROUP BY 1")
+
+@query(_GRAPH + ", b(node, distance) AS (SELECT DISTINCT dst, CAST(0 AS BIGINT) FROM e WHERE dst LIKE 'brand_1/%' UNION SELECT e.src, b.distance + 1 FROM b JOIN e ON e.dst = b.node WHERE b.distance < 150) SELECT node, min(distance) AS distance FROM b GROUP BY 1")
 def h01_impacted_files(t: Tables) -> DataFrame:
-    """Files that a change of the first module can reach against the direction of imports, with distances."""
+    """Files that a change of the first module can reach against the direction of imports, with distances; the SQL's bound is the number of files."""
     edges = settled(part_edges(t))
     seeds = edges.filter(F.col("dst").startswith("brand_1/")).select(F.col("dst").alias("node"))
     return distances(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds)
 
 
-_CLOSED = with_views("files", "imports") + _EDGES + ", dag AS (SELECT src, dst FROM mw WHERE src < dst), c(src, dst) AS (SELECT src, dst FROM dag UNION SELECT c.src, dag.dst FROM c JOIN dag ON c.dst = dag.src)"
-
+@query(_TWO + " SELECT node, count(src) AS dependents FROM ends LEFT JOIN (SELECT * FROM c WHERE src <> dst) ON dst = node GROUP BY 1")
+def h02_dependents(t: Tables) -> DataFrame:
+    """Number of nodes that can reach each, itself left out even on a cycle."""
+    edges = two_graphs(t)
+    reach = closure(edges).filter("src <> dst").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("dependents"))
+    return ends(edges).join(reach, "node", "left").select("node", F.coalesce("dependents", F.lit(0)).alias("dependents"))
 
-def forward_edges(t: Tables) -> DataFrame:
-    """Edges between modules in name order: an acyclic view."""
-    return settled(module_edges(t).filter("src < dst").select("src", "dst"))
 
+@query(_TWO + """, r AS (SELECT dst AS node, count(*) AS dependents FROM c WHERE src <> dst GROUP BY 1), o AS (SELECT node, CAST(sum(w) AS BIGINT) AS coupling FROM (SELECT src AS node, weight AS w FROM mw UNION ALL SELECT dst, weight FROM mw) GROUP BY 1)
+  SELECT o.node AS module, coalesce(dependents, 0) + coupling AS blast_radius FROM o LEFT JOIN r USING (node)""")
+def h03_blast_radius(t: Tables) -> DataFrame:
+    """Dependents of each module and the edges at it."""
+    from stratalens.operators.aggregates import blast_radius
 
-@query(_CLOSED + ", m AS (SELECT DISTINCT module FROM files) SELECT module, count(src) AS dependents FROM m LEFT JOIN c ON dst = module GROUP BY 1")
-def h02_dependents(t: Tables) -> DataFrame:
-    """Number of modules that can reach each (also h03)."""
-    reach = closure(forward_edges(t)).groupBy(F.col("dst").alias("module")).agg(F.count(F.lit(1)).alias("dependents"))
-    return files(t).select("module").distinct().join(reach, "module", "left").select("module", F.coalesce("dependents", F.lit(0)).alias("dependents"))
+    return blast_radius(module_edges(t))
 
 
-@query(with_views("files", "imports") + _EDGES + ", c(src, dst) AS (SELECT src, dst FROM mw UNION SELECT c.src, mw.dst FROM c JOIN mw ON c.dst = mw.src), s AS (SELECT a.src AS module, min(a.dst) AS low FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src GROUP BY 1) SELECT module, least(module, low) AS cycle FROM s")
+@query(_GROUPS + " SELECT scc AS cycle, count(*) AS size, string_agg(node, ',' ORDER BY node) AS members FROM scc GROUP BY 1 HAVING count(*) > 1")
 def h04_cycles(t: Tables) -> DataFrame:
-    """Members of strongly connected groups of modules, named by the least."""
-    paths = closure(module_edges(t))
-    back = paths.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return paths.join(back, ["src", "dst"]).groupBy(F.col("src").alias("module")).agg(F.min("dst").alias("low")).select("module", F.least("module", "low").alias("cycle"))
+    """Strongly connected groups of two nodes or more with their sorted members."""
+    groups = connected_groups(two_graphs(t)).groupBy(F.col("scc").alias("cycle"))
+    return groups.agg(F.count(F.lit(1)).alias("size"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members")).filter("size > 1")
 
 
-@query(_CLOSED + ", d(node, depth) AS (SELECT DISTINCT module, CAST(0 AS BIGINT) FROM files UNION SELECT dag.src, depth + 1 FROM d JOIN dag ON dag.dst = d.node WHERE depth < 99) SELECT node AS module, max(depth) AS depth FROM d GROUP BY 1")
+@query(_GROUPS + ", d(node, depth) AS (SELECT DISTINCT scc, CAST(0 AS BIGINT) FROM scc UNION SELECT k.src, depth + 1 FROM d JOIN k ON k.dst = d.node) SELECT scc.node, least(max(depth), 99) AS depth FROM scc JOIN d ON d.node = scc.scc GROUP BY 1")
 def h05_execution_depth(t: Tables) -> DataFrame:
-    """Longest dependency chain below each module."""
-    edges = forward_edges(t)
-    depth = settled(files(t).select(F.col("module").alias("node")).distinct().withColumn("depth", F.lit(0).cast("long")))
-    level = depth
-    for _ in range(MOST_LEVELS):
-        level = settled(edges.join(level, edges["dst"] == level["node"]).groupBy(F.col("src").alias("node")).agg((F.max("depth") + 1).alias("depth")))
-        if level.isEmpty():
-            break
-        depth = depth.union(level)
-    return depth.groupBy(F.col("node").alias("module")).agg(F.max("depth").alias("depth"))
+    """Longest dependency chain below each node, over strongly connected groups, 99 at most."""
+    return chain_depths(two_graphs(t))
 
 
 _CLUSTER = with_views("files", "commit_files") + """, p AS (SELECT a.path AS a, b.path AS b FROM commit_files a JOIN commit_files b ON a.hash = b.hash AND a.path < b.path GROUP BY 1, 2 HAVING count(*) >= 3),
@@ -113,45 +77,68 @@ _CLUSTER = with_views("files", "commit_files") + """, p AS (SELECT a.path AS a,
 
 @query(_CLUSTER + " SELECT path, coalesce(cluster, path) AS cluster FROM files LEFT JOIN k ON node = path")
 def h06_clusters(t: Tables) -> DataFrame:
-    """Components of files that three commits or more changed together; others stay alone."""
-    from stratalens.sources.bindings import commit_files
-
+    """Components of files that three commits or more changed together; others stay alone. Commits of over WIDE files join nothing."""
     cf = commit_files(t).select("hash", "path")
+    narrow = cf.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= WIDE).select("hash")
+    cf = cf.join(narrow, "hash")
     pairs = cf.alias("a").join(cf.alias("b"), (F.col("a.hash") == F.col("b.hash")) & (F.col("a.path") < F.col("b.path"))).groupBy(F.col("a.path").alias("x"), F.col("b.path").alias("y")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
-    edges = settled(pairs.select("x", "y").union(pairs.select("y", "x")))
-    label = settled(edges.select(F.col("x").alias("node")).distinct().withColumn("low", F.col("node")))
-    while True:
-        heard = edges.join(label, edges["y"] == label["node"]).groupBy(F.col("x").alias("node")).agg(F.min("low").alias("heard"))
-        after = settled(label.join(heard, "node", "left").select("node", F.least("low", "heard").alias("low"), (F.col("heard") < F.col("low")).alias("moved")))
-        label = after.drop("moved")
-        if after.filter("moved").isEmpty():
-            break
-    return files(t).select("path").join(label.withColumnRenamed("node", "path"), "path", "left").select("path", F.coalesce("low", "path").alias("cluster"))
-
-
-@query(_CLOSED + ", w AS (SELECT module, CAST(sum(size) AS BIGINT) AS own FROM files GROUP BY 1), a AS (SELECT w.module, w.own + CAST(coalesce(sum(b.own), 0) AS BIGINT) AS total FROM w LEFT JOIN c ON c.dst = w.module LEFT JOIN (SELECT module AS m, own FROM w) b ON b.m = c.src GROUP BY w.module, w.own) SELECT module, total FROM a")
+    links = settled(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    rounds = []
+    while not links.isEmpty():  # each node joins its least neighbour and the links between what has become one go
+        both = links.union(links.select("b", "a"))
+        parent = settled(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up")))
+        rounds.append(parent)
+        one, two = (parent.select(F.col("node").alias(c), F.col("up").alias(f"u{c}")) for c in "ab")
+        moved = links.join(one, "a").join(two, "b").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b"))
+        links = settled(moved.filter("a < b").distinct())
+    label = files(t).select("path", F.col("path").alias("cluster"))
+    for parent in rounds:
+        label = label.join(parent, F.col("cluster") == parent["node"], "left").select("path", F.coalesce("up", "cluster").alias("cluster"))
+    return label
+
+
+@query(_GROUPS + """, w AS (SELECT scc AS node, count(*) AS n, CAST(sum(ascii(right(node, 1)) + length(node)) AS BIGINT) AS own FROM scc GROUP BY 1), kc(src, dst) AS (SELECT src, dst FROM k UNION SELECT kc.src, k.dst FROM kc JOIN k ON kc.dst = k.src),
+  held AS (SELECT node, node AS part FROM w UNION SELECT src, dst FROM kc), sums AS (SELECT h.node, CAST(sum(own) AS BIGINT) AS total, list(part ORDER BY part) AS ids FROM held h JOIN w ON w.node = part GROUP BY 1), best AS (SELECT ids FROM sums ORDER BY total DESC, ids LIMIT 1)
+  SELECT sums.node, total, CAST(len(ids) AS BIGINT) AS n_groups, list_contains((SELECT ids FROM best), sums.node) AS critical FROM sums""")
 def h07_critical_closure(t: Tables) -> DataFrame:
-    """Own weight of a module plus that of all its ancestors."""
-    own = files(t).groupBy("module").agg(F.sum("size").alias("own"))
-    up = closure(forward_edges(t)).join(own.select(F.col("module").alias("src"), F.col("own").alias("w")), "src").groupBy(F.col("dst").alias("module")).agg(F.sum("w").alias("above"))
-    return own.join(up, "module", "left").select("module", (F.col("own") + F.coalesce("above", F.lit(0))).alias("total"))
-
-
-@query(_CLOSED + " SELECT (SELECT count(*) FROM c WHERE src = dst) AS cyclic, (SELECT count(*) FROM dag ANTI JOIN (SELECT DISTINCT module AS dst FROM files) USING (dst)) AS unknown, (SELECT count(*) FROM dag) AS edges")
+    """Weight of each group and all it depends on; the groups of the heaviest, of ties the one with the lesser ids, are critical."""
+    edges = two_graphs(t)
+    groups = settled(connected_groups(edges))
+    own = groups.groupBy(F.col("scc").alias("part")).agg(F.sum(F.ascii(F.right("node", F.lit(1))) + F.length("node")).alias("own"))
+    below = closure(condensed(edges, groups)).select(F.col("src").alias("node"), F.col("dst").alias("part"))
+    held = own.select(F.col("part").alias("node"), "part").union(below).join(own, "part")
+    sums = settled(held.groupBy("node").agg(F.sum("own").alias("total"), F.array_sort(F.collect_list("part")).alias("ids")))
+    best = sums.orderBy(F.desc("total"), "ids").limit(1).select(F.explode("ids").alias("node"), F.lit(True).alias("critical"))
+    return sums.join(best, "node", "left").select("node", "total", F.size("ids").cast("long").alias("n_groups"), F.coalesce("critical", F.lit(False)).alias("critical"))
+
+
+@query(_TWO + """, known AS (SELECT DISTINCT module AS node FROM files), cyc AS (SELECT src AS node FROM c WHERE src = dst), stuck AS (SELECT node FROM cyc UNION SELECT dst FROM c JOIN cyc ON src = node)
+  SELECT (SELECT count(*) FROM imports) AS declared, (SELECT count(*) FROM imports) - (SELECT count(*) FROM counted) AS duplicates, (SELECT count(DISTINCT dst) FROM g ANTI JOIN known ON node = dst) AS unknown, (SELECT count(*) FROM ends) AS nodes,
+  (SELECT count(*) FROM ends) - (SELECT count(*) FROM stuck) AS ordered, (SELECT count(*) FROM stuck) > 0 AS cyclic""")
 def h08_dag_validation(t: Tables) -> DataFrame:
-    """Cycles, unknown ends and edges of a dependency table."""
-    edges = forward_edges(t)
-    cyclic = closure(edges).agg(F.count_if(F.col("src") == F.col("dst")).alias("cyclic"))
-    unknown = edges.join(files(t).select(F.col("module").alias("dst")).distinct(), "dst", "left_anti").agg(F.count(F.lit(1)).alias("unknown"))
-    return cyclic.crossJoin(unknown).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))
-
-
-@query(_CLOSED + ", m AS (SELECT DISTINCT module FROM files) SELECT module, CASE WHEN module = 'brand_2' THEN 'failed' WHEN module IN (SELECT src FROM c WHERE dst = 'brand_2') THEN 'dependency_blocked' ELSE 'pending' END AS state FROM m")
+    """Repeated declarations, targets that are no module, and how many nodes a topological order can take; fewer than all means a cycle."""
+    edges = two_graphs(t)
+    declared = imports(t).groupBy("importer", "target").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("declared"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+    known = files(t).select(F.col("module").alias("dst")).distinct()
+    unknown = edges.select("dst").distinct().join(known, "dst", "left_anti").agg(F.count(F.lit(1)).alias("unknown"))
+    n = ends(edges).agg(F.count(F.lit(1)).alias("nodes"))
+    stuck = ends(peeled(edges.distinct(), both=False)).agg(F.count(F.lit(1)).alias("stuck"))
+    one_row = declared.crossJoin(unknown).crossJoin(n).crossJoin(stuck)  # of single rows
+    return one_row.select("declared", "duplicates", "unknown", "nodes", (F.col("nodes") - F.col("stuck")).alias("ordered"), (F.col("stuck") > 0).alias("cyclic"))
+
+
+@query(_TWO + """, failed AS (SELECT node FROM ends WHERE node LIKE 'brand_2/%'), blocked AS (SELECT DISTINCT src AS node FROM c WHERE dst IN (SELECT node FROM failed) AND src NOT IN (SELECT node FROM failed)), b AS (SELECT node FROM failed UNION SELECT node FROM blocked)
+  SELECT ends.node, CASE WHEN ends.node IN (SELECT node FROM failed) THEN 'failed' WHEN ends.node IN (SELECT node FROM blocked) THEN 'dependency_blocked' ELSE 'pending' END AS state,
+  CASE WHEN ends.node IN (SELECT node FROM blocked) THEN (SELECT string_agg(dst, ',' ORDER BY dst) FROM (SELECT DISTINCT g.src, g.dst FROM g JOIN b ON b.node = g.dst) x WHERE x.src = ends.node) END AS blocked_by FROM ends""")
 def h09_blocked(t: Tables) -> DataFrame:
-    """Nodes that depend on a failed one, directly or not."""
-    blocked = closure(forward_edges(t)).filter("dst = 'brand_2'").select(F.col("src").alias("module"), F.lit(True).alias("blocked")).distinct()
-    state = F.when(F.col("module") == "brand_2", "failed").when(F.col("blocked"), "dependency_blocked").otherwise("pending")
-    return files(t).select("module").distinct().join(blocked, "module", "left").select("module", state.alias("state"))
+    """Nodes that depend on a failed one, directly or not, with their direct dependencies that block; one breadth-first walk."""
+    edges = two_graphs(t).distinct()
+    failed = ends(edges).filter(F.col("node").startswith("brand_2/"))
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    reached = settled(distances(back, failed))
+    by = edges.join(reached.select(F.col("node").alias("dst")), "dst").groupBy(F.col("src").alias("node")).agg(F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("by"))
+    state = F.when(F.col("distance") == 0, "failed").when(F.col("distance") > 0, "dependency_blocked").otherwise("pending")
+    return ends(edges).join(reached, "node", "left").join(by, "node", "left").select("node", state.alias("state"), F.when(F.col("distance") > 0, F.col("by")).alias("blocked_by"))
 
 
 @query(_GRAPH + ", n AS (SELECT DISTINCT importer AS id FROM imports UNION SELECT target FROM imports) SELECT 'node' AS kind, id AS a, '' AS b FROM n UNION ALL SELECT 'edge', src, dst FROM e")

@@ -91,21 +91,20 @@ def c14_layer_order(t: Tables) -> DataFrame:
 
 WIDE = 50
 
-_PAIRS = """, d AS (SELECT DISTINCT ts AS hash, module || '/' || lower(p_type) AS file FROM commits JOIN (SELECT l_orderkey AS hash, l_partkey AS partkey FROM lineitem) l USING (hash) JOIN files USING (partkey)),
+_PAIRS = """, d AS (SELECT DISTINCT l.hash, module || '/' || lower(p_type) AS file FROM (SELECT l_orderkey AS hash, l_partkey AS partkey FROM lineitem) l JOIN files USING (partkey)),
   narrow AS (SELECT hash FROM d GROUP BY hash HAVING count(*) <= 50), e AS (SELECT d.* FROM d JOIN narrow USING (hash)),
   pairs AS (SELECT a.file AS l, b.file AS r, count(*) AS co_commits, max(a.hash) AS newest FROM e a JOIN e b ON a.hash = b.hash AND a.file < b.file GROUP BY 1, 2 HAVING count(*) >= 3)"""
 
 
-def daily_files(t: Tables) -> DataFrame:
-    """hash (a day), file (module/type): wide commits for co-change."""
-    lines = t.lineitem.select(F.col("l_orderkey").alias("hash"), F.col("l_partkey").alias("partkey")).distinct()
-    file = F.concat("module", F.lit("/"), F.lower("p_type"))
-    return lines.join(commits(t).select("hash", "ts"), "hash").join(files(t), "partkey").select(F.col("ts").alias("hash"), file.alias("file")).distinct()
+def typed_files(t: Tables) -> DataFrame:
+    """hash (a commit, of a size that no number of commits changes), file (module/type)."""
+    lines = t.lineitem.select(F.col("l_orderkey").alias("hash"), F.col("l_partkey").alias("partkey"))
+    return lines.join(files(t), "partkey").select("hash", F.concat("module", F.lit("/"), F.lower("p_type")).alias("file")).distinct()
 
 
 def co_changes(t: Tables, least: int = 3) -> DataFrame:
     """l, r, co_commits, newest: ordered pairs of files that change together; a commit of over WIDE files is left out before the self-join."""
-    touched = daily_files(t)
+    touched = typed_files(t)
     narrow = touched.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= WIDE).select("hash")
     kept = touched.join(narrow, "hash")
     pairs = kept.alias("a").join(kept.alias("b"), (F.col("a.hash") == F.col("b.hash")) & (F.col("a.file") < F.col("b.file")))

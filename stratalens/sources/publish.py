@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.operators.graph import settled
+from stratalens.operators.reach import settled
 from stratalens.plans.registry import Tables, query
 from stratalens.sources.bindings import commits, with_views
 
