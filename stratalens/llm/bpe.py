@@ -169,10 +169,10 @@ def encoder(vocabulary: str) -> Encoder:
     return Encoder(public_tokenizers.path(vocabulary))
 
 
-def slices(frames: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.Table]:
+def slices(frames: Iterator[pa.RecordBatch], most: int = SLICE_BYTES, owner: str = "") -> Iterator[pa.Table]:
     """Row batches gathered to about `most` bytes."""
     held: list[pa.RecordBatch] = []
-    for batch in batches(frames):
+    for batch in batches(frames, most, owner):
         held.append(batch)
         if sum(b.nbytes for b in held) >= most:
             yield pa.Table.from_batches(held)
@@ -187,7 +187,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str =
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
-        for table in slices(frames):
+        for table in slices(frames, SLICE_BYTES, "bpe"):
             encoded = bpe.encode(texts_of(table.column(1)))
             yield from pa.table({
                 "doc_id": table.column(0),

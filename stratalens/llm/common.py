@@ -104,9 +104,9 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def batches(frames: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about `most` bytes at most; a longer single text stays whole."""
-    fresh_task()
+def batches(frames: Iterator[pa.RecordBatch], most: int = 8 << 20, owner: str = "") -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about `most` bytes at most; a longer single text stays whole. owner: whose worker_cache goes on."""
+    fresh_task(owner)
     for batch in frames:
         if batch.nbytes <= most or batch.num_rows <= 1:
             yield batch
@@ -120,21 +120,21 @@ _CACHE: dict[str, dict] = {}
 _TASK: list[int] = []
 
 
-def fresh_task() -> None:
-    """At a task's start, give freed memory of an earlier one back to the system."""
+def fresh_task(owner: str) -> None:
+    """At a task's start, give back what the Python worker kept for another operator, and what the system can have."""
     context = TaskContext.get()
     if context is None or _TASK[-1:] == [context.taskAttemptId()]:
         return
     _TASK[:] = [context.taskAttemptId()]
+    for other in [x for x in _CACHE if x != owner]:
+        del _CACHE[other]
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):  # where the C library can trim its heap
         ctypes.CDLL(None).malloc_trim(0)
 
 
 def worker_cache(owner: str) -> dict:
-    """What a Python worker keeps for one operator from task to task; another operator's goes."""
-    if owner not in _CACHE:
-        _CACHE.clear()
+    """What a Python worker keeps for one operator from task to task."""
     return _CACHE.setdefault(owner, {})
 
 

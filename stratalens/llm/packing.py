@@ -33,7 +33,7 @@ from .bpe import Encoder, slices
 from .common import forget_unused, small_batches, worker_cache
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
-TIERS, STEP_TOKENS, SLICE_BYTES, CACHE_WORDS = (2048, 1024, 512, 256), 16384, 16 << 20, 600_000
+TIERS, STEP_TOKENS, SLICE_BYTES, CACHE_WORDS = (2048, 1024, 512, 256), 16384, 16 << 20, 400_000
 #: The vocabulary's own split of lower-cased text, and the words that it is applied to here.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 LATIN = regex.compile(r"[\n!-~\u00a1-\u012f\u0131-\u0240]*")
@@ -242,7 +242,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, tiers: tuple[i
         tokens, task = word_tokens(vocabulary), TaskContext.get().partitionId()
         first, group = task << 40, task << 40
         names = [x.split()[0] for x in PIECES.split(", ")]
-        for table in slices(frames, SLICE_BYTES):
+        for table in slices(frames, SLICE_BYTES, "packing"):
             doc_ids = table.column(0).to_pylist()
             ids, bounds = tokens.encode(table.column(1), END_ID)
             data, starts, lengths = memoryview(ids).cast("B"), bounds[:-1].tolist(), np.diff(bounds).tolist()

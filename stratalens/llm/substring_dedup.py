@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .bpe import slices
 from .common import apart, batches, forget_unused, materialize, scratch, small_batches, texts_of, worker_cache
 
-WINDOW, ANCHOR, SLICE_BYTES, CACHE_WORDS = 35, 8, 4 << 20, 300_000
+WINDOW, ANCHOR, SLICE_BYTES, CACHE_WORDS = 35, 8, 2 << 20, 150_000
 U = np.uint64
 
 
@@ -148,7 +148,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     carried = f"row {rows.schema['row'].dataType.simpleString()}"
 
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in slices(frames, SLICE_BYTES):
+        for table in slices(frames, SLICE_BYTES, "substring_dedup"):
             split = [t.split() for t in texts_of(table.column(2))]
             words = [w for some in split for w in some]
             doc, least, first, n, at_word = pieces_of(np.array([len(w) for w in split], np.int64), word_hashes(words), window, anchor)
@@ -159,10 +159,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
     def decide(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames, SLICE_BYTES):
-            out: list[dict] = []
-            for key, name, doc_id, text, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts_of(batch.column(3)), batch.column(4).to_pylist(), strict=True):
+            out: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "kept_sha256", "kept", "text", "first", "n")}
+            found, sizes = [], []
+            for text, pieces in zip(texts_of(batch.column(3)), batch.column(4).to_pylist(), strict=True):
                 words = text.split()
-                row = {"key": key, "name": name, "doc_id": doc_id, "n_words": len(words)}
                 # nonbranching pieces that follow one another are one path
                 paths: list[list[int]] = []
                 for p in pieces or ():
@@ -173,24 +173,27 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                             paths.append([p["first"], p["n"]])
                 firsts, lengths = [a for a, _ in paths], [k for _, k in paths]
                 spans = spans_of(firsts, lengths, window)
-                inside = lambda e: any(a <= e and e + window <= b for a, b in spans)
-                edges = []
+                row: dict = {"n_words": len(words)}
                 branching = [p for p in pieces or () if not p["single"]]
+                sizes.append(None)
                 if branching:
-                    firsts_of = np.concatenate([np.arange(p["first"], p["first"] + p["n"]) for p in branching])
-                    found = digests(words, firsts_of, np.full(len(firsts_of), window))
-                    edges = [{"a": a, "b": b, "first": e} for (a, b), e in zip(found.tolist(), firsts_of.tolist(), strict=True)]
-                if edges and not all(inside(x["first"]) for x in edges):
-                    row |= {"text": text.decode(), "first": firsts, "n": lengths, "edges": edges}
+                    edges = np.concatenate([np.arange(p["first"], p["first"] + p["n"]) for p in branching])
+                    found.append((digests(words, edges, np.full(len(edges), window)), edges))
+                    sizes[-1] = len(edges)
+                    last = np.array([b for _, b in spans] or [0])[np.maximum(np.searchsorted([a for a, _ in spans], edges, side="right") - 1, 0)] if spans else np.zeros(len(edges), int)
+                if branching and not (edges + window <= last).all():
+                    row |= {"text": text.decode(), "first": firsts, "n": lengths}
                 else:
-                    row |= finished(text, words, spans, with_text) | {"edges": edges or None}
-                out.append(row)
-            yield pa.RecordBatch.from_pylist(out, schema=schema).append_column("row", batch.column(5))
-
-    schema = pa.schema([
-        ("key", pa.int64()), ("name", pa.string()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("text", pa.string()),
-        ("first", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("edges", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("first", pa.int32())]))),
-    ])
+                    row |= finished(text, words, spans, with_text)
+                for c, values in out.items():
+                    values.append(row.get(c))
+            content, at = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+            ends = np.cumsum([x or 0 for x in sizes]).tolist()
+            offsets = pa.array([*(None if x is None else end - x for x, end in zip(sizes, ends, strict=True)), ends[-1] if ends else 0], pa.int32())
+            edge = pa.StructArray.from_arrays([pa.array(content[:, 0]), pa.array(content[:, 1]), pa.array(at.astype(np.int32))], ["a", "b", "first"])
+            kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "first": pa.list_(pa.int32()), "n": pa.list_(pa.int32())}
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), *(pa.array(v, kinds.get(c, pa.string())) for c, v in out.items()), pa.ListArray.from_arrays(offsets, edge), batch.column(5)], [x.split()[0] for x in FOUND.split(", ")] + ["row"])
+
     with scratch(docs.sparkSession) as keep:
         pieces = materialize(rows.select("key", "check", "text").mapInArrow(cut, "least long, c long, d long, key long, check int, first int, n int"), "pieces")
         same = (F.min("c") == F.max("c")) & (F.min("d") == F.max("d"))
