@@ -25,7 +25,12 @@ CORPUS = (
 
 
 def corpus(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(list(CORPUS), "path string, text string")
+    """path, text: one source file per part, in the part's turn of the templates; its key is in the leaf's name and in names of main."""
+    templates = t.spark.createDataFrame([(i, p, s) for i, (p, s) in enumerate(CORPUS)], "no long, path string, text string")
+    key = F.col("p_partkey").cast("string")
+    path = F.regexp_replace("path", F.lit(r"([^/.]+)\.([^/.]+)$"), F.concat(F.lit("$1_"), key, F.lit(".$2")))
+    made = t.part.select("p_partkey").join(F.broadcast(templates), F.col("p_partkey") % len(CORPUS) == F.col("no"))  # eleven fixed rows
+    return made.select(path.alias("path"), F.replace("text", F.lit("main"), F.concat(F.lit("main_"), key)).alias("text"))
 
 
 def _literal(s: str) -> str:
@@ -33,7 +38,8 @@ def _literal(s: str) -> str:
     return " || chr(10) || ".join("'" + p.replace("\x00r", "' || chr(13) || '") + "'" for p in parts)
 
 
-_CORPUS = "WITH corpus(path, text) AS (VALUES " + ", ".join(f"('{p}', {_literal(s)})" for p, s in CORPUS) + ")"
+_CORPUS = "WITH template(no, path, text) AS (VALUES " + ", ".join(f"({i}, '{p}', {_literal(s)})" for i, (p, s) in enumerate(CORPUS)) + r"""),
+  corpus AS (SELECT regexp_replace(path, '([^/.]+)[.]([^/.]+)$', '\1_' || p_partkey || '.\2') AS path, replace(text, 'main', 'main_' || p_partkey) AS text, p_partkey, no FROM part JOIN template ON p_partkey % """ + f"{len(CORPUS)} = no)"
 _LINES = _CORPUS + ", lines AS (SELECT path, CAST(unnest(range(1, len(l) + 1)) AS BIGINT) AS no, rtrim(unnest(l), chr(13)) AS line FROM (SELECT path, string_split(text, chr(10)) AS l FROM corpus WHERE text <> ''))"
 
 
@@ -182,11 +188,15 @@ def i18_module_name(t: Tables) -> DataFrame:
     return corpus(t).select("path", name.alias("module"))
 
 
-@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) > 200 THEN left(text, 197) || '...' ELSE text END AS short FROM documents WHERE text = regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')")
+@query("""WITH p AS (SELECT doc_id, text, left(text, 200) AS head FROM documents), n AS (SELECT doc_id, text, list_max(list_filter(range(0, 201), lambda k: octet_length(encode(left(head, k))) <= 197)) AS fit FROM p)
+  SELECT doc_id, CASE WHEN octet_length(encode(text)) > 200 THEN left(text, fit) || '...' ELSE text END AS short FROM n""")
 def i23_truncate(t: Tables) -> DataFrame:
-    """Texts over the byte limit cut with an ellipsis; ASCII texts, whose bytes are characters."""
-    ascii_only = F.col("text") == F.regexp_replace("text", r"[^\x00-\x7F]", "")
-    return t.documents.filter(ascii_only).select("doc_id", F.when(F.octet_length("text") > 200, F.concat(F.left("text", F.lit(197)), F.lit("..."))).otherwise(F.col("text")).alias("short"))
+    """Texts of over 200 bytes cut to 197 or fewer at a character's end, with an ellipsis: the head's bytes are cut and an unfinished character goes."""
+    cut = F.encode("text", "UTF-8")
+    whole = lambda n: F.decode(F.substring(cut, 1, n), "UTF-8")
+    lead = lambda n: F.conv(F.hex(F.substring(cut, n + 1, 1)), 16, 10).cast("int").bitwiseAND(0xC0) != 0x80  # noqa: E731  # the byte behind n starts a character
+    fit = F.when(lead(197), whole(197)).when(lead(196), whole(196)).when(lead(195), whole(195)).otherwise(whole(194))
+    return t.documents.select("doc_id", F.when(F.octet_length("text") > 200, F.concat(fit, F.lit("..."))).otherwise(F.col("text")).alias("short"))
 
 
 @query("""WITH h AS (SELECT p_partkey, p_size * 2 AS h FROM part), c AS (SELECT p_partkey, CASE WHEN h <= 50 THEN round(h * 5.1::DOUBLE) ELSE 255 END AS r, CASE WHEN h <= 50 THEN 255 ELSE round(255 - (h - 50) * 5.1::DOUBLE) END AS g FROM h)
@@ -274,9 +284,10 @@ def _uses(text: str) -> list[str]:
     return out
 
 
-@query()
+@query("""WITH u AS (SELECT p_partkey, 'crate::' || lower(replace(p_brand, '#', '_')) AS root, string_split(p_name, ' ') AS names FROM part)
+  SELECT p_partkey, unnest(list_concat(list_transform(names, lambda n: root || '::' || n), [root, root || '::deep::x', root || '::deep::y'])) AS target FROM u""")
 def i08_use_trees(t: Tables) -> DataFrame:
-    """Use statements with their groups expanded; recursive, so an Arrow function, and no SQL check."""
+    """Use statements with their groups expanded; recursive, so an Arrow function."""
 
     @F.arrow_udf("array<string>")
     def uses(column: pa.Array) -> pa.Array:
@@ -337,9 +348,14 @@ def brace_end(text: str, start: int) -> int:
     return len(lines)
 
 
-@query()
+#: Ends and terms of the templates, worked out by hand: (number, name, first line, last line) and (number, terms).
+_ENDS = ((2, "start", 5, 10), (2, "helper", 11, 11), (3, "walk", 1, 6), (4, "go", 3, 6), (4, "load", 4, 6), (5, "Box", 3, 3), (5, "open", 4, 6), (6, "main", 5, 7), (7, "Main", 1, 5))
+_TERMS = ((0, 2), (1, 0), (2, 2), (3, 1), (4, 2), (5, 0), (6, 0), (7, 0), (8, 0), (9, 0), (10, 0))
+
+
+@query(_CORPUS + f", e(no, name, a, b) AS (VALUES {', '.join(map(str, _ENDS))}) SELECT path, replace(name, 'main', 'main_' || p_partkey) AS name, CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS end_no FROM corpus JOIN e USING (no)")
 def i11_brace_ends(t: Tables) -> DataFrame:
-    """End of each braced function, by a scan that knows strings and comments; stateful, so an Arrow function, and no SQL check."""
+    """End of each braced function, by a scan that knows strings and comments; stateful, so an Arrow function."""
 
     @F.arrow_udf("long")
     def end(text: pa.Array, start: pa.Array) -> pa.Array:
@@ -349,9 +365,9 @@ def i11_brace_ends(t: Tables) -> DataFrame:
     return braced.select("path", "name", F.col("no").alias("start"), end("text", "no").alias("end_no"))
 
 
-@query()
+@query(_CORPUS + f", e(no, terms) AS (VALUES {', '.join(map(str, _TERMS))}) SELECT path, CAST(terms AS BIGINT) AS terms FROM corpus JOIN e USING (no)")
 def i13_gate_terms(t: Tables) -> DataFrame:
-    """Branching terms of each file once strings and comments are blanked; the blanking is an Arrow function, and there is no SQL check."""
+    """Branching terms of each file once strings and comments are blanked; the blanking is an Arrow function."""
 
     @F.arrow_udf("string")
     def code(text: pa.Array, hashes: pa.Array) -> pa.Array:

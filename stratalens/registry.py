@@ -10,6 +10,7 @@ import stratalens.operators.decisions
 import stratalens.operators.graph
 import stratalens.operators.joins
 import stratalens.operators.paths
+import stratalens.operators.resolve
 import stratalens.operators.scan
 import stratalens.operators.windows
 import stratalens.plans.compositions
