@@ -17,7 +17,6 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -164,9 +163,11 @@ class Encoder:
         return data.decode("utf-8", errors="replace").encode()
 
 
-@cache
 def encoder(vocabulary: str) -> Encoder:
-    return Encoder(public_tokenizers.path(vocabulary))
+    kept = worker_cache("bpe vocabularies")
+    if vocabulary not in kept:
+        kept[vocabulary] = Encoder(public_tokenizers.path(vocabulary))
+    return kept[vocabulary]
 
 
 def slices(frames: Iterator[pa.RecordBatch], most: int = SLICE_BYTES, owner: str = "") -> Iterator[pa.Table]:

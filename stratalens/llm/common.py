@@ -114,6 +114,7 @@ def batches(frames: Iterator[pa.RecordBatch], most: int = 8 << 20, owner: str =
         step = max(1, int(batch.num_rows * most / batch.nbytes))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    give_back()
 
 
 _CACHE: dict[str, dict] = {}
@@ -121,20 +122,27 @@ _TASK: list[int] = []
 
 
 def fresh_task(owner: str) -> None:
-    """At a task's start, give back what the Python worker kept for another operator, and what the system can have."""
+    """At a task's start, let go of what the Python worker kept for another operator."""
     context = TaskContext.get()
     if context is None or _TASK[-1:] == [context.taskAttemptId()]:
         return
     _TASK[:] = [context.taskAttemptId()]
-    for other in [x for x in _CACHE if x != owner]:
+    for other in [x for x in _CACHE if x.split()[0] != owner]:
         del _CACHE[other]
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system, where the C library can trim its heap; Arrow's own pool would keep it."""
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
     gc.collect()
-    with contextlib.suppress(OSError, AttributeError):  # where the C library can trim its heap
+    with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
 def worker_cache(owner: str) -> dict:
-    """What a Python worker keeps for one operator from task to task."""
+    """What a Python worker keeps from task to task; owner: an operator's name, and what it is for behind a blank."""
     return _CACHE.setdefault(owner, {})
 
 

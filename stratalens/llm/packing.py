@@ -18,7 +18,7 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import cache, cached_property
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from .bpe import Encoder, slices
 from .common import forget_unused, small_batches, worker_cache
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
-TIERS, STEP_TOKENS, SLICE_BYTES, CACHE_WORDS = (2048, 1024, 512, 256), 16384, 16 << 20, 400_000
+TIERS, STEP_TOKENS, SLICE_BYTES, CACHE_WORDS = (2048, 1024, 512, 256), 16384, 8 << 20, 250_000
 #: The vocabulary's own split of lower-cased text, and the words that it is applied to here.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 LATIN = regex.compile(r"[\n!-~\u00a1-\u012f\u0131-\u0240]*")
@@ -177,9 +177,11 @@ class WordTokens:
         return known[np.repeat(first, sizes) + np.arange(ends[-1])], ends[bounds]
 
 
-@cache
 def word_tokens(vocabulary: str) -> WordTokens:
-    return WordTokens(public_tokenizers.path(vocabulary))
+    kept = worker_cache("packing vocabularies")
+    if vocabulary not in kept:
+        kept[vocabulary] = WordTokens(public_tokenizers.path(vocabulary))
+    return kept[vocabulary]
 
 
 def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[tuple[int, int, int]]]:
