@@ -240,7 +240,7 @@ def i28_keyword_match(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 5 WHEN 'STANDARD' THEN 15 WHEN 'PROMO' THEN 30 WHEN 'SMALL' THEN 60 ELSE CAST(p_size AS INTEGER) END AS coupling_limit FROM part")
 def i29_grade_limit(t: Tables) -> DataFrame:
-    """Grade to limit, else the number itself (also i30)."""
+    """Grade to limit, else the number itself."""
     k = F.col("p_type")
     return t.part.select("p_partkey", F.when(k == "ECONOMY", 5).when(k == "STANDARD", 15).when(k == "PROMO", 30).when(k == "SMALL", 60).otherwise(F.col("p_size")).alias("coupling_limit"))
 

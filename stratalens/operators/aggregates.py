@@ -333,13 +333,19 @@ def d32_improvement(t: Tables) -> DataFrame:
     return y.select("c_custkey", F.when(F.col("base") != 0, F.round((F.col("now") - F.col("base")) / F.abs("base") * 100, 4)).alias("improvement"))
 
 
-@query("""WITH c AS (SELECT n_name AS unit, round(100 * count(*) FILTER (WHERE c_acctbal >= 0) / count(*), 2) AS governance, round(100 * count(*) FILTER (WHERE c_mktsegment = 'BUILDING') / count(*), 2) AS diagnostic FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
-  SELECT unit, round_even((governance + diagnostic) / 2, 0) AS overall, CASE WHEN diagnostic >= 75 THEN 100 WHEN diagnostic >= 50 THEN 75 WHEN diagnostic >= 25 THEN 50 ELSE 30 END AS band FROM c""")
+_PARTS = (("rules", "c_acctbal >= 0"), ("gate", "c_mktsegment = 'BUILDING'"), ("checked", "c_custkey % 3 = 0"), ("ct", "c_acctbal > 5000"), ("mri", "c_mktsegment IN ('BUILDING', 'MACHINERY')"), ("graph", "c_custkey % 2 = 0"), ("memory", "c_acctbal < 9000"), ("resolution", "c_custkey % 5 < 4"), ("pollution", "c_acctbal < 2000"))
+
+
+@query("WITH c AS (SELECT n_name AS unit, " + ", ".join(f"CAST(round_even(100.0::DOUBLE * count(*) FILTER (WHERE {r}) / count(*), 0) AS BIGINT) AS {c}" for c, r in _PARTS) + """ FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), s AS (SELECT *, CAST(round_even((rules + gate + checked) / 3.0::DOUBLE, 0) AS BIGINT) AS governance, CAST(round_even((ct + mri + graph + memory) / 4.0::DOUBLE, 0) AS BIGINT) AS diagnostic FROM c)
+  SELECT unit, governance, diagnostic, resolution, pollution, CAST(round_even((diagnostic + governance + resolution + pollution) / 4.0::DOUBLE, 0) AS BIGINT) AS overall, CASE WHEN diagnostic >= 75 THEN 100 WHEN diagnostic >= 50 THEN 75 WHEN diagnostic >= 25 THEN 50 ELSE 30 END AS band FROM s""")
 def d34_composite_scores(t: Tables) -> DataFrame:
-    """Composite score with half-even rounding, and a banded score (also d35, d36)."""
-    c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("unit")).agg(F.round(100 * F.count_if(F.col("c_acctbal") >= 0) / count(), 2).alias("governance"), F.round(100 * F.count_if(F.col("c_mktsegment") == "BUILDING") / count(), 2).alias("diagnostic"))
+    """Governance of three parts, diagnostic of four, overall of these with resolution and pollution, halves to even; and a banded score (also d35)."""
+    even = lambda x: F.bround(x, 0).cast("long")
+    c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("unit")).agg(*(even(100 * F.count_if(F.expr(r)) / count()).alias(name) for name, r in _PARTS))
+    mean = lambda *cs: even(reduce(Column.__add__, map(F.col, cs)) / len(cs))
+    s = c.withColumns({"governance": mean("rules", "gate", "checked"), "diagnostic": mean("ct", "mri", "graph", "memory")})
     d = F.col("diagnostic")
-    return c.select("unit", F.bround((F.col("governance") + d) / 2, 0).alias("overall"), F.when(d >= 75, 100).when(d >= 50, 75).when(d >= 25, 50).otherwise(30).alias("band"))
+    return s.select("unit", "governance", "diagnostic", "resolution", "pollution", mean("diagnostic", "governance", "resolution", "pollution").alias("overall"), F.when(d >= 75, 100).when(d >= 50, 75).when(d >= 25, 50).otherwise(30).alias("band"))
 
 
 @query("""WITH o AS (SELECT o_custkey AS run, min(CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' THEN 1 WHEN o_orderstatus = 'O' THEN 2 WHEN o_orderstatus = 'P' THEN 3 ELSE 5 END) AS p FROM orders GROUP BY 1)
@@ -354,7 +360,7 @@ def d37_outcome_reduction(t: Tables) -> DataFrame:
 
 @query("""SELECT c_mktsegment AS category, count(*) FILTER (WHERE c_acctbal < 0) AS blocking, count(*) AS n, round(avg(c_acctbal) FILTER (WHERE c_acctbal >= 0), 1) AS mean_score FROM customer GROUP BY 1""")
 def d42_register_summary(t: Tables) -> DataFrame:
-    """Entries and blocking ones per category, mean of the scored (also d33, d38, d41)."""
+    """Entries and blocking ones per category, mean of the scored (also d33, d38)."""
     b = F.col("c_acctbal")
     return t.customer.groupBy(F.col("c_mktsegment").alias("category")).agg(F.count_if(b < 0).alias("blocking"), count().alias("n"), F.round(F.avg(F.when(b >= 0, b)), 1).alias("mean_score"))
 

@@ -68,7 +68,7 @@ def b17_evidence_chain(t: Tables) -> DataFrame:
 
 @query("SELECT n_name AS artifact, CASE WHEN count(s_suppkey) = 0 THEN 'unknown' WHEN count(s_suppkey) FILTER (WHERE s_acctbal < 0) > 0 THEN 'fail' ELSE 'pass' END AS verdict, min(s_suppkey) FILTER (WHERE s_acctbal < 0) AS first_failing, count(s_suppkey) FILTER (WHERE s_acctbal < 0) AS failing FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
 def b18_gate_verdict(t: Tables) -> DataFrame:
-    """Verdict with the first failing rule; unknown without rules (also b19)."""
+    """Verdict with the first failing rule; unknown without rules."""
     bad = F.col("s_acctbal") < 0
     g = t.nation.join(t.supplier, F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_name").alias("artifact"))
     return g.agg(F.when(F.count("s_suppkey") == 0, "unknown").when(F.count_if(bad) > 0, "fail").otherwise("pass").alias("verdict"), F.min(F.when(bad, F.col("s_suppkey"))).alias("first_failing"), F.count_if(bad).alias("failing"))

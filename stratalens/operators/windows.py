@@ -79,7 +79,7 @@ def e07_hit_windows(t: Tables) -> DataFrame:
 @query("""WITH c AS (SELECT o_custkey AS batch, o_orderkey AS item, o_totalprice AS cost, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS total FROM orders WHERE o_totalprice < 400000)
   SELECT batch, item, round(total, 2) AS total, max(CASE WHEN total > 1000000 THEN 1 ELSE 0 END) OVER (PARTITION BY batch ORDER BY item ROWS UNBOUNDED PRECEDING) = 0 AS admitted FROM c""")
 def e08_budget_admission(t: Tables) -> DataFrame:
-    """Items in order while their running cost stays within the budget; the first that exceeds it stops all later ones; oversized ones are skipped before (also e09, j31)."""
+    """Items in order while their running cost stays within the budget; the first that exceeds it stops all later ones; oversized ones are skipped before (also e09)."""
     order = W.partitionBy("batch").orderBy("item").rowsBetween(W.unboundedPreceding, 0)
     c = t.orders.filter("o_totalprice < 400000").select(F.col("o_custkey").alias("batch"), F.col("o_orderkey").alias("item"), F.col("o_totalprice").alias("cost"))
     c = c.withColumn("total", F.sum("cost").over(order))
@@ -150,7 +150,7 @@ def f06_overflow_description(t: Tables) -> DataFrame:
 
 @query(_RISK + ", k AS (SELECT module, risk, row_number() OVER (ORDER BY risk DESC, module) AS place FROM risk) SELECT module, risk, place FROM k WHERE place <= 20")
 def f08_module_order(t: Tables) -> DataFrame:
-    """Modules by risk, then name (also l04)."""
+    """Modules by risk, then name."""
     return module_risk(t).withColumn("place", F.row_number().over(W.orderBy(F.desc("risk"), "module")).cast("long")).filter("place <= 20")
 
 
@@ -191,7 +191,7 @@ def f14_treatment_plan(t: Tables) -> DataFrame:
 
 @query("SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS id FROM documents UNION ALL SELECT 'benchmark', CAST(item_id AS VARCHAR) FROM benchmark UNION ALL SELECT 'page', CAST(page_id AS VARCHAR) FROM pages")
 def g01_union_facts(t: Tables) -> DataFrame:
-    """Facts of several sources under one schema (also g06)."""
+    """Facts of several sources under one schema."""
     fact = lambda df, kind, c: df.select(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("id"))
     return fact(t.documents, "document", "doc_id").unionByName(fact(t.benchmark, "benchmark", "item_id")).unionByName(fact(t.pages, "page", "page_id"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 import stratalens.functions.code
 import stratalens.operators.aggregates
 import stratalens.operators.decisions
+import stratalens.operators.evidence
 import stratalens.operators.graph
 import stratalens.operators.joins
 import stratalens.operators.paths
