@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalens.operators.aggregates import _PAST, _RISK, _SHAPE, change_risk, module_risk
-from stratalens.operators.joins import _PAIRS, co_changes
+from stratalens.operators.aggregates import _PAST, _RISK, _SHAPE, change_risk, d19_benchmark_conditions, d21_valid_pairs, d26_session_summary, d27_delivery_times, module_risk
+from stratalens.operators.evidence import b19_audit_status, sql_of
+from stratalens.operators.graph import h01_impacted_files, part_edges
+from stratalens.operators.joins import _PAIRS, c18_paired_deltas, co_changes
+from stratalens.operators.paths import b17_evidence_chain, b18_gate_verdict
+from stratalens.operators.reach import distances, settled
+from stratalens.operators.scan import b16_evidence_coverage
 from stratalens.plans.registry import Tables, query
-from stratalens.sources.bindings import commit_files, session_events, with_views
+from stratalens.sources.bindings import commit_files, commits, files, session_events, with_views
 
 
 def percentiles(scores: DataFrame, score: str) -> DataFrame:
@@ -23,7 +30,7 @@ def percentiles(scores: DataFrame, score: str) -> DataFrame:
   SELECT hash, score, CAST(round(100.0::DOUBLE * n / (SELECT count(*) FROM whole)) AS BIGINT) AS percentile FROM whole JOIN upto USING (k)""")
 def k03_change_risk(t: Tables) -> DataFrame:
     """Change risk of each commit with its percentile among all (d13 to d17, d30)."""
-    risk = change_risk(t).select("hash", "score")
+    risk = settled(change_risk(t).select("hash", "score"))  # used twice
     return risk.withColumn("whole", F.round("score").cast("long")).join(F.broadcast(percentiles(risk, "score")), "whole").select("hash", "score", "percentile")
 
 
@@ -56,14 +63,159 @@ def k09_session_adapt(t: Tables) -> DataFrame:
     return e.groupBy("session").agg(F.count("module").alias("matched"), (F.count(F.lit(1)) - F.count("module")).alias("unmatched"), F.count_if(risky).alias("risky_edits"))
 
 
-@query("""WITH h AS (SELECT k.doc_id, b.item_id FROM documents k JOIN benchmark b ON contains(k.text, left(b.text, 60))) SELECT b.item_id, count(h.doc_id) AS hits, count(h.doc_id) > 0 AS covered, min(h.doc_id) AS first FROM benchmark b LEFT JOIN h USING (item_id) GROUP BY 1""")
+def passage_hits(t: Tables) -> DataFrame:
+    """item_id, doc_id, n: documents that hold a whole benchmark passage, with their bytes; looked up by the passage's longest inner word, which the document must have as a word.
+
+    A passage of fewer than three words has no inner word and no hits. Words move without texts; texts of candidates are read once.
+    """
+    words = F.split("text", r"[ \n]")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    passages = t.benchmark.select("item_id", F.col("text").alias("passage"), F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("key"))
+    index = t.documents.select("doc_id", F.explode(F.array_distinct(words)).alias("key"))
+    near = index.join(passages.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    found = near.join(t.documents.select("doc_id", "text"), "doc_id").join(passages.drop("key"), "item_id").filter(F.contains("text", "passage"))
+    return found.select("item_id", "doc_id", F.octet_length("text").cast("long").alias("n")).distinct()
+
+
+_HITS = "h AS (SELECT DISTINCT b.item_id, k.doc_id, CAST(octet_length(encode(k.text)) AS BIGINT) AS n FROM documents k JOIN benchmark b ON contains(k.text, b.text) AND len(regexp_split_to_array(b.text, '[ \\n]')) > 2)"
+
+
+@query(f"WITH {_HITS}, g AS (SELECT h.*, l.doc_id IS NOT NULL AS guided FROM h LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l ON l.doc_id = h.doc_id) SELECT b.item_id, count(g.doc_id) AS hits, min(g.doc_id) AS first, count(*) FILTER (WHERE guided) > 0 AS covered_a, count(g.doc_id) > 0 AS covered_b, CAST(coalesce(sum(n) FILTER (WHERE guided), 0) AS BIGINT) AS bytes_a, CAST(coalesce(sum(n), 0) AS BIGINT) AS bytes_b, CASE WHEN count(g.doc_id) = 0 THEN 'none' WHEN count(*) FILTER (WHERE guided) > 0 AND sum(n) FILTER (WHERE guided) < sum(n) THEN 'a' WHEN count(*) FILTER (WHERE guided) > 0 THEN 'tie' ELSE 'b' END AS winner FROM benchmark b LEFT JOIN g USING (item_id) GROUP BY 1")
 def k16_retrieval_eval(t: Tables) -> DataFrame:
-    """Documents that hold the first sixty characters of each benchmark passage, looked up by the longest whole word of those."""
-    lead = t.benchmark.select("item_id", F.left("text", F.lit(60)).alias("lead"))
-    words = F.split("lead", r"[ \n]")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1)))
-    keyed = lead.withColumn("key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    runs = t.documents.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"[ \n]"))).alias("key"))
-    hits = runs.join(keyed, "key").filter(F.contains("text", "lead")).select("doc_id", "item_id").distinct()
-    counted = hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("hits"), F.min("doc_id").alias("first"))
-    return t.benchmark.select("item_id").join(counted, "item_id", "left").select("item_id", F.coalesce("hits", F.lit(0)).alias("hits"), F.col("hits").isNotNull().alias("covered"), "first")
+    """Two arms per question: A looks in documents labelled good, B in all; an arm that covers a passage with fewer bytes wins."""
+    good = t.labels.filter("quality = 1").select("doc_id").distinct().withColumn("guided", F.lit(True))
+    hits = passage_hits(t).join(good, "doc_id", "left")
+    a = F.col("guided")
+    counted = hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("hits"), F.min("doc_id").alias("first"), F.count("guided").alias("na"), F.sum(F.when(a, F.col("n"))).alias("bytes_a"), F.sum("n").alias("bytes_b"))
+    x = t.benchmark.select("item_id").join(counted, "item_id", "left").fillna(0, ["hits", "na", "bytes_a", "bytes_b"])
+    winner = F.when(F.col("hits") == 0, "none").when((F.col("na") > 0) & (F.col("bytes_a") < F.col("bytes_b")), "a").when(F.col("na") > 0, "tie").otherwise("b")
+    return x.select("item_id", "hits", "first", (F.col("na") > 0).alias("covered_a"), (F.col("hits") > 0).alias("covered_b"), "bytes_a", "bytes_b", winner.alias("winner"))
+
+
+_TERMS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 3))"
+
+
+@query(f"WITH {_HITS}, q AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark), d AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents), s AS (SELECT item_id, doc_id, count(*) AS score FROM q JOIN d USING (term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM s), f AS (SELECT h.item_id, count(*) AS expected, count(r.doc_id) AS found FROM h LEFT JOIN r ON r.item_id = h.item_id AND r.doc_id = h.doc_id AND k <= 10 GROUP BY 1)"
+  " SELECT b.item_id, coalesce(expected, 0) AS expected, coalesce(found, 0) AS found, CASE WHEN expected > 0 THEN round(found / expected, 6) END AS recall, r.doc_id AS best FROM benchmark b LEFT JOIN f USING (item_id) LEFT JOIN r ON r.item_id = b.item_id AND k = 1")
+def l10_native_retrieval(t: Tables) -> DataFrame:
+    """Documents by the number of a question's terms that they hold, ten a question, and the share of those with the passage among them (c27, i27)."""
+    terms = F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9_]+"), lambda x: F.length(x) >= 3))).alias("term")
+    score = t.documents.select("doc_id", terms).join(t.benchmark.select("item_id", terms), "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
+    ranked = score.withColumn("k", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).filter("k <= 10")
+    ranked = settled(ranked.select("item_id", "doc_id", "k"))
+    found = passage_hits(t).join(ranked, ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.count(F.lit(1)).alias("expected"), F.count("k").alias("found"))
+    best = ranked.filter("k = 1").select("item_id", F.col("doc_id").alias("best"))
+    x = t.benchmark.select("item_id").join(found, "item_id", "left").join(best, "item_id", "left").fillna(0, ["expected", "found"])
+    return x.select("item_id", "expected", "found", F.when(F.col("expected") > 0, F.round(F.col("found") / F.when(F.col("expected") > 0, F.col("expected")), 6)).alias("recall"), "best")
+
+
+def typed(t: Tables) -> DataFrame:
+    """node (module/type), path, size of each file."""
+    return files(t).select(F.concat("module", F.lit("/"), F.lower("p_type")).alias("node"), "path", "size")
+
+
+_TYPED = "typed AS (SELECT module || '/' || lower(p_type) AS node, path, size FROM files), tests AS (SELECT node, count(*) AS n FROM typed WHERE path LIKE '%/tests/%' GROUP BY 1)"
+
+
+@query(with_views("files", "commits") + f", i AS {sql_of('h01_impacted_files')}, {_TYPED} SELECT i.node, distance, CASE WHEN distance = 0 THEN 'changed' ELSE 'imports' END AS reason, CASE WHEN distance < 2 THEN 'high' ELSE 'medium' END AS confidence, coalesce(n, 0) AS tests, CASE WHEN n > 0 THEN 'cargo test -p ' || split_part(i.node, '/', 1) END AS command, CASE WHEN (SELECT max(ts) FROM commits) > 883612800 THEN 'stale-advisory' ELSE 'current' END AS status FROM i LEFT JOIN tests USING (node)")
+def k01_change_impact(t: Tables) -> DataFrame:
+    """What a change of a module reaches against the direction of imports, with tests, commands and whether the record is older than the newest commit (a12, c02, h01, g08, j23)."""
+    tests = typed(t).filter(F.col("path").contains("/tests/")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    newest = commits(t).agg(F.when(F.max("ts") > 883_612_800, "stale-advisory").otherwise("current").alias("status"))
+    d = F.col("distance")
+    x = h01_impacted_files(t).join(tests, "node", "left").crossJoin(F.broadcast(newest))  # one row
+    return x.select("node", "distance", F.when(d == 0, "changed").otherwise("imports").alias("reason"), F.when(d < 2, "high").otherwise("medium").alias("confidence"), F.coalesce("n", F.lit(0)).alias("tests"), F.when(F.col("n") > 0, F.concat(F.lit("cargo test -p "), F.split_part("node", F.lit("/"), F.lit(1)))).alias("command"), "status")
+
+
+@query(with_views("files", "imports") + f", e AS (SELECT DISTINCT importer AS src, target AS dst FROM imports), {_TYPED}, seeds AS (SELECT DISTINCT node FROM typed WHERE size = 50), b(node, distance) AS (SELECT node, CAST(0 AS BIGINT) FROM seeds UNION SELECT e.src, b.distance + 1 FROM b JOIN e ON e.dst = b.node WHERE b.distance < 150), r AS (SELECT node, min(distance) AS distance FROM b GROUP BY 1) SELECT node, distance, distance = 0 AS changed, coalesce(n, 0) AS tests, coalesce(n, 0) = 0 AS fallback FROM r LEFT JOIN tests USING (node)")
+def k02_edit_impact(t: Tables) -> DataFrame:
+    """What the files edited now reach, with the tests of each place; where there are none those beside the file would be taken (a01, c01, h01, g08)."""
+    edges = settled(part_edges(t))
+    seeds = typed(t).filter("size = 50").select("node")
+    reached = distances(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds)
+    tests = typed(t).filter(F.col("path").contains("/tests/")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    return reached.join(tests, "node", "left").select("node", "distance", (F.col("distance") == 0).alias("changed"), F.coalesce("n", F.lit(0)).alias("tests"), F.col("n").isNull().alias("fallback"))
+
+
+@query(f"WITH c AS {sql_of('b16_evidence_coverage')} SELECT k.lang AS kind, count(*) AS total, count(*) FILTER (WHERE contains(lower(text), 'license')) AS matched, least(count(*) FILTER (WHERE contains(lower(text), 'license')), 20) AS returned, count(*) FILTER (WHERE contains(lower(text), 'license')) > 20 AS truncated, any_value(coverage) AS coverage, any_value(confidence) AS confidence FROM documents k JOIN c USING (lang) GROUP BY 1")
+def k05_get_facts(t: Tables) -> DataFrame:
+    """Facts asked for by a word: how many of each kind match, how many are given, and what the evidence covers (b15, b16)."""
+    hit = F.lower("text").contains("license")
+    counted = t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("matched"))
+    x = counted.join(b16_evidence_coverage(t), "lang")
+    return x.select(F.col("lang").alias("kind"), "total", "matched", F.least("matched", F.lit(20)).alias("returned"), (F.col("matched") > 20).alias("truncated"), "coverage", "confidence")
+
+
+@query(f"SELECT 'get_evidence' AS tool, finding AS subject, CASE WHEN backed THEN 'backed' ELSE 'unbacked' END AS status FROM {sql_of('b17_evidence_chain')} UNION ALL SELECT 'get_gate_verdict', artifact, verdict FROM {sql_of('b18_gate_verdict')} UNION ALL SELECT 'get_audit_status', department, status FROM {sql_of('b19_audit_status')} UNION ALL SELECT 'get_change_impact', node, 'distance ' || distance FROM {sql_of('h01_impacted_files')}")
+def k06_tool_answers(t: Tables) -> DataFrame:
+    """Answers of the evidence, gate, audit and impact tools in one relation (b17 to b19, k01)."""
+    some = (
+        b17_evidence_chain(t).select(F.lit("get_evidence").alias("tool"), F.col("finding").alias("subject"), F.when(F.col("backed"), "backed").otherwise("unbacked").alias("status")),
+        b18_gate_verdict(t).select(F.lit("get_gate_verdict").alias("tool"), F.col("artifact").alias("subject"), F.col("verdict").alias("status")),
+        b19_audit_status(t).select(F.lit("get_audit_status").alias("tool"), F.col("department").alias("subject"), "status"),
+        h01_impacted_files(t).select(F.lit("get_change_impact").alias("tool"), F.col("node").alias("subject"), F.concat(F.lit("distance "), F.col("distance").cast("string")).alias("status")),
+    )
+    return reduce(DataFrame.unionByName, some)
+
+
+@query("WITH x AS (SELECT source, lower(lang) AS ext, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS size FROM documents WHERE lang <> '' GROUP BY 1, 2) SELECT source, ext, n, size, round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY source), 2) AS share FROM x")
+def k08_survival_scan(t: Tables) -> DataFrame:
+    """Files and size per source and extension, with the share of the source's files (a04, d03)."""
+    x = t.documents.filter("lang <> ''").groupBy("source", F.lower("lang").alias("ext")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").cast("long").alias("size"))
+    return x.withColumn("share", F.round(100 * F.col("n") / F.sum("n").over(W.partitionBy("source")), 2))
+
+
+@query(f"WITH d AS {sql_of('d19_benchmark_conditions')}, p AS {sql_of('c18_paired_deltas')}, v AS {sql_of('d21_valid_pairs')} SELECT d.condition, attempted, completed, completion_rate, pairs, quality_delta, cost_delta, (SELECT count(*) FROM v WHERE verdict = 'decided') AS cases_decided FROM d LEFT JOIN p USING (condition)")
+def k10_benchmark_tools(t: Tables) -> DataFrame:
+    """Each condition's completion with its paired differences from the baseline, and in how many cases they decide (d19 to d21)."""
+    decided = d21_valid_pairs(t).agg(F.count_if(F.col("verdict") == "decided").alias("cases_decided"))
+    x = d19_benchmark_conditions(t).join(c18_paired_deltas(t), "condition", "left").crossJoin(F.broadcast(decided))  # one row
+    return x.select("condition", "attempted", "completed", "completion_rate", "pairs", "quality_delta", "cost_delta", "cases_decided")
+
+
+@query(with_views("commits") + ", w AS (SELECT author AS repo, arg_max(hash, (ts, hash)) AS latest, count(*) AS runs, count(*) FILTER (WHERE starts_with(subject, 'fix')) AS fixes FROM commits GROUP BY 1), o AS (SELECT author AS repo, arg_max(hash, (ts, hash)) AS before FROM commits WHERE ts <= 852076800 GROUP BY 1) SELECT w.repo, latest, runs, fixes, coalesce(before = latest, false) AS unchanged FROM w LEFT JOIN o USING (repo)")
+def k11_artifact_index(t: Tables) -> DataFrame:
+    """The index of latest runs, built on from an older one: the newer runs decide with the old latest, and every count is taken again (e02, e03)."""
+    log = commits(t)
+    order = F.struct("ts", "hash")
+    old = log.filter("ts <= 852076800").groupBy(F.col("author").alias("repo")).agg(F.max(order).alias("old"))
+    new = log.filter("ts > 852076800").groupBy(F.col("author").alias("repo")).agg(F.max(order).alias("new"))
+    counts = log.groupBy(F.col("author").alias("repo")).agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("subject").startswith("fix")).alias("fixes"))
+    x = counts.join(old, "repo", "left").join(new, "repo", "left")
+    return x.select("repo", F.greatest("old", "new")["hash"].alias("latest"), "runs", "fixes", (F.col("old").isNotNull() & F.col("new").isNull()).alias("unchanged"))
+
+
+@query("""WITH l AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, page_id, unnest(string_split(html, chr(10))) AS line FROM pages) SELECT host, count(*) AS lines, count(*) FILTER (WHERE regexp_matches(regexp_replace(line, '<style>[^<]*</style>', '', 'g'), '[{]|<script')) AS hits,
+  CASE WHEN count(*) FILTER (WHERE regexp_matches(regexp_replace(line, '<style>[^<]*</style>', '', 'g'), '[{]|<script')) > 0 THEN 1 ELSE 0 END AS exit_code FROM l GROUP BY 1""")
+def k13_lint(t: Tables) -> DataFrame:
+    """Lines per host that the lint objects to, and its exit code (b22)."""
+    line = t.pages.select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.explode(F.split("html", "\n", -1)).alias("line"))
+    hits = F.count_if(F.regexp_replace("line", "<style>[^<]*</style>", "").rlike("[{]|<script"))
+    return line.groupBy("host").agg(F.count(F.lit(1)).alias("lines"), hits.alias("hits"), F.when(hits > 0, 1).otherwise(0).alias("exit_code"))
+
+
+@query(with_views("commits") + ", r AS (SELECT author AS repo, sha256(string_agg(CAST(hash AS VARCHAR), ',' ORDER BY hash)) AS now, sha256(string_agg(CAST(hash AS VARCHAR), ',' ORDER BY hash) FILTER (WHERE ts <= 883612800)) AS recorded FROM commits GROUP BY 1) SELECT repo, recorded, now, CASE WHEN recorded IS NULL THEN 'no_run' WHEN recorded = now THEN 'current' ELSE 'stale' END AS status FROM r")
+def k14_snapshot_status(t: Tables) -> DataFrame:
+    """Identity of a snapshot as recorded and as it is now, and whether they agree (a12)."""
+    identity = lambda keep: F.sort_array(F.collect_list(F.when(keep, F.col("hash"))))
+    digest = lambda c: F.when(F.size(c) > 0, F.sha2(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), 256))
+    r = commits(t).groupBy(F.col("author").alias("repo")).agg(identity(F.col("ts") <= 883_612_800).alias("a"), identity(F.lit(True)).alias("b"))
+    x = r.select("repo", digest(F.col("a")).alias("recorded"), digest(F.col("b")).alias("now"))
+    return x.withColumn("status", F.when(F.col("recorded").isNull(), "no_run").when(F.col("recorded") == F.col("now"), "current").otherwise("stale"))
+
+
+@query(f"WITH d AS {sql_of('d27_delivery_times')}, s AS {sql_of('d26_session_summary')} SELECT session, lead_ms, touch_ms, avoidable_ms, CASE WHEN touch_ms > 0 THEN round(avoidable_ms / touch_ms, 6) END AS avoidable_share, errors = 0 AS first_pass, unverified_edits = 0 AS verified FROM d JOIN s USING (session)")
+def k15_delivery(t: Tables) -> DataFrame:
+    """Delivery times of a session, the part that could be saved, and whether it passed at once and was verified (d26, d27)."""
+    x = d27_delivery_times(t).join(d26_session_summary(t), "session")
+    share = F.when(F.col("touch_ms") > 0, F.round(F.col("avoidable_ms") / F.when(F.col("touch_ms") > 0, F.col("touch_ms")), 6))
+    return x.select("session", "lead_ms", "touch_ms", "avoidable_ms", share.alias("avoidable_share"), (F.col("errors") == 0).alias("first_pass"), (F.col("unverified_edits") == 0).alias("verified"))
+
+
+@query(with_views("files", "commit_files") + f", m AS (SELECT module AS name, risk AS value FROM {sql_of('d12_module_risk')} ORDER BY 2 DESC, 1 LIMIT 20), f AS (SELECT path AS name, size AS value FROM files ORDER BY 2 DESC, 1 LIMIT 30), c AS (SELECT path AS name, count(*) AS value FROM commit_files GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50) SELECT 'module' AS kind, name, CAST(value AS BIGINT) AS value FROM m UNION ALL SELECT 'file', name, value FROM f UNION ALL SELECT 'churn', name, value FROM c")
+def l04_evolution_hotspots(t: Tables) -> DataFrame:
+    """The 20 modules of most risk, the 30 largest files and the 50 most changed ones."""
+    top = lambda df, kind, n: df.orderBy(F.desc("value"), "name").limit(n).select(F.lit(kind).alias("kind"), "name", "value")
+    churn = commit_files(t).groupBy(F.col("path").alias("name")).agg(F.count(F.lit(1)).alias("value"))
+    some = (top(module_risk(t).select(F.col("module").alias("name"), F.col("risk").alias("value")), "module", 20), top(files(t).select(F.col("path").alias("name"), F.col("size").alias("value")), "file", 30), top(churn, "churn", 50))
+    return reduce(DataFrame.unionByName, some)
