@@ -63,12 +63,59 @@ def test_lattice_sums_all_segmentations():
         for part in parts[:-1]:
             p *= math.exp(pieces.inner[part]) if part in inner else 0.0
         total += p * (math.exp(pieces.final[parts[-1]]) if parts[-1] in final else 0.0)
-    assert pieces.forward(word) == pytest.approx(math.log(total))
-    counts = [0.0] * 6
-    pieces.expect(b"ab" * 700, counts)
+    assert pieces.forward_one(word) == pytest.approx(math.log(total))
+    assert pieces.forward([word] * 20 + [b"ab"]) == pytest.approx([math.log(total)] * 20 + [pieces.forward_one(b"ab")])
+    counts = np.zeros(6)
+    pieces.expect([b"ab" * 700], counts)
     assert sum(c * n for c, n in zip(counts, (1, 2, 1, 1, 2, 1), strict=True)) == pytest.approx(1400)
 
 
+def test_lattice_blocks_equal_single_words():
+    """Words of equal length together, of the installed vocabulary, give what each gives by itself."""
+    rng = np.random.default_rng(5)
+    pieces = lattice_lm.Pieces.load(public_tokenizers.path(lattice_lm.VOCABULARY))
+    words = [bytes(rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz\xc3\xa9-.", np.uint8), n).tolist()) for n in rng.integers(1, 24, 900)] + [b"internationalization"] * 20 + [b"x" * 3000]
+    assert pieces.forward(words) == pytest.approx([pieces.forward_one(w) for w in words])
+    together, apart = np.zeros(len(pieces.log_p)), np.zeros(len(pieces.log_p))
+    pieces.expect(words, together)
+    for w in words:
+        pieces.expect_one(w, apart)
+    assert together == pytest.approx(apart)
+
+
+def test_lattice_score_is_the_models_probability(spark, docs):
+    """score and lattice_score of whole texts, by a sum over all segmentations of each word that is written here anew."""
+    rows = docs.select("doc_id", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7).cast("int").alias("fold"), "text")
+    model = lattice_lm.learn(rows, lattice_lm.word_counts(rows))
+    p, (inner, final) = np.exp(model.pieces.log_p), model.pieces.number
+    seen = {}
+    for i, t in texts():
+        if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2:
+            for w in SPACE.findall(lower((t or "").encode())):
+                seen[w] = seen.get(w, 0) + 1
+
+    def spelled(word):
+        ways = [1.0] + [0.0] * len(word)
+        for b in range(1, len(word) + 1):
+            for a in range(max(0, b - 40), b):
+                i = (final if b == len(word) else inner).get(word[a:b])
+                ways[b] += ways[a] * p[i] if i is not None else 0.0
+        return ways[-1]
+
+    end = (model.ends + 1) / (model.tokens + model.distinct + 1)
+    want = []
+    for i, t in texts():
+        words = SPACE.findall(lower((t or "").encode()))
+        if len(words) < 1000:
+            arc = lambda w: model.weights[seen[w]] if seen.get(w, 0) <= lattice_lm.MOST_COUNT else model.weights[-1] * seen[w]
+            both = sum(math.log10((arc(w) if w in seen else 0.0) + model.enter * spelled(w)) for w in words)
+            tail = len(words) * math.log10(1 - end) + math.log10(end)
+            want.append((i, round(both + tail, 5), round(sum(math.log10(spelled(w)) for w in words) + tail, 5)))
+    found = lattice_lm.lattice_scores(docs)
+    got = [(r["doc_id"], round(r["score"], 5), round(r["lattice_score"], 5)) for r in found.filter("n_tokens <= 1000").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_lattice_scores(docs, empty):
     n, seen, rows = 0, {}, texts()
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
