@@ -30,7 +30,7 @@ def a01_directory_scan(t: Tables) -> DataFrame:
 
 
 def directory_scan(spark, root: str) -> DataFrame:  # noqa: ANN001
-    """path (relative, forward slashes), length of every file below root."""
+    """path (relative, forward slashes), length of every file below root; Spark's listing leaves hidden names out besides .git."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
     top = root.rstrip("/") + "/"
     relative = F.substr("path", F.locate(top, F.col("path")) + F.lit(len(top)))
