@@ -29,20 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import apart, batches, forget_unused, materialize, scratch, small_batches, texts_of, worker_cache
+from .common import apart, batches, materialize, scratch, small_batches, texts_of
 
-WINDOW, ANCHOR, SLICE_BYTES, CACHE_WORDS = 35, 8, 2 << 20, 150_000
+WINDOW, ANCHOR, SLICE_BYTES = 35, 8, 2 << 20
 U = np.uint64
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """XXH64 of each word."""
-    known, used = worker_cache("substring_dedup"), set(words)
-    for w in used.difference(known):
-        known[w] = xxhash.xxh64_intdigest(w)
-    out = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    forget_unused(known, used, CACHE_WORDS)
-    return out
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -148,7 +143,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     carried = f"row {rows.schema['row'].dataType.simpleString()}"
 
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in slices(frames, SLICE_BYTES, "substring_dedup"):
+        for table in slices(frames, SLICE_BYTES):
             split = [t.split() for t in texts_of(table.column(2))]
             words = [w for some in split for w in some]
             doc, least, first, n, at_word = pieces_of(np.array([len(w) for w in split], np.int64), word_hashes(words), window, anchor)
