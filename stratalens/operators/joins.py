@@ -125,18 +125,20 @@ def c15_cochange_pairs(t: Tables) -> DataFrame:
 def c16_history_windows(t: Tables) -> DataFrame:
     """Per commit, fixes of 180 days and touches of 90 days before it on its files; its own commit is left out.
 
-    A range window replaces the range join: each file's history is sorted once.
+    A range window replaces the range join.
     """
     return history_counts(t)
 
 
 def history_counts(t: Tables) -> DataFrame:
-    h = commits(t).join(commit_files(t), "hash")
-    order = W.partitionBy("path").orderBy("ts")
-    fix = F.when(F.col("subject").startswith("fix"), 1).otherwise(0)
-    fixes = F.sum(fix).over(order.rangeBetween(-180 * DAY, 0)) - fix
+    """hash, fixes_180d, touches_90d. A file's history is cut into periods of 180 days, each with the one before it, so a file of every commit fills many tasks."""
+    h = commits(t).join(commit_files(t), "hash").select("hash", "path", "ts", F.when(F.col("subject").startswith("fix"), 1).otherwise(0).alias("fix"), F.floor(F.col("ts") / (180 * DAY)).alias("own"))
+    placed = h.withColumn("period", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    order = W.partitionBy("path", "period").orderBy("ts")
+    fixes = F.sum("fix").over(order.rangeBetween(-180 * DAY, 0)) - F.col("fix")
     touches = F.count(F.lit(1)).over(order.rangeBetween(-90 * DAY, 0)) - 1
-    return h.select("hash", fixes.alias("f"), touches.alias("c")).groupBy("hash").agg(F.sum("f").alias("fixes_180d"), F.sum("c").alias("touches_90d"))
+    seen = placed.select("hash", "own", "period", fixes.alias("f"), touches.alias("c")).filter("own = period")
+    return seen.groupBy("hash").agg(F.sum("f").alias("fixes_180d"), F.sum("c").alias("touches_90d"))
 
 
 @query(with_views("files") + """, now AS (SELECT path FROM files WHERE size > 40), before AS (SELECT path FROM files WHERE size > 42 OR size % 10 = 0)
@@ -183,13 +185,14 @@ def c19_latest_decision(t: Tables) -> DataFrame:
     return joined.select("gap", F.col("d.hash").alias("hash"), verdict.alias("verdict"))
 
 
-@query("""WITH m AS (SELECT c_mktsegment AS card, list_distinct(list(c_nationkey % 7)) AS signals FROM customer GROUP BY 1), g AS (SELECT s_suppkey AS fact, [s_nationkey % 7, (s_nationkey + 3) % 9] AS signals FROM supplier)
-  SELECT fact, card, CAST(len(list_intersect(list_distinct(g.signals), m.signals)) AS INTEGER) AS matched, CAST(len(list_filter(list_distinct(g.signals), lambda x: NOT list_contains(m.signals, x))) AS INTEGER) AS missing FROM g, m""")
+@query("""WITH m AS (SELECT c_mktsegment AS card, list_distinct(list(c_nationkey % 7)) AS signals FROM customer GROUP BY 1), g AS (SELECT s_suppkey AS fact, list_distinct([s_nationkey % 7, (s_nationkey + 3) % 9]) AS signals FROM supplier)
+  SELECT fact, card, len(list_intersect(g.signals, m.signals)) AS matched, len(g.signals) - len(list_intersect(g.signals, m.signals)) AS missing FROM g, m WHERE len(list_intersect(g.signals, m.signals)) > 0""")
 def c21_method_rules(t: Tables) -> DataFrame:
-    """Signals of a fact that a method's rule has, and those it lacks; the rules are a handful of rows."""
-    rules = t.customer.groupBy(F.col("c_mktsegment").alias("card")).agg(F.collect_set(F.col("c_nationkey") % 7).alias("rule"))
+    """Methods whose rule has some of a fact's signals: how many it has and how many it lacks; met by signal, so no pair without a match is made."""
+    rules = t.customer.select(F.col("c_mktsegment").alias("card"), (F.col("c_nationkey") % 7).alias("signal")).distinct()
     facts = t.supplier.select(F.col("s_suppkey").alias("fact"), F.array_distinct(F.array(F.col("s_nationkey") % 7, (F.col("s_nationkey") + 3) % 9)).alias("signals"))
-    return facts.crossJoin(F.broadcast(rules)).select("fact", "card", F.size(F.array_intersect("signals", "rule")).alias("matched"), F.size(F.array_except("signals", "rule")).alias("missing"))
+    met = facts.select("fact", F.size("signals").alias("n"), F.explode("signals").alias("signal")).join(rules, "signal")
+    return met.groupBy("fact", "card", "n").agg(F.count(F.lit(1)).alias("matched")).select("fact", "card", "matched", (F.col("n") - F.col("matched")).alias("missing"))
 
 
 @query("""WITH d AS (SELECT sha256(text) AS pin, min(doc_id) AS source, count(*) AS n FROM documents GROUP BY 1)
