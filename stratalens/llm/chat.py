@@ -1,7 +1,7 @@
 """Cumulative-snapshot collapse of logged conversations, then rendering; DataFrame functions only.
 
 A logger that writes a conversation anew at each turn leaves snapshots that are prefixes of longer ones.
-Every turn gets a rolling hash of the turns up to it. A conversation whose whole hash is a proper turn prefix
+Every turn gets a rolling hash of the turns up to it, in two halves of 64 bits; prefixes of equal length and hash count as equal. A conversation whose whole hash is a proper turn prefix
 of another is dropped by an anti-join, of identical ones the smallest conv_id stays, and what remains is
 rendered. The rolling hash is an exclusive-or of hashes of (position, role, text), so it is summed up per
 block of turns first and a conversation of any length is spread over many tasks.
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 BLOCK = 256
 START, END = "<|", "|>"
 
@@ -40,6 +42,7 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     sizes = sizes.select(*key, F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("n_turns"))
     placed = ranked.join(sizes, key).withColumn("position", F.col("before") + F.col("rank"))
     placed = placed.withColumn("x", F.xxhash64("position", "a", "b")).withColumn("y", F.xxhash64(F.lit("second"), "b", "position", "a"))
+    placed = materialize(placed.select(*key, "conv_id", "position", "n_turns", "x", "y"), "placed-turns")  # read three times
     blocks = placed.groupBy(*key).agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
     blocks = blocks.select(*key, *(F.coalesce(F.bit_xor(c).over(running), F.lit(0)).alias(f"{c}_before") for c in "xy"))
     so_far = W.partitionBy(*key).orderBy("position").rowsBetween(W.unboundedPreceding, 0)
@@ -47,7 +50,7 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
 
 
 def conv_key(conv_id: Column) -> Column:
-    return F.coalesce(conv_id.cast("string"), F.lit("null"))
+    return F.coalesce(F.concat(F.lit("="), conv_id.cast("string")), F.lit("null"))
 
 
 def maximal_conversations(conversations: DataFrame) -> DataFrame:
