@@ -108,7 +108,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     with scratch(docs.sparkSession) as keep:
         copies = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept"))
         lost = keep(copies.select(as_key(F.col("doc_id")).alias("__id"), F.col("text_sha256").alias("__hash"), (~F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("__lost")), "dropped")
-    maybe, surely = apart(docs.withColumn("__id", as_key(F.col(id_col).cast("long"))), F.col("__id"), lost, F.col("__id"))
-    marked = maybe.withColumn("__hash", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    rows = docs.select(as_key(F.col(id_col).cast("long")).alias("__id"), F.struct(*docs.columns).alias("row"))  # so that no column's name can clash
+    maybe, surely = apart(rows, F.col("__id"), lost, F.col("__id"))
+    marked = maybe.withColumn("__hash", F.sha2(F.coalesce(F.col(f"row.{text_col}"), F.lit("")), 256))
     left = marked.join(lost.filter("__lost").drop("__lost"), ["__id", "__hash"], "left_anti").dropDuplicates(["__id", "__hash"])
-    return left.drop("__id", "__hash").unionByName(surely.drop("__id"))
+    return left.select("row").unionByName(surely.select("row")).select("row.*")

@@ -313,5 +313,5 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col
     with scratch(docs.sparkSession) as keep:
         clusters = near_duplicate_clusters(docs, similarity, id_col=id_col, text_col=text_col)
         gone = keep(clusters.filter(~F.col("keep")).select(F.col("name").alias("__name"), F.col("h").alias("__h")).distinct(), "near-copies")
-    marked = docs.withColumns({"__name": F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null")), "__h": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    return without_keys(marked, ["__name", "__h"], gone).drop("__name", "__h")
+    marked = docs.select(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null")).alias("__name"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__h"), F.struct(*docs.columns).alias("row"))
+    return without_keys(marked, ["__name", "__h"], gone).select("row.*")  # a struct, so that no column's name can clash
