@@ -88,7 +88,7 @@ def without_keys(df: DataFrame, names: list[str], keys: DataFrame) -> DataFrame:
     return maybe.join(keys, names, "left_anti").unionByName(surely)
 
 
-def small_batches(spark: SparkSession, rows: int = 1024, most_bytes: int = 32 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 1024, most_bytes: int = 4 << 20) -> None:
     """Bound an Arrow batch, so that long texts or large blocks don't add up in a Python worker; holds for the session from here on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))

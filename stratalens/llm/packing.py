@@ -33,7 +33,7 @@ from .bpe import Encoder, slices
 from .common import forget_unused, small_batches, worker_cache
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
-TIERS, STEP_TOKENS, SLICE_BYTES, CACHE_WORDS = (2048, 1024, 512, 256), 16384, 8 << 20, 250_000
+TIERS, STEP_TOKENS, SLICE_BYTES, CACHE_WORDS = (2048, 1024, 512, 256), 16384, 4 << 20, 150_000
 #: The vocabulary's own split of lower-cased text, and the words that it is applied to here.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 LATIN = regex.compile(r"[\n!-~\u00a1-\u012f\u0131-\u0240]*")
@@ -173,8 +173,10 @@ class WordTokens:
             bounds = bounds + np.arange(len(bounds))
         sizes = n_ids[codes]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        first = (np.cumsum(n_ids) - n_ids)[codes] - ends[:-1]  # from a place in the result to that in known
-        return known[np.repeat(first, sizes) + np.arange(ends[-1])], ends[bounds]
+        first = ((np.cumsum(n_ids) - n_ids)[codes] - ends[:-1]).astype(np.int32)  # from a place in the result to that in known
+        at = np.repeat(first, sizes)
+        at += np.arange(ends[-1], dtype=np.int32)  # a slice's ids are far fewer than 2^31
+        return known[at], ends[bounds]
 
 
 def word_tokens(vocabulary: str) -> WordTokens:
