@@ -145,7 +145,7 @@ def file_imports(t: Tables) -> DataFrame:
 
 @query(_LINES + _IMPORT_SQL + " SELECT path, no, target FROM im WHERE target <> ''")
 def i07_imports(t: Tables) -> DataFrame:
-    """Imported names per line (also i21, i22)."""
+    """Imported names per line."""
     return file_imports(t)
 
 
@@ -164,7 +164,7 @@ def i14_call_sites(t: Tables) -> DataFrame:
 
 @query("""WITH l AS (SELECT lang, ltrim(unnest(string_split(text, chr(10)))) AS s FROM documents WHERE text <> '') SELECT lang, count(*) AS total, count(*) FILTER (WHERE s = '') AS blank, count(*) FILTER (WHERE regexp_matches(s, '^(#|//|/[*]|[*])')) AS comment, count(*) FILTER (WHERE s <> '' AND NOT regexp_matches(s, '^(#|//|/[*]|[*])')) AS loc FROM l GROUP BY 1""")
 def i16_line_stats(t: Tables) -> DataFrame:
-    """Total, blank, comment and code lines (also d09)."""
+    """Total, blank, comment and code lines."""
     line = t.documents.select("lang", F.explode(native_lines(F.col("text"))).alias("line")).select("lang", F.ltrim("line").alias("s"))
     comment = F.col("s").rlike(r"^(#|//|/[*]|[*])")
     return line.groupBy("lang").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("s") == "").alias("blank"), F.count_if(comment).alias("comment"), F.count_if((F.col("s") != "") & ~comment).alias("loc"))
@@ -173,7 +173,7 @@ def i16_line_stats(t: Tables) -> DataFrame:
 @query(_LINES + """, sig AS (SELECT path, no, regexp_extract(line, '(?:def|fn|function|func) [A-Za-z0-9_]+[(]([^)]*)[)]', 1) AS p, regexp_matches(line, '(def|fn|function|func) [A-Za-z0-9_]+[(]') AS is_sig FROM lines)
   SELECT path, no, CAST(len(list_filter(string_split(p, ','), lambda x: trim(x) NOT IN ('', 'self', '&self', '&mut self'))) AS BIGINT) AS params FROM sig WHERE is_sig""")
 def i17_param_count(t: Tables) -> DataFrame:
-    """Parameters of declared functions without the receiver (also i09, i15)."""
+    """Parameters of declared functions without the receiver (also i09)."""
     sig = numbered_lines(t).filter(F.col("line").rlike(r"(def|fn|function|func) [A-Za-z0-9_]+[(]"))
     inside = F.regexp_extract("line", r"(?:def|fn|function|func) [A-Za-z0-9_]+[(]([^)]*)[)]", 1)
     return sig.select("path", "no", F.size(F.filter(F.split(inside, ","), lambda x: ~F.trim(x).isin("", "self", "&self", "&mut self"))).cast("long").alias("params"))

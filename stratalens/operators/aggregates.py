@@ -106,7 +106,7 @@ def modules(t: Tables) -> DataFrame:
 
 @query(_MODULES + " SELECT module, n_files, sources, tests, greatest(0, sources - tests) AS test_gap, coalesce(churn, 0) AS churn, last, coalesce(coupling, 0) AS coupling FROM s LEFT JOIN c USING (module) LEFT JOIN o USING (module)")
 def d10_module_table(t: Tables) -> DataFrame:
-    """Files, tests, gap, churn and coupling per module (also d39, l03, l07)."""
+    """Files, tests, gap, churn and coupling per module (also d39)."""
     return modules(t)
 
 
@@ -259,12 +259,22 @@ def d23_confusion(t: Tables) -> DataFrame:
     )
 
 
-@query("""WITH a AS (SELECT o_orderpriority AS category, o_custkey AS q, sum(o_totalprice) AS bytes, bool_or(o_orderstatus = 'F') AS covered FROM orders GROUP BY 1, 2)
-  SELECT category, count(*) AS graded, round(avg(CASE WHEN covered THEN 1.0 ELSE 0.0 END), 4) AS coverage, round(sum(bytes), 2) AS total_bytes, round(avg(bytes) FILTER (WHERE covered), 2) AS mean_covered FROM a GROUP BY 1""")
+@query("""WITH a AS (SELECT o_orderpriority AS category, o_custkey AS q, CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS arm, sum(o_totalprice) AS bytes, bool_or(o_orderstatus = 'F') AS covered FROM orders GROUP BY ALL),
+  g AS (SELECT a.*, c_acctbal < 0 AS broken, CASE WHEN covered THEN bytes END AS cost FROM a JOIN customer ON c_custkey = q), w AS (SELECT *, min(cost) OVER (PARTITION BY category, q) AS least, count(*) FILTER (WHERE covered) OVER (PARTITION BY category, q) AS n_covered FROM g)
+  SELECT category, arm, count(*) FILTER (WHERE NOT broken) AS graded, count(*) FILTER (WHERE broken) AS broken, round(avg(CASE WHEN covered THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT broken), 4) AS coverage, round(sum(bytes) FILTER (WHERE NOT broken), 2) AS total_bytes, round(avg(bytes) FILTER (WHERE covered AND NOT broken), 2) AS mean_covered,
+    count(*) FILTER (WHERE NOT broken AND covered AND cost = least) AS wins, count(*) FILTER (WHERE NOT broken AND n_covered > 0 AND (NOT covered OR cost > least)) AS losses, count(*) FILTER (WHERE NOT broken AND n_covered = 0) AS uncovered FROM w GROUP BY 1, 2""")
 def d24_retrieval_arms(t: Tables) -> DataFrame:
-    """Coverage and bytes per category; means over covered questions."""
-    a = t.orders.groupBy(F.col("o_orderpriority").alias("category"), F.col("o_custkey").alias("q")).agg(F.sum("o_totalprice").alias("bytes"), F.bool_or(F.col("o_orderstatus") == "F").alias("covered"))
-    return a.groupBy("category").agg(count().alias("graded"), F.round(F.avg(F.when(F.col("covered"), 1.0).otherwise(0.0)), 4).alias("coverage"), F.round(F.sum("bytes"), 2).alias("total_bytes"), F.round(F.avg(F.when(F.col("covered"), F.col("bytes"))), 2).alias("mean_covered"))
+    """Coverage and bytes per category and arm, broken questions left out; means over covered ones; an arm wins that covers with the fewest bytes."""
+    arm = F.when(F.col("o_orderkey") % 2 == 0, "a").otherwise("b")
+    a = t.orders.groupBy(F.col("o_orderpriority").alias("category"), F.col("o_custkey").alias("q"), arm.alias("arm")).agg(F.sum("o_totalprice").alias("bytes"), F.bool_or(F.col("o_orderstatus") == "F").alias("covered"))
+    g = a.join(t.customer.select(F.col("c_custkey").alias("q"), (F.col("c_acctbal") < 0).alias("broken")), "q").withColumn("cost", F.when(F.col("covered"), F.col("bytes")))
+    least = F.min("cost").over(W.partitionBy("category", "q"))  # two rows at most
+    w, ok, covered = g.withColumn("least", least), ~F.col("broken"), F.col("covered")
+    best = covered & (F.col("cost") == F.col("least"))
+    return w.groupBy("category", "arm").agg(
+        F.count_if(ok).alias("graded"), F.count_if("broken").alias("broken"), F.round(F.avg(F.when(ok, F.when(covered, 1.0).otherwise(0.0))), 4).alias("coverage"), F.round(F.sum(F.when(ok, F.col("bytes"))), 2).alias("total_bytes"), F.round(F.avg(F.when(ok & covered, F.col("bytes"))), 2).alias("mean_covered"),
+        F.count_if(ok & best).alias("wins"), F.count_if(ok & F.col("least").isNotNull() & ~best).alias("losses"), F.count_if(ok & F.col("least").isNull()).alias("uncovered"),
+    )
 
 
 @query("""WITH q AS (SELECT CASE WHEN c_acctbal >= 5000 THEN CASE WHEN c_nationkey >= 12 THEN 'Known Core' ELSE 'Critical Unknown' END ELSE CASE WHEN c_nationkey >= 12 THEN 'Supporting Context' ELSE 'Deferred Unknown' END END AS quadrant FROM customer),
@@ -301,11 +311,22 @@ def timing(t: Tables) -> DataFrame:
     return session_events(t).select("session", "event_id", "action", "target", F.col("at_ms").alias("a"), F.least(F.coalesce(following, F.col("at_ms")), F.col("at_ms") + 3_600_000).alias("b"))
 
 
-@query(_TIMING + """ SELECT session, max(b) - min(a) AS lead_ms, CAST(sum(b - a) AS BIGINT) AS touch_ms, CAST(coalesce(sum(b - a) FILTER (WHERE action IN ('read', 'other')), 0) AS BIGINT) AS avoidable_ms FROM s GROUP BY 1""")
+# Categories of a delivery's time; those from the fourth on could be saved.
+TIMES = ("work", "discovery", "verification", "queue", "handoff", "repeat", "rework", "unnecessary")
+
+
+@query(_TIMING + """, c AS (SELECT session, a, b, CASE WHEN action = 'other' THEN 'rework' WHEN b - a >= 3600000 THEN 'queue' WHEN action = 'exec' THEN 'handoff' WHEN action = 'read' AND row_number() OVER (PARTITION BY session, action, target ORDER BY a, event_id) > 1 THEN 'repeat' WHEN action = 'read' THEN 'discovery'
+    WHEN action = 'verify' THEN 'verification' WHEN target % 10 = 0 THEN 'unnecessary' ELSE 'work' END AS category FROM s) SELECT session, max(b) - min(a) AS lead_ms, CAST(sum(b - a) AS BIGINT) AS touch_ms, """ + ", ".join(f"CAST(coalesce(sum(b - a) FILTER (WHERE category = '{c}'), 0) AS BIGINT) AS {c}_ms" for c in TIMES)
+  + ", CAST(coalesce(sum(b - a) FILTER (WHERE category IN ('queue', 'handoff', 'repeat', 'rework', 'unnecessary')), 0) AS BIGINT) AS avoidable_ms FROM c GROUP BY 1")
 def d27_delivery_times(t: Tables) -> DataFrame:
-    """Lead, touch and avoidable time per delivery."""
-    span = F.col("b") - F.col("a")
-    return timing(t).groupBy("session").agg((F.max("b") - F.min("a")).alias("lead_ms"), F.sum(span).alias("touch_ms"), F.coalesce(F.sum(F.when(F.col("action").isin("read", "other"), span)), F.lit(0)).alias("avoidable_ms"))
+    """Lead and touch time per delivery, its time by eight categories, and what could be saved."""
+    span, action = F.col("b") - F.col("a"), F.col("action")
+    nth = F.row_number().over(W.partitionBy("session", "action", "target").orderBy("a", "event_id"))
+    e = timing(t).withColumn("nth", nth)
+    category = F.when(action == "other", "rework").when(span >= 3_600_000, "queue").when(action == "exec", "handoff").when((action == "read") & (F.col("nth") > 1), "repeat").when(action == "read", "discovery").when(action == "verify", "verification").when(F.col("target") % 10 == 0, "unnecessary").otherwise("work")
+    e = e.withColumn("category", category)
+    part = lambda keep: F.coalesce(F.sum(F.when(keep, span)), F.lit(0))
+    return e.groupBy("session").agg((F.max("b") - F.min("a")).alias("lead_ms"), F.sum(span).alias("touch_ms"), *(part(F.col("category") == c).alias(f"{c}_ms") for c in TIMES), part(F.col("category").isin(*TIMES[3:])).alias("avoidable_ms"))
 
 
 @query("""WITH y AS (SELECT o_orderpriority AS kind, year(o_orderdate) AS y, count(*) AS n, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2) SELECT a.kind, CAST(a.y AS INTEGER) AS year, a.n - b.n AS n_delta, round(a.v - b.v, 2) AS v_delta FROM y a JOIN y b ON a.kind = b.kind AND a.y = b.y + 1""")
@@ -360,7 +381,7 @@ def d37_outcome_reduction(t: Tables) -> DataFrame:
 
 @query("""SELECT c_mktsegment AS category, count(*) FILTER (WHERE c_acctbal < 0) AS blocking, count(*) AS n, round(avg(c_acctbal) FILTER (WHERE c_acctbal >= 0), 1) AS mean_score FROM customer GROUP BY 1""")
 def d42_register_summary(t: Tables) -> DataFrame:
-    """Entries and blocking ones per category, mean of the scored (also d33, d38)."""
+    """Entries and blocking ones per category, mean of the scored (also d33)."""
     b = F.col("c_acctbal")
     return t.customer.groupBy(F.col("c_mktsegment").alias("category")).agg(F.count_if(b < 0).alias("blocking"), count().alias("n"), F.round(F.avg(F.when(b >= 0, b)), 1).alias("mean_score"))
 

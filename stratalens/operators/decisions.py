@@ -100,12 +100,12 @@ def j07_method_selection(t: Tables) -> DataFrame:
     return s.select("fact", F.when(hits == 0, "none").when(F.array_contains("have", "5-LOW"), "unknown").otherwise("proposal").alias("method"), F.when(hits > 1, "high").otherwise("low").alias("confidence"))
 
 
-@query(with_views("commits") + """ SELECT hash, CASE WHEN (SELECT max(ts) FROM commits) - ts > 700 * 86400 THEN 'rejected_stale' WHEN author % 7 = 0 THEN 'rejected_mismatch' WHEN starts_with(subject, 'fix') THEN 'observed' ELSE 'unknown' END AS verdict, sha256(hash || '|' || ts || '|' || subject) AS identity FROM commits""")
+@query(with_views("commits") + """ SELECT hash, CASE WHEN (SELECT max(ts) FROM commits) - ts > 700 * 86400 THEN 'rejected_stale' WHEN author % 7 = 0 THEN 'rejected_mismatch' WHEN starts_with(subject, 'fix') AND hash % 2 = 0 THEN 'observed' ELSE 'unknown' END AS verdict, sha256(hash || '|' || ts || '|' || subject) AS identity FROM commits""")
 def j10_evidence_admission(t: Tables) -> DataFrame:
-    """Admission of observations by age and origin, with a content identity."""
+    """Admission of observations by age and origin, observed only if complete, with a content identity."""
     log = commits(t)
     aged = log.crossJoin(F.broadcast(log.agg(F.max("ts").alias("now"))))
-    verdict = F.when(F.col("now") - F.col("ts") > 700 * DAY, "rejected_stale").when(F.col("author") % 7 == 0, "rejected_mismatch").when(F.col("subject").startswith("fix"), "observed").otherwise("unknown")
+    verdict = F.when(F.col("now") - F.col("ts") > 700 * DAY, "rejected_stale").when(F.col("author") % 7 == 0, "rejected_mismatch").when(F.col("subject").startswith("fix") & (F.col("hash") % 2 == 0), "observed").otherwise("unknown")
     return aged.select("hash", verdict.alias("verdict"), F.sha2(F.concat_ws("|", F.col("hash").cast("string"), F.col("ts").cast("string"), "subject"), 256).alias("identity"))
 
 
@@ -139,13 +139,19 @@ def j13_transition_batch(t: Tables) -> DataFrame:
     return one.groupBy("branch").agg(F.coalesce(F.sum(F.when(~alone, F.col("same"))), F.lit(0)).alias("duplicates"), F.count_if(alone & fine).alias("accepted"), F.count_if(alone & ~fine).alias("rejected"))
 
 
-@query("""WITH b AS (SELECT c_custkey, c_acctbal < 0 AS owes, count(o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS open, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2)
-  SELECT c_custkey, concat_ws(',', CASE WHEN open > 0 THEN 'open' END, CASE WHEN owes THEN 'owes' END, CASE WHEN n = 0 THEN 'unused' END) AS blockers, open = 0 AND NOT owes AND n > 0 AS approved FROM b""")
+# What stands in the way of a retirement, in order.
+BLOCKERS = ("open", "owes", "unused", "partial", "recent", "large")
+
+
+@query("""WITH b AS (SELECT c_custkey, c_acctbal < 0 AS owes, count(*) FILTER (WHERE o_orderstatus = 'O') AS open, count(o_orderkey) AS n, count(*) FILTER (WHERE o_orderstatus = 'P') AS partial, count(*) FILTER (WHERE year(o_orderdate) >= 1998) AS recent, coalesce(max(o_totalprice), 0) > 300000 AS large FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2)
+  SELECT c_custkey, concat_ws(',', CASE WHEN open > 0 THEN 'open' END, CASE WHEN owes THEN 'owes' END, CASE WHEN n = 0 THEN 'unused' END, CASE WHEN partial > 0 THEN 'partial' END, CASE WHEN recent > 0 THEN 'recent' END, CASE WHEN large THEN 'large' END) AS blockers, open = 0 AND NOT owes AND n > 0 AND partial = 0 AND recent = 0 AND NOT large AS approved FROM b""")
 def j15_retirement_gate(t: Tables) -> DataFrame:
-    """All blockers of a retirement; none means approved."""
-    open_n, n = F.count_if(F.col("o_orderstatus") == "O"), F.count("o_orderkey")
-    b = t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey", (F.col("c_acctbal") < 0).alias("owes")).agg(open_n.alias("open"), n.alias("n"))
-    blockers = F.concat_ws(",", F.when(F.col("open") > 0, "open"), F.when(F.col("owes"), "owes"), F.when(F.col("n") == 0, "unused"))
+    """All blockers of a retirement by six checks; none means approved."""
+    s = F.col("o_orderstatus")
+    o = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count_if(s == "O").alias("open"), F.count(F.lit(1)).alias("n"), F.count_if(s == "P").alias("partial"), F.count_if(F.year("o_orderdate") >= 1998).alias("recent"), F.max("o_totalprice").alias("most"))
+    b = t.customer.select("c_custkey", "c_acctbal").join(o, "c_custkey", "left").fillna(0, ["open", "n", "partial", "recent", "most"])
+    holds = (F.col("open") > 0, F.col("c_acctbal") < 0, F.col("n") == 0, F.col("partial") > 0, F.col("recent") > 0, F.col("most") > 300000)
+    blockers = F.concat_ws(",", *(F.when(h, name) for h, name in zip(holds, BLOCKERS, strict=True)))
     return b.select("c_custkey", blockers.alias("blockers"), (blockers == "").alias("approved"))
 
 
@@ -173,11 +179,11 @@ def j18_execution_policy(t: Tables) -> DataFrame:
     return r.join(F.broadcast(table), "profile").select("run", "provider", policy.alias("policy"))  # 24 fixed rows
 
 
-@query("""SELECT lang, concat_ws(';', CASE WHEN max(n_chars) > 20000 THEN 'truncated' END, CASE WHEN count(*) > 200 THEN 'cap_hit' END) AS scope, CASE WHEN max(n_chars) > 20000 OR count(*) > 200 THEN 'partial' ELSE 'complete' END AS claim FROM documents GROUP BY 1""")
+@query("""SELECT lang, concat_ws(';', CASE WHEN max(n_chars) > 20000 THEN 'truncated' END, CASE WHEN count(*) > 200 THEN 'cap_hit' END, CASE WHEN min(n_chars) < 10 THEN 'unreadable_input' END) AS scope, CASE WHEN max(n_chars) > 20000 OR count(*) > 200 OR min(n_chars) < 10 THEN 'partial' ELSE 'complete' END AS claim FROM documents GROUP BY 1""")
 def j20_completeness(t: Tables) -> DataFrame:
     """Completeness claimed for a source, with what limits it."""
-    s = t.documents.groupBy("lang").agg(F.max("n_chars").alias("m"), F.count(F.lit(1)).alias("n"))
-    scope = F.concat_ws(";", F.when(F.col("m") > 20000, "truncated"), F.when(F.col("n") > 200, "cap_hit"))
+    s = t.documents.groupBy("lang").agg(F.max("n_chars").alias("m"), F.count(F.lit(1)).alias("n"), F.min("n_chars").alias("least"))
+    scope = F.concat_ws(";", F.when(F.col("m") > 20000, "truncated"), F.when(F.col("n") > 200, "cap_hit"), F.when(F.col("least") < 10, "unreadable_input"))
     return s.select("lang", scope.alias("scope"), F.when(scope == "", "complete").otherwise("partial").alias("claim"))
 
 
@@ -188,14 +194,16 @@ def j23_test_commands(t: Tables) -> DataFrame:
     return t.part.filter("p_size % 7 = 0").groupBy(F.col("p_brand").alias("module")).agg(F.array_join(F.array_sort(F.collect_set(command)), " && ").alias("command"))
 
 
-@query("""WITH code AS (SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_returnflag = 'R'), decl AS (SELECT s_suppkey AS id, s_acctbal FROM supplier WHERE s_suppkey % 10 <> 3)
-  SELECT id, 'undeclared' AS finding FROM code ANTI JOIN decl USING (id) UNION ALL SELECT id, 'missing' FROM decl ANTI JOIN code USING (id) UNION ALL SELECT id, 'drifted' FROM decl JOIN code USING (id) WHERE s_acctbal < 0""")
+@query("""WITH code AS (SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_returnflag = 'R'), decl AS (SELECT s_suppkey AS id, s_acctbal FROM supplier WHERE s_suppkey % 10 <> 3 UNION ALL SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey % 10 = 5), d AS (SELECT id, any_value(s_acctbal) AS s_acctbal, count(*) AS n FROM decl GROUP BY 1)
+  SELECT id, 'undeclared' AS finding FROM code ANTI JOIN d USING (id) UNION ALL SELECT id, 'missing' FROM d ANTI JOIN code USING (id) UNION ALL SELECT id, 'duplicate' FROM d WHERE n > 1 UNION ALL SELECT id, 'drifted' FROM d JOIN code USING (id) WHERE s_acctbal < 0""")
 def j26_registry_audit(t: Tables) -> DataFrame:
-    """Participants in code against declarations, both ways, and drifted ones."""
+    """Participants in code against declarations, both ways, those declared twice, and drifted ones."""
     code = t.lineitem.filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("id")).distinct().withColumn("used", F.lit(True))
-    declared = t.supplier.filter("s_suppkey % 10 <> 3").select(F.col("s_suppkey").alias("id"), "s_acctbal", F.lit(True).alias("known"))
-    finding = F.when(F.col("known").isNull(), "undeclared").when(F.col("used").isNull(), "missing").when(F.col("s_acctbal") < 0, "drifted")
-    return code.join(declared, "id", "full").select("id", finding.alias("finding")).filter("finding is not null")
+    s = t.supplier.select(F.col("s_suppkey").alias("id"), "s_acctbal")
+    declared = s.filter("id % 10 <> 3").union(s.filter("id % 10 = 5")).groupBy("id").agg(F.first("s_acctbal").alias("balance"), F.count(F.lit(1)).alias("n"))
+    used, known = F.col("used").isNotNull(), F.col("n").isNotNull()
+    findings = F.filter(F.array(F.when(~known, "undeclared"), F.when(~used, "missing"), F.when(F.col("n") > 1, "duplicate"), F.when(known & used & (F.col("balance") < 0), "drifted")), lambda x: x.isNotNull())
+    return code.join(declared, "id", "full").select("id", F.explode(findings).alias("finding"))
 
 
 @query("""WITH r AS (SELECT o_orderkey AS id, o_orderdate AS asked FROM orders), a AS (SELECT l_orderkey AS id, min(l_shipdate) AS answered, count(*) AS n FROM lineitem GROUP BY 1)

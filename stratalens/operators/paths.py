@@ -36,7 +36,7 @@ def b02_default_path(t: Tables) -> DataFrame:
 
 @query(with_views("files") + " SELECT path, path = 'crates/brand_1' OR starts_with(path, 'crates/brand_1/') AS inside FROM files")
 def b03_prefix_pattern(t: Tables) -> DataFrame:
-    """Whether a path is the pattern or lies under it, slashes trimmed (also b23)."""
+    """Whether a path is the pattern or lies under it, slashes trimmed."""
     pattern = "/crates/brand_1/".strip("/")
     return files(t).select("path", ((F.col("path") == pattern) | F.col("path").startswith(f"{pattern}/")).alias("inside"))
 
@@ -53,7 +53,7 @@ def b06_entry_and_support(t: Tables) -> DataFrame:
 
 @query(with_views("files") + " SELECT module, count(*) FILTER (WHERE path LIKE '%/tests/%') AS generated, count(*) AS n FROM files GROUP BY 1")
 def b13_generated_paths(t: Tables) -> DataFrame:
-    """Files with a segment that marks generated output, per module (also b14)."""
+    """Files with a segment that marks generated output, per module."""
     made = F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, GENERATED)))
     return files(t).groupBy("module").agg(F.count_if(made).alias("generated"), count().alias("n"))
 

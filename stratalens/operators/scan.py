@@ -84,17 +84,28 @@ def a09_status_labels(t: Tables) -> DataFrame:
     return xy.select(F.explode(labels).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH a AS (SELECT doc_id, lang AS kind, source || '/' || CAST(doc_id AS VARCHAR) AS path, sha256(text) AS actual, CASE WHEN n_chars % 13 = 0 THEN sha256('stale') ELSE sha256(text) END AS claimed FROM documents),
-  b AS (SELECT *, count(*) OVER (PARTITION BY lower(path)) AS same_path, count(*) OVER (PARTITION BY actual) AS same_content FROM a)
-  SELECT kind, CASE WHEN same_path > 1 THEN 'path_collision' WHEN actual <> claimed THEN 'digest_mismatch' WHEN same_content > 1 THEN 'verified_shared' ELSE 'verified' END AS verdict, count(*) AS n FROM b GROUP BY 1, 2""")
+# What is wrong with an artifact, in the order of the checks.
+FAULTS = ("shape", "path_not_portable", "path_collision", "duplicate", "contract_unknown", "snapshot_mismatch", "digest_mismatch", "payload_invalid")
+
+
+@query("""WITH a AS (SELECT doc_id, lang AS kind, CASE WHEN doc_id % 23 = 1 THEN '../' || doc_id WHEN doc_id % 29 = 2 THEN upper(source) || '/shared' WHEN doc_id % 29 = 3 THEN source || '/shared' ELSE source || '/' || doc_id END AS path, sha256(text) AS actual,
+    CASE WHEN n_chars % 13 = 0 THEN sha256('stale') ELSE sha256(text) END AS claimed, doc_id % 37 = 4 AS other, CASE WHEN n_chars % 17 = 0 THEN '{"n": "many"}' WHEN n_chars % 19 = 0 THEN '{"n": ' ELSE '{"n": ' || n_chars || '}' END AS payload, n_chars < 5 AS empty FROM documents),
+  b AS (SELECT *, count(*) OVER (PARTITION BY lower(path)) AS same, count(*) OVER (PARTITION BY path, claimed) AS twice, count(*) OVER (PARTITION BY path) AS alike FROM a)
+  SELECT kind, CASE WHEN empty THEN 'shape' WHEN starts_with(path, '../') THEN 'path_not_portable' WHEN same > alike THEN 'path_collision' WHEN twice > 1 THEN 'duplicate' WHEN kind = 'es' THEN 'contract_unknown' WHEN other THEN 'snapshot_mismatch' WHEN actual <> claimed THEN 'digest_mismatch'
+    WHEN NOT json_valid(payload) OR TRY_CAST(json_extract_string(payload, '$.n') AS BIGINT) IS NULL THEN 'payload_invalid' ELSE 'verified' END AS verdict, count(*) AS n FROM b GROUP BY 1, 2""")
 def a10_artifact_verify(t: Tables) -> DataFrame:
-    """Verdict on each artifact: colliding path, digest mismatch, content shared or its own."""
-    actual = F.sha2("text", 256)
-    a = t.documents.select(F.col("lang").alias("kind"), F.lower(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))).alias("path"), actual.alias("actual"), F.when(F.col("n_chars") % 13 == 0, F.sha2(F.lit("stale"), 256)).otherwise(actual).alias("claimed"))
-    paths = a.groupBy("path").agg(F.count(F.lit(1)).alias("same_path"))
-    contents = a.groupBy("actual").agg(F.count(F.lit(1)).alias("same_content"))
-    verdict = F.when(F.col("same_path") > 1, "path_collision").when(F.col("actual") != F.col("claimed"), "digest_mismatch").when(F.col("same_content") > 1, "verified_shared").otherwise("verified")
-    return a.join(paths, "path").join(contents, "actual").groupBy("kind", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    """Artifacts by the first of eight checks that fails: shape, portable path, paths that differ in case only, repeats, registered contract, snapshot, digest, payload under its schema."""
+    k, n, actual = F.col("doc_id"), F.col("n_chars"), F.sha2("text", 256)
+    path = F.when(k % 23 == 1, F.concat(F.lit("../"), k.cast("string"))).when(k % 29 == 2, F.concat(F.upper("source"), F.lit("/shared"))).when(k % 29 == 3, F.concat("source", F.lit("/shared"))).otherwise(F.concat("source", F.lit("/"), k.cast("string")))
+    payload = F.when(n % 17 == 0, '{"n": "many"}').when(n % 19 == 0, '{"n": ').otherwise(F.concat(F.lit('{"n": '), n.cast("string"), F.lit("}")))
+    a = t.documents.select(F.col("lang").alias("kind"), path.alias("path"), actual.alias("actual"), F.when(n % 13 == 0, F.sha2(F.lit("stale"), 256)).otherwise(actual).alias("claimed"), (k % 37 == 4).alias("other"), F.from_json(payload, "n long")["n"].alias("parsed"), (n < 5).alias("empty"))
+    alike = a.groupBy("path").agg(F.count(F.lit(1)).alias("alike"))
+    same = alike.groupBy(F.lower("path").alias("low")).agg(F.count(F.lit(1)).alias("cases"))
+    twice = a.groupBy("path", "claimed").agg(F.count(F.lit(1)).alias("twice"))
+    x = a.join(twice, ["path", "claimed"]).join(same, F.lower("path") == F.col("low"))
+    bad = (F.col("empty"), F.col("path").startswith("../"), F.col("cases") > 1, F.col("twice") > 1, F.col("kind") == "es", F.col("other"), F.col("actual") != F.col("claimed"), F.col("parsed").isNull())
+    verdict = F.coalesce(*(F.when(b, name) for b, name in zip(bad, FAULTS, strict=True)), F.lit("verified"))
+    return x.groupBy("kind", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT source, count(*) FILTER (WHERE octet_length(encode(text)) <= 4096) AS n_read, count(*) FILTER (WHERE octet_length(encode(text)) > 4096) AS n_refused FROM documents GROUP BY source")

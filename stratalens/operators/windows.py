@@ -135,7 +135,7 @@ def e15_top_ties(t: Tables) -> DataFrame:
 
 @query(with_views("files") + " SELECT path, size FROM files WHERE size > 45 ORDER BY size DESC, path LIMIT 8")
 def f03_god_targets(t: Tables) -> DataFrame:
-    """The eight largest files over the limit (also f02, f04, f07)."""
+    """The eight largest files over the limit (also f04)."""
     return files(t).filter("size > 45").orderBy(F.desc("size"), "path").limit(8).select("path", "size")
 
 
@@ -177,7 +177,7 @@ def f12_symbol_cap(t: Tables) -> DataFrame:
 
 @query(with_views("commits", "commit_files") + " SELECT path, hash, ts FROM (SELECT path, hash, ts, row_number() OVER (PARTITION BY path ORDER BY ts DESC, hash DESC) AS k FROM commits JOIN commit_files USING (hash)) WHERE k <= 5")
 def f13_recent_commits(t: Tables) -> DataFrame:
-    """The five newest commits of each file (also d40, k18)."""
+    """The five newest commits of each file (also k18)."""
     log = commits(t).join(commit_files(t), "hash").select("path", "hash", "ts")
     return log.withColumn("k", F.row_number().over(W.partitionBy("path").orderBy(F.desc("ts"), F.desc("hash")))).filter("k <= 5").drop("k")
 

@@ -11,6 +11,7 @@ import stratalens.operators.evidence
 import stratalens.operators.graph
 import stratalens.operators.joins
 import stratalens.operators.paths
+import stratalens.operators.reports
 import stratalens.operators.resolve
 import stratalens.operators.scan
 import stratalens.operators.windows
