@@ -13,10 +13,11 @@ bits needs hundreds of partitions a text once the corpus is large. So the same p
 fingerprint of the same shingle hashes: MIN_WORDS words, each the least value of one hash function (two texts agree on
 a word with a chance equal to their similarity). The bits of a word go together, so partitions are BAND whole words,
 with threshold 0: a pair at 0.8 shares one of the PARTS partitions with a chance of 0.998, whatever the number of
-texts, and a pair at 0.3 with one of 0.1. First each text meets one text of its bucket, by one of SALTS orders; the
+texts, and a pair at 0.3 with one of 0.1. First each text meets the first texts of its buckets, by SALTS orders; the
 links found join most of a large group. Then every pair of a bucket whose texts are not yet in one group meets, in
-blocks: in the end each pair of a bucket is decided or within one group. The words that agree estimate the similarity,
-and pairs estimated far below it (by DOUBT, over three standard deviations) are left out in the second pass; all others
+blocks: in the end each pair of a bucket is decided or within one group. The share of bits that differ between two
+majority fingerprints of WIDE 64-bit words gives their cosine and so an estimate of the similarity; pairs estimated
+below it by more than DOUBT, four standard deviations, are left out, and all others
 are links only if the two whole shingle sets say so. Texts of equal shingle sets are one node, so copies are never paired.
 
 Defined results: null text counts as empty; a text of no words has fingerprint zero, linked like any other;
@@ -200,12 +201,12 @@ def near_duplicates(docs: DataFrame, tau: int = 3, shingle: int = 3, id_col: str
     return prints.join(materialize(named, "named"), "fp").select("doc_id", "fp", "component_id")
 
 
-MIN_WORDS, BAND, SHINGLE, SIMILARITY, DOUBT, SALTS = 48, 4, 5, 0.8, 0.2, 3
+MIN_WORDS, BAND, WIDE, SHINGLE, SIMILARITY, DOUBT, SALTS = 48, 4, 20, 5, 0.8, 0.1, 4
 PARTS = MIN_WORDS // BAND
 BLOCK = 256  # members of a bucket that meet all others in one task
 #: Odd multipliers that derive the hash functions from one hash.
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(bytes([i]), 1) | 1 for i in range(MIN_WORDS)], dtype=np.uint64)
-PRINTS = "row_id long, doc_id long, h long, d1 long, d2 long, keys array<long>, words array<int>, shingles array<long>"
+PRINTS = "row_id long, doc_id long, h long, d1 long, d2 long, n int, keys array<long>, fp array<long>, shingles array<long>"
 
 
 def least_words(hashes: np.ndarray) -> np.ndarray:
@@ -225,9 +226,18 @@ def partition_keys(words: np.ndarray) -> list[int]:
     return [signed(xxhash.xxh64_intdigest(data[8 * BAND * i : 8 * BAND * (i + 1)], i)) for i in range(PARTS)]
 
 
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WIDE signed integers of majority bits of as many hash functions over the hashes."""
+    h = hashes[:, None] * MULTIPLIERS[None, :WIDE]
+    return majority((h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def likely(a: str, b: str) -> Column:
-    """Estimate of the similarity from the words of two fingerprints."""
-    return reduce(Column.__add__, ((F.col(a)[i] == F.col(b)[i]).cast("int") for i in range(MIN_WORDS))) / MIN_WORDS
+    """Estimate of the similarity of nodes a and b (prefixes of the columns fp and n)."""
+    apart_by = reduce(Column.__add__, (differing(F.col(f"{a}fp")[i], F.col(f"{b}fp")[i]) for i in range(WIDE)))
+    one, two = F.col(f"{a}n").cast("double"), F.col(f"{b}n").cast("double")
+    shared = F.cos(apart_by * (np.pi / (WIDE * BITS))) * F.sqrt(one * two)
+    return shared / (one + two - shared)
 
 
 def ordered(a: str, b: str) -> list[Column]:
@@ -237,16 +247,16 @@ def ordered(a: str, b: str) -> list[Column]:
 def pairs_across(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """a, b: pairs of a bucket in different groups with an estimated similarity of `least` or more.
 
-    members: node, key, root, main (the group of the bucket's first); nodes: node, words. Those outside the main group
+    members: node, key, root, main (the group of the bucket's first); nodes: node, fp, n. Those outside the main group
     meet all members, in blocks of about BLOCK.
     """
     few = members.filter(F.col("root") != F.col("main")).groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    contested = materialize(members.join(few, "key").join(nodes.select("node", "words"), "node"), "contested")
+    contested = materialize(members.join(few, "key").join(nodes.select("node", "fp", "n"), "node"), "contested")
     a = contested.filter(F.col("root") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("x")
     b = contested.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.root") != F.col("y.root")) & once
-    return a.join(b, met & (likely("x.words", "y.words") >= least)).select(*ordered("x.node", "y.node")).distinct()
+    return a.join(b, met & (likely("x.", "y.") >= least)).select(*ordered("x.node", "y.node")).distinct()
 
 
 def key_of(doc_id: str, h: str) -> tuple[Column, Column]:
@@ -254,6 +264,13 @@ def key_of(doc_id: str, h: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).alias("name"), F.col(h).alias("h")
 
 
+def likely_pairs(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose estimated similarity is `least` or more."""
+    one, two = (nodes.select(F.col("node").alias(c), F.col("fp").alias(f"{c}fp"), F.col("n").alias(f"{c}n")) for c in "ab")
+    both = pairs.join(one, "a").alias("x").join(two.alias("y"), (F.col("x.b") == F.col("y.b")) & (likely("a", "b") >= least))
+    return both.select("x.a", "x.b")
+
+
 def similar_pairs(pairs: DataFrame, nodes: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose whole shingle sets have the similarity."""
     asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row_id"), "node"), "asked")
@@ -279,23 +296,25 @@ def near_duplicate_clusters(docs: DataFrame, similarity: float = SIMILARITY, shi
             names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
             words = [least_words(s) if len(s) else None for s in sets]
             keys = [None if w is None else partition_keys(w) for w in words]
-            short = [None if w is None else (w >> np.uint64(32)).astype(np.uint32).view(np.int32) for w in words]
+            wide = [wide_fingerprint(s) if len(s) else None for s in sets]
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int32())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
                 [x.split()[0] for x in PRINTS.split(", ")],
             )
 
     prints = materialize(rows.mapInArrow(run, PRINTS), "prints")
-    one = prints.filter("keys is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "h", "row_id")).alias("r"), F.first("keys").alias("keys"), F.first("words").alias("words"), F.count(F.lit(1)).alias("rows"))
-    nodes = materialize(one.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "r.*", "keys", "words", "rows"), "nodes")
-    salts = F.array(*(F.lit(signed(xxhash.xxh64_intdigest(bytes([i]), SEED))) for i in range(SALTS)))
-    own = nodes.select("node", F.posexplode("keys").alias("part", "key")).withColumn("salt", salts[F.col("part") % SALTS])
-    firsts = materialize(own.groupBy("key", "salt").agg(F.min(F.col("node").bitwiseXOR(F.col("salt"))).alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("low").bitwiseXOR(F.col("salt")).alias("other")), "bucket-firsts")
-    pairs = materialize(own.join(firsts, "key").filter(F.col("node") != F.col("other")).select(*ordered("node", "other")).distinct(), "pairs")
-    links = similar_pairs(pairs, nodes, prints, similarity)
+    one = prints.filter("keys is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "h", "row_id")).alias("r"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("rows"))
+    nodes = materialize(one.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "r.*", "n", "keys", "fp", "rows"), "nodes")
+    salts = [signed(xxhash.xxh64_intdigest(bytes([i]), SEED)) for i in range(SALTS)]
+    own = nodes.select("node", F.explode("keys").alias("key"))
+    lows = own.groupBy("key").agg(*(F.min(F.col("node").bitwiseXOR(F.lit(x))).alias(f"low{i}") for i, x in enumerate(salts)), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    firsts = materialize(lows.select("key", F.array(*(F.col(f"low{i}").bitwiseXOR(F.lit(x)) for i, x in enumerate(salts))).alias("firsts")), "bucket-firsts")
+    met = own.join(firsts, "key").select("node", F.explode(F.array_distinct("firsts")).alias("other")).filter(F.col("node") != F.col("other"))
+    pairs = materialize(met.select(*ordered("node", "other")).distinct(), "pairs")
+    links = similar_pairs(materialize(likely_pairs(pairs, nodes, similarity - DOUBT), "likely-pairs"), nodes, prints, similarity)
     roots = components(links)
     grouped = materialize(nodes.join(roots, "node", "left").select("node", "keys", F.coalesce("root", "node").alias("root")), "grouped")
-    mains = firsts.join(grouped.select(F.col("node").alias("other"), F.col("root").alias("main")), "other").select("key", "main")
+    mains = firsts.select("key", F.col("firsts")[0].alias("other")).join(grouped.select(F.col("node").alias("other"), F.col("root").alias("main")), "other").select("key", "main")
     members = materialize(grouped.select("node", F.explode("keys").alias("key"), "root").join(mains, "key"), "members")
     across = materialize(pairs_across(members, nodes, similarity - DOUBT), "pairs-across")
     links = links.union(similar_pairs(across.join(pairs, ["a", "b"], "left_anti"), nodes, prints, similarity))
