@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, slices
-from .common import forget_unused, small_batches, worker_cache
+from .common import small_batches, worker_cache
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
-TIERS, STEP_TOKENS, SLICE_BYTES, CACHE_WORDS = (2048, 1024, 512, 256), 16384, 4 << 20, 150_000
+TIERS, STEP_TOKENS, SLICE_BYTES = (2048, 1024, 512, 256), 16384, 8 << 20
 #: The vocabulary's own split of lower-cased text, and the words that it is applied to here.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 LATIN = regex.compile(r"[\n!-~\u00a1-\u012f\u0131-\u0240]*")
@@ -48,20 +48,43 @@ class Merges:
     def __init__(self, path: str) -> None:
         plain = Encoder(path)
         self.of_byte, self.of_last, self.size = plain.of_byte, plain.of_last, plain.size
-        pair, rank = (np.array(x, np.int64) for x in zip(*sorted(plain.rank.items()), strict=True))
-        self.pair, self.rank = pair, rank.astype(np.int32)
+        # an open hash table, so that a look-up is a few reads: places follow one another from a pair's hash on
+        pairs, places = np.array([*plain.rank], np.int64), 1 << 19
+        self.key, self.value, self.probes = np.full(places + 64, -1, np.int64), np.full(places + 64, self.NONE, np.int32), 0
+        for pair, at in zip(pairs.tolist(), self.place(pairs).tolist(), strict=True):
+            first = at
+            while self.key[at] >= 0:
+                at += 1
+            self.key[at], self.value[at] = pair, plain.rank[pair]
+            self.probes = max(self.probes, at - first + 1)
         self.made = np.array([c for _, _, c in plain.parts], np.int32)
         self.twin = np.array([a == b for a, b, _ in plain.parts])
 
+    @staticmethod
+    def place(pair: np.ndarray) -> np.ndarray:
+        return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(45)).astype(np.int64)
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        wanted = left.astype(np.int64) * self.size + right
-        at = np.minimum(np.searchsorted(self.pair, wanted), len(self.pair) - 1)
-        return np.where(self.pair[at] == wanted, self.rank[at], self.NONE)
-
-    def __call__(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, which must not be empty, as little-endian 32-bit integers."""
-        if not words:
-            return []
+        pair = left.astype(np.int64) * self.size + right
+        at = self.place(pair)
+        out = np.where(self.key[at] == pair, self.value[at], self.NONE)
+        open_ = np.flatnonzero((self.key[at] != pair) & (self.key[at] >= 0))
+        for step in range(1, self.probes):
+            if not len(open_):
+                break
+            here = at[open_] + step
+            hit = self.key[here] == pair[open_]
+            out[open_[hit]] = self.value[here[hit]]
+            open_ = open_[~hit & (self.key[here] >= 0)]
+        return out
+
+    def __call__(self, words: list[bytes], block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, which must not be empty, one after another, and the number of each word's; in blocks that fit a cache."""
+        parts = [self.merged(words[at : at + block]) for at in range(0, len(words), block)] or [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+        ids, sizes = zip(*parts, strict=True)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         count = np.fromiter(map(len, words), np.int64, len(words))
         data = np.frombuffer(b"".join(words), np.uint8)
         symbol, last = self.of_byte[data], np.cumsum(count) - 1
@@ -103,24 +126,34 @@ class Merges:
             rank[new] = self.NONE
             new = new[~final[new]]
             rank[new] = self.ranks(symbol[new], symbol[new + 1])
-        out: list[bytes] = [b""] * len(words)
+        sizes = np.zeros(len(words), np.int64)
+        for which, size, _ in done:
+            sizes[which] = size
+        at, out = np.cumsum(sizes) - sizes, np.zeros(sizes.sum(), np.uint32)
         for which, size, ids in done:
-            data, bounds = ids.astype("<u4").tobytes(), (np.cumsum(size) * 4).tolist()
-            for w, a, b in zip(which.tolist(), [0, *bounds], bounds, strict=False):
-                out[w] = data[a:b]
-        return out
+            out[np.repeat(at[which] - (np.cumsum(size) - size), size) + np.arange(len(ids))] = ids
+        return out, sizes
+
+
+def gathered(known: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of `known` (of these sizes, one after another) that the codes name, one after another, and where each ends; fewer than 2^31 values."""
+    size = sizes[codes]
+    ends = np.cumsum(size)
+    at = np.repeat(((np.cumsum(sizes) - sizes)[codes] - (ends - size)).astype(np.int32), size)
+    at += np.arange(len(at), dtype=np.int32)
+    return known[at], ends
 
 
 class WordTokens:
-    """Ids per white-space separated word, kept; the vocabulary drops white space, so words are independent.
+    """Ids per white-space separated word; the vocabulary drops white space, so words are independent.
 
-    Words of Latin letters, digits and signs are merged together; the tokenizers library takes the few others.
+    A slice's distinct words are split into their distinct pre-tokens, and these merged together. Words of other than
+    Latin letters, digits and signs go to the tokenizers library.
     """
 
     def __init__(self, path: str) -> None:
         self.path = path
         self.merges = Merges(path)
-        self.words: dict[bytes, bytes] = {}
 
     @cached_property
     def tokenizer(self):  # noqa: ANN201
@@ -132,23 +165,27 @@ class WordTokens:
         tokenizer.no_padding()
         return tokenizer
 
-    def learn(self, new: list[bytes]) -> None:
-        together = b"\n".join(new).decode()
-        others: list[bytes] = []
-        if not LATIN.fullmatch(together) or "<|" in together:
-            fit = [bool(LATIN.fullmatch(t := w.decode())) and "<|" not in t for w in new]
-            others = [w for w, ok in zip(new, fit, strict=True) if not ok]
-            new = [w for w, ok in zip(new, fit, strict=True) if ok]
-            together = b"\n".join(new).decode()
-        texts = unicodedata.normalize("NFC", together).lower().split("\n") if new else []
-        parts = [[t] if t.isalpha() else [t[:-1], t[-1]] if t[:-1].isalpha() else PRE_TOKEN.findall(t) for t in texts]
-        tokens = list({p for some in parts for p in some})
-        ids = dict(zip(tokens, self.merges([t.encode() for t in tokens]), strict=True))
-        self.words.update((word, ids[some[0]] if len(some) == 1 else b"".join([ids[p] for p in some])) for word, some in zip(new, parts, strict=True))
-        for at in range(0, len(others), 8192):
-            part = others[at : at + 8192]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.words[word] = b"".join(i.to_bytes(4, "little") for i in found.ids)
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, one after another, and the number of each word's."""
+        plain = [t.isascii() and t.isprintable() and "<|" not in t or bool(LATIN.fullmatch(t)) and "<|" not in t for t in words]
+        others = [t for t, ok in zip(words, plain, strict=True) if not ok]
+        texts = unicodedata.normalize("NFC", "\n".join([t if ok else "" for t, ok in zip(words, plain, strict=True)])).lower().split("\n") if words else []
+        tokens: dict[str, int] = {}
+        code = tokens.setdefault
+        parts = [(t,) if t.isalpha() else (t[:-1], t[-1]) if t[:-1].isalpha() else PRE_TOKEN.findall(t) for t in texts]
+        codes = np.array([code(p, len(tokens)) for some in parts for p in some], np.int64)
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        known, sizes = self.merges([t.encode() for t in tokens])
+        if others:  # each is a token of its own
+            found = [e.ids for at in range(0, len(others), 8192) for e in self.tokenizer.encode_batch_fast(others[at : at + 8192], add_special_tokens=False)]
+            known = np.concatenate([known, *(np.array(x, np.uint32) for x in found)])
+            where = np.flatnonzero(~np.array(plain))
+            codes = np.insert(codes, np.cumsum(count)[where], len(sizes) + np.arange(len(others)))
+            sizes = np.concatenate([sizes, np.fromiter(map(len, found), np.int64, len(found))])
+            count[where] += 1
+        ids, ends = gathered(known, sizes, codes)
+        last = np.concatenate([[0], ends])[np.cumsum(count)]
+        return ids, np.diff(last, prepend=0)
 
     def encode(self, texts: pa.Array | pa.ChunkedArray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, `end` behind each, and the offset at which each text starts and the last one stops."""
@@ -157,26 +194,15 @@ class WordTokens:
         if isinstance(split, pa.ChunkedArray):
             split = pa.concat_arrays(split.chunks)
         coded = split.flatten().dictionary_encode()
-        used = coded.dictionary.cast(pa.binary()).to_pylist()
-        self.words = worker_cache("packing")
-        self.words[b""] = b""
-        self.learn([w for w in used if w not in self.words])
-        blobs = [self.words[w] for w in used]
-        forget_unused(self.words, used, CACHE_WORDS)
-        if end is not None:
-            blobs.append(end.to_bytes(4, "little"))
-        known, n_ids = np.frombuffer(b"".join(blobs), "<u4"), np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        known, sizes = self.learn(coded.dictionary.to_pylist())
         bounds, codes = np.asarray(split.offsets).astype(np.int64), coded.indices.to_numpy()
         bounds -= bounds[0]
         if end is not None:
-            codes = np.insert(codes, bounds[1:], len(blobs) - 1)
+            codes = np.insert(codes, bounds[1:], len(sizes))
+            known, sizes = np.append(known, np.uint32(end)), np.append(sizes, 1)
             bounds = bounds + np.arange(len(bounds))
-        sizes = n_ids[codes]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        first = ((np.cumsum(n_ids) - n_ids)[codes] - ends[:-1]).astype(np.int32)  # from a place in the result to that in known
-        at = np.repeat(first, sizes)
-        at += np.arange(ends[-1], dtype=np.int32)  # a slice's ids are far fewer than 2^31
-        return known[at], ends[bounds]
+        ids, ends = gathered(known, sizes, codes)
+        return ids, np.concatenate([[0], ends])[bounds]
 
 
 def word_tokens(vocabulary: str) -> WordTokens:
