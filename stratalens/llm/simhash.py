@@ -15,7 +15,7 @@ a word with a chance equal to their similarity). The bits of a word go together,
 with threshold 0: a pair at 0.8 shares one of the PARTS partitions with a chance of 0.998, whatever the number of
 texts, and a pair at 0.3 with one of 0.1. First each text meets the first texts of its buckets, by SALTS orders; the
 links found join most of a large group. Then every pair of a bucket whose texts are not yet in one group meets, in
-blocks: in the end each pair of a bucket is decided or within one group. The share of bits that differ between two
+blocks, the likely pairs before the doubtful: in the end each pair of a bucket is decided or within one group. The share of bits that differ between two
 majority fingerprints of WIDE 64-bit words gives their cosine and so an estimate of the similarity; pairs estimated
 below it by more than DOUBT, four standard deviations, are left out, and all others
 are links only if the two whole shingle sets say so. Texts of equal shingle sets are one node, so copies are never paired.
@@ -273,7 +273,7 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 def similar_pairs(pairs: DataFrame, nodes: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose whole shingle sets have the similarity."""
-    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row_id"), "node"), "asked")
+    asked = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "row_id"), "node"), "asked")
     held, _ = apart(prints.select("row_id", "shingles"), F.col("row_id"), asked, F.col("row_id"))
     known = materialize(held.join(asked, "row_id").select("node", "shingles"), "shingle-sets")
     both = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(known.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -312,12 +312,13 @@ def near_duplicate_clusters(docs: DataFrame, similarity: float = SIMILARITY, shi
     met = own.join(firsts, "key").select("node", F.explode(F.array_distinct("firsts")).alias("other")).filter(F.col("node") != F.col("other"))
     pairs = materialize(met.select(*ordered("node", "other")).distinct(), "pairs")
     links = similar_pairs(materialize(likely_pairs(pairs, nodes, similarity - DOUBT), "likely-pairs"), nodes, prints, similarity)
-    roots = components(links)
-    grouped = materialize(nodes.join(roots, "node", "left").select("node", "keys", F.coalesce("root", "node").alias("root")), "grouped")
-    mains = firsts.select("key", F.col("firsts")[0].alias("other")).join(grouped.select(F.col("node").alias("other"), F.col("root").alias("main")), "other").select("key", "main")
-    members = materialize(grouped.select("node", F.explode("keys").alias("key"), "root").join(mains, "key"), "members")
-    across = materialize(pairs_across(members, nodes, similarity - DOUBT), "pairs-across")
-    links = links.union(similar_pairs(across.join(pairs, ["a", "b"], "left_anti"), nodes, prints, similarity))
+    for least in (similarity, similarity - DOUBT):  # the likely pairs first: what they join needs no more comparing
+        grouped = materialize(nodes.join(components(links), "node", "left").select("node", "keys", F.coalesce("root", "node").alias("root")), "grouped")
+        mains = firsts.select("key", F.col("firsts")[0].alias("other")).join(grouped.select(F.col("node").alias("other"), F.col("root").alias("main")), "other").select("key", "main")
+        members = materialize(grouped.select("node", F.explode("keys").alias("key"), "root").join(mains, "key"), "members")
+        across = materialize(pairs_across(members, nodes, least).join(pairs, ["a", "b"], "left_anti"), "pairs-across")
+        links = links.union(similar_pairs(across, nodes, prints, similarity))
+        pairs = pairs.union(across)
     roots = components(links).withColumnRenamed("root", "group")
     placed = nodes.select("node", "d1", "d2", "doc_id", "h", "rows").join(roots, "node", "left").filter("rows > 1 or group is not null").withColumn("group", F.coalesce("group", "node"))
     placed = materialize(placed, "placed")
