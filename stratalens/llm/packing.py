@@ -33,7 +33,7 @@ from .bpe import Encoder, slices
 from .common import small_batches, worker_cache
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
-TIERS, STEP_TOKENS, SLICE_BYTES = (2048, 1024, 512, 256), 16384, 8 << 20
+TIERS, STEP_TOKENS, SLICE_BYTES = (2048, 1024, 512, 256), 16384, 4 << 20
 #: The vocabulary's own split of lower-cased text, and the words that it is applied to here.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 LATIN = regex.compile(r"[\n!-~\u00a1-\u012f\u0131-\u0240]*")
