@@ -63,6 +63,11 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         _WRITTEN[start:] = kept
 
 
+def checked_broadcast(table: DataFrame, most_rows: int = 20_000) -> DataFrame:
+    """A written table of narrow rows: broadcast if it has `most_rows` rows at most, else joined like any other."""
+    return F.broadcast(table) if table.limit(most_rows + 1).count() <= most_rows else table
+
+
 BITMAP_BITS = 1 << 23  # of all a filter's bitmaps together: 1 MB
 
 

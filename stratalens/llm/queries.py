@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_round_trip
 from .chat import collapse_and_render
 from .common import read, remainder
+from .divergence import source_divergence
 from .exact_dedup import exact_duplicates
 from .lattice_lm import lattice_scores
 from .licenses import license_scan
@@ -94,5 +95,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, model).select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_chat_snapshots, op3_exact_dedup, op4_substring_dedup, op5_packing, op6_bpe, op7_license_scan, op8_pivot_topk, op9_simhash, op10_toxicity)}
-ORACLES = {"op2_chat_snapshots": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_pivot_topk": OP8_SQL}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT lang, source, id, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n FROM g JOIN k USING (lang) LEFT JOIN c ON (c.lang, c.source, c.term) = (g.lang, g.source, k.term)),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v)::HUGEINT AS p,
+             1 + (1000000000::HUGEINT * (lang_n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v)::HUGEINT AS q FROM cells JOIN v USING (lang)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(far.value, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON (far.lang, far.source, far.item) = (a.lang, a.source, b.source)
+      UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM f)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_chat_snapshots, op3_exact_dedup, op4_substring_dedup, op5_packing, op6_bpe, op7_license_scan, op8_pivot_topk, op9_simhash, op10_toxicity, op11_source_divergence)}
+ORACLES = {"op2_chat_snapshots": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_pivot_topk": OP8_SQL, "op11_source_divergence": OP11_SQL}
