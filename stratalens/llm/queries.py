@@ -17,6 +17,7 @@ from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
 from .topk import top_k
 from .toxicity import FOLDS, HELD_OUT, score_documents, train
+from .vector_codes import vector_codes
 
 
 def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,5 +120,37 @@ SELECT * FROM r WHERE part = 'pair' OR rank <= 50
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_chat_snapshots, op3_exact_dedup, op4_substring_dedup, op5_packing, op6_bpe, op7_license_scan, op8_pivot_topk, op9_simhash, op10_toxicity, op11_source_divergence)}
-ORACLES = {"op2_chat_snapshots": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_pivot_topk": OP8_SQL, "op11_source_divergence": OP11_SQL}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(read(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(rounds: int = 6) -> str:
+    """The rounds unrolled; distances by scalar products, exact in doubles below 2^53."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""n{i} AS MATERIALIZED (SELECT r, p, unnest(arg_min({{'e': e, 'd': d}}, {{'d': d, 'e': e}})) FROM
+            (SELECT r, p, e, CAST(list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c) AS BIGINT) AS d FROM parts JOIN c{i} USING (p)) GROUP BY r, p)""")
+        if i < rounds:
+            steps.append(f"""u{i} AS MATERIALIZED (SELECT p, e, list(floor((s - ((s % k) + k) % k) / k)::DOUBLE ORDER BY j) AS c FROM
+            (SELECT p, e, j, CAST(sum(y) AS BIGINT) AS s, count(*) AS k FROM (SELECT p, e, generate_subscripts(x, 1) AS j, unnest(x) AS y FROM parts JOIN n{i} USING (r, p)) GROUP BY ALL) GROUP BY p, e),
+            c{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(u{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN u{i} USING (p, e))""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r, vec_id, label, v FROM
+  (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)) AS v FROM embeddings
+   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+parts AS MATERIALIZED (SELECT r, p, v[p * len(v) // 8 + 1 : (p + 1) * len(v) // 8] AS x FROM v, range(8) t(p)),
+c0 AS (SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= 16),
+{", ".join(steps)},
+coded AS (SELECT vec_id, label, code, error FROM v JOIN (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM n{rounds} GROUP BY r) USING (r)),
+flat AS (SELECT p, e, generate_subscripts(c, 1) AS j, unnest(c) AS y FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, j)) FROM flat) AS codebooks_sha256
+FROM coded
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
+QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_chat_snapshots, op3_exact_dedup, op4_substring_dedup, op5_packing, op6_bpe, op7_license_scan, op8_pivot_topk, op9_simhash, op10_toxicity, op11_source_divergence, op13_vector_codes)}
+ORACLES = {"op2_chat_snapshots": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_pivot_topk": OP8_SQL, "op11_source_divergence": OP11_SQL, "op13_vector_codes": OP13_SQL}
