@@ -12,6 +12,7 @@ from .divergence import source_divergence
 from .exact_dedup import exact_duplicates
 from .lattice_lm import lattice_scores
 from .licenses import license_scan
+from .mixing import mix
 from .packing import pack_documents
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
@@ -120,6 +121,13 @@ SELECT * FROM r WHERE part = 'pair' OR rank <= 50
 """
 
 
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(read(spark, sf_dir, "documents"))
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda s, c: s + c["words"])
+    shards = F.concat_ws(",", F.transform("copies", lambda c: c["shard"].cast("string")))
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), shards.alias("shards"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(read(spark, sf_dir, "embeddings"))
 
@@ -152,5 +160,5 @@ FROM coded
 OP13_SQL = _op13_sql()
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_chat_snapshots, op3_exact_dedup, op4_substring_dedup, op5_packing, op6_bpe, op7_license_scan, op8_pivot_topk, op9_simhash, op10_toxicity, op11_source_divergence, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_chat_snapshots, op3_exact_dedup, op4_substring_dedup, op5_packing, op6_bpe, op7_license_scan, op8_pivot_topk, op9_simhash, op10_toxicity, op11_source_divergence, op12_source_mix, op13_vector_codes)}
 ORACLES = {"op2_chat_snapshots": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_pivot_topk": OP8_SQL, "op11_source_divergence": OP11_SQL, "op13_vector_codes": OP13_SQL}
