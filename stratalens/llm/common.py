@@ -9,6 +9,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-_WRITTEN: list[str] = []
+#: The tables written inside the innermost scratch of this thread; None outside.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -40,27 +42,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Tables that materialize writes inside go at the end, but for those written by the function given: what is returned must read no others."""
-    start, kept = len(_WRITTEN), []
+    outer, own = _WRITTEN.get(), []
+    token = _WRITTEN.set(own)
 
     def keep(df: DataFrame, name: str) -> DataFrame:
-        out = materialize(df, name)
-        kept.append(_WRITTEN.pop())
-        return out
+        inner = _WRITTEN.set(outer)
+        try:
+            return materialize(df, name)
+        finally:
+            _WRITTEN.reset(inner)
 
     try:
         yield keep
     finally:
-        for path in _WRITTEN[start:]:
+        _WRITTEN.reset(token)
+        for path in own:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        _WRITTEN[start:] = kept
 
 
 def checked_broadcast(table: DataFrame, most_rows: int = 20_000) -> DataFrame:
