@@ -8,7 +8,9 @@ block of turns first and a conversation of any length is spread over many tasks.
 
 Defined results: null role or text counts as empty; rows that repeat (conv_id, turn, role, text) count once;
 turns with equal numbers are ordered by role and text; a null turn comes first; rows of a null conv_id form
-one conversation; other columns are not read.
+one conversation; other columns are not read. A rendered conversation is one row, so it must fit a row; of
+one conversation, turns whose numbers lie within the same BLOCK, null ones or any number of equal ones together, are ordered in one task, which
+spills.
 """
 
 from __future__ import annotations
@@ -25,19 +27,23 @@ START, END = "<|", "|>"
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """conv_id, position (from 1), n_turns and the two halves of the rolling hash, for rows conv_id, turn, role, text."""
-    hashed = turns.select(
+    key = ["conv_key", "block"]
+    keyed = turns.select(
         "conv_id",
+        conv_key(F.col("conv_id")).alias("conv_key"),
         "turn",
         F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 40))).alias("block"),
+        "role",
+        "text",
         F.xxhash64("role", "text").alias("a"),
         F.xxhash64(F.lit("second"), "text", "role").alias("b"),
-    ).distinct()
-    key = ["conv_key", "block"]
-    hashed = hashed.withColumn("conv_key", conv_key(F.col("conv_id")))
-    inside = W.partitionBy(*key).orderBy(F.col("turn").asc_nulls_first(), "a", "b")
+    )
+    # dealt once: the same deal serves the rows that repeat and the order within a block
+    once = keyed.repartition(*key).dropDuplicates([*key, "turn", "role", "text"])
+    inside = W.partitionBy(*key).orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     running = W.partitionBy("conv_key").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy("conv_key")
-    ranked = hashed.withColumn("rank", F.row_number().over(inside))
+    ranked = materialize(once.withColumn("rank", F.row_number().over(inside)).select(*key, "conv_id", "rank", "a", "b"), "ranked-turns")  # without texts from here on
     sizes = ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.select(*key, F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("n_turns"))
     placed = ranked.join(sizes, key).withColumn("position", F.col("before") + F.col("rank"))
