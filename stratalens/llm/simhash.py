@@ -13,11 +13,15 @@ bits needs hundreds of partitions a text once the corpus is large. So the same p
 fingerprint of the same shingle hashes: MIN_WORDS words, each the least value of one hash function (two texts agree on
 a word with a chance equal to their similarity). The bits of a word go together, so partitions are BAND whole words,
 with threshold 0: a pair at 0.8 shares one of the PARTS partitions with a chance of 0.998, whatever the number of
-texts, and a pair at 0.3 with one of 0.1. First each text meets the first texts of its buckets, by SALTS orders; the
-links found join most of a large group. Then every pair of a bucket whose texts are not yet in one group meets, in
-blocks, the likely pairs before the doubtful: in the end each pair of a bucket is decided or within one group. The share of bits that differ between two
-majority fingerprints of WIDE 64-bit words gives their cosine and so an estimate of the similarity; pairs estimated
-below it by more than DOUBT, four standard deviations, are left out, and all others
+texts, and a pair at 0.3 with one of 0.1. Each text meets the first text of its buckets: of EARLY partitions, and then of all, where
+it isn't yet in the first one's group; so a large group is joined by a few pairs a text. Then every pair of a bucket whose texts
+are not yet in one group meets, in blocks, the likely pairs before the doubtful: in the end each pair of a bucket is decided or within one
+group. A bucket in which over MOST_OUTSIDE texts are outside the first one's group is not met whole, as its pairs would grow with its square: two of its texts meet if
+they share a second such bucket as well (a pair at 0.8 shares two of PARTS with a chance of 0.983, at 0.85 of 0.998).
+
+Sets whose sizes differ by more than the similarity allows are never alike. The share of bits that differ between two
+majority fingerprints of WIDE 64-bit words gives their cosine and so an estimate of the similarity; where both sets have SMALL shingles or
+more, pairs estimated below it by more than DOUBT, four standard deviations, are left out. All others, and so every pair with a smaller set,
 are links only if the two whole shingle sets say so. Texts of equal shingle sets are one node, so copies are never paired.
 
 Defined results: null text counts as empty; a text of no words has fingerprint zero, linked like any other;
@@ -201,9 +205,9 @@ def near_duplicates(docs: DataFrame, tau: int = 3, shingle: int = 3, id_col: str
     return prints.join(materialize(named, "named"), "fp").select("doc_id", "fp", "component_id")
 
 
-MIN_WORDS, BAND, WIDE, SHINGLE, SIMILARITY, DOUBT, SALTS = 48, 4, 20, 5, 0.8, 0.1, 4
+MIN_WORDS, BAND, WIDE, SHINGLE, SIMILARITY, DOUBT, SMALL, EARLY = 48, 4, 20, 5, 0.8, 0.1, 32, 2
 PARTS = MIN_WORDS // BAND
-BLOCK = 256  # members of a bucket that meet all others in one task
+BLOCK, MOST_OUTSIDE = 256, 4096  # members of a bucket that meet all others in one task; and of which more are not met whole
 #: Odd multipliers that derive the hash functions from one hash.
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(bytes([i]), 1) | 1 for i in range(MIN_WORDS)], dtype=np.uint64)
 PRINTS = "row_id long, doc_id long, h long, d1 long, d2 long, n int, keys array<long>, fp array<long>, shingles array<long>"
@@ -232,31 +236,44 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return majority((h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def likely(a: str, b: str) -> Column:
-    """Estimate of the similarity of nodes a and b (prefixes of the columns fp and n)."""
+def likely(a: str, b: str, least: float, similarity: float) -> Column:
+    """Whether nodes a and b (prefixes of the columns fp and n) may have the similarity, by their sizes and, of larger sets, by an estimate of `least` or more."""
     apart_by = reduce(Column.__add__, (differing(F.col(f"{a}fp")[i], F.col(f"{b}fp")[i]) for i in range(WIDE)))
     one, two = F.col(f"{a}n").cast("double"), F.col(f"{b}n").cast("double")
     shared = F.cos(apart_by * (np.pi / (WIDE * BITS))) * F.sqrt(one * two)
-    return shared / (one + two - shared)
+    return (F.least(one, two) >= similarity * F.greatest(one, two)) & ((F.least(one, two) < SMALL) | (shared / (one + two - shared) >= least))
 
 
 def ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def pairs_across(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """a, b: pairs of a bucket in different groups with an estimated similarity of `least` or more.
+def split_wide(members: DataFrame, most: int) -> DataFrame:
+    """members (node, key, root, main), with the buckets that have over `most` members outside the main group replaced by what pairs of them share."""
+    wide = materialize(members.filter(F.col("root") != F.col("main")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("key"), "wide-buckets")
+    if wide.isEmpty():
+        return members
+    held = members.join(wide, "key").groupBy("node", "root").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # PARTS at most
+    both = held.select("node", "root", F.explode("keys").alias("one"), "keys").select("node", "root", "one", F.explode("keys").alias("two")).filter("one < two")
+    narrow = materialize(both.select("node", F.xxhash64("one", "two").alias("key"), "root"), "narrow-buckets")
+    mains = narrow.groupBy("key").agg(F.min_by("root", "node").alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return members.join(wide, "key", "left_anti").select("node", "key", "root", "main").union(narrow.join(mains, "key").select("node", "key", "root", "main"))
+
+
+def pairs_across(members: DataFrame, nodes: DataFrame, least: float, similarity: float) -> DataFrame:
+    """a, b: pairs of a bucket in different groups that may have the similarity (see likely).
 
     members: node, key, root, main (the group of the bucket's first); nodes: node, fp, n. Those outside the main group
     meet all members, in blocks of about BLOCK.
     """
+    members = split_wide(members, MOST_OUTSIDE)
     few = members.filter(F.col("root") != F.col("main")).groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     contested = materialize(members.join(few, "key").join(nodes.select("node", "fp", "n"), "node"), "contested")
     a = contested.filter(F.col("root") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("x")
     b = contested.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.root") != F.col("y.root")) & once
-    return a.join(b, met & (likely("x.", "y.") >= least)).select(*ordered("x.node", "y.node")).distinct()
+    return a.join(b, met & likely("x.", "y.", least, similarity)).select(*ordered("x.node", "y.node")).distinct()
 
 
 def key_of(doc_id: str, h: str) -> tuple[Column, Column]:
@@ -264,16 +281,16 @@ def key_of(doc_id: str, h: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).alias("name"), F.col(h).alias("h")
 
 
-def likely_pairs(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose estimated similarity is `least` or more."""
+def likely_pairs(pairs: DataFrame, nodes: DataFrame, least: float, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes that may have the similarity (see likely)."""
     one, two = (nodes.select(F.col("node").alias(c), F.col("fp").alias(f"{c}fp"), F.col("n").alias(f"{c}n")) for c in "ab")
-    both = pairs.join(one, "a").alias("x").join(two.alias("y"), (F.col("x.b") == F.col("y.b")) & (likely("a", "b") >= least))
+    both = pairs.join(one, "a").alias("x").join(two.alias("y"), (F.col("x.b") == F.col("y.b")) & likely("a", "b", least, similarity))
     return both.select("x.a", "x.b")
 
 
 def similar_pairs(pairs: DataFrame, nodes: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose whole shingle sets have the similarity."""
-    asked = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "row_id"), "node"), "asked")
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row_id"), "node"), "asked")
     held, _ = apart(prints.select("row_id", "shingles"), F.col("row_id"), asked, F.col("row_id"))
     known = materialize(held.join(asked, "row_id").select("node", "shingles"), "shingle-sets")
     both = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(known.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -305,20 +322,29 @@ def near_duplicate_clusters(docs: DataFrame, similarity: float = SIMILARITY, shi
     prints = materialize(rows.mapInArrow(run, PRINTS), "prints")
     one = prints.filter("keys is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "h", "row_id")).alias("r"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("rows"))
     nodes = materialize(one.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "r.*", "n", "keys", "fp", "rows"), "nodes")
-    salts = [signed(xxhash.xxh64_intdigest(bytes([i]), SEED)) for i in range(SALTS)]
-    own = nodes.select("node", F.explode("keys").alias("key"))
-    lows = own.groupBy("key").agg(*(F.min(F.col("node").bitwiseXOR(F.lit(x))).alias(f"low{i}") for i, x in enumerate(salts)), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    firsts = materialize(lows.select("key", F.array(*(F.col(f"low{i}").bitwiseXOR(F.lit(x)) for i, x in enumerate(salts))).alias("firsts")), "bucket-firsts")
-    met = own.join(firsts, "key").select("node", F.explode(F.array_distinct("firsts")).alias("other")).filter(F.col("node") != F.col("other"))
-    pairs = materialize(met.select(*ordered("node", "other")).distinct(), "pairs")
-    links = similar_pairs(materialize(likely_pairs(pairs, nodes, similarity - DOUBT), "likely-pairs"), nodes, prints, similarity)
-    for least in (similarity, similarity - DOUBT):  # the likely pairs first: what they join needs no more comparing
-        grouped = materialize(nodes.join(components(links), "node", "left").select("node", "keys", F.coalesce("root", "node").alias("root")), "grouped")
-        mains = firsts.select("key", F.col("firsts")[0].alias("other")).join(grouped.select(F.col("node").alias("other"), F.col("root").alias("main")), "other").select("key", "main")
-        members = materialize(grouped.select("node", F.explode("keys").alias("key"), "root").join(mains, "key"), "members")
-        across = materialize(pairs_across(members, nodes, least).join(pairs, ["a", "b"], "left_anti"), "pairs-across")
-        links = links.union(similar_pairs(across, nodes, prints, similarity))
-        pairs = pairs.union(across)
+    buckets = nodes.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    firsts = materialize(buckets.select("key", "first"), "bucket-firsts")
+    links = pairs = None
+
+    def members_now() -> DataFrame:
+        """node, band, key, root, first, main: the members of all buckets of two or more, by the groups that the links so far make."""
+        if links is None:
+            grouped = nodes.select("node", "keys", F.col("node").alias("root"))
+        else:
+            grouped = materialize(nodes.join(components(links), "node", "left").select("node", "keys", F.coalesce("root", "node").alias("root")), "grouped")
+        mains = firsts.join(grouped.select(F.col("node").alias("first"), F.col("root").alias("main")), "first").select("key", "first", "main")
+        return grouped.select("node", F.posexplode("keys").alias("band", "key"), "root").join(mains, "key")
+
+    for early in (True, False):  # what the first round joins needs no pairs in the second
+        met = members_now().filter(F.col("root") != F.col("main"))
+        new = (met.filter(F.col("band") < EARLY) if early else met).select(*ordered("node", "first")).distinct()
+        new = materialize(new if pairs is None else new.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        found = similar_pairs(materialize(likely_pairs(new, nodes, similarity - DOUBT, similarity), "likely-pairs"), nodes, prints, similarity)
+        links, pairs = (found, new) if links is None else (links.union(found), pairs.union(new))
+    for least in (similarity, similarity - DOUBT):  # the likely pairs before the doubtful, for the same reason
+        members = materialize(members_now().select("node", "key", "root", "main"), "members")
+        across = materialize(pairs_across(members, nodes, least, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs-across")
+        links, pairs = links.union(similar_pairs(across, nodes, prints, similarity)), pairs.union(across)
     roots = components(links).withColumnRenamed("root", "group")
     placed = nodes.select("node", "d1", "d2", "doc_id", "h", "rows").join(roots, "node", "left").filter("rows > 1 or group is not null").withColumn("group", F.coalesce("group", "node"))
     placed = materialize(placed, "placed")
