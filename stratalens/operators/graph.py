@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalens.operators.aggregates import _EDGES, module_edges
 from stratalens.operators.joins import WIDE
-from stratalens.operators.reach import chain_depths, closure, condensed, connected_groups, distances, ends, peeled, settled
+from stratalens.operators.reach import chain_depths, closure, condensed, connected_groups, distances, ends, first_reached, joined_groups, peeled, settled
 from stratalens.plans.registry import Tables, query
 from stratalens.sources.bindings import commit_files, files, imports, with_views
 
@@ -33,12 +33,27 @@ def two_graphs(t: Tables) -> DataFrame:
     return settled(module_edges(t).select("src", "dst").union(first.select("src", "dst")))
 
 
-@query(_GRAPH + ", b(node, distance) AS (SELECT DISTINCT dst, CAST(0 AS BIGINT) FROM e WHERE dst LIKE 'brand_1/%' UNION SELECT e.src, b.distance + 1 FROM b JOIN e ON e.dst = b.node WHERE b.distance < 150) SELECT node, min(distance) AS distance FROM b GROUP BY 1")
+#: An import that two commits or more make is one of high confidence. Levels by distance first; then each level's order of arrival, from that of the level before.
+_IMPACT = """, le AS (SELECT importer AS src, target AS dst, CASE WHEN count(*) > 1 THEN 'high' ELSE 'medium' END AS label FROM imports GROUP BY 1, 2),
+  b(node, distance) AS (SELECT node, CAST(0 AS BIGINT) FROM seeds UNION SELECT le.src, b.distance + 1 FROM b JOIN le ON le.dst = b.node WHERE b.distance < 150), level AS (SELECT node, min(distance) AS distance FROM b GROUP BY 1),
+  q(node, distance, via, label, place) AS (SELECT node, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), row_number() OVER (ORDER BY node) FROM seeds
+    UNION ALL SELECT node, distance, via, label, row_number() OVER (ORDER BY first, node) FROM (SELECT level.node, any_value(level.distance) AS distance, arg_min(q.node, q.place) AS via, arg_min(le.label, q.place) AS label, min(q.place) AS first
+      FROM q JOIN le ON le.dst = q.node JOIN level ON level.node = le.src AND level.distance = q.distance + 1 GROUP BY 1)),
+  impact AS (SELECT node, distance, CASE WHEN distance = 0 THEN 'changed' ELSE 'reverse_import' END AS reason, via, coalesce(label, 'high') AS confidence FROM q)"""
+
+
+def impacted(t: Tables, changed: DataFrame) -> DataFrame:
+    """node, distance, reason, via, confidence: what a change of `changed` (node) reaches against the direction of imports, with the node and the edge that reached it first."""
+    counted = imports(t).groupBy(F.col("importer").alias("dst"), F.col("target").alias("src")).agg(F.count(F.lit(1)).alias("n"))
+    back = settled(counted.select("src", "dst", F.when(F.col("n") > 1, "high").otherwise("medium").alias("label")))
+    reason = F.when(F.col("distance") == 0, "changed").otherwise("reverse_import")
+    return first_reached(back, changed).select("node", "distance", reason.alias("reason"), "via", F.coalesce("label", F.lit("high")).alias("confidence"))
+
+
+@query(with_views("imports") + ", seeds AS (SELECT DISTINCT target AS node FROM imports WHERE target LIKE 'brand_1/%')" + _IMPACT + " SELECT * FROM impact")
 def h01_impacted_files(t: Tables) -> DataFrame:
-    """Files that a change of the first module can reach against the direction of imports, with distances; the SQL's bound is the number of files."""
-    edges = settled(part_edges(t))
-    seeds = edges.filter(F.col("dst").startswith("brand_1/")).select(F.col("dst").alias("node"))
-    return distances(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds)
+    """Files that a change of the first module can reach against the direction of imports: distance, reason, the file that reached each first, and that import's confidence."""
+    return impacted(t, imports(t).filter(F.col("target").startswith("brand_1/")).select(F.col("target").alias("node")))
 
 
 @query(_TWO + " SELECT node, count(src) AS dependents FROM ends LEFT JOIN (SELECT * FROM c WHERE src <> dst) ON dst = node GROUP BY 1")
@@ -71,7 +86,7 @@ def h05_execution_depth(t: Tables) -> DataFrame:
     return chain_depths(two_graphs(t))
 
 
-_CLUSTER = with_views("files", "commit_files") + """, p AS (SELECT a.path AS a, b.path AS b FROM commit_files a JOIN commit_files b ON a.hash = b.hash AND a.path < b.path GROUP BY 1, 2 HAVING count(*) >= 3),
+_CLUSTER = with_views("files", "commit_files") + """, wide AS (SELECT hash FROM commit_files GROUP BY 1 HAVING count(*) > 50), p AS (SELECT a.path AS a, b.path AS b FROM commit_files a JOIN commit_files b ON a.hash = b.hash AND a.path < b.path WHERE a.hash NOT IN (SELECT hash FROM wide) GROUP BY 1, 2 HAVING count(*) >= 3),
   u AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(node, low) AS (SELECT a, a FROM u UNION SELECT u.b, r.low FROM r JOIN u ON u.a = r.node), k AS (SELECT node, min(low) AS cluster FROM r GROUP BY 1)"""
 
 
@@ -82,19 +97,8 @@ def h06_clusters(t: Tables) -> DataFrame:
     narrow = cf.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= WIDE).select("hash")
     cf = cf.join(narrow, "hash")
     pairs = cf.alias("a").join(cf.alias("b"), (F.col("a.hash") == F.col("b.hash")) & (F.col("a.path") < F.col("b.path"))).groupBy(F.col("a.path").alias("x"), F.col("b.path").alias("y")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
-    links = settled(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    rounds = []
-    while not links.isEmpty():  # each node joins its least neighbour and the links between what has become one go
-        both = links.union(links.select("b", "a"))
-        parent = settled(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up")))
-        rounds.append(parent)
-        one, two = (parent.select(F.col("node").alias(c), F.col("up").alias(f"u{c}")) for c in "ab")
-        moved = links.join(one, "a").join(two, "b").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b"))
-        links = settled(moved.filter("a < b").distinct())
-    label = files(t).select("path", F.col("path").alias("cluster"))
-    for parent in rounds:
-        label = label.join(parent, F.col("cluster") == parent["node"], "left").select("path", F.coalesce("up", "cluster").alias("cluster"))
-    return label
+    groups = joined_groups(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("path"), "root")
+    return files(t).select("path").join(groups, "path", "left").select("path", F.coalesce("root", "path").alias("cluster"))
 
 
 @query(_GROUPS + """, w AS (SELECT scc AS node, count(*) AS n, CAST(sum(ascii(right(node, 1)) + length(node)) AS BIGINT) AS own FROM scc GROUP BY 1), kc(src, dst) AS (SELECT src, dst FROM k UNION SELECT kc.src, k.dst FROM kc JOIN k ON kc.dst = k.src),

@@ -39,6 +39,49 @@ def distances(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         reached = reached.union(level)
 
 
+def first_reached(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """node, distance, via, label: a breadth-first walk along edges (src, dst, label) from seeds (node), as one queue would take it.
+
+    via is the node of the level before that came first in the queue, and label that of its edge (the least, of several).
+    The queue is never one sort: a level is dealt by ranges of (rank of via, node) and its new ranks only grow along them.
+    """
+
+    def queued(level: DataFrame) -> DataFrame:
+        dealt = level.repartitionByRange("rank", "node").sortWithinPartitions("rank", "node")
+        return settled(dealt.withColumn("rank", F.monotonically_increasing_id()))
+
+    start = seeds.select("node").filter("node is not null").distinct()
+    level = queued(start.select("node", F.lit(0).cast("long").alias("distance"), F.lit(None).cast(edges.schema["src"].dataType).alias("via"), F.lit(None).cast(edges.schema["label"].dataType).alias("label"), F.lit(0).cast("long").alias("rank")))
+    reached = level.drop("rank")
+    while True:
+        met = level.select(F.col("node").alias("src"), "rank", "distance").join(edges, "src").join(reached.select(F.col("node").alias("dst")), "dst", "left_anti")
+        first = met.groupBy("dst").agg(F.min(F.struct("rank", "label", "src")).alias("f"), F.first("distance").alias("d"))
+        level = queued(first.select(F.col("dst").alias("node"), (F.col("d") + 1).alias("distance"), F.col("f.src").alias("via"), F.col("f.label").alias("label"), F.col("f.rank").alias("rank")))
+        if level.isEmpty():
+            return reached
+        reached = reached.union(level.drop("rank"))
+
+
+def joined_groups(links: DataFrame) -> DataFrame:
+    """node, root for every end of links (a, b): the least node of its connected group. Each round every node joins its least neighbour, and what has become one is contracted."""
+    links = settled(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    rounds = []
+    while not links.isEmpty():
+        both = links.union(links.select("b", "a"))
+        parent = settled(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up")))
+        rounds.append(parent)
+        one, two = (parent.select(F.col("node").alias(c), F.col("up").alias(f"u{c}")) for c in "ab")
+        moved = links.join(one, "a").join(two, "b").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b"))
+        links = settled(moved.filter("a < b").distinct())
+    if not rounds:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = rounds.pop().select("node", F.col("up").alias("root"))
+    while rounds:
+        later = roots.select(F.col("node").alias("up"), "root")
+        roots = settled(rounds.pop().join(later, "up", "left").select("node", F.coalesce("root", "up").alias("root")))
+    return roots
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """src, dst: pairs with a path of one edge or more; lengths double each round. For results that are all pairs themselves."""
     known = settled(edges.select("src", "dst").distinct())

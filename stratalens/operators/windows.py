@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from stratalens.operators.aggregates import _RISK, _SESSION, _TIMING, module_risk, timing
 from stratalens.operators.joins import _PAIRS, co_changes
+from stratalens.operators.ordered import running_sums
+from stratalens.operators.reach import settled
 from stratalens.plans.registry import Tables, query
 from stratalens.sources.bindings import commit_files, commits, files, imports, session_events, with_views
 
@@ -76,15 +78,40 @@ def e07_hit_windows(t: Tables) -> DataFrame:
     return x.filter(F.lower("line").contains("license")).select("doc_id", hit.alias("hit"), F.greatest(F.lit(1), hit - 3).alias("lo"), F.least("n", hit + 3).alias("hi"))
 
 
-@query("""WITH c AS (SELECT o_custkey AS batch, o_orderkey AS item, o_totalprice AS cost, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS total FROM orders WHERE o_totalprice < 400000)
-  SELECT batch, item, round(total, 2) AS total, max(CASE WHEN total > 1000000 THEN 1 ELSE 0 END) OVER (PARTITION BY batch ORDER BY item ROWS UNBOUNDED PRECEDING) = 0 AS admitted FROM c""")
+#: Limits of a run, and the percentage of the limit of bytes from which a single item is too large.
+WALL_LIMIT, BYTES_LIMIT, OVERSIZE = 1500, 100_000_000, 40
+_DISPATCH = """WITH d AS (SELECT o_custkey AS run, CAST(year(o_orderdate) AS BIGINT) AS batch, o_orderkey AS item, CAST(floor(o_totalprice / 1000) AS BIGINT) AS secs, o_orderkey % 211 AS took, CAST(round(o_totalprice * 100) AS BIGINT) AS bytes FROM orders),
+  g AS (SELECT *, bytes * 100 >= 4000000000 AS large FROM d), kept AS (SELECT * FROM g WHERE NOT large),
+  s AS (SELECT *, sum(secs) OVER (PARTITION BY run, batch ORDER BY item ROWS UNBOUNDED PRECEDING) AS asked, sum(bytes) OVER (PARTITION BY run ORDER BY batch, item ROWS UNBOUNDED PRECEDING) AS b FROM kept),
+  w AS (SELECT run, batch, coalesce(sum(sum(greatest(took, 1))) OVER (PARTITION BY run ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM kept GROUP BY 1, 2),
+  stop AS (SELECT run, arg_min(batch, (batch, item)) AS at_batch, arg_min(item, (batch, item)) AS at_item FROM s JOIN w USING (run, batch) WHERE used + asked > 1500 OR b > 100000000 GROUP BY 1)"""
+
+
+def admitted(items: DataFrame, wall_limit: int = WALL_LIMIT, bytes_limit: int = BYTES_LIMIT, oversize: int = OVERSIZE, blocks: int | None = None) -> DataFrame:
+    """run, batch, item, state, stopped_at for items (run, batch, item, secs, took, bytes) that a run meets by batch and item.
+
+    An item of `oversize` percent of the limit of bytes or more is skipped (a limit of 0 makes none too large). The first other whose estimate does not fit,
+    after what earlier batches really took (a second at least) and what its own batch asks for, stops the run: it, all later items, and those of its
+    batch that were accepted before it aren't dispatched. All of that is decided by sums along the run, so a run or a batch of any length fills many tasks.
+    """
+    large = (F.col("bytes").cast("decimal(38,0)") * 100 >= F.lit(oversize * bytes_limit)) & F.lit(bytes_limit > 0)
+    zero = lambda c: F.when(large, F.lit(0)).otherwise(c)
+    sums = {"secs_sum": zero(F.col("secs")), "took_sum": zero(F.greatest(F.col("took"), F.lit(1))), "bytes_sum": zero(F.col("bytes"))}
+    rows = settled(running_sums(items.select("run", "batch", "item", "secs", "took", "bytes"), ["run"], ["batch", "item"], sums, blocks).withColumn("large", large))
+    begun = rows.groupBy("run", "batch").agg(F.min(F.col("secs_sum") - sums["secs_sum"]).alias("secs_0"), F.min(F.col("took_sum") - sums["took_sum"]).alias("took_0"))
+    over = (F.col("took_0") + F.col("secs_sum") - F.col("secs_0") > wall_limit) | (F.col("bytes_sum") > bytes_limit)
+    stops = rows.filter(~F.col("large")).join(begun, ["run", "batch"]).filter(over).groupBy("run").agg(F.min(F.struct("at", "batch", "item")).alias("stop"))
+    pending = F.col("stop").isNotNull() & ((F.col("batch") > F.col("stop.batch")) | ((F.col("batch") == F.col("stop.batch")) & (~F.col("large") | (F.col("at") > F.col("stop.at")))))
+    state = F.when(pending, "not_dispatched").when(F.col("large"), "skipped_oversize").otherwise("dispatched")
+    return rows.join(stops, "run", "left").select("run", "batch", "item", state.alias("state"), F.col("stop.item").alias("stopped_at"))
+
+
+@query(_DISPATCH + """ SELECT g.run, g.batch, g.item, CASE WHEN g.batch > at_batch OR g.batch = at_batch AND (NOT large OR g.item > at_item) THEN 'not_dispatched' WHEN large THEN 'skipped_oversize' ELSE 'dispatched' END AS state, at_item AS stopped_at
+  FROM g LEFT JOIN stop USING (run)""")
 def e08_budget_admission(t: Tables) -> DataFrame:
-    """Items in order while their running cost stays within the budget; the first that exceeds it stops all later ones; oversized ones are skipped before (also e09)."""
-    order = W.partitionBy("batch").orderBy("item").rowsBetween(W.unboundedPreceding, 0)
-    c = t.orders.filter("o_totalprice < 400000").select(F.col("o_custkey").alias("batch"), F.col("o_orderkey").alias("item"), F.col("o_totalprice").alias("cost"))
-    c = c.withColumn("total", F.sum("cost").over(order))
-    over = F.max(F.when(F.col("total") > 1_000_000, 1).otherwise(0)).over(order)
-    return c.select("batch", "item", F.round("total", 2).alias("total"), (over == 0).alias("admitted"))
+    """Batches of a run while seconds and bytes last; an overrun cancels its whole batch and all that follow, oversized items are skipped alone (also e09)."""
+    o = t.orders.select(F.col("o_custkey").alias("run"), F.year("o_orderdate").cast("long").alias("batch"), F.col("o_orderkey").alias("item"), F.floor(F.col("o_totalprice") / 1000).cast("long").alias("secs"), (F.col("o_orderkey") % 211).alias("took"), F.round(F.col("o_totalprice") * 100).cast("long").alias("bytes"))
+    return admitted(o)
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")

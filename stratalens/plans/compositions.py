@@ -10,38 +10,104 @@ from pyspark.sql import functions as F
 
 from stratalens.operators.aggregates import _PAST, _RISK, _SHAPE, change_risk, d19_benchmark_conditions, d21_valid_pairs, d26_session_summary, d27_delivery_times, module_risk
 from stratalens.operators.evidence import b19_audit_status, sql_of
-from stratalens.operators.graph import h01_impacted_files, part_edges
-from stratalens.operators.joins import _PAIRS, c18_paired_deltas, co_changes
+from stratalens.operators.graph import _IMPACT, h01_impacted_files, impacted
+from stratalens.operators.joins import WIDE, c18_paired_deltas
+from stratalens.operators.ordered import last_frames, running_sums
 from stratalens.operators.paths import b17_evidence_chain, b18_gate_verdict
-from stratalens.operators.reach import distances, settled
+from stratalens.operators.reach import joined_groups, settled
 from stratalens.operators.scan import b16_evidence_coverage
 from stratalens.plans.registry import Tables, query
-from stratalens.sources.bindings import commit_files, commits, files, session_events, with_views
+from stratalens.sources.bindings import DAY, commit_files, commits, files, session_events, with_views
 
 
-def percentiles(scores: DataFrame, score: str) -> DataFrame:
-    """Share of rows with a whole score of at most each, in percent; over counts per whole score, so no row is ranked alone."""
-    counts = scores.groupBy(F.round(score).cast("long").alias("whole")).agg(F.count(F.lit(1)).alias("n"))  # 101 rows at most
-    upto = F.sum("n").over(W.orderBy("whole").rowsBetween(W.unboundedPreceding, 0))
-    return counts.select("whole", F.round(100 * upto / F.sum("n").over(W.partitionBy())).cast("long").alias("percentile"))
+SAMPLE = 50
 
 
-@query(with_views("commits", "commit_files") + _SHAPE + _PAST + """, whole AS (SELECT hash, score, CAST(round(score) AS BIGINT) AS k FROM scored), upto AS (SELECT k, sum(count(*)) OVER (ORDER BY k) AS n FROM whole GROUP BY k)
-  SELECT hash, score, CAST(round(100.0::DOUBLE * n / (SELECT count(*) FROM whole)) AS BIGINT) AS percentile FROM whole JOIN upto USING (k)""")
+def against_history(scored: DataFrame, sample: int = SAMPLE, blocks: int | None = None, chunk: int = 1 << 14) -> DataFrame:
+    """hash, score, sampled, percentile, level of each commit that has a score, for commits (hash, ts, merge, score: null for an empty diff).
+
+    The baseline is the last `sample` commits up to its own that are no merges, less itself and those of empty diffs; the percentile is the share of it
+    that scores no higher, 0 without one.
+    """
+    numbered = running_sums(scored, [], ["ts", "hash"], {"n": (~F.col("merge")).cast("long")}, blocks)
+    known = F.when(~F.col("merge") & F.col("score").isNotNull(), F.struct("hash", "score"))
+    seen = last_frames(numbered, "n", sample, known, "seen", chunk).filter("score is not null")
+    rest = seen.withColumn("rest", F.transform(F.filter("seen", lambda x: x["hash"] != F.col("hash")), lambda x: x["score"]))
+    n, below = F.size("rest"), F.size(F.filter("rest", lambda x: x <= F.col("score")))
+    p = F.when(n > 0, F.round(100 * below / F.when(n > 0, n))).otherwise(0).cast("long")
+    return rest.withColumn("p", p).select("hash", "score", n.cast("long").alias("sampled"), F.col("p").alias("percentile"), F.when(F.col("p") >= 90, "high").when(F.col("p") >= 60, "medium").otherwise("low").alias("level"))
+
+
+@query(with_views("commits", "commit_files") + _SHAPE + _PAST + """, c AS (SELECT c.hash, c.ts, o_orderstatus = 'P' AS merge, score FROM commits c JOIN orders ON o_orderkey = c.hash LEFT JOIN scored USING (hash)),
+  m AS (SELECT *, count(*) FILTER (WHERE NOT merge) OVER (ORDER BY ts, hash ROWS UNBOUNDED PRECEDING) AS n FROM c),
+  x AS (SELECT a.hash, any_value(a.score) AS score, count(b.score) AS sampled, count(*) FILTER (WHERE b.score <= a.score) AS below FROM m a LEFT JOIN m b ON NOT b.merge AND b.n <= a.n AND b.n > a.n - 50 AND b.hash <> a.hash WHERE a.score IS NOT NULL GROUP BY 1),
+  p AS (SELECT hash, score, sampled, CAST(CASE WHEN sampled = 0 THEN 0 ELSE round(100 * below / sampled) END AS BIGINT) AS percentile FROM x)
+  SELECT *, CASE WHEN percentile >= 90 THEN 'high' WHEN percentile >= 60 THEN 'medium' ELSE 'low' END AS level FROM p""")
 def k03_change_risk(t: Tables) -> DataFrame:
-    """Change risk of each commit with its percentile among all (d13 to d17, d30)."""
-    risk = settled(change_risk(t).select("hash", "score"))  # used twice
-    return risk.withColumn("whole", F.round("score").cast("long")).join(F.broadcast(percentiles(risk, "score")), "whole").select("hash", "score", "percentile")
+    """Change risk of each commit with its percentile among the last commits before it that are no merges, and its level (d13 to d17, d30)."""
+    merges = t.orders.select(F.col("o_orderkey").alias("hash"), (F.col("o_orderstatus") == "P").alias("merge"))
+    scored = commits(t).select("hash", "ts").join(merges, "hash").join(change_risk(t).select("hash", "score"), "hash", "left")
+    return against_history(scored)
+
+
+LEAST_COCHANGE, COCHANGE_DAYS = 3, 365
+
+_UNITS = """, touched AS (SELECT l_orderkey AS hash, module || '/' || lower(p_type) AS file, CAST(sum(l_quantity + l_linenumber) AS BIGINT) AS lines FROM lineitem JOIN files ON partkey = l_partkey GROUP BY 1, 2),
+  log AS (SELECT touched.*, ts, starts_with(subject, 'fix') AS fix, count(*) OVER (PARTITION BY hash) AS width FROM touched JOIN commits USING (hash)),
+  past AS (SELECT hash, file, count(*) FILTER (WHERE fix) OVER half AS fixes, count(*) OVER quarter AS touches FROM log WINDOW half AS (PARTITION BY file ORDER BY ts RANGE BETWEEN 15552000 PRECEDING AND 0 FOLLOWING EXCLUDE CURRENT ROW), quarter AS (PARTITION BY file ORDER BY ts RANGE BETWEEN 7776000 PRECEDING AND 0 FOLLOWING EXCLUDE CURRENT ROW)),
+  duo AS (SELECT a.hash, a.ts, a.width, a.file AS l, b.file AS r FROM log a JOIN log b ON a.hash = b.hash AND a.file < b.file),
+  edges AS (SELECT hash, l, r FROM (SELECT *, count(*) FILTER (WHERE width <= 50) OVER (PARTITION BY l, r ORDER BY ts RANGE BETWEEN 31536000 PRECEDING AND 0 FOLLOWING EXCLUDE CURRENT ROW) AS n FROM duo) WHERE n >= 3),
+  u AS (SELECT hash, l AS a, r AS b FROM edges UNION ALL SELECT hash, r, l FROM edges), w(hash, node, low) AS (SELECT hash, file, file FROM log UNION SELECT u.hash, u.b, w.low FROM w JOIN u ON u.hash = w.hash AND u.a = w.node),
+  unit AS (SELECT hash, node AS file, min(low) AS first FROM w GROUP BY 1, 2),
+  agg AS (SELECT hash, first, count(*) AS n, sum(lines) AS total, max(lines) AS most, bool_or(file LIKE '%/small') AS tested, bool_or(file NOT LIKE '%/small') AS sources, sum(fixes) AS fixes, sum(touches) AS touches, string_agg(file, ',' ORDER BY file) AS members FROM unit JOIN log USING (hash, file) JOIN past USING (hash, file) GROUP BY 1, 2),
+  joined AS (SELECT edges.hash, first, count(*) AS edges FROM edges JOIN unit ON unit.hash = edges.hash AND unit.file = edges.l GROUP BY 1, 2),
+  s AS (SELECT agg.*, coalesce(edges, 0) AS edges, round(30 * (least(n / 20, 1) + least(total / 600, 1) + most / total) / 3 + 25 * CASE WHEN sources AND NOT tested THEN 1.0 ELSE 0.0 END + 25 * least(fixes / 6, 1) + 20 * least(touches / 20, 1) + 1e-9, 4) AS score FROM agg LEFT JOIN joined USING (hash, first))"""
 
 
-@query(with_views("commits", "files") + _PAIRS + """, s AS (SELECT l AS file, co_commits FROM pairs UNION ALL SELECT r, co_commits FROM pairs), u AS (SELECT file, count(*) AS partners, CAST(sum(co_commits) AS BIGINT) AS weight FROM s GROUP BY 1)
-  SELECT file, partners, weight, row_number() OVER (ORDER BY weight DESC, file) AS place FROM u ORDER BY place LIMIT 50""")
+def review_units(changed: DataFrame, least: int = LEAST_COCHANGE, days: int = COCHANGE_DAYS, wide: int = WIDE) -> DataFrame:
+    """hash, place, members, n_files, n_edges, score: the review units of every change, worst first; changed: hash, file, lines, ts, fix.
+
+    Two files of a change belong together if at least `least` other commits of the `days` before it, none of over `wide` files, changed both;
+    a unit is a connected group of these, and a file without such a partner is a unit of its own. All changes are grouped at once: nodes are (change, file).
+    A unit is scored like a change, by its own files and their history.
+    """
+    log = settled(changed.withColumn("width", F.count(F.lit(1)).over(W.partitionBy("hash"))))
+    narrow, broad = log.filter(F.col("width") <= wide), log.filter(F.col("width") > wide)
+    one, two = (narrow.select("hash", "ts", F.col("file").alias(c)) for c in "lr")
+    made = settled(one.join(two.drop("ts"), "hash").filter("l < r").withColumn("made", F.lit(1)))
+    # a wide change makes no history; what others changed together is looked up for it
+    known = made.select("l", "r").distinct()
+    asked = broad.select("hash", "ts", F.col("file").alias("l")).join(known, "l").join(broad.select("hash", F.col("file").alias("r")), ["hash", "r"]).select("hash", "ts", "l", "r", F.lit(0).alias("made"))
+    span = days * DAY
+    rows = made.select("hash", "ts", "l", "r", "made").union(asked).withColumn("own", F.floor(F.col("ts") / span))
+    rows = rows.withColumn("period", F.explode(F.array(F.col("own"), F.col("own") + 1)))  # a pair of every commit fills many tasks
+    order = W.partitionBy("l", "r", "period").orderBy("ts").rangeBetween(-span, 0)
+    edges = settled(rows.withColumn("n", F.sum("made").over(order) - F.col("made")).filter((F.col("own") == F.col("period")) & (F.col("n") >= least)).select("hash", "l", "r"))
+    node = lambda c: F.struct("hash", F.col(c).alias("file"))
+    groups = joined_groups(edges.select(node("l").alias("a"), node("r").alias("b"))).select("node.hash", "node.file", F.col("root.file").alias("first"))
+    units = settled(log.join(groups, ["hash", "file"], "left").withColumn("first", F.coalesce("first", "file")))
+    half, quarter = 180 * DAY, 90 * DAY
+    aged = log.select("hash", "file", "ts", F.col("fix").cast("int").alias("fix"), F.floor(F.col("ts") / half).alias("own")).withColumn("period", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    order = W.partitionBy("file", "period").orderBy("ts")
+    past = aged.select("hash", "file", "own", "period", (F.sum("fix").over(order.rangeBetween(-half, 0)) - F.col("fix")).alias("fixes"), (F.count(F.lit(1)).over(order.rangeBetween(-quarter, 0)) - 1).alias("touches")).filter("own = period")
+    test, key = F.col("file").endswith("/small"), ["hash", "first"]
+    x = units.join(past.select("hash", "file", "fixes", "touches"), ["hash", "file"]).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("lines").alias("total"), F.max("lines").alias("most"), F.bool_or(test).alias("tested"), F.bool_or(~test).alias("sources"), F.sum("fixes").alias("fixes"), F.sum("touches").alias("touches"), F.array_join(F.array_sort(F.collect_list("file")), ",").alias("members")
+    )
+    inside = edges.select("hash", F.col("l").alias("file")).join(units.select("hash", "file", "first"), ["hash", "file"]).groupBy(*key).agg(F.count(F.lit(1)).alias("edges"))
+    up_to = lambda c, most: F.least(F.col(c) / most, F.lit(1.0))
+    score = 30 * (up_to("n", 20) + up_to("total", 600) + F.col("most") / F.col("total")) / 3 + 25 * F.when(F.col("sources") & ~F.col("tested"), 1.0).otherwise(0.0) + 25 * up_to("fixes", 6) + 20 * up_to("touches", 20)
+    scored = x.join(inside, key, "left").withColumn("score", F.round(score + 1e-9, 4))
+    place = F.row_number().over(W.partitionBy("hash").orderBy(F.desc("score"), "first")).cast("long")
+    return scored.select("hash", place.alias("place"), "members", F.col("n").alias("n_files"), F.coalesce("edges", F.lit(0)).alias("n_edges"), "score")
+
+
+@query(with_views("commits", "files") + _UNITS + " SELECT hash, row_number() OVER (PARTITION BY hash ORDER BY score DESC, first) AS place, members, n AS n_files, edges AS n_edges, score FROM s")
 def k04_change_agenda(t: Tables) -> DataFrame:
-    """Files to review first by their co-change (c15, d18, e01)."""
-    pairs = co_changes(t)
-    sides = pairs.select(F.col("l").alias("file"), "co_commits").union(pairs.select("r", "co_commits"))
-    top = sides.groupBy("file").agg(F.count(F.lit(1)).alias("partners"), F.sum("co_commits").alias("weight")).orderBy(F.desc("weight"), "file").limit(50)
-    return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("weight"), "file")).cast("long"))
+    """Review units of every commit: files that the year before it changed together, each unit with a score, worst first (c15, d17, d18, h06, e01)."""
+    lines = t.lineitem.select(F.col("l_orderkey").alias("hash"), F.col("l_partkey").alias("partkey"), (F.col("l_quantity") + F.col("l_linenumber")).alias("lines"))
+    touched = lines.join(files(t), "partkey").groupBy("hash", F.concat("module", F.lit("/"), F.lower("p_type")).alias("file")).agg(F.sum("lines").cast("long").alias("lines"))
+    return review_units(touched.join(commits(t).select("hash", "ts", F.col("subject").startswith("fix").alias("fix")), "hash"))
 
 
 @query(_RISK + ", e AS (SELECT module, count(DISTINCT hash) AS commits, count(DISTINCT path) AS touched FROM commit_files GROUP BY 1) SELECT module, risk, commits, touched, CASE WHEN risk >= 80 THEN 'act' WHEN risk >= 50 THEN 'watch' ELSE 'rest' END AS advice FROM risk JOIN e USING (module)")
@@ -117,24 +183,24 @@ def typed(t: Tables) -> DataFrame:
 _TYPED = "typed AS (SELECT module || '/' || lower(p_type) AS node, path, size FROM files), tests AS (SELECT node, count(*) AS n FROM typed WHERE path LIKE '%/tests/%' GROUP BY 1)"
 
 
-@query(with_views("files", "commits") + f", i AS {sql_of('h01_impacted_files')}, {_TYPED} SELECT i.node, distance, CASE WHEN distance = 0 THEN 'changed' ELSE 'imports' END AS reason, CASE WHEN distance < 2 THEN 'high' ELSE 'medium' END AS confidence, coalesce(n, 0) AS tests, CASE WHEN n > 0 THEN 'cargo test -p ' || split_part(i.node, '/', 1) END AS command, CASE WHEN (SELECT max(ts) FROM commits) > 883612800 THEN 'stale-advisory' ELSE 'current' END AS status FROM i LEFT JOIN tests USING (node)")
+_STATUS = "CASE WHEN (SELECT max(ts) FROM commits) > 883612800 THEN 'stale-advisory' ELSE 'current' END AS status"
+
+
+@query(with_views("files", "commits") + f", i AS {sql_of('h01_impacted_files')}, {_TYPED} SELECT i.node, distance, reason, via, confidence, coalesce(n, 0) AS tests, CASE WHEN n > 0 THEN 'cargo test -p ' || split_part(i.node, '/', 1) END AS command, {_STATUS} FROM i LEFT JOIN tests USING (node)")
 def k01_change_impact(t: Tables) -> DataFrame:
-    """What a change of a module reaches against the direction of imports, with tests, commands and whether the record is older than the newest commit (a12, c02, h01, g08, j23)."""
+    """What a change of a module reaches against the direction of imports, over which file and how surely, with tests, commands and whether the record is older than the newest commit (a12, c02, h01, g08, j23)."""
     tests = typed(t).filter(F.col("path").contains("/tests/")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     newest = commits(t).agg(F.when(F.max("ts") > 883_612_800, "stale-advisory").otherwise("current").alias("status"))
-    d = F.col("distance")
     x = h01_impacted_files(t).join(tests, "node", "left").crossJoin(F.broadcast(newest))  # one row
-    return x.select("node", "distance", F.when(d == 0, "changed").otherwise("imports").alias("reason"), F.when(d < 2, "high").otherwise("medium").alias("confidence"), F.coalesce("n", F.lit(0)).alias("tests"), F.when(F.col("n") > 0, F.concat(F.lit("cargo test -p "), F.split_part("node", F.lit("/"), F.lit(1)))).alias("command"), "status")
+    return x.select("node", "distance", "reason", "via", "confidence", F.coalesce("n", F.lit(0)).alias("tests"), F.when(F.col("n") > 0, F.concat(F.lit("cargo test -p "), F.split_part("node", F.lit("/"), F.lit(1)))).alias("command"), "status")
 
 
-@query(with_views("files", "imports") + f", e AS (SELECT DISTINCT importer AS src, target AS dst FROM imports), {_TYPED}, seeds AS (SELECT DISTINCT node FROM typed WHERE size = 50), b(node, distance) AS (SELECT node, CAST(0 AS BIGINT) FROM seeds UNION SELECT e.src, b.distance + 1 FROM b JOIN e ON e.dst = b.node WHERE b.distance < 150), r AS (SELECT node, min(distance) AS distance FROM b GROUP BY 1) SELECT node, distance, distance = 0 AS changed, coalesce(n, 0) AS tests, coalesce(n, 0) = 0 AS fallback FROM r LEFT JOIN tests USING (node)")
+@query(with_views("files", "imports") + f", {_TYPED}, seeds AS (SELECT DISTINCT node FROM typed WHERE size = 50)" + _IMPACT + " SELECT node, distance, reason, via, confidence, coalesce(n, 0) AS tests, coalesce(n, 0) = 0 AS fallback FROM impact LEFT JOIN tests USING (node)")
 def k02_edit_impact(t: Tables) -> DataFrame:
-    """What the files edited now reach, with the tests of each place; where there are none those beside the file would be taken (a01, c01, h01, g08)."""
-    edges = settled(part_edges(t))
-    seeds = typed(t).filter("size = 50").select("node")
-    reached = distances(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds)
+    """What the files edited now reach, over which file and how surely, with the tests of each place; where there are none those beside the file would be taken (a01, c01, h01, g08)."""
+    reached = impacted(t, typed(t).filter("size = 50").select("node"))
     tests = typed(t).filter(F.col("path").contains("/tests/")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    return reached.join(tests, "node", "left").select("node", "distance", (F.col("distance") == 0).alias("changed"), F.coalesce("n", F.lit(0)).alias("tests"), F.col("n").isNull().alias("fallback"))
+    return reached.join(tests, "node", "left").select("node", "distance", "reason", "via", "confidence", F.coalesce("n", F.lit(0)).alias("tests"), F.col("n").isNull().alias("fallback"))
 
 
 @query(f"WITH c AS {sql_of('b16_evidence_coverage')} SELECT k.lang AS kind, count(*) AS total, count(*) FILTER (WHERE contains(lower(text), 'license')) AS matched, least(count(*) FILTER (WHERE contains(lower(text), 'license')), 20) AS returned, count(*) FILTER (WHERE contains(lower(text), 'license')) > 20 AS truncated, any_value(coverage) AS coverage, any_value(confidence) AS confidence FROM documents k JOIN c USING (lang) GROUP BY 1")

@@ -44,7 +44,7 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
 def test_flagship_has_rows(spark, sf_dir):
     df = flagship(spark, sf_dir)
     assert df.count() > 0
-    assert df.columns == ["hash", "score", "percentile"]
+    assert df.columns == ["hash", "score", "sampled", "percentile", "level"]
 
 
 def test_names_are_unique_and_checked():
