@@ -322,18 +322,19 @@ def near_duplicate_clusters(docs: DataFrame, similarity: float = SIMILARITY, shi
     prints = materialize(rows.mapInArrow(run, PRINTS), "prints")
     one = prints.filter("keys is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "h", "row_id")).alias("r"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("rows"))
     nodes = materialize(one.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "r.*", "n", "keys", "fp", "rows"), "nodes")
-    buckets = nodes.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    firsts = materialize(buckets.select("key", "first"), "bucket-firsts")
+    own = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    firsts = own.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "first")
+    shared = materialize(own.join(firsts, "key").select("node", "band", "key", "first"), "shared-buckets")
+    nodes = materialize(nodes.drop("keys"), "narrow-nodes")
     links = pairs = None
 
     def members_now() -> DataFrame:
         """node, band, key, root, first, main: the members of all buckets of two or more, by the groups that the links so far make."""
         if links is None:
-            grouped = nodes.select("node", "keys", F.col("node").alias("root"))
-        else:
-            grouped = materialize(nodes.join(components(links), "node", "left").select("node", "keys", F.coalesce("root", "node").alias("root")), "grouped")
-        mains = firsts.join(grouped.select(F.col("node").alias("first"), F.col("root").alias("main")), "first").select("key", "first", "main")
-        return grouped.select("node", F.posexplode("keys").alias("band", "key"), "root").join(mains, "key")
+            return shared.withColumns({"root": F.col("node"), "main": F.col("first")})
+        groups = materialize(components(links), "groups")  # of linked nodes only
+        own_root, main = groups.select("node", "root"), groups.select(F.col("node").alias("first"), F.col("root").alias("main"))
+        return shared.join(own_root, "node", "left").join(main, "first", "left").select("node", "band", "key", "first", F.coalesce("root", "node").alias("root"), F.coalesce("main", "first").alias("main"))
 
     for early in (True, False):  # what the first round joins needs no pairs in the second
         met = members_now().filter(F.col("root") != F.col("main"))
