@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stratalens.operators.joins import _PAIRS, _RUNS, benchmark_runs, co_changes, history_counts
 from stratalens.operators.reach import chain_depths, closure, settled
+from stratalens.operators.selection import MIDDLE, nth, order_statistics
 from stratalens.plans.registry import Tables, query
 from stratalens.sources.bindings import commit_files, commits, files, imports, session_events, with_views
 
@@ -339,10 +340,9 @@ def d28_period_delta(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderpriority AS kind, quantile_disc(o_totalprice, 0.5) AS p50, quantile_disc(o_totalprice, 0.95) AS p95, round(median(o_totalprice), 6) AS middle FROM orders GROUP BY 1")
 def d29_percentiles(t: Tables) -> DataFrame:
-    """Nearest-rank percentiles and the median (also d31)."""
-    return t.orders.groupBy(F.col("o_orderpriority").alias("kind")).agg(
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY o_totalprice)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY o_totalprice)").alias("p95"), F.round(F.median("o_totalprice"), 6).alias("middle")
-    )
+    """Nearest-rank percentiles and the median, by selection (also d31)."""
+    found = order_statistics(t.orders.select(F.col("o_orderpriority").alias("kind"), "o_totalprice"), ["kind"], "o_totalprice", {"p50": nth(50), "p95": nth(95), **MIDDLE})
+    return found.select("kind", "p50", "p95", F.round((F.col("low") + F.col("high")) / 2, 6).alias("middle"))
 
 
 @query("""WITH y AS (SELECT c_custkey, coalesce(sum(o_totalprice) FILTER (WHERE year(o_orderdate) = 1996), 0) AS base, coalesce(sum(o_totalprice) FILTER (WHERE year(o_orderdate) = 1997), 0) AS now FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)

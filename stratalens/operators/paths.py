@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.operators.aggregates import _PAST, _QUALITY, _SHAPE, change_risk, count, module_metrics
+from stratalens.operators.reach import settled
+from stratalens.operators.selection import MIDDLE, nth, order_statistics
 from stratalens.plans.registry import Tables, query
 from stratalens.sources.bindings import commit_files, files, imports, with_views
 
@@ -131,8 +133,11 @@ def c29_first_payload(t: Tables) -> DataFrame:
 
 @query(with_views("commits", "commit_files") + _SHAPE + _PAST + " SELECT count(*) AS n, round(min(score), 4) AS lowest, round(median(score), 4) AS middle, round(max(score), 4) AS highest, count(*) FILTER (WHERE a > 0) AS untested FROM scored")
 def d30_risk_distribution(t: Tables) -> DataFrame:
-    """Spread of change risk over all commits, and those without tests (also d14)."""
-    return change_risk(t).agg(count().alias("n"), F.round(F.min("score"), 4).alias("lowest"), F.round(F.median("score"), 4).alias("middle"), F.round(F.max("score"), 4).alias("highest"), F.count_if(F.col("a") > 0).alias("untested"))
+    """Spread of change risk over all commits, and those without tests; the median by selection (also d14)."""
+    risk = settled(change_risk(t).select("score", "a"))
+    middle = order_statistics(risk, [], "score", MIDDLE).select(F.round((F.col("low") + F.col("high")) / 2, 4).alias("middle"))
+    spread = risk.agg(count().alias("n"), F.round(F.min("score"), 4).alias("lowest"), F.round(F.max("score"), 4).alias("highest"), F.count_if(F.col("a") > 0).alias("untested"))
+    return spread.crossJoin(middle).select("n", "lowest", "middle", "highest", "untested")  # of single rows
 
 
 @query("SELECT n_name AS unit, CASE WHEN count(s_suppkey) > 0 THEN round_even(100 * count(s_suppkey) FILTER (WHERE s_acctbal >= 0) / count(s_suppkey), 1) END AS resolved FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
@@ -144,9 +149,11 @@ def d36_resolved_ratio(t: Tables) -> DataFrame:
 
 @query("SELECT event_type AS family, count(*) AS n, round(count(*) FILTER (WHERE value > 5) / count(*), 6) AS ok_ratio, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.95) <= 100 AND count(*) FILTER (WHERE value > 5) = count(*) AS passed FROM events GROUP BY 1")
 def d43_quality_ratios(t: Tables) -> DataFrame:
-    """Share of good checks per family, and the verdict on latency and quality together."""
-    ok, p95 = F.count_if(F.col("value") > 5), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)")
-    return t.events.groupBy(F.col("event_type").alias("family")).agg(count().alias("n"), F.round(ok / count(), 6).alias("ok_ratio"), p95.alias("p95"), ((p95 <= 100) & (ok == count())).alias("passed"))
+    """Share of good checks per family, and the verdict on latency, a percentile by selection, and quality together."""
+    e = t.events.select(F.col("event_type").alias("family"), "value")
+    ok = e.groupBy("family").agg(count().alias("checks"), F.count_if(F.col("value") > 5).alias("ok"))
+    x = ok.join(order_statistics(e, ["family"], "value", {"p95": nth(95)}), "family")
+    return x.select("family", F.col("checks").alias("n"), F.round(F.col("ok") / F.col("checks"), 6).alias("ok_ratio"), "p95", ((F.col("p95") <= 100) & (F.col("ok") == F.col("checks"))).alias("passed"))
 
 
 @query(_QUALITY + " SELECT module, max_cc, coupling FROM q ORDER BY coupling DESC, module LIMIT 3")
