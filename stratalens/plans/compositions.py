@@ -15,6 +15,7 @@ from stratalens.operators.joins import WIDE, c18_paired_deltas
 from stratalens.operators.ordered import last_frames, running_sums
 from stratalens.operators.paths import b17_evidence_chain, b18_gate_verdict
 from stratalens.operators.reach import joined_groups, settled
+from stratalens.operators.retrieval import best_documents, keyword_hits, lines_of, terms_of
 from stratalens.operators.scan import b16_evidence_coverage
 from stratalens.plans.registry import Tables, query
 from stratalens.sources.bindings import DAY, commit_files, commits, files, session_events, with_views
@@ -130,45 +131,94 @@ def k09_session_adapt(t: Tables) -> DataFrame:
 
 
 def passage_hits(t: Tables) -> DataFrame:
-    """item_id, doc_id, n: documents that hold a whole benchmark passage, with their bytes; looked up by the passage's longest inner word, which the document must have as a word.
+    """item_id, doc_id: documents that hold a whole benchmark passage; looked up by the passage's longest inner word, which the document must have as a word.
 
-    A passage of fewer than three words has no inner word and no hits. Words move without texts; texts of candidates are read once.
+    A passage of fewer than three words has no inner word and is looked up by its longest term, which a word of the document must hold; one that has neither has no hits.
+    Words move without texts; texts of candidates are read once.
     """
     words = F.split("text", r"[ \n]")
+    longest = lambda some: F.array_max(F.transform(some, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    passages = t.benchmark.select("item_id", F.col("text").alias("passage"), F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("key"))
+    passages = t.benchmark.select("item_id", F.col("text").alias("passage"), longest(inner).alias("key"), longest(terms_of(F.col("text"))).alias("keyword"))
     index = t.documents.select("doc_id", F.explode(F.array_distinct(words)).alias("key"))
-    near = index.join(passages.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    found = near.join(t.documents.select("doc_id", "text"), "doc_id").join(passages.drop("key"), "item_id").filter(F.contains("text", "passage"))
-    return found.select("item_id", "doc_id", F.octet_length("text").cast("long").alias("n")).distinct()
-
-
-_HITS = "h AS (SELECT DISTINCT b.item_id, k.doc_id, CAST(octet_length(encode(k.text)) AS BIGINT) AS n FROM documents k JOIN benchmark b ON contains(k.text, b.text) AND len(regexp_split_to_array(b.text, '[ \\n]')) > 2)"
-
-
-@query(f"WITH {_HITS}, g AS (SELECT h.*, l.doc_id IS NOT NULL AS guided FROM h LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l ON l.doc_id = h.doc_id) SELECT b.item_id, count(g.doc_id) AS hits, min(g.doc_id) AS first, count(*) FILTER (WHERE guided) > 0 AS covered_a, count(g.doc_id) > 0 AS covered_b, CAST(coalesce(sum(n) FILTER (WHERE guided), 0) AS BIGINT) AS bytes_a, CAST(coalesce(sum(n), 0) AS BIGINT) AS bytes_b, CASE WHEN count(g.doc_id) = 0 THEN 'none' WHEN count(*) FILTER (WHERE guided) > 0 AND sum(n) FILTER (WHERE guided) < sum(n) THEN 'a' WHEN count(*) FILTER (WHERE guided) > 0 THEN 'tie' ELSE 'b' END AS winner FROM benchmark b LEFT JOIN g USING (item_id) GROUP BY 1")
+    near = index.join(passages.select("item_id", "key"), "key").select("doc_id", "item_id")
+    short = settled(passages.filter("key is null and keyword is not null").select("item_id", "keyword"))
+    if not short.isEmpty():
+        near = near.union(keyword_hits(t.documents, short).select("doc_id", "item_id"))
+    found = near.distinct().join(t.documents.select("doc_id", "text"), "doc_id").join(passages.select("item_id", "passage"), "item_id").filter(F.contains("text", "passage"))
+    return found.select("item_id", "doc_id").distinct()
+
+
+_FOUND = """h AS (SELECT DISTINCT b.item_id, k.doc_id FROM documents k JOIN benchmark b ON contains(k.text, b.text) AND (len(regexp_split_to_array(b.text, '[ \\n]')) > 2 OR regexp_matches(lower(b.text), '[a-z0-9_]{3}')))"""
+
+#: Lines read around a pointer, files that a plain search opens, and keywords of a question.
+AROUND, OPENED, KEYWORDS = 2, 5, 2
+
+_ARMS = f"""WITH {_FOUND}, kw AS (SELECT item_id, keyword FROM (SELECT item_id, keyword, row_number() OVER (PARTITION BY item_id ORDER BY length(keyword) DESC, keyword) AS k FROM (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 3)) AS keyword FROM benchmark)) WHERE k <= {KEYWORDS}),
+  wants AS (SELECT item_id, count(*) AS m FROM kw GROUP BY 1), gold AS (SELECT item_id, min(doc_id) AS doc_id FROM h GROUP BY 1),
+  span AS (SELECT g.item_id, g.doc_id, 1 + length(head) - length(replace(head, chr(10), '')) AS lo, length(b.text) - length(replace(b.text, chr(10), '')) AS more FROM (SELECT gold.*, left(k.text, CAST(strpos(k.text, b.text) - 1 AS BIGINT)) AS head FROM gold JOIN documents k USING (doc_id) JOIN benchmark b USING (item_id)) g JOIN benchmark b USING (item_id)),
+  l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+  kinds AS (SELECT CAST(sum(octet_length(encode(line))) FILTER (WHERE no = 1) AS BIGINT) AS heads, CAST(sum(octet_length(encode(line))) AS BIGINT) AS every FROM l),
+  p AS (SELECT item_id, doc_id, no FROM l JOIN kw ON contains(lower(line), keyword) JOIN wants USING (item_id) GROUP BY item_id, doc_id, no HAVING count(*) = any_value(m)),
+  stop AS (SELECT item_id, bool_or(no = 1) AS early FROM p GROUP BY 1), used AS (SELECT p.* FROM p JOIN stop USING (item_id) WHERE NOT early OR no = 1),
+  win AS (SELECT DISTINCT item_id, doc_id, unnest(range(greatest(1, no - {AROUND}), no + {AROUND} + 1)) AS no FROM used), seen AS (SELECT item_id, CAST(sum(octet_length(encode(line)) + 1) AS BIGINT) AS n FROM win JOIN l USING (doc_id, no) GROUP BY 1),
+  inside AS (SELECT s.item_id, count(w.no) = any_value(more) + 1 AS ok FROM span s LEFT JOIN win w ON w.item_id = s.item_id AND w.doc_id = s.doc_id AND w.no BETWEEN lo AND lo + more GROUP BY 1),
+  counted AS (SELECT item_id, doc_id, sum((length(lower(text)) - length(replace(lower(text), keyword, ''))) // length(keyword)) AS hits, octet_length(encode(any_value(text))) AS size FROM documents JOIN kw ON contains(lower(text), keyword) GROUP BY 1, 2),
+  opened AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS k, count(*) OVER (PARTITION BY item_id) AS matched FROM counted) WHERE k <= {OPENED}),
+  b AS (SELECT o.item_id, any_value(matched) AS matched, CAST(sum(size) AS BIGINT) AS bytes, bool_or(o.doc_id = g.doc_id) AS ok FROM opened o LEFT JOIN gold g USING (item_id) GROUP BY 1),
+  x AS (SELECT q.item_id, gold.doc_id AS golden, coalesce(inside.ok, false) AS covered_a, (SELECT heads FROM kinds) + CASE WHEN coalesce(early, false) THEN 0 ELSE (SELECT every FROM kinds) END + coalesce(seen.n, 0) AS bytes_a, coalesce(b.ok, false) AS covered_b, coalesce(b.bytes, 0) AS bytes_b, coalesce(matched, 0) AS matched_b
+    FROM benchmark q LEFT JOIN gold USING (item_id) LEFT JOIN inside USING (item_id) LEFT JOIN stop USING (item_id) LEFT JOIN seen USING (item_id) LEFT JOIN b USING (item_id))"""
+
+
+@query(_ARMS + " SELECT *, CASE WHEN covered_a AND NOT covered_b THEN 'a' WHEN covered_b AND NOT covered_a THEN 'b' WHEN NOT covered_a THEN 'neither' WHEN bytes_a < bytes_b THEN 'a' WHEN bytes_b < bytes_a THEN 'b' ELSE 'tie' END AS winner FROM x")
 def k16_retrieval_eval(t: Tables) -> DataFrame:
-    """Two arms per question: A looks in documents labelled good, B in all; an arm that covers a passage with fewer bytes wins."""
-    good = t.labels.filter("quality = 1").select("doc_id").distinct().withColumn("guided", F.lit(True))
-    hits = passage_hits(t).join(good, "doc_id", "left")
-    a = F.col("guided")
-    counted = hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("hits"), F.min("doc_id").alias("first"), F.count("guided").alias("na"), F.sum(F.when(a, F.col("n"))).alias("bytes_a"), F.sum("n").alias("bytes_b"))
-    x = t.benchmark.select("item_id").join(counted, "item_id", "left").fillna(0, ["hits", "na", "bytes_a", "bytes_b"])
-    winner = F.when(F.col("hits") == 0, "none").when((F.col("na") > 0) & (F.col("bytes_a") < F.col("bytes_b")), "a").when(F.col("na") > 0, "tie").otherwise("b")
-    return x.select("item_id", "hits", "first", (F.col("na") > 0).alias("covered_a"), (F.col("hits") > 0).alias("covered_b"), "bytes_a", "bytes_b", winner.alias("winner"))
+    """Two arms per question, each with a search of its own, for the passage's two longest terms; what covers it with fewer bytes wins.
+
+    A reads an index of first lines and, if no entry holds all keywords, one of all lines, then the lines around what it points to; the passage's lines must be among them.
+    B counts keywords in whole texts and opens the five documents with most; the passage's document must be among them.
+    """
+    docs = t.documents.select("doc_id", "text")
+    terms = t.benchmark.select("item_id", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("keyword"))
+    asked = settled(terms.withColumn("k", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc(F.length("keyword")), "keyword"))).filter(F.col("k") <= KEYWORDS).select("item_id", "keyword"))
+    hits = settled(keyword_hits(docs, asked))
+    lines = lines_of(docs).select("doc_id", "no", F.octet_length("line").cast("long").alias("size"))
+    gold = settled(passage_hits(t).groupBy("item_id").agg(F.min("doc_id").alias("golden")))
+    # arm A
+    wants = asked.groupBy("item_id").agg(F.count(F.lit(1)).alias("m"))
+    pointers = hits.groupBy("item_id", "doc_id", "no").agg(F.count(F.lit(1)).alias("n")).join(wants, "item_id").filter("n = m").select("item_id", "doc_id", "no")
+    pointers = settled(pointers)
+    stop = pointers.groupBy("item_id").agg(F.bool_or(F.col("no") == 1).alias("early"))
+    used = pointers.join(stop, "item_id").filter(~F.col("early") | (F.col("no") == 1))
+    window = settled(used.select("item_id", "doc_id", F.explode(F.sequence(F.greatest(F.lit(1), F.col("no") - AROUND), F.col("no") + AROUND)).alias("no")).distinct())
+    seen = window.join(lines, ["doc_id", "no"]).groupBy("item_id").agg(F.sum(F.col("size") + 1).alias("read"))
+    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    head = F.substring("text", F.lit(1), F.instr("text", F.col("passage")) - 1)
+    span = gold.join(docs, F.col("golden") == F.col("doc_id")).join(t.benchmark.select("item_id", F.col("text").alias("passage")), "item_id")
+    span = span.select("item_id", "golden", (breaks(head) + 1).alias("lo"), breaks(F.col("passage")).alias("more"))
+    inside = span.join(window.withColumnRenamed("doc_id", "golden"), ["item_id", "golden"]).filter((F.col("no") >= F.col("lo")) & (F.col("no") <= F.col("lo") + F.col("more"))).groupBy("item_id", "more").agg(F.count(F.lit(1)).alias("n"))
+    kinds = lines.agg(F.coalesce(F.sum(F.when(F.col("no") == 1, F.col("size"))), F.lit(0)).alias("heads"), F.coalesce(F.sum("size"), F.lit(0)).alias("every"))
+    # arm B
+    counted = hits.groupBy("item_id", "doc_id").agg(F.sum("times").alias("hits"))
+    order = W.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id")
+    opened = counted.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= OPENED)
+    matched = counted.groupBy("item_id").agg(F.count(F.lit(1)).alias("matched_b"))
+    b = opened.join(docs.select("doc_id", F.octet_length("text").cast("long").alias("size")), "doc_id").join(gold, "item_id", "left").groupBy("item_id").agg(F.sum("size").alias("bytes_b"), F.bool_or(F.col("doc_id") == F.col("golden")).alias("covered_b"))
+    x = t.benchmark.select("item_id").join(gold, "item_id", "left").join(inside.select("item_id", (F.col("n") == F.col("more") + 1).alias("covered_a")), "item_id", "left").join(stop, "item_id", "left").join(seen, "item_id", "left").join(b, "item_id", "left").join(matched, "item_id", "left").crossJoin(F.broadcast(kinds))  # one row
+    yes, zero = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c), lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    bytes_a = F.col("heads") + F.when(F.coalesce("early", F.lit(False)), 0).otherwise(F.col("every")) + F.coalesce("read", F.lit(0))
+    x = x.select("item_id", "golden", yes("covered_a"), bytes_a.alias("bytes_a"), yes("covered_b"), zero("bytes_b"), zero("matched_b"))
+    a, b, na, nb = F.col("covered_a"), F.col("covered_b"), F.col("bytes_a"), F.col("bytes_b")
+    return x.withColumn("winner", F.when(a & ~b, "a").when(b & ~a, "b").when(~a, "neither").when(na < nb, "a").when(nb < na, "b").otherwise("tie"))
 
 
 _TERMS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 3))"
 
 
-@query(f"WITH {_HITS}, q AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark), d AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents), s AS (SELECT item_id, doc_id, count(*) AS score FROM q JOIN d USING (term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM s), f AS (SELECT h.item_id, count(*) AS expected, count(r.doc_id) AS found FROM h LEFT JOIN r ON r.item_id = h.item_id AND r.doc_id = h.doc_id AND k <= 10 GROUP BY 1)"
+@query(f"WITH {_FOUND}, q AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark), d AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents), s AS (SELECT item_id, doc_id, count(*) AS score FROM q JOIN d USING (term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM s), f AS (SELECT h.item_id, count(*) AS expected, count(r.doc_id) AS found FROM h LEFT JOIN r ON r.item_id = h.item_id AND r.doc_id = h.doc_id AND k <= 10 GROUP BY 1)"
   " SELECT b.item_id, coalesce(expected, 0) AS expected, coalesce(found, 0) AS found, CASE WHEN expected > 0 THEN round(found / expected, 6) END AS recall, r.doc_id AS best FROM benchmark b LEFT JOIN f USING (item_id) LEFT JOIN r ON r.item_id = b.item_id AND k = 1")
 def l10_native_retrieval(t: Tables) -> DataFrame:
-    """Documents by the number of a question's terms that they hold, ten a question, and the share of those with the passage among them (c27, i27)."""
-    terms = F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9_]+"), lambda x: F.length(x) >= 3))).alias("term")
-    score = t.documents.select("doc_id", terms).join(t.benchmark.select("item_id", terms), "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
-    ranked = score.withColumn("k", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).filter("k <= 10")
-    ranked = settled(ranked.select("item_id", "doc_id", "k"))
+    """Documents by the number of a question's terms that they hold, ten a question by bounded lists, and the share of those with the passage among them (c27, i27)."""
+    ranked = best_documents(t.documents, t.benchmark).select("item_id", "doc_id", "k")
     found = passage_hits(t).join(ranked, ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.count(F.lit(1)).alias("expected"), F.count("k").alias("found"))
     best = ranked.filter("k = 1").select("item_id", F.col("doc_id").alias("best"))
     x = t.benchmark.select("item_id").join(found, "item_id", "left").join(best, "item_id", "left").fillna(0, ["expected", "found"])
