@@ -4,7 +4,8 @@ Every full longest window is cut off a document; what remains goes to the tier o
 holds it. Tiers are packed from the longest: the longest remainder opens a window, the gap is filled by the
 longest remainders of the same or a shorter tier that fit, and the last of the gap by a piece cut off the
 shortest. The one window left unfilled at the end is split into powers of two, so no window needs padding.
-Windows, longest first, are dealt to step groups of equal token totals. Each task packs its own rows, in
+Windows are dealt to step groups of equal token totals: those of one size as they come, and at the end of the task what is left of all sizes together, longest
+first, so that a task has one short group. Each task packs its own rows, in
 slices of bounded size, so nothing is shuffled and a task that is run again gives the same windows.
 
 Defined results: a null or empty text is the end id alone; ties go by order within the task; a text of any
@@ -17,6 +18,7 @@ import bisect
 import os
 import unicodedata
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -253,41 +255,62 @@ def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[tuple[
     return windows
 
 
-def step_groups(sizes: list[int], step_tokens: int = STEP_TOKENS) -> list[int]:
-    """The step group of each window: groups of equal totals, as sizes are powers of two dealt longest first."""
-    groups, total = [0] * len(sizes), 0
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        groups[i] = total // step_tokens
-        total += sizes[i]
-    return groups
+class StepGroups:
+    """Deals windows to groups of `step_tokens`, numbered from `first`. Sizes are powers of two up to it, so every group but the last is full; what waits is less than a group of each size."""
 
+    def __init__(self, first: int, step_tokens: int) -> None:
+        self.group, self.step, self.waiting = first, step_tokens, defaultdict(list)
 
-def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece of a document; see PIECES."""
+    def full(self, size: int, window: object) -> tuple[int, list] | None:
+        """The group's number and windows, once this one fills it."""
+        own = self.waiting[size]
+        own.append(window)
+        if len(own) * size < self.step:
+            return None
+        self.group += 1
+        return self.group - 1, self.waiting.pop(size)
+
+    def rest(self) -> Iterator[tuple[int, list]]:
+        total = 0
+        for size in sorted(self.waiting, reverse=True):
+            for window in self.waiting[size]:
+                yield self.group + total // self.step, [window]
+                total += size
+
+
+def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """One row per piece of a document; see PIECES. slice_bytes: of texts that are packed together; a task holds some tens of times that."""
     small_batches(docs.sparkSession)
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(tiers, reverse=True):
         raise ValueError("tiers must be powers of two, descending")
+    if step_tokens & (step_tokens - 1) or step_tokens < tiers[0]:
+        raise ValueError("a step must be a power of two, and hold a window")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, task = word_tokens(vocabulary), TaskContext.get().partitionId()
-        first, group = task << 40, task << 40
+        first, groups = task << 40, StepGroups(task << 40, step_tokens)
         names = [x.split()[0] for x in PIECES.split(", ")]
-        for table in slices(frames, SLICE_BYTES, "packing"):
+
+        def batch(rows: list) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+
+        for table in slices(frames, slice_bytes, "packing"):
             doc_ids = table.column(0).to_pylist()
             ids, bounds = tokens.encode(table.column(1), END_ID)
             data, starts, lengths = memoryview(ids).cast("B"), bounds[:-1].tolist(), np.diff(bounds).tolist()
-            windows = pack(lengths, tiers)
-            sizes = [sum(n for _, _, n in w) for w in windows]
-            steps = step_groups(sizes, step_tokens)
-            rows = []
+            rows, windows = [], pack(lengths, tiers)
             for i, window in enumerate(windows):
-                offset = 0
+                size, offset, own = sum(n for _, _, n in window), 0, []
                 for doc, start, n in window:
                     at = starts[doc] + start
-                    rows.append((doc_ids[doc], start, n, zlib.crc32(data[4 * at : 4 * (at + n)]), lengths[doc], first + i, offset, sizes[i], group + steps[i]))
+                    own.append((doc_ids[doc], start, n, zlib.crc32(data[4 * at : 4 * (at + n)]), lengths[doc], first + i, offset, size))
                     offset += n
-            first, group = first + len(windows), group + max(steps, default=-1) + 1
+                if full := groups.full(size, own):
+                    rows += [(*row, full[0]) for some in full[1] for row in some]
+            first += len(windows)
             for at in range(0, len(rows), 20_000):
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows[at : at + 20_000], strict=True)], names)
+                yield batch(rows[at : at + 20_000])
+        if rows := [(*row, group) for group, some in groups.rest() for own in some for row in own]:
+            yield batch(rows)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
