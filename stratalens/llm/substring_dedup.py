@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .bpe import slices
 from .common import apart, batches, materialize, scratch, small_batches, texts_of
 
-WINDOW, ANCHOR, SLICE_BYTES = 35, 8, 2 << 20
+WINDOW, ANCHOR, SLICE_BYTES = 35, 8, 1 << 20
 U = np.uint64
 
 
