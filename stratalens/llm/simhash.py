@@ -308,7 +308,7 @@ def near_duplicate_clusters(docs: DataFrame, similarity: float = SIMILARITY, shi
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(frames, 2 << 20):
+        for batch in batches(frames, 1 << 20):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in texts_of(batch.column(3))]
             names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
             words = [least_words(s) if len(s) else None for s in sets]
