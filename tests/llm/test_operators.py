@@ -244,9 +244,26 @@ def test_packing_tiers_and_steps():
     sizes = [sum(n for _, _, n in w) for w in windows]
     assert sum(sizes) == sum(lengths) and all(s & (s - 1) == 0 for s in sizes)
     assert {2048, 1024} <= set(sizes)
-    groups = packing.step_groups(sizes)
-    totals = [sum(s for s, g in zip(sizes, groups, strict=True) if g == k) for k in range(max(groups))]
-    assert set(totals) == {packing.STEP_TOKENS}
+    steps, totals = packing.StepGroups(7, packing.STEP_TOKENS), {}
+    dealt = [full for s in sizes if (full := steps.full(s, s))]
+    assert sum(len(v) for v in steps.waiting.values()) < 2 * packing.STEP_TOKENS  # what waits does not grow
+    for group, some in [*dealt, *steps.rest()]:
+        totals[group] = totals.get(group, 0) + sum(some)
+    assert sorted(totals) == list(range(7, 7 + len(totals))) and sum(totals.values()) == sum(sizes)
+    assert [totals[g] for g in sorted(totals)][:-1] == [packing.STEP_TOKENS] * (len(totals) - 1)
+
+
+def test_step_groups_of_a_task(spark):
+    """However many slices a task has, one of its groups is short."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 900, int(rng.integers(1, 900))))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    pieces = packing.pack_documents(docs, slice_bytes=1 << 16).collect()
+    check_packing(rows, pieces)
+    totals = {}
+    for p in pieces:
+        totals[p["step_group"]] = totals.get(p["step_group"], 0) + p["length"]
+    assert len(totals) > 20 and sorted(totals.values())[1:] == [packing.STEP_TOKENS] * (len(totals) - 1)
 
 
 def test_bpe(docs, empty):
