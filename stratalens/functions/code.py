@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -301,13 +303,32 @@ def i08_use_trees(t: Tables) -> DataFrame:
   defs AS (SELECT path, no, indent FROM code WHERE regexp_matches(line, '^ *def ')), last AS (SELECT path, max(no) AS last FROM code GROUP BY path)
   SELECT d.path, d.no AS start, coalesce(min(c.no) - 1, any_value(last)) AS end_no FROM defs d JOIN last USING (path) LEFT JOIN code c ON c.path = d.path AND c.no > d.no AND c.indent <= d.indent GROUP BY 1, 2""")
 def i10_indented_ends(t: Tables) -> DataFrame:
-    """End of each Python function: before the first later code line that is indented no deeper."""
-    trimmed = F.ltrim("line")
-    code = numbered_lines(t).filter(F.col("path").endswith(".py") & (trimmed != "") & ~trimmed.startswith("#")).select("path", "no", "line", (F.length("line") - F.length(trimmed)).alias("indent"))
-    defs = code.filter(F.col("line").rlike("^ *def ")).select("path", F.col("no").alias("start"), F.col("indent").alias("own"))
-    last = code.groupBy("path").agg(F.max("no").alias("last"))
-    later = defs.join(code, "path").filter((F.col("no") > F.col("start")) & (F.col("indent") <= F.col("own"))).groupBy("path", "start").agg((F.min("no") - 1).alias("stop"))
-    return defs.join(last, "path").join(later, ["path", "start"], "left").select("path", "start", F.coalesce("stop", "last").alias("end_no"))
+    """End of each Python function: before the first later code line that is indented no deeper; one pass over a file, with a stack, so an Arrow function."""
+
+    @F.arrow_udf("array<struct<start:long,end_no:long>>")
+    def ends(text: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end_no", pa.int64())]))
+        return pa.array([[{"start": a, "end_no": b} for a, b in indented_ends(x or "")] for x in text.to_pylist()], kind)
+
+    found = corpus(t).filter(F.col("path").endswith(".py")).select("path", F.explode(ends("text")).alias("f"))
+    return found.select("path", "f.start", "f.end_no")
+
+
+def indented_ends(text: str) -> list[tuple[int, int]]:
+    """(line of a def, its last line) of each; lines that are blank or hold a comment only say nothing, and what is open at the end closes with the last line of code."""
+    open_: list[tuple[int, int]] = []  # indents only grow up the stack
+    found, last = [], 0
+    for no, raw in enumerate(text.split("\n"), 1):
+        line = raw.rstrip("\r")
+        code = line.lstrip(" ")
+        if not code or code.startswith("#"):
+            continue
+        indent, last = len(line) - len(code), no
+        while open_ and open_[-1][0] >= indent:
+            found.append((open_.pop()[1], no - 1))
+        if code.startswith("def "):
+            open_.append((indent, no))
+    return sorted(found + [(start, last) for _, start in open_])
 
 
 def blanked(text: str, hash_comments: bool = False) -> str:
@@ -335,17 +356,26 @@ def blanked(text: str, hash_comments: bool = False) -> str:
     return "".join(out)
 
 
-def brace_end(text: str, start: int) -> int:
-    """Line (from 1) on which the block that opens at or after line `start` closes; the last line if it never does."""
-    depth, opened = 0, False
+def brace_ends(text: str, starts: list[int]) -> list[int]:
+    """For each line (from 1) that starts a block, the line on which the block that opens at or after it closes; the last line if it never does. One pass over the text."""
     lines = blanked(text).split("\n")
-    for no in range(start, len(lines) + 1):
-        for c in lines[no - 1]:
-            depth += (c == "{") - (c == "}")
-            opened = opened or c == "{"
-        if opened and depth <= 0:
-            return no
-    return len(lines)
+    waiting: dict[int, list[int]] = {}  # line -> the starts on it
+    for k, no in enumerate(starts):
+        waiting.setdefault(no, []).append(k)
+    out, depth = [len(lines)] * len(starts), 0
+    unopened: list[tuple[int, int]] = []  # start's number and the depth before its line
+    opened: list[tuple[int, int]] = []  # a heap, the greatest depth first: a block closes when the depth falls to that before it
+    for no, line in enumerate(lines, 1):
+        unopened += [(k, depth) for k in waiting.get(no, ())]
+        up = line.count("{")
+        depth += up - line.count("}")
+        if up:
+            for k, before in unopened:
+                heapq.heappush(opened, (-before, k))
+            unopened = []
+        while opened and depth <= -opened[0][0]:
+            out[heapq.heappop(opened)[1]] = no
+    return out
 
 
 #: Ends and terms of the templates, worked out by hand: (number, name, first line, last line) and (number, terms).
@@ -355,14 +385,15 @@ _TERMS = ((0, 2), (1, 0), (2, 2), (3, 1), (4, 2), (5, 0), (6, 0), (7, 0), (8, 0)
 
 @query(_CORPUS + f", e(no, name, a, b) AS (VALUES {', '.join(map(str, _ENDS))}) SELECT path, replace(name, 'main', 'main_' || p_partkey) AS name, CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS end_no FROM corpus JOIN e USING (no)")
 def i11_brace_ends(t: Tables) -> DataFrame:
-    """End of each braced function, by a scan that knows strings and comments; stateful, so an Arrow function."""
+    """End of each braced function, by one scan of a file that knows strings and comments; stateful, so an Arrow function."""
 
-    @F.arrow_udf("long")
-    def end(text: pa.Array, start: pa.Array) -> pa.Array:
-        return pa.array([brace_end(x or "", s) for x, s in zip(text.to_pylist(), start.to_pylist(), strict=True)], pa.int64())
+    @F.arrow_udf("array<long>")
+    def ends(text: pa.Array, starts: pa.Array) -> pa.Array:
+        return pa.array([brace_ends(x or "", s) for x, s in zip(text.to_pylist(), starts.to_pylist(), strict=True)], pa.list_(pa.int64()))
 
-    braced = symbols(t).filter(~F.col("path").endswith(".py")).join(corpus(t), "path")
-    return braced.select("path", "name", F.col("no").alias("start"), end("text", "no").alias("end_no"))
+    found = symbols(t).filter(~F.col("path").endswith(".py")).groupBy("path").agg(F.collect_list(F.struct("name", "no")).alias("f"))  # of one file
+    braced = found.join(corpus(t), "path").select("path", "f", ends("text", F.col("f.no")).alias("ends"))
+    return braced.select("path", F.explode(F.arrays_zip("f", "ends")).alias("x")).select("path", "x.f.name", F.col("x.f.no").alias("start"), F.col("x.ends").alias("end_no"))
 
 
 @query(_CORPUS + f", e(no, terms) AS (VALUES {', '.join(map(str, _TERMS))}) SELECT path, CAST(terms AS BIGINT) AS terms FROM corpus JOIN e USING (no)")

@@ -77,9 +77,45 @@ def test_entry_points_import():
 
 
 def test_blanking_and_ends():
-    from stratalens.functions.code import blanked, brace_end
+    from stratalens.functions.code import blanked, brace_ends
 
     assert blanked('a("}") // }\n/* {\n */ b') == 'a(   )     \n    \n    b'
     assert blanked("x = 'if' # if\ny", True) == "x =          \ny"
-    assert brace_end('fn f() { // }\n  g("}");\n}\nfn h() {}', 1) == 3
-    assert brace_end("fn f() {\n", 1) == 2
+    assert brace_ends('fn f() { // }\n  g("}");\n}\nfn h() {}', [1, 4]) == [3, 4]
+    assert brace_ends("fn f() {\n", [1, 2]) == [2, 2]
+
+
+def test_ends_of_functions_in_one_pass():
+    """Against the plain definitions, on random files and on one of 100,000 lines."""
+    import random
+    import time
+
+    from stratalens.functions.code import brace_ends, indented_ends
+
+    rng = random.Random(1)
+
+    def indented(text):
+        lines = [x.rstrip("\r") for x in text.split("\n")]
+        code = [(no, len(x) - len(x.lstrip(" ")), x.lstrip(" ")) for no, x in enumerate(lines, 1) if x.strip(" ") and not x.lstrip(" ").startswith("#")]
+        return [(no, next((n - 1 for n, i, _ in code if n > no and i <= indent), code[-1][0])) for no, indent, x in code if x.startswith("def ")]
+
+    def braced(text, start):
+        depth, opened, lines = 0, False, text.split("\n")
+        for no in range(start, len(lines) + 1):
+            depth += lines[no - 1].count("{") - lines[no - 1].count("}")
+            opened = opened or "{" in lines[no - 1]
+            if opened and depth <= 0:
+                return no
+        return len(lines)
+
+    for _ in range(200):
+        text = "\n".join(" " * rng.randint(0, 4) + rng.choice(["def f():", "x = 1", "# note", "", "   ", "return\r", "defer"]) for _ in range(rng.randint(1, 40)))
+        assert indented_ends(text) == indented(text)
+        text = "\n".join("".join(rng.choices("{}ab ", (3, 3, 1, 1, 1), k=rng.randint(0, 5))) for _ in range(rng.randint(1, 30)))
+        starts = [rng.randint(1, text.count("\n") + 1) for _ in range(6)]
+        assert brace_ends(text, starts) == [braced(text, s) for s in starts]
+    began = time.time()
+    deep = "\n".join(" " * (i % 50) + "def f():" for i in range(100_000))
+    assert len(indented_ends(deep)) == 100_000
+    assert brace_ends("{\n" * 50_000 + "}\n" * 50_000, list(range(1, 50_001)))[:2] == [100_000, 99_999]
+    assert time.time() - began < 10
