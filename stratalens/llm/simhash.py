@@ -13,7 +13,7 @@ bits needs hundreds of partitions a text once the corpus is large. So the same p
 fingerprint of the same shingle hashes: MIN_WORDS words, each the least value of one hash function (two texts agree on
 a word with a chance equal to their similarity). The bits of a word go together, so partitions are BAND whole words,
 with threshold 0: a pair at 0.8 shares one of the PARTS partitions with a chance of 0.998, whatever the number of
-texts, and a pair at 0.3 with one of 0.1. Each text meets the first text of its buckets: of EARLY partitions, and then of all, where
+texts, and a pair at 0.3 with one of 0.1. Each text meets the first text of its buckets: of EARLY partitions, then of all, and then of all by other orders (SALTS), each time only where
 it isn't yet in the first one's group; so a large group is joined by a few pairs a text. Then every pair of a bucket whose texts
 are not yet in one group meets, in blocks, the likely pairs before the doubtful: in the end each pair of a bucket is decided or within one
 group. A bucket in which over MOST_OUTSIDE texts are outside the first one's group is not met whole, as its pairs would grow with its square: two of its texts meet if
@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, tau: int = 3, shingle: int = 3, id_col: str
     return prints.join(materialize(named, "named"), "fp").select("doc_id", "fp", "component_id")
 
 
-MIN_WORDS, BAND, WIDE, SHINGLE, SIMILARITY, DOUBT, SMALL, EARLY = 48, 4, 20, 5, 0.8, 0.1, 32, 2
+MIN_WORDS, BAND, WIDE, SHINGLE, SIMILARITY, DOUBT, SMALL, EARLY, SALTS = 48, 4, 20, 5, 0.8, 0.1, 32, 2, 4
 PARTS = MIN_WORDS // BAND
 BLOCK, MOST_OUTSIDE = 256, 4096  # members of a bucket that meet all others in one task; and of which more are not met whole
 #: Odd multipliers that derive the hash functions from one hash.
@@ -323,22 +323,25 @@ def near_duplicate_clusters(docs: DataFrame, similarity: float = SIMILARITY, shi
     one = prints.filter("keys is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "h", "row_id")).alias("r"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("rows"))
     nodes = materialize(one.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "r.*", "n", "keys", "fp", "rows"), "nodes")
     own = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    firsts = own.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "first")
-    shared = materialize(own.join(firsts, "key").select("node", "band", "key", "first"), "shared-buckets")
+    salts = [0, *(signed(xxhash.xxh64_intdigest(bytes([i]), SEED)) for i in range(1, SALTS))]
+    firsts = own.groupBy("key").agg(*(F.min(F.col("node").bitwiseXOR(F.lit(x))).alias(f"low{i}") for i, x in enumerate(salts)), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    firsts = firsts.select("key", *(F.col(f"low{i}").bitwiseXOR(F.lit(x)).alias(f"first{i}") for i, x in enumerate(salts)))
+    shared = materialize(own.join(firsts, "key"), "shared-buckets")
     nodes = materialize(nodes.drop("keys"), "narrow-nodes")
     links = pairs = None
 
-    def members_now() -> DataFrame:
-        """node, band, key, root, first, main: the members of all buckets of two or more, by the groups that the links so far make."""
+    def members_now(order: int = 0) -> DataFrame:
+        """node, band, key, root, first, main: the members of all buckets of two or more, by the groups that the links so far make; first: of the bucket, by this order."""
+        held = shared.select("node", "band", "key", F.col(f"first{order}").alias("first"))
         if links is None:
-            return shared.withColumns({"root": F.col("node"), "main": F.col("first")})
+            return held.withColumns({"root": F.col("node"), "main": F.col("first")})
         groups = materialize(components(links), "groups")  # of linked nodes only
         own_root, main = groups.select("node", "root"), groups.select(F.col("node").alias("first"), F.col("root").alias("main"))
-        return shared.join(own_root, "node", "left").join(main, "first", "left").select("node", "band", "key", "first", F.coalesce("root", "node").alias("root"), F.coalesce("main", "first").alias("main"))
+        return held.join(own_root, "node", "left").join(main, "first", "left").select("node", "band", "key", "first", F.coalesce("root", "node").alias("root"), F.coalesce("main", "first").alias("main"))
 
-    for early in (True, False):  # what the first round joins needs no pairs in the second
-        met = members_now().filter(F.col("root") != F.col("main"))
-        new = (met.filter(F.col("band") < EARLY) if early else met).select(*ordered("node", "first")).distinct()
+    for bands, order in ((EARLY, 0), *((PARTS, i) for i in range(SALTS))):  # what a round joins needs no pairs in the next
+        met = members_now(order).filter((F.col("root") != F.col("main")) & (F.col("band") < bands))
+        new = met.select(*ordered("node", "first")).distinct()
         new = materialize(new if pairs is None else new.join(pairs, ["a", "b"], "left_anti"), "pairs")
         found = similar_pairs(materialize(likely_pairs(new, nodes, similarity - DOUBT, similarity), "likely-pairs"), nodes, prints, similarity)
         links, pairs = (found, new) if links is None else (links.union(found), pairs.union(new))
