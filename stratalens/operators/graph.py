@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalens.operators.aggregates import _EDGES, module_edges
 from stratalens.operators.joins import WIDE
-from stratalens.operators.reach import chain_depths, closure, condensed, connected_groups, distances, ends, first_reached, joined_groups, peeled, settled
+from stratalens.operators.reach import chain_depths, closure, condensed, connected_groups, distances, ends, first_reached, joined_groups, settled, stuck
 from stratalens.plans.registry import Tables, query
 from stratalens.sources.bindings import commit_files, files, imports, with_views
 
@@ -126,8 +126,8 @@ def h08_dag_validation(t: Tables) -> DataFrame:
     known = files(t).select(F.col("module").alias("dst")).distinct()
     unknown = edges.select("dst").distinct().join(known, "dst", "left_anti").agg(F.count(F.lit(1)).alias("unknown"))
     n = ends(edges).agg(F.count(F.lit(1)).alias("nodes"))
-    stuck = ends(peeled(edges.distinct(), both=False)).agg(F.count(F.lit(1)).alias("stuck"))
-    one_row = declared.crossJoin(unknown).crossJoin(n).crossJoin(stuck)  # of single rows
+    held = stuck(edges).agg(F.count(F.lit(1)).alias("stuck"))
+    one_row = declared.crossJoin(unknown).crossJoin(n).crossJoin(held)  # of single rows
     return one_row.select("declared", "duplicates", "unknown", "nodes", (F.col("nodes") - F.col("stuck")).alias("ordered"), (F.col("stuck") > 0).alias("cyclic"))
 
 

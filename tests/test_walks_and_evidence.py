@@ -34,8 +34,7 @@ def test_walks_against_brute_force(spark, seed, n, m):
 
     assert {(r.node, r.depth) for r in reach.chain_depths(df).collect()} == {(x, depth(group[x])) for x in nodes}
     stuck = {x for x in nodes if any((y, y) in paths and (y == x or (y, x) in paths) for y in nodes)}
-    left = {x for r in reach.peeled(df, both=False).collect() for x in (r.src, r.dst)}
-    assert left == stuck
+    assert {r["node"] for r in reach.stuck(df).collect()} == stuck
     start = min(nodes)
     far = {start: 0}
     for d in itertools.count(1):
@@ -46,6 +45,37 @@ def test_walks_against_brute_force(spark, seed, n, m):
     assert {(r.node, r.distance) for r in reach.distances(df, spark.createDataFrame([(start,)], "node string")).collect()} == set(far.items())
 
 
+def long_graph(n):
+    """A chain, a cycle, a chain that leads from one cycle to another, and a spine with a leaf at each node; names in an order of their own."""
+    name = lambda kind, i: f"{kind}{i * 7919 % 10007:05}"
+    chain = [(name("a", i), name("a", i + 1)) for i in range(n)]
+    cycle = [(name("b", i), name("b", (i + 1) % n)) for i in range(n)]
+    bridge = [(name("b", 3), name("c", 0))] + [(name("c", i), name("c", i + 1)) for i in range(n)] + [(name("c", n), "d1"), ("d1", "d2"), ("d2", "d1")]
+    spine = [(name("e", i), name("e", i + 1)) for i in range(n)] + [(name("e", i), f"leaf{i}") for i in range(n)]
+    return chain + cycle + bridge + spine
+
+
+def test_long_chains_cost_few_rounds(spark, monkeypatch):
+    rounds, plain = [], reach.settled
+    monkeypatch.setattr(reach, "settled", lambda df: rounds.append(1) or plain(df))
+    took = {}
+    for n in (40, 400):
+        edges = long_graph(n)
+        df = spark.createDataFrame(edges, "src string, dst string").coalesce(2)
+        rounds.clear()
+        found = {r["node"]: r["scc"] for r in reach.connected_groups(df).collect()}
+        took[n] = len(rounds)
+        cycle = {a for a, _ in edges if a.startswith("b")}
+        want = {x: x for e in edges for x in e} | dict.fromkeys(cycle, min(cycle)) | {"d2": "d1"}
+        assert found == want
+        if n == 400:
+            rounds.clear()
+            left = {r["node"] for r in reach.stuck(df).collect()}
+            assert left == cycle | {x for e in edges for x in e if x[0] in "cd"}
+            assert len(rounds) < 90
+    assert took[400] < took[40] + 25 and took[400] < 70
+
+
 def test_depth_is_capped_and_shared_in_a_cycle(spark):
     chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(6)] + [("n002", "n001")]
     df = spark.createDataFrame(chain, "src string, dst string")
