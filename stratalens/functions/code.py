@@ -23,6 +23,12 @@ CORPUS = (
     ("lib/util.c", "#include \"util.h\"\n#include <stdio.h>\nint add(int a, int b) {\n    return a + b;\n}\n"),
     ("docs/readme.md", "# Title\n\nText with C:\\Users\\me and /home/me.\r\n"),
     ("empty.txt", ""),
+    ("tools/run.ps1", "# set up\nFunction Start-Run { param($x)\n  if ($x) { go }\n}\nfunctional\n"),
+    ("src/Shape.java", "public interface Shape {\n}\nprotected enum Kind { A }\nprivate class Box {\n    // if when\n}\n"),
+    ("cmd/server.go", "func (s *Server) Serve(a int) {\n\tx := with(a) || a\n}\nfunc plain() {}\n"),
+    ("web/b.mjs", "export async function later(a, b) {\n  return a || b;\n}\nexport interface Face {\n}\nconst two-words = (x) => x;\nlet ok = x => x;\n"),
+    ("core/match.rs", "pub async fn pick(x: i32) -> i32 {\n    match x {\n        0 => 1,\n        n if n > 2 => n, // => not counted twice\n        _ => 0,\n    }\n}\n"),
+    ("src/Main.cs", "class Other {\n}\n"),
 )
 
 
@@ -51,8 +57,13 @@ def native_lines(text: Column) -> Column:
 
 
 def numbered_lines(t: Tables) -> DataFrame:
-    """path, no (from 1), line."""
-    return corpus(t).select("path", F.posexplode(native_lines(F.col("text"))).alias("i", "line")).select("path", (F.col("i") + 1).cast("long").alias("no"), "line")
+    """path, no (from 1), line of the corpus."""
+    return lines_in(corpus(t))
+
+
+def lines_in(texts: DataFrame) -> DataFrame:
+    """path, no (from 1), line of texts (path, text)."""
+    return texts.select("path", F.posexplode(native_lines(F.col("text"))).alias("i", "line")).select("path", (F.col("i") + 1).cast("long").alias("no"), "line")
 
 
 def extension(path: Column) -> Column:
@@ -72,8 +83,9 @@ def i02_gate_lines(t: Tables) -> DataFrame:
     return corpus(t).select("path", F.when(F.col("text") == "", 0).otherwise(n).cast("long").alias("n"))
 
 
-_LANGS = {"rs": "rust", "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java"}
-_LANG_SQL = "CASE regexp_extract(path, '[.]([^./]+)$', 1) " + " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in _LANGS.items()) + " ELSE 'text' END"
+# Extensions of the native languages.
+_LANGS = {"rs": "rust", "py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "ps1": "powershell", "psm1": "powershell", "cs": "csharp"}
+_LANG_SQL = "CASE lower(regexp_extract(path, '[.]([^./]+)$', 1)) " + " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in _LANGS.items()) + " ELSE 'text' END"
 
 
 def language(path: Column) -> Column:
@@ -91,36 +103,40 @@ def i03_language(t: Tables) -> DataFrame:
     return corpus(t).select("path", language(F.col("path")).alias("lang")).withColumn("supported", F.col("lang") != "text")
 
 
+# Declarations per language, as (languages, pattern with the name in its only group, kind), the first that fits.
+_NAME = "([A-Za-z0-9_$:-]+)"
+_DECLARED = (
+    (("powershell",), f"^(?i:function ){_NAME}", "function"),
+    (("python",), f"^def {_NAME}", "function"), (("python",), f"^class {_NAME}", "class"),
+    *((("javascript", "typescript"), f"^(?:export )?(?:async )?{kind} {_NAME}", kind) for kind in ("function", "class", "interface")),
+    (("javascript", "typescript"), r"^(?:export )?(?:async )?(?:const|let|var)[ ]+([A-Za-z0-9_$]+)[ ]*=.*=>", "function"),
+    (("javascript", "typescript"), r"^(?:export )?(?:async )?(?:const|let|var)[ ]+([A-Za-z0-9_$]+)[ ]*=>", "function"),
+    (("rust",), f"^(?:pub )?(?:async )?fn {_NAME}", "function"),
+    (("go",), f"^func (?:[(][^)]*[)][ ]*)?{_NAME}", "function"),
+    *((("java",), f"^(?:public )?(?:private )?(?:protected )?{kind} {_NAME}", kind) for kind in ("class", "interface", "enum")),
+)
 _SYMBOL_SQL = """, trimmed AS (SELECT path, no, ltrim(line) AS s, """ + _LANG_SQL + """ AS lang FROM lines),
-  found AS (SELECT path, no, CASE WHEN lang = 'python' AND (starts_with(s, 'def ') OR starts_with(s, 'class ')) THEN regexp_extract(s, '^(?:def|class) ([A-Za-z0-9_$:-]+)', 1)
-    WHEN lang = 'rust' AND (starts_with(s, 'fn ') OR starts_with(s, 'pub fn ')) THEN regexp_extract(s, '^(?:pub )?fn ([A-Za-z0-9_$:-]+)', 1)
-    WHEN lang = 'go' AND starts_with(s, 'func ') THEN regexp_extract(s, '^func ([A-Za-z0-9_$:-]+)', 1)
-    WHEN lang IN ('javascript', 'typescript') AND regexp_matches(s, '^(export )?(function|class) [A-Za-z0-9_$]') THEN regexp_extract(s, '^(?:export )?(?:function|class) ([A-Za-z0-9_$:-]+)', 1)
-    WHEN lang IN ('javascript', 'typescript') AND regexp_matches(s, '^(const|let|var) [A-Za-z0-9_$]+ = .*=>') THEN regexp_extract(s, '^(?:const|let|var) ([A-Za-z0-9_$]+)', 1)
-    WHEN lang = 'java' AND contains(s, 'class ') THEN regexp_extract(s, 'class ([A-Za-z0-9_$:-]+)', 1) ELSE '' END AS name FROM trimmed)"""
+  found AS (SELECT path, no, coalesce(x.name, '') AS name, x.kind AS kind FROM (SELECT path, no, CASE """ + " ".join(
+    f"WHEN lang IN ({', '.join(repr(x) for x in langs)}) AND regexp_matches(s, '{pattern}') THEN {{'name': regexp_extract(s, '{pattern}', 1), 'kind': '{kind}'}}" for langs, pattern, kind in _DECLARED
+) + """ END AS x FROM trimmed))"""
 
 
-def symbols(t: Tables) -> DataFrame:
-    """path, no, name: one symbol per line at most, by prefix of the trimmed line."""
+def symbols_in(lines: DataFrame) -> DataFrame:
+    """path, no, name, kind of lines (path, no, line): one symbol per line at most, by prefix of the trimmed line."""
     s, lang = F.col("s"), F.col("lang")
-    ident = "([A-Za-z0-9_$:-]+)"
-    js = lang.isin("javascript", "typescript")
-    name = (
-        F.when(lang == "python", F.regexp_extract(s, f"^(?:def|class) {ident}", 1))
-        .when(lang == "rust", F.regexp_extract(s, f"^(?:pub )?fn {ident}", 1))
-        .when(lang == "go", F.regexp_extract(s, f"^func {ident}", 1))
-        .when(js & s.rlike(r"^(export )?(function|class) [A-Za-z0-9_$]"), F.regexp_extract(s, f"^(?:export )?(?:function|class) {ident}", 1))
-        .when(js & s.rlike(r"^(const|let|var) [A-Za-z0-9_$]+ = .*=>"), F.regexp_extract(s, r"^(?:const|let|var) ([A-Za-z0-9_$]+)", 1))
-        .when(lang == "java", F.regexp_extract(s, f"class {ident}", 1))
-        .otherwise("")
-    )
-    return numbered_lines(t).select("path", "no", F.ltrim("line").alias("s"), language(F.col("path")).alias("lang")).select("path", "no", name.alias("name")).filter("name <> ''")
+    found = F.coalesce(*(F.when(lang.isin(*langs) & s.rlike(pattern), F.struct(F.regexp_extract(s, pattern, 1).alias("name"), F.lit(kind).alias("kind"))) for langs, pattern, kind in _DECLARED))
+    return lines.select("path", "no", F.ltrim("line").alias("s"), language(F.col("path")).alias("lang")).select("path", "no", found.alias("x")).filter("x is not null").select("path", "no", "x.name", "x.kind")
+
+
+def symbols(t: Tables) -> DataFrame:
+    """path, no, name of the corpus."""
+    return symbols_in(numbered_lines(t)).select("path", "no", "name")
 
 
-@query(_LINES + _SYMBOL_SQL + " SELECT path, no, name FROM found WHERE name <> ''")
+@query(_LINES + _SYMBOL_SQL + " SELECT path || '#' || kind || ':' || name AS id, path, no, name, kind FROM found WHERE name <> ''")
 def i04_symbols(t: Tables) -> DataFrame:
-    """Declared names per line in seven languages (also i05, i06)."""
-    return symbols(t)
+    """Declared names per line with their kinds and ids, in eight languages, of which one has none (also i05, i06)."""
+    return symbols_in(numbered_lines(t)).select(F.concat("path", F.lit("#"), "kind", F.lit(":"), "name").alias("id"), "path", "no", "name", "kind")
 
 
 _IMPORT_SQL = """, t AS (SELECT path, no, ltrim(line) AS s, """ + _LANG_SQL + """ AS lang FROM lines),
@@ -151,11 +167,23 @@ def i07_imports(t: Tables) -> DataFrame:
     return file_imports(t)
 
 
-@query(_CORPUS + r""" SELECT path, CAST(1 + len(regexp_extract_all(text, '\b(if|for|while|match|case|catch|elif|except)\b')) + len(regexp_extract_all(text, '&&')) + len(regexp_extract_all(text, '\|\|')) AS BIGINT) AS complexity FROM corpus""")
+# Words that branch.
+_BRANCHES = r"\b(if|elif|for|while|except|case|catch|match|guard|when|with)\b"
+
+
+@query(_LINES + f""", c AS (SELECT path, trim(line) AS s, {_LANG_SQL} AS lang FROM lines), n AS (SELECT path, sum(len(regexp_extract_all(s, '{_BRANCHES}')) + len(regexp_extract_all(s, '&&')) + len(regexp_extract_all(s, '\\|\\|')) + CASE WHEN lang NOT IN ('javascript', 'typescript') AND contains(s, ' => ') THEN 1 ELSE 0 END) AS n FROM c WHERE s <> '' AND NOT starts_with(s, '#') AND NOT starts_with(s, '//') GROUP BY 1)
+  SELECT path, CAST(1 + coalesce(n, 0) AS BIGINT) AS complexity FROM corpus LEFT JOIN n USING (path)""")
 def i12_complexity(t: Tables) -> DataFrame:
-    """One plus branching keywords and boolean operators."""
-    n = 1 + F.regexp_count("text", F.lit(r"\b(if|for|while|match|case|catch|elif|except)\b")) + F.regexp_count("text", F.lit("&&")) + F.regexp_count("text", F.lit(r"\|\|"))
-    return corpus(t).select("path", n.cast("long").alias("complexity"))
+    """One plus branching words and boolean operators of all lines but comments, and one for each line with a match arm, where these aren't functions."""
+    return complexity_of(corpus(t))
+
+
+def complexity_of(texts: DataFrame) -> DataFrame:
+    """path, complexity of texts (path, text)."""
+    lines = F.filter(F.transform(native_lines(F.col("text")), lambda x: F.trim(x)), lambda s: (s != "") & ~s.startswith("#") & ~s.startswith("//"))
+    arm = lambda s: F.when(~language(F.col("path")).isin("javascript", "typescript") & s.contains(" => "), 1).otherwise(0)
+    terms = lambda s: F.regexp_count(s, F.lit(_BRANCHES)) + F.regexp_count(s, F.lit("&&")) + F.regexp_count(s, F.lit(r"\|\|")) + arm(s)
+    return texts.select("path", F.aggregate(F.transform(lines, terms), F.lit(1), lambda a, b: a + b).cast("long").alias("complexity"))
 
 
 @query(_CORPUS + r""" SELECT path, CAST(len(regexp_extract_all(text, '[A-Za-z0-9_] *\(')) AS BIGINT) AS calls FROM corpus""")
@@ -181,13 +209,92 @@ def i17_param_count(t: Tables) -> DataFrame:
     return sig.select("path", "no", F.size(F.filter(F.split(inside, ","), lambda x: ~F.trim(x).isin("", "self", "&self", "&mut self"))).cast("long").alias("params"))
 
 
-@query(_CORPUS + """ SELECT path, CASE WHEN NOT contains(path, '/') THEN 'root' WHEN starts_with(path, 'crates/') THEN 'crates/' || split_part(path, '/', 2) WHEN regexp_matches(path, '^src/[^/]+/tests/') THEN regexp_replace(regexp_extract(path, '([^/]+)[.][^.]+$', 1), '^test_', '') WHEN starts_with(path, 'src/') AND len(string_split(path, '/')) > 2 THEN split_part(path, '/', 2) ELSE split_part(path, '/', 1) END AS module FROM corpus""")
+# Folders by which a module is named.
+_INNER, _PACKAGES, _AREAS = ("app", "src", "tests"), ("crates", "packages"), ("frontend", "integrations", "research", "scripts", "services")
+_PLACES = ("backend/app/core/test_f{}.py", "backend/lib/f{}.py", "packages/p{}/x.rs", "app/f{}.py", "tests/unit/f{}.py", "tests/f{}.py", "scripts/f{}.sh", "services/s/f{}.py", "test_f{}.md", "other/a/f{}.py", "backend/f{}.py", "src/test_f{}", "//crates//c/f{}.rs")
+_PLACED = "CASE page_id % " + str(len(_PLACES)) + " " + " ".join(f"WHEN {i} THEN '{p.split('{}')[0]}' || page_id || '{p.split('{}')[1]}'" for i, p in enumerate(_PLACES)) + " END"
+
+
+def module_name(path: Column) -> Column:
+    """Module of a path: by app, src and tests, below backend or not, by package, by area, or the first folder; a leaf's test_ doesn't count."""
+    p = F.filter(F.split(path, "/"), lambda x: x != "")
+    leaf = F.regexp_replace(F.element_at(p, -1), "^test_", "")
+    p = F.when(F.size(p) > 0, F.concat(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.array(leaf))).otherwise(p)
+    n, one, two, three = F.size(p), F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(p, F.lit(2))
+    upto = lambda *x: F.concat_ws("/", *x)
+    return (
+        F.when(n == 0, "root").when(n == 1, one)
+        .when((n == 2) & one.isin(*_INNER) & two.contains("."), one)
+        .when((one == "backend") & (n > 2) & two.isin(*_INNER), upto(one, two, three))
+        .when(one == "backend", upto(one, two))
+        .when(one.isin(*_PACKAGES), upto(one, two))
+        .when((n > 2) & one.isin(*_INNER), upto(one, two, three))
+        .when((n == 2) & one.isin(*_AREAS), one)
+        .when(one.isin(*_AREAS), upto(one, two))
+        .otherwise(one)
+    )
+
+
+@query(_CORPUS + f""", every AS (SELECT path FROM corpus UNION ALL SELECT {_PLACED} FROM pages), s AS (SELECT path, list_filter(string_split(path, '/'), lambda x: x <> '') AS q FROM every), l AS (SELECT path, list_concat(q[1:len(q) - 1], [regexp_replace(q[len(q)], '^test_', '')]) AS p, len(q) AS n FROM s)
+  SELECT path, CASE WHEN n = 0 THEN 'root' WHEN n = 1 THEN p[1] WHEN n = 2 AND p[1] IN {_INNER} AND contains(p[2], '.') THEN p[1] WHEN p[1] = 'backend' AND n > 2 AND p[2] IN {_INNER} THEN array_to_string(p[1:3], '/') WHEN p[1] = 'backend' OR p[1] IN {_PACKAGES} THEN array_to_string(p[1:2], '/')
+    WHEN n > 2 AND p[1] IN {_INNER} THEN array_to_string(p[1:3], '/') WHEN p[1] IN {_AREAS} THEN CASE WHEN n = 2 THEN p[1] ELSE array_to_string(p[1:2], '/') END ELSE p[1] END AS module FROM l""")
 def i18_module_name(t: Tables) -> DataFrame:
-    """Module of a path (also i19, i20)."""
-    p, parts = F.col("path"), F.split("path", "/")
-    leaf = F.regexp_replace(F.regexp_extract(p, r"([^/]+)[.][^.]+$", 1), "^test_", "")
-    name = F.when(~p.contains("/"), "root").when(p.startswith("crates/"), F.concat(F.lit("crates/"), parts[1])).when(p.rlike("^src/[^/]+/tests/"), leaf).when(p.startswith("src/") & (F.size(parts) > 2), parts[1]).otherwise(parts[0])
-    return corpus(t).select("path", name.alias("module"))
+    """Module of a path."""
+    place = F.element_at(F.array(*map(F.lit, _PLACES)), (F.col("page_id") % len(_PLACES) + 1).cast("int"))
+    every = corpus(t).select("path").union(t.pages.select(F.replace(place, F.lit("{}"), F.col("page_id").cast("string")).alias("path")))
+    return every.select("path", module_name(F.col("path")).alias("module"))
+
+
+_RUST = """WITH f AS (SELECT DISTINCT 'crates/' || lower(replace(p_brand, '#', '_')) || CASE p_partkey % 7 WHEN 0 THEN '/src/m' || p_size || '/f' || p_partkey || '.rs' WHEN 1 THEN '/src/m' || p_size || '.rs' WHEN 2 THEN '/src/m' || p_size || '/mod.rs' WHEN 3 THEN '/src/f' || p_partkey || '.rs' WHEN 4 THEN '/tests/f' || p_partkey || '.rs' WHEN 5 THEN '/src/deep/src/m1/f' || p_partkey || '.rs' ELSE '/src/f' || p_partkey || '.txt' END AS path FROM part)"""
+
+
+def rust_tree(t: Tables) -> DataFrame:
+    """path: files of crates, nested, flat and outside src."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    leaf = F.element_at(F.array(F.concat(F.lit("/src/m"), size, F.lit("/f"), key, F.lit(".rs")), F.concat(F.lit("/src/m"), size, F.lit(".rs")), F.concat(F.lit("/src/m"), size, F.lit("/mod.rs")), F.concat(F.lit("/src/f"), key, F.lit(".rs")), F.concat(F.lit("/tests/f"), key, F.lit(".rs")), F.concat(F.lit("/src/deep/src/m1/f"), key, F.lit(".rs")), F.concat(F.lit("/src/f"), key, F.lit(".txt"))), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return t.part.select(F.concat(F.lit("crates/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), leaf).alias("path")).distinct()
+
+
+@query(_RUST + """, r AS (SELECT path, regexp_extract(path, '^(?:(.*)/)?src/[^/]*(?:/[^/]*)*$', 1) AS x, path LIKE '%.rs' AS rust FROM f), s AS (SELECT path, rust, regexp_extract(path, '^((?:.*/)?src)/(?:[^/]+/)*?[^/]+$', 1) AS root FROM f JOIN r USING (path) WHERE regexp_matches(path, '(^|/)src/')),
+  k AS (SELECT path, root, path[len(root) + 2:] AS rest FROM s WHERE rust)
+  SELECT path, root, CASE WHEN NOT contains(rest, '/') THEN regexp_replace(rest, '[.]rs$', '') WHEN EXISTS (SELECT 1 FROM f WHERE f.path IN (root || '/' || split_part(rest, '/', 1) || '.rs', root || '/' || split_part(rest, '/', 1) || '/mod.rs')) THEN split_part(rest, '/', 1) END AS module FROM k""")
+def i19_owning_module(t: Tables) -> DataFrame:
+    """Source root of each Rust file, its last src folder, and the crate's module that owns it: a flat file's own name, or the first folder if that is a module's file or folder; else none."""
+    return owning_modules(rust_tree(t))
+
+
+def owning_modules(paths: DataFrame) -> DataFrame:
+    """path, root, module of the Rust files among paths (path); the modules that exist are looked up among them."""
+    root, folder = F.regexp_extract("path", "^((?:.*/)?src)/[^/]+(?:/[^/]+)*$", 1), F.split_part("rest", F.lit("/"), F.lit(1))
+    rust = paths.filter(F.col("path").endswith(".rs"))
+    k = rust.withColumn("root", root).filter("root <> ''").withColumn("rest", F.expr("substring(path, length(root) + 2)"))
+    k = k.withColumn("first", F.when(F.col("rest").contains("/"), folder))
+    known = rust.select(F.regexp_replace("path", r"(/mod)?\.rs$", "").alias("known")).distinct()
+    met = k.join(known, F.concat_ws("/", "root", "first") == F.col("known"), "left")
+    return met.select("path", "root", F.when(F.col("first").isNull(), F.regexp_replace("rest", r"\.rs$", "")).when(F.col("known").isNotNull(), F.col("first")).alias("module"))
+
+
+_USES = """WITH s AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'use crate::{' WHEN 1 THEN '  pub use crate::' WHEN 2 THEN 'pub(crate) use crate::{self, super, ' WHEN 3 THEN 'use other::' ELSE '// use crate::' END || replace(p_name, ' ', ', ') || CASE WHEN p_partkey % 5 IN (0, 2) THEN '::{deep}, ' || lower(replace(p_brand, '#', '_')) || '::x};' ELSE '::y;' END AS line FROM part)"""
+
+
+@query(_USES + r""", r AS (SELECT p_partkey, regexp_extract(line, '^ *(?:pub |pub[(]crate[)] )?use crate::(.*)$', 1) AS rest FROM s WHERE regexp_matches(line, '^ *(?:pub |pub[(]crate[)] )?use crate::')),
+  e AS (SELECT p_partkey, unnest(CASE WHEN starts_with(rest, '{') THEN string_split(regexp_replace(rest[2:], '[};]+$', ''), ',') ELSE [rest] END) AS entry FROM r), n AS (SELECT DISTINCT p_partkey, regexp_extract(trim(entry), '^([A-Za-z0-9_]*)', 1) AS segment FROM e)
+  SELECT p_partkey, segment FROM n WHERE segment NOT IN ('', 'self', 'super')""")
+def i20_use_segments(t: Tables) -> DataFrame:
+    """First segments that a file's uses of its own crate name, single or in a group, each once."""
+    brand = F.lower(F.replace("p_brand", F.lit("#"), F.lit("_")))
+    head = F.element_at(F.array(*map(F.lit, ("use crate::{", "  pub use crate::", "pub(crate) use crate::{self, super, ", "use other::", "// use crate::"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    tail = F.when((F.col("p_partkey") % 5).isin(0, 2), F.concat(F.lit("::{deep}, "), brand, F.lit("::x};"))).otherwise("::y;")
+    return use_segments(t.part.select("p_partkey", F.concat(head, F.regexp_replace("p_name", " ", ", "), tail).alias("line")), "p_partkey")
+
+
+def use_segments(lines: DataFrame, key: str) -> DataFrame:
+    """key, segment of lines (key, line)."""
+    pattern = "^ *(?:pub |pub[(]crate[)] )?use crate::(.*)$"
+    rest = lines.filter(F.col("line").rlike(pattern)).select(key, F.regexp_extract("line", pattern, 1).alias("rest"))
+    entries = F.when(F.col("rest").startswith("{"), F.split(F.regexp_replace(F.expr("substring(rest, 2)"), "[};]+$", ""), ",")).otherwise(F.array("rest"))
+    segment = F.regexp_extract(F.trim("entry"), "^([A-Za-z0-9_]*)", 1)
+    return rest.select(key, F.explode(entries).alias("entry")).select(key, segment.alias("segment")).filter(~F.col("segment").isin("", "self", "super")).distinct()
 
 
 @query("""WITH p AS (SELECT doc_id, text, left(text, 200) AS head FROM documents), n AS (SELECT doc_id, text, list_max(list_filter(range(0, 201), lambda k: octet_length(encode(left(head, k))) <= 197)) AS fit FROM p)
@@ -379,8 +486,8 @@ def brace_ends(text: str, starts: list[int]) -> list[int]:
 
 
 #: Ends and terms of the templates, worked out by hand: (number, name, first line, last line) and (number, terms).
-_ENDS = ((2, "start", 5, 10), (2, "helper", 11, 11), (3, "walk", 1, 6), (4, "go", 3, 6), (4, "load", 4, 6), (5, "Box", 3, 3), (5, "open", 4, 6), (6, "main", 5, 7), (7, "Main", 1, 5))
-_TERMS = ((0, 2), (1, 0), (2, 2), (3, 1), (4, 2), (5, 0), (6, 0), (7, 0), (8, 0), (9, 0), (10, 0))
+_ENDS = ((2, "start", 5, 10), (2, "helper", 11, 11), (3, "walk", 1, 6), (4, "go", 3, 6), (4, "load", 4, 6), (5, "Box", 3, 3), (5, "open", 4, 6), (6, "main", 5, 7), (7, "Main", 1, 5), (11, "Start-Run", 2, 4), (12, "Shape", 1, 2), (12, "Kind", 3, 3), (12, "Box", 4, 6), (13, "Serve", 1, 3), (13, "plain", 4, 4), (14, "later", 1, 3), (14, "Face", 4, 5), (14, "ok", 7, 8), (15, "pick", 1, 7))
+_TERMS = ((0, 2), (1, 0), (2, 2), (3, 1), (4, 2), (5, 0), (6, 0), (7, 0), (8, 0), (9, 0), (10, 0), (11, 1), (12, 0), (13, 1), (14, 1), (15, 2), (16, 0))
 
 
 @query(_CORPUS + f", e(no, name, a, b) AS (VALUES {', '.join(map(str, _ENDS))}) SELECT path, replace(name, 'main', 'main_' || p_partkey) AS name, CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS end_no FROM corpus JOIN e USING (no)")

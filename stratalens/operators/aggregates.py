@@ -55,8 +55,9 @@ def d04_language_histogram(t: Tables) -> DataFrame:
     return by.select("lang", "n", F.row_number().over(W.orderBy(F.desc("n"), "lang")).cast("long").alias("place"))
 
 
-_QUALITY = with_views("files", "imports") + """, m AS (SELECT module, count(*) AS modeled, max(size) AS max_cc, count(*) FILTER (WHERE size > 45) AS gods, count(*) FILTER (WHERE size > 15) AS complex FROM files GROUP BY 1),
+_QUALITY_OF = """, m AS (SELECT module, count(*) AS modeled, max(size) AS max_cc, count(*) FILTER (WHERE size > 45) AS gods, count(*) FILTER (WHERE size > 15) AS complex FROM files GROUP BY 1),
   i AS (SELECT split_part(importer, '/', 1) AS module, count(*) AS n FROM imports GROUP BY 1), q AS (SELECT m.*, round(coalesce(n, 0) / modeled * 10, 2) AS coupling FROM m LEFT JOIN i USING (module))"""
+_QUALITY = with_views("files", "imports") + _QUALITY_OF
 
 
 def module_metrics(t: Tables) -> DataFrame:

@@ -8,30 +8,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalens.operators.aggregates import _QUALITY, _RISK, blast_radius, module_edges, module_metrics, modules
-from stratalens.operators.reach import settled
+from stratalens.operators.aggregates import _QUALITY_OF, _RISK, blast_radius, module_edges, module_metrics, modules
+from stratalens.operators.graph import _GROUPS, two_graphs
+from stratalens.operators.reach import connected_groups, settled
 from stratalens.plans.registry import Tables, query
 from stratalens.sources.bindings import DAY, commits, files, with_views
 
-# Limits of the structural rules.
-MAX_CC, MAX_COUPLING = 49, 60.0
+# Limits of the structural rules; files of the first kind of module may not use the second, nor a layer a later one.
+MAX_CC, MAX_GODS, MAX_CYCLES, MAX_COUPLING, FORBIDDEN, LAYERS = 49, 6, 1, 60.0, (1, 3), 3
+_CYCLES = _GROUPS + _QUALITY_OF + """, large AS (SELECT scc AS k FROM scc GROUP BY 1 HAVING count(*) > 1), cyc AS (SELECT split_part(node, '/', 1) AS module, count(DISTINCT scc) AS cycles FROM scc JOIN large ON k = scc GROUP BY 1),
+  x AS (SELECT q.*, coalesce(cycles, 0) AS cycles, CAST(trunc(greatest(0, 10000 - 8 * coupling - 60 * complex - 120 * gods - 10 * greatest(0, max_cc - 15))) AS BIGINT) AS signal FROM q LEFT JOIN cyc USING (module)),
+  zoned AS (SELECT src, dst, CAST(regexp_extract(src, '([0-9]+)$', 1) AS BIGINT) AS a, CAST(regexp_extract(dst, '([0-9]+)$', 1) AS BIGINT) AS b FROM mw)"""
 
 
-@query(_QUALITY + f" SELECT 'max_cc' AS rule, module FROM q WHERE max_cc > {MAX_CC} UNION ALL SELECT 'no_god_files', module FROM q WHERE gods > 6 UNION ALL SELECT 'max_coupling', module FROM q WHERE coupling > {MAX_COUPLING}")
-def j01_structural_rules(t: Tables) -> DataFrame:
-    """Violations of every structural rule, from one pass over the metrics."""
-    m = module_metrics(t)
-    broken = F.filter(F.array(F.when(F.col("max_cc") > MAX_CC, "max_cc"), F.when(F.col("gods") > 6, "no_god_files"), F.when(F.col("coupling") > MAX_COUPLING, "max_coupling")), lambda r: r.isNotNull())
-    return m.select(F.explode(broken).alias("rule"), "module")
+def gated_metrics(t: Tables) -> DataFrame:
+    """module, modeled, max_cc, gods, coupling, cycles (strongly connected groups that it takes part in) and quality signal."""
+    groups = settled(connected_groups(two_graphs(t)))
+    large = groups.groupBy("scc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("scc")
+    cycles = groups.join(large, "scc").groupBy(F.split_part("node", F.lit("/"), F.lit(1)).alias("module")).agg(F.count_distinct("scc").alias("cycles"))
+    raw = 10000 - 8 * F.col("coupling") - 60 * F.col("complex") - 120 * F.col("gods") - 10 * F.greatest(F.lit(0), F.col("max_cc") - 15)
+    return module_metrics(t).join(cycles, "module", "left").fillna(0, ["cycles"]).withColumn("signal", F.greatest(F.lit(0.0), raw).cast("long"))
 
 
-@query(_QUALITY + """, b AS (SELECT module, coupling - (modeled % 3) + 1 AS coupling0, gods + (modeled % 2) AS gods0 FROM q WHERE module NOT LIKE '%7') SELECT q.module, CASE WHEN b.module IS NULL THEN 'ungoverned' WHEN q.gods > b.gods0 THEN 'gods_up' WHEN q.coupling > b.coupling0 THEN 'coupling_up' ELSE 'pass' END AS verdict FROM q LEFT JOIN b USING (module)""")
+@query(_CYCLES + f""" SELECT 'max_cc' AS rule, module, '' AS detail FROM x WHERE max_cc > {MAX_CC} UNION ALL SELECT 'no_god_files', module, '' FROM x WHERE gods > {MAX_GODS} UNION ALL SELECT 'max_cycles', module, '' FROM x WHERE cycles > {MAX_CYCLES} UNION ALL SELECT 'max_coupling', module, '' FROM x WHERE coupling > {MAX_COUPLING}
+  UNION ALL SELECT 'boundary', src, dst FROM zoned WHERE a % 5 = {FORBIDDEN[0]} AND b % 5 = {FORBIDDEN[1]} UNION ALL SELECT 'layer', src, dst FROM zoned WHERE a % {LAYERS} < b % {LAYERS}""")
+def j01_structural_rules(t: Tables) -> DataFrame:
+    """Violations of the six structural rules: complexity, god files, cycles and coupling of a module, forbidden uses between modules and of later layers (detail: what is used)."""
+    m = gated_metrics(t)
+    limits = (("max_cc", F.col("max_cc") > MAX_CC), ("no_god_files", F.col("gods") > MAX_GODS), ("max_cycles", F.col("cycles") > MAX_CYCLES), ("max_coupling", F.col("coupling") > MAX_COUPLING))
+    broken = F.filter(F.array(*(F.when(over, name) for name, over in limits)), lambda r: r.isNotNull())
+    own = m.select(F.explode(broken).alias("rule"), "module", F.lit("").alias("detail"))
+    number = lambda c: F.regexp_extract(c, "([0-9]+)$", 1).cast("long")
+    edges = module_edges(t).select(F.col("src").alias("module"), F.col("dst").alias("detail"), number("src").alias("a"), number("dst").alias("b"))
+    between = (("boundary", (F.col("a") % 5 == FORBIDDEN[0]) & (F.col("b") % 5 == FORBIDDEN[1])), ("layer", F.col("a") % LAYERS < F.col("b") % LAYERS))
+    broken = F.filter(F.array(*(F.when(over, name) for name, over in between)), lambda r: r.isNotNull())
+    return own.unionByName(edges.select(F.explode(broken).alias("rule"), "module", "detail"))
+
+
+@query(_CYCLES + """, fresh AS (SELECT module, count(*) AS n FROM files WHERE size > 45 AND partkey % 7 = 0 GROUP BY 1), b AS (SELECT *, coupling - (modeled % 3) + 1 AS coupling0, signal + (modeled % 5 - 2) * 100 AS signal0, CAST(1 AS BIGINT) AS cycles0 FROM x),
+  v AS (SELECT b.module, concat_ws(',', CASE WHEN signal < signal0 THEN 'quality_degraded' END, CASE WHEN coupling > coupling0 THEN 'coupling_increased' END, CASE WHEN cycles > cycles0 THEN 'cycles_increased' END, CASE WHEN n > 0 THEN 'god_files_increased' END) AS broken FROM b LEFT JOIN fresh USING (module))
+  SELECT module, CASE WHEN module LIKE '%7' THEN 'baseline_missing' WHEN module LIKE '%5' THEN 'baseline_engine_mismatch' WHEN broken = '' THEN 'pass' ELSE broken END AS verdict, module NOT LIKE '%7' AS governed FROM v""")
 def j02_ratchet_gate(t: Tables) -> DataFrame:
-    """Metrics against a baseline; a missing baseline is its own verdict."""
-    m = module_metrics(t)
-    base = m.filter(~F.col("module").endswith("7")).select("module", (F.col("coupling") - F.col("modeled") % 3 + 1).alias("coupling0"), (F.col("gods") + F.col("modeled") % 2).alias("gods0"))
-    verdict = F.when(F.col("gods0").isNull(), "ungoverned").when(F.col("gods") > F.col("gods0"), "gods_up").when(F.col("coupling") > F.col("coupling0"), "coupling_up").otherwise("pass")
-    return m.join(base, "module", "left").select("module", verdict.alias("verdict"))
+    """Four metrics against a baseline: quality, coupling, cycles, and god files by identity, so that an old one that goes makes no room for a new one.
+
+    A module without a baseline isn't governed; one whose baseline another engine wrote fails without being compared.
+    """
+    fresh = files(t).filter((F.col("size") > 45) & (F.col("partkey") % 7 == 0)).groupBy("module").agg(F.count(F.lit(1)).alias("fresh"))  # god files that the baseline doesn't list
+    x = gated_metrics(t).join(fresh, "module", "left")
+    rules = (
+        ("quality_degraded", F.col("signal") < F.col("signal") + (F.col("modeled") % 5 - 2) * 100), ("coupling_increased", F.col("coupling") > F.col("coupling") - F.col("modeled") % 3 + 1),
+        ("cycles_increased", F.col("cycles") > 1), ("god_files_increased", F.col("fresh") > 0),
+    )
+    broken = F.concat_ws(",", *(F.when(over, name) for name, over in rules))
+    missing, other = F.col("module").endswith("7"), F.col("module").endswith("5")
+    verdict = F.when(missing, "baseline_missing").when(other, "baseline_engine_mismatch").when(broken == "", "pass").otherwise(broken)
+    return x.select("module", verdict.alias("verdict"), (~missing).alias("governed"))
 
 
 _IMPACT = _RISK + """, m3 AS (SELECT t.module, coupling, blast, gap, risk FROM t JOIN risk USING (module)),
