@@ -11,8 +11,9 @@ from stratalens.operators.aggregates import count
 from stratalens.operators.decisions import j01_structural_rules
 from stratalens.operators.graph import _GROUPS, two_graphs
 from stratalens.operators.joins import c17_god_ratchet, c24_anchor_verification
-from stratalens.operators.reach import connected_groups
+from stratalens.operators.reach import connected_groups, settled
 from stratalens.plans.registry import REGISTERED, Tables, query
+from stratalens.sources.files import MOST_TRACE, listing, traces
 
 
 def sql_of(name: str) -> str:
@@ -26,15 +27,7 @@ def a01_directory_scan(t: Tables) -> DataFrame:
 
     The scan's content column is never read.
     """
-    return directory_scan(t.spark, t.folder)
-
-
-def directory_scan(spark, root: str) -> DataFrame:  # noqa: ANN001
-    """path (relative, forward slashes), length of every file below root; Spark's listing leaves hidden names out besides .git."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    top = root.rstrip("/") + "/"
-    relative = F.substr("path", F.locate(top, F.col("path")) + F.lit(len(top)))
-    return found.select(relative.alias("path"), "length").filter(~F.concat(F.lit("/"), "path").contains("/.git/"))
+    return listing(t.spark, t.folder)
 
 
 @query("""WITH rg AS (SELECT doc_id FROM documents WHERE n_chars > 100), git AS (SELECT doc_id FROM labels), known AS (SELECT DISTINCT source FROM documents JOIN git USING (doc_id)), u AS (SELECT doc_id FROM rg UNION SELECT doc_id FROM git)
@@ -99,19 +92,22 @@ def a13_rule_tables(t: Tables) -> DataFrame:
     return rule_values(rule_texts(t))
 
 
-TRACE = "session long, events array<struct<seq:long,action:string,k:long>>"
-
-
-@query("""WITH e AS (SELECT user_id AS session, event_id % 50 AS seq, event_type AS action FROM events), d AS (SELECT session, seq, count(*) AS n FROM e GROUP BY 1, 2)
-  SELECT session, (SELECT count(*) FROM e WHERE e.session = d.session) AS n_events, count(*) FILTER (WHERE n > 1) AS repeated, (SELECT count(*) FROM e WHERE e.session = d.session AND action = 'error') AS unknown_actions,
-  CASE WHEN count(*) FILTER (WHERE n > 1) > 0 THEN 'duplicate_seq' WHEN (SELECT count(*) FROM e WHERE e.session = d.session AND action = 'error') > 0 THEN 'unknown_action' ELSE 'valid' END AS verdict FROM d GROUP BY 1""")
+@query("""WITH e AS (SELECT user_id, event_id % 50 AS seq, event_type AS action, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE user_id % 11 <> 3), n AS (SELECT user_id, count(*) AS n_events, count(DISTINCT seq) AS distinct_seq, count(*) FILTER (WHERE action = 'error') AS errors, count(k) AS targets FROM e GROUP BY 1),
+  every AS (SELECT DISTINCT user_id FROM events), s AS (SELECT user_id, CASE WHEN user_id % 11 = 3 THEN 'broken' WHEN user_id % 13 = 5 THEN 'unsupported_version' WHEN distinct_seq < n_events THEN 'duplicate_seq' ELSE 'ok' END AS status, * EXCLUDE (user_id) FROM every LEFT JOIN n USING (user_id))
+  SELECT 'traces/' || user_id || '.json' AS path, status, CASE WHEN status IN ('ok', 'duplicate_seq') THEN n_events END AS n_events, CASE WHEN status IN ('ok', 'duplicate_seq') THEN errors END AS errors, CASE WHEN status IN ('ok', 'duplicate_seq') THEN targets END AS targets FROM s""")
 def a14_session_traces(t: Tables) -> DataFrame:
-    """Traces written as JSON, one document a session, read back under a schema and checked: numbers occur once, actions are known."""
-    written = t.events.groupBy("user_id").agg(F.to_json(F.struct(F.col("user_id").alias("session"), F.collect_list(F.struct((F.col("event_id") % 50).alias("seq"), F.col("event_type").alias("action"), F.get_json_object("props", "$.k").cast("long").alias("k"))).alias("events"))).alias("json"))
-    trace = written.select(F.from_json("json", TRACE, {"mode": "FAILFAST"}).alias("x")).select("x.session", F.explode("x.events").alias("e"))
-    by_seq = trace.groupBy("session", "e.seq").agg(count().alias("n"), F.count_if(F.col("e.action") == "error").alias("unknown"))
-    checked = by_seq.groupBy("session").agg(F.sum("n").alias("n_events"), F.count_if(F.col("n") > 1).alias("repeated"), F.sum("unknown").alias("unknown_actions"))
-    return checked.withColumn("verdict", F.when(F.col("repeated") > 0, "duplicate_seq").when(F.col("unknown_actions") > 0, "unknown_action").otherwise("valid"))
+    """Session traces as JSON texts, parsed under a schema with a bound on their size and checked: version, session, numbers that occur once; sources/files.py reads them from a folder.
+
+    One trace a user; some are cut off and some of another version. A trace's events are one document, as its format is.
+    """
+    event = F.struct((F.col("event_id") % 50).alias("seq"), F.col("event_type").alias("action"), F.lit("shell").alias("tool"), (F.col("event_type") == "error").alias("isError"), F.array(F.struct(F.get_json_object("props", "$.k").alias("path"), F.lit("read").alias("touch"))).alias("targets"))
+    user = F.col("user_id")
+    made = t.events.groupBy("user_id").agg(F.collect_list(event).alias("events"))
+    body = F.to_json(F.struct(F.when(user % 13 == 5, 2).otherwise(1).alias("version"), F.struct(user.cast("string").alias("id"), F.lit("h").alias("harness"), F.lit("/").alias("cwd")).alias("session"), "events"))
+    files = settled(made.withColumn("json", body).select(F.concat(F.lit("traces/"), user.cast("string"), F.lit(".json")).alias("path"), F.when(user % 11 == 3, F.substring("json", 1, 40)).otherwise(F.col("json")).alias("text")))
+    found = traces(files.withColumn("status", F.when(F.octet_length("text") > MOST_TRACE, "oversized").otherwise("ok")))
+    events = F.col("trace.events")
+    return found.select("path", "status", F.when(F.col("trace").isNotNull(), F.size(events)).cast("long").alias("n_events"), F.when(F.col("trace").isNotNull(), F.size(F.filter(events, lambda e: e["isError"]))).cast("long").alias("errors"), F.when(F.col("trace").isNotNull(), F.size(F.filter(F.flatten(F.transform(events, lambda e: e["targets"])), lambda x: x["path"].isNotNull()))).cast("long").alias("targets"))
 
 
 _T3 = "regexp_matches(lower(path), '^tests?/|/tests?/|/__tests__/|(^|/)test_[^/]*$|[.](test|spec)[.][^/]*$')"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stratalens.operators import evidence, reach
 from stratalens.operators.joins import co_changes
+from stratalens.sources import files
 
 
 def reached(edges, nodes):
@@ -97,7 +98,7 @@ def test_directory_scan(spark, tmp_path):
     for name, text in (("a.txt", "one"), ("deep/er/b.rs", "fn x() {}"), (".git/config", "no"), ("deep/.git/HEAD", "no"), ("deep/.github/c.yml", "yes")):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
-    found = {(r.path, r.length) for r in evidence.directory_scan(spark, str(tmp_path)).collect()}
+    found = {(r.path, r.length) for r in files.listing(spark, str(tmp_path)).collect()}
     assert found == {("a.txt", 3), ("deep/er/b.rs", 9)}  # Spark's listing leaves all hidden names out
 
 
