@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalens.operators.joins import _PAIRS, _RUNS, benchmark_runs, co_changes, history_counts
+from stratalens.operators.joins import _RECENT, _RUNS, benchmark_runs, history_counts
 from stratalens.operators.reach import chain_depths, closure, settled
 from stratalens.operators.selection import MIDDLE, nth, order_statistics
-from stratalens.plans.registry import Tables, query
+from stratalens.plans.registry import REGISTERED, Tables, query
 from stratalens.sources.bindings import commit_files, commits, files, imports, session_events, with_views
 
 
@@ -204,24 +204,64 @@ def d17_risk_combine(t: Tables) -> DataFrame:
     return change_risk(t).select("hash", F.round("b", 6).alias("bug_magnet"), F.round("c", 6).alias("churn"), "score")
 
 
-@query(with_views("commits", "files") + _PAIRS + """, k AS (SELECT (SELECT count(*) FROM (SELECT hash FROM d GROUP BY 1)) AS commits, (SELECT count(*) FROM narrow) AS used, (SELECT count(*) FROM pairs) AS pairs, (SELECT CAST(sum(co_commits) AS BIGINT) FROM pairs) AS observations)
-  SELECT commits, commits - used AS wide_skipped, pairs, observations FROM k""")
+@query(with_views("commits", "files") + _RECENT + """ SELECT (SELECT count(DISTINCT hash) FROM walked) AS commits_walked, (SELECT count(DISTINCT hash) FROM walked WHERE width > 50) AS wide_skipped, (SELECT count(*) FROM (SELECT DISTINCT l, r FROM hits)) AS pairs_observed, (SELECT count(*) FROM edges) AS edges_kept""")
 def d18_cochange_observations(t: Tables) -> DataFrame:
-    """Commits, wide ones left out, edges and observations of the co-change relation."""
-    from stratalens.operators.joins import WIDE, typed_files
+    """What the co-change relation rests on: commits walked, wide ones left out, pairs seen and edges kept; an edge's newest commits are in c15."""
+    from stratalens.operators.joins import WIDE, recent_edges, recent_touches
+
+    touched = settled(recent_touches(t))
+    sizes = touched.groupBy("hash").agg(F.max("width").alias("n")).agg(count().alias("commits_walked"), F.count_if(F.col("n") > WIDE).alias("wide_skipped"))
+    pairs = recent_edges(touched, 1).agg(count().alias("pairs_observed"), F.count_if(F.col("co_commits") >= 3).alias("edges_kept"))
+    return sizes.crossJoin(pairs)  # of single rows
+
+
+# Measures of a benchmark run, of quality and of cost, and the status that each run ends with.
+QUALITY_MEASURES = ("recall", "precision", "reciprocal_rank", "diagnosis_recall", "diagnosis_exact", "attested", "unsupported_rate")
+COST_MEASURES = ("wall_ms", "input_tokens", "output_tokens", "tool_calls", "artifact_bytes")
+STATUSES = ("completed", "domain_unknown", "unavailable", "process_failed")
+_SCORED = """WITH s AS (SELECT n_name AS case_id, 'C' || CAST(l_orderkey % 3 AS VARCHAR) AS condition, CAST(year(o_orderdate) AS BIGINT) AS repetition, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS d, CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS BIGINT) AS x, CAST(sum(l_linenumber) AS BIGINT) AS c
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2, 3),
+  scored AS (SELECT case_id, condition, repetition, CASE WHEN n % 10 < 7 THEN 'completed' WHEN n % 10 = 7 THEN 'domain_unknown' WHEN n % 10 = 8 THEN 'unavailable' ELSE 'process_failed' END AS status, n % 10 < 8 AS observed,
+    d / (10.0::DOUBLE * n) AS recall, x / (8.0::DOUBLE * n) AS precision, 1 / (1.0::DOUBLE + n % 7) AS reciprocal_rank, q / (50.0::DOUBLE * n) AS diagnosis_recall, CASE WHEN q % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS diagnosis_exact, CASE WHEN d % 4 > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS attested, (x % 11) / 10.0::DOUBLE AS unsupported_rate,
+    q::DOUBLE AS wall_ms, (100 * n)::DOUBLE AS input_tokens, (7 * n + d)::DOUBLE AS output_tokens, c::DOUBLE AS tool_calls, (1000 * x)::DOUBLE AS artifact_bytes FROM s)"""
+
+
+def scored_runs(t: Tables) -> DataFrame:
+    """case_id, condition, repetition, status, observed (whether quality was), and every measure of a run."""
+    place = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("case_id"))
+    made = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.year("o_orderdate").cast("long").alias("repetition")).join(place, "o_custkey")
+    whole = lambda c, by=1: F.sum(F.round(F.col(c) * by).cast("long"))
+    s = t.lineitem.join(made, "l_orderkey").groupBy("case_id", F.concat(F.lit("C"), (F.col("l_orderkey") % 3).cast("string")).alias("condition"), "repetition")
+    s = s.agg(count().alias("n"), whole("l_quantity").alias("q"), whole("l_discount", 100).alias("d"), whole("l_tax", 100).alias("x"), F.sum("l_linenumber").alias("c"))
+    n, q, d, x, last = F.col("n"), F.col("q"), F.col("d"), F.col("x"), F.col("n") % 10
+    values = (d / (10.0 * n), x / (8.0 * n), 1 / (1.0 + n % 7), q / (50.0 * n), F.when(q % 3 == 0, 1.0).otherwise(0.0), F.when(d % 4 > 0, 1.0).otherwise(0.0), (x % 11) / 10.0, q, 100 * n, 7 * n + d, F.col("c"), 1000 * x)
+    status = F.when(last < 7, "completed").when(last == 7, "domain_unknown").when(last == 8, "unavailable").otherwise("process_failed")
+    return s.select("case_id", "condition", "repetition", status.alias("status"), (last < 8).alias("observed"), *(v.cast("double").alias(name) for v, name in zip(values, (*QUALITY_MEASURES, *COST_MEASURES), strict=True)))
+
+
+@query(_SCORED + " SELECT condition, count(*) AS attempted, " + ", ".join(f"count(*) FILTER (WHERE status = '{c}') AS {c}" for c in STATUSES) + ", round(count(*) FILTER (WHERE observed) / count(*), 6) AS availability_rate, "
+  + ", ".join(f"round(count(*) FILTER (WHERE status = '{c}') / count(*), 6) AS {c}_rate" for c in STATUSES[1:]) + ", " + ", ".join(f"round(avg({c}) FILTER (WHERE observed), 6) AS {c}" for c in QUALITY_MEASURES) + ", " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in COST_MEASURES) + " FROM scored GROUP BY 1")
+def d19_benchmark_conditions(t: Tables) -> DataFrame:
+    """Counts by status, rates, seven means of quality over runs in which it was observed, and five of cost over all, per condition."""
+    n = {c: F.count_if(F.col("status") == c) for c in STATUSES}
+    rate = lambda x: F.round(x / count(), 6)
+    return scored_runs(t).groupBy("condition").agg(
+        count().alias("attempted"), *(x.alias(c) for c, x in n.items()), rate(F.count_if("observed")).alias("availability_rate"), *(rate(n[c]).alias(f"{c}_rate") for c in STATUSES[1:]),
+        *(F.round(F.avg(F.when(F.col("observed"), F.col(c))), 6).alias(c) for c in QUALITY_MEASURES), *(F.round(F.avg(c), 6).alias(c) for c in COST_MEASURES),
+    )
 
-    sizes = typed_files(t).groupBy("hash").agg(count().alias("n")).agg(count().alias("commits"), F.count_if(F.col("n") > WIDE).alias("wide_skipped"))
-    return sizes.crossJoin(co_changes(t).agg(count().alias("pairs"), F.sum("co_commits").alias("observations")))
 
+_DELTAS = (*QUALITY_MEASURES, *COST_MEASURES[:4])
 
-@query("WITH z AS (SELECT 1)" + _RUNS + """ SELECT condition, count(*) AS attempted, count(*) FILTER (WHERE cost > 40) AS completed, round(count(*) FILTER (WHERE cost > 40) / count(*), 6) AS completion_rate,
-  round(avg(quality) FILTER (WHERE cost > 40), 6) AS mean_quality, round(avg(cost), 6) AS mean_cost FROM runs GROUP BY 1""")
-def d19_benchmark_conditions(t: Tables) -> DataFrame:
-    """Counts, rates and means per condition; quality only over observed runs, cost over all."""
-    done = F.col("cost") > 40
-    return benchmark_runs(t).groupBy("condition").agg(
-        count().alias("attempted"), F.count_if(done).alias("completed"), F.round(F.count_if(done) / count(), 6).alias("completion_rate"), F.round(F.avg(F.when(done, F.col("quality"))), 6).alias("mean_quality"), F.round(F.avg(F.col("cost").cast("double")), 6).alias("mean_cost")
-    )
+
+@query(_SCORED + " SELECT c.condition, count(b.case_id) AS pairs, " + ", ".join(f"round(avg(c.{x} - b.{x}), 6) AS {x}_delta" for x in _DELTAS) + " FROM scored c LEFT JOIN scored b ON b.case_id = c.case_id AND b.repetition = c.repetition AND b.condition = 'C0' AND b.observed AND c.observed WHERE c.condition <> 'C0' GROUP BY 1")
+def d20_paired_deltas(t: Tables) -> DataFrame:
+    """Means of the eleven differences to the control of the same case and repetition, over pairs in which quality was observed on both sides; null without any."""
+    runs = settled(scored_runs(t))
+    seen = runs.filter("observed")
+    control = seen.filter("condition = 'C0'").select("case_id", "repetition", *(F.col(x).alias(f"{x}_0") for x in _DELTAS))
+    means = seen.filter("condition <> 'C0'").join(control, ["case_id", "repetition"]).groupBy("condition").agg(count().alias("pairs"), *(F.round(F.avg(F.col(x) - F.col(f"{x}_0")), 6).alias(f"{x}_delta") for x in _DELTAS))
+    return runs.filter("condition <> 'C0'").select("condition").distinct().join(means, "condition", "left").fillna(0, ["pairs"])
 
 
 @query("WITH z AS (SELECT 1)" + _RUNS + """ SELECT case_id, count(*) FILTER (WHERE k = 3) AS valid_pairs, CASE WHEN count(*) FILTER (WHERE k = 3) >= 5 THEN 'decided' ELSE 'insufficient' END AS verdict
@@ -293,15 +333,21 @@ def d25_quadrant_counts(t: Tables) -> DataFrame:
 _SESSION = with_views("session_events") + """, v AS (SELECT *, max(seq) FILTER (WHERE action = 'verify') OVER (PARTITION BY session) AS last_verify FROM session_events)"""
 
 
-@query(_SESSION + """ SELECT session, count(*) AS events, count(*) FILTER (WHERE action = 'edit') AS edits, count(*) FILTER (WHERE action = 'verify') AS verifies, count(*) FILTER (WHERE is_error) AS errors,
-  count(*) FILTER (WHERE action = 'edit' AND (last_verify IS NULL OR seq > last_verify)) AS unverified_edits, count(DISTINCT target) AS targets FROM v GROUP BY 1""")
+@query(_SESSION + """, p AS (SELECT v.*, p_size, target IS NOT NULL AND target % 17 = 0 AS outside, action = 'edit' AND (last_verify IS NULL OR seq > last_verify) AS late FROM v LEFT JOIN part ON p_partkey = target AND p_size > 25 AND target % 17 <> 0)
+  SELECT session, count(*) AS events, count(target) AS target_events, count(DISTINCT target) AS targets, count(p_size) AS matched, count(*) FILTER (WHERE target IS NOT NULL AND p_size IS NULL AND NOT outside) AS unmatched, count(*) FILTER (WHERE outside) AS unsafe, count(*) FILTER (WHERE p_size > 45) AS attention,
+  count(*) FILTER (WHERE action = 'edit') AS edits, count(*) FILTER (WHERE action = 'verify') AS verifies, count(*) FILTER (WHERE is_error) AS errors, count(*) FILTER (WHERE late) AS unverified_edits,
+  CASE WHEN count(*) FILTER (WHERE late) > 0 THEN 1 ELSE 0 END + CASE WHEN count(*) FILTER (WHERE is_error) >= 3 THEN 1 ELSE 0 END + CASE WHEN count(*) FILTER (WHERE p_size > 45 AND action = 'edit') > 0 THEN 1 ELSE 0 END AS signals FROM p GROUP BY 1""")
 def d26_session_summary(t: Tables) -> DataFrame:
-    """Counters of a session, with edits after its last verification."""
+    """Eleven counters of a session: events, targets, those that are hotspots, are none or lie outside, touches of structural attention, edits, verifications, errors and signals; and its edits after the last verification."""
     e = session_events(t).withColumn("last", F.max(F.when(F.col("action") == "verify", F.col("seq"))).over(W.partitionBy("session")))
-    edit = F.col("action") == "edit"
-    return e.groupBy("session").agg(
-        count().alias("events"), F.count_if(edit).alias("edits"), F.count_if(F.col("action") == "verify").alias("verifies"), F.count_if("is_error").alias("errors"), F.count_if(edit & (F.col("last").isNull() | (F.col("seq") > F.col("last")))).alias("unverified_edits"), F.count_distinct("target").alias("targets")
-    )
+    hot = t.part.filter("p_size > 25 and p_partkey % 17 <> 0").select(F.col("p_partkey").alias("target"), "p_size")
+    edit, outside, size = F.col("action") == "edit", F.coalesce(F.col("target") % 17 == 0, F.lit(False)), F.col("p_size")
+    late, errors = F.count_if(edit & (F.col("last").isNull() | (F.col("seq") > F.col("last")))), F.count_if("is_error")
+    one = lambda keep: F.when(keep, 1).otherwise(0)
+    return e.join(hot, "target", "left").groupBy("session").agg(
+        count().alias("events"), F.count("target").alias("target_events"), F.count_distinct("target").alias("targets"), F.count(size).alias("matched"), F.count_if(F.col("target").isNotNull() & size.isNull() & ~outside).alias("unmatched"), F.count_if(outside).alias("unsafe"), F.count_if(size > 45).alias("attention"),
+        F.count_if(edit).alias("edits"), F.count_if(F.col("action") == "verify").alias("verifies"), errors.alias("errors"), late.alias("unverified_edits"), (one(late > 0) + one(errors >= 3) + one(F.count_if((size > 45) & edit) > 0)).alias("signals"),
+    )
 
 
 _TIMING = with_views("session_events") + """, s AS (SELECT session, event_id, action, target, at_ms AS a, least(coalesce(lead(at_ms) OVER (PARTITION BY session ORDER BY seq), at_ms), at_ms + 3600000) AS b FROM session_events)"""
@@ -331,12 +377,15 @@ def d27_delivery_times(t: Tables) -> DataFrame:
     return e.groupBy("session").agg((F.max("b") - F.min("a")).alias("lead_ms"), F.sum(span).alias("touch_ms"), *(part(F.col("category") == c).alias(f"{c}_ms") for c in TIMES), part(F.col("category").isin(*TIMES[3:])).alias("avoidable_ms"))
 
 
-@query("""WITH y AS (SELECT o_orderpriority AS kind, year(o_orderdate) AS y, count(*) AS n, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2) SELECT a.kind, CAST(a.y AS INTEGER) AS year, a.n - b.n AS n_delta, round(a.v - b.v, 2) AS v_delta FROM y a JOIN y b ON a.kind = b.kind AND a.y = b.y + 1""")
-def d28_period_delta(t: Tables) -> DataFrame:
-    """Measures of a period less those of the one before."""
-    y = t.orders.groupBy(F.col("o_orderpriority").alias("kind"), F.year("o_orderdate").alias("year")).agg(count().alias("n"), F.sum("o_totalprice").alias("v"))
-    before = y.select("kind", (F.col("year") + 1).alias("year"), F.col("n").alias("n0"), F.col("v").alias("v0"))
-    return y.join(before, ["kind", "year"]).select("kind", "year", (F.col("n") - F.col("n0")).alias("n_delta"), F.round(F.col("v") - F.col("v0"), 2).alias("v_delta"))
+_MEASURES = ("lead_ms", "touch_ms", *(f"{c}_ms" for c in TIMES), "avoidable_ms")
+
+
+@query(f"WITH d AS ({REGISTERED['d27_delivery_times'][1]}) SELECT c.session, " + ", ".join(f"c.{m} - b.{m} AS {m}_delta" for m in _MEASURES) + " FROM d c JOIN d b ON b.session = c.session - 1")
+def d28_delivery_delta(t: Tables) -> DataFrame:
+    """The eleven measures of a delivery less those of its baseline, the one before it."""
+    d = settled(d27_delivery_times(t))
+    base = d.select((F.col("session") + 1).alias("session"), *(F.col(m).alias(f"{m}_0") for m in _MEASURES))
+    return d.join(base, "session").select("session", *((F.col(m) - F.col(f"{m}_0")).alias(f"{m}_delta") for m in _MEASURES))
 
 
 @query("SELECT o_orderpriority AS kind, quantile_disc(o_totalprice, 0.5) AS p50, quantile_disc(o_totalprice, 0.95) AS p95, round(median(o_totalprice), 6) AS middle FROM orders GROUP BY 1")
@@ -355,6 +404,26 @@ def d32_improvement(t: Tables) -> DataFrame:
     return y.select("c_custkey", F.when(F.col("base") != 0, F.round((F.col("now") - F.col("base")) / F.abs("base") * 100, 4)).alias("improvement"))
 
 
+@query("""WITH u AS (SELECT n_name AS unit, count(*) AS inventory, count(*) FILTER (WHERE c_acctbal >= 0) AS scanned, count(*) FILTER (WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) AS resolved, count(*) FILTER (WHERE c_mktsegment = 'FURNITURE') AS unresolved, count(*) FILTER (WHERE c_acctbal < -900) AS excluded, min(n_nationkey) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
+  r AS (SELECT *, CASE WHEN resolved + unresolved > 0 THEN round_even(resolved * 100.0::DOUBLE / (resolved + unresolved), 1) END AS ratio, CASE WHEN k % 7 = 0 THEN 'unknown' WHEN excluded > 0 THEN 'quarantined' ELSE 'clean' END AS pollution_status FROM u)
+  SELECT unit, CASE WHEN k % 3 = 0 THEN 100 ELSE 0 END AS step, ratio, CASE WHEN ratio IS NULL THEN 0 WHEN ratio >= 75 THEN 100 WHEN ratio >= 50 THEN 75 WHEN ratio >= 25 THEN 50 ELSE 30 END AS import_resolution, CASE WHEN scanned <= 0 OR inventory <= 0 THEN 0 ELSE CAST(round_even(least(scanned * 100.0::DOUBLE / inventory, 100), 0) AS BIGINT) END AS coverage,
+  pollution_status, CASE pollution_status WHEN 'unknown' THEN 0 WHEN 'quarantined' THEN 100 ELSE 80 END AS pollution, CASE WHEN k % 4 > 0 THEN 100 ELSE 45 END AS rules FROM r""")
+def d35_banded_scores(t: Tables) -> DataFrame:
+    """The banded scores of a unit: a step that passed or not, import resolution, coverage of the inventory, pollution and whether there are rules."""
+    seg, has = F.col("c_mktsegment"), F.count_if
+    u = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("unit")).agg(
+        count().alias("inventory"), has(F.col("c_acctbal") >= 0).alias("scanned"), has(seg.isin("BUILDING", "MACHINERY")).alias("resolved"), has(seg == "FURNITURE").alias("unresolved"), has(F.col("c_acctbal") < -900).alias("excluded"), F.min("n_nationkey").alias("k")
+    )
+    total, ratio, k = F.col("resolved") + F.col("unresolved"), F.col("ratio"), F.col("k")
+    u = u.withColumn("ratio", F.when(total > 0, F.bround(F.col("resolved") * 100.0 / F.when(total > 0, total), 1)))
+    status = F.when(k % 7 == 0, "unknown").when(F.col("excluded") > 0, "quarantined").otherwise("clean")
+    coverage = F.when((F.col("scanned") <= 0) | (F.col("inventory") <= 0), F.lit(0).cast("long")).otherwise(F.bround(F.least(F.col("scanned") * 100.0 / F.col("inventory"), F.lit(100.0)), 0).cast("long"))
+    return u.select(
+        "unit", F.when(k % 3 == 0, 100).otherwise(0).alias("step"), "ratio", F.when(ratio.isNull(), 0).when(ratio >= 75, 100).when(ratio >= 50, 75).when(ratio >= 25, 50).otherwise(30).alias("import_resolution"), coverage.alias("coverage"),
+        status.alias("pollution_status"), F.when(status == "unknown", 0).when(status == "quarantined", 100).otherwise(80).alias("pollution"), F.when(k % 4 > 0, 100).otherwise(45).alias("rules"),
+    )
+
+
 _PARTS = (("rules", "c_acctbal >= 0"), ("gate", "c_mktsegment = 'BUILDING'"), ("checked", "c_custkey % 3 = 0"), ("ct", "c_acctbal > 5000"), ("mri", "c_mktsegment IN ('BUILDING', 'MACHINERY')"), ("graph", "c_custkey % 2 = 0"), ("memory", "c_acctbal < 9000"), ("resolution", "c_custkey % 5 < 4"), ("pollution", "c_acctbal < 2000"))
 
 

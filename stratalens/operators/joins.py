@@ -112,10 +112,35 @@ def co_changes(t: Tables, least: int = 3) -> DataFrame:
     return counted.filter(F.col("co_commits") >= least)
 
 
-@query(with_views("commits", "files") + _PAIRS + " SELECT l, r, co_commits, newest FROM pairs")
+_RECENT = """, d AS (SELECT DISTINCT l.hash, module || '/' || lower(p_type) AS file FROM (SELECT l_orderkey AS hash, l_partkey AS partkey FROM lineitem) l JOIN files USING (partkey)),
+  walked AS (SELECT d.*, ts, count(*) OVER (PARTITION BY hash) AS width FROM d JOIN commits USING (hash) WHERE ts >= (SELECT max(ts) FROM commits) - 365 * 86400),
+  hits AS (SELECT a.file AS l, b.file AS r, a.hash, a.ts FROM walked a JOIN walked b ON a.hash = b.hash AND a.file < b.file WHERE a.width <= 50),
+  edges AS (SELECT l, r, count(*) AS co_commits, array_to_string(list(hash ORDER BY ts DESC, hash)[1:3], ',') AS commits, count(*) > 3 AS truncated FROM hits GROUP BY 1, 2 HAVING count(*) >= 3)"""
+EVIDENCE = 3
+
+
+def recent_touches(t: Tables, days: int = 365) -> DataFrame:
+    """hash, file, ts, width (files of the commit): what the commits of the days before the newest touched."""
+    log = commits(t).select("hash", "ts")
+    tip = log.agg(F.max("ts").alias("tip"))
+    touched = typed_files(t).join(log.crossJoin(F.broadcast(tip)).filter(F.col("ts") >= F.col("tip") - days * DAY).select("hash", "ts"), "hash")  # one row
+    return touched.join(touched.groupBy("hash").agg(F.count(F.lit(1)).alias("width")), "hash")
+
+
+def recent_edges(touched: DataFrame, least: int = 3) -> DataFrame:
+    """l, r, co_commits, commits (the newest three), truncated: pairs of files that at least `least` of the commits changed together; a commit of over WIDE files joins nothing."""
+    kept = touched.filter(F.col("width") <= WIDE)
+    hits = kept.alias("a").join(kept.alias("b"), (F.col("a.hash") == F.col("b.hash")) & (F.col("a.file") < F.col("b.file"))).select(F.col("a.file").alias("l"), F.col("b.file").alias("r"), "a.hash", "a.ts")
+    counted = hits.groupBy("l", "r").agg(F.count(F.lit(1)).alias("co_commits")).filter(F.col("co_commits") >= least)
+    newest = hits.withColumn("k", F.row_number().over(W.partitionBy("l", "r").orderBy(F.desc("ts"), "hash"))).filter(F.col("k") <= EVIDENCE)
+    newest = newest.groupBy("l", "r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "hash"))), lambda x: x["hash"].cast("string")), ",").alias("commits"))  # EVIDENCE at most
+    return counted.join(newest, ["l", "r"]).select("l", "r", "co_commits", "commits", (F.col("co_commits") > EVIDENCE).alias("truncated"))
+
+
+@query(with_views("commits", "files") + _RECENT + " SELECT l, r, co_commits, commits, truncated FROM edges")
 def c15_cochange_pairs(t: Tables) -> DataFrame:
-    """Co-change edges with at least three common commits."""
-    return co_changes(t)
+    """Co-change edges with at least three common commits of the last 365 days, with the newest three as evidence."""
+    return recent_edges(recent_touches(t))
 
 
 @query(with_views("commits", "commit_files") + """, h AS (SELECT hash, ts, path, subject FROM commits JOIN commit_files USING (hash)),
@@ -166,7 +191,7 @@ def benchmark_runs(t: Tables) -> DataFrame:
 @query("WITH z AS (SELECT 1)" + _RUNS + """ SELECT a.condition, count(*) AS pairs, round(avg(a.quality - b.quality), 6) AS quality_delta, round(avg(a.cost - b.cost), 6) AS cost_delta
   FROM runs a JOIN runs b ON a.case_id = b.case_id AND a.repetition = b.repetition AND b.condition = 'C0' WHERE a.condition <> 'C0' GROUP BY 1""")
 def c18_paired_deltas(t: Tables) -> DataFrame:
-    """Mean difference of each condition to the control of the same case and repetition (also d20)."""
+    """Mean difference of each condition to the control of the same case and repetition."""
     runs = benchmark_runs(t)
     control = runs.filter("condition = 'C0'").select("case_id", "repetition", F.col("quality").alias("q0"), F.col("cost").alias("c0"))
     both = runs.filter("condition <> 'C0'").join(control, ["case_id", "repetition"])

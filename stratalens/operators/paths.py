@@ -100,14 +100,19 @@ def c08_module_token(t: Tables) -> DataFrame:
     return wanted.join(known.select(F.col("module").alias("token"), F.col("module").alias("exact")), "token", "left").join(leaf, "token", "left").select("partkey", F.coalesce("exact", "by_leaf").alias("module"))
 
 
-@query(_PAGES + ", k AS (SELECT DISTINCT regexp_extract(path, '([^/]+/[^/]+)$', 1) AS key FROM p WHERE path LIKE '%/%') SELECT page_id, min(key) AS key FROM p JOIN k ON path = key OR path LIKE '%/' || key GROUP BY 1")
+@query(_PAGES + """, k AS (SELECT DISTINCT CASE WHEN page_id % 3 = 0 THEN path ELSE regexp_extract(path, '([^/]+/[^/]+)$', 1) END AS key FROM p WHERE path LIKE '%/%'), c AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN regexp_extract(path, '([^/]*)$', 1) ELSE path END AS path FROM p)
+  SELECT page_id, path, coalesce((SELECT min(key) FROM k WHERE key = path), (SELECT min(key) FROM k WHERE ends_with(path, '/' || key) OR ends_with(key, '/' || path))) AS key FROM c""")
 def c07_suffix_key(t: Tables) -> DataFrame:
-    """The first known key that a path is or ends in, by exploded suffixes."""
-    p = page_paths(t)
-    keys = p.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("key")).filter(p["path"].contains("/")).distinct()
-    parts = F.split("path", "/")
-    tails = p.select("page_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("key"))
-    return tails.join(keys, "key").groupBy("page_id").agg(F.min("key").alias("key"))
+    """The known key that a path equals, else the first key that the path ends in or that ends in the path, at a slash; by exploded suffixes of both sides."""
+    p, parts = page_paths(t), F.split("path", "/")
+    short = F.when(F.col("page_id") % 3 == 0, F.col("path")).otherwise(F.regexp_extract("path", "([^/]+/[^/]+)$", 1))
+    keys = p.filter(F.col("path").contains("/")).select(short.alias("key")).distinct()
+    asked = p.select("page_id", F.when(F.col("page_id") % 5 == 0, F.element_at(parts, -1)).otherwise(F.col("path")).alias("path"))
+    tails = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda i: F.array_join(F.slice(F.split(c, "/"), i, F.size(F.split(c, "/"))), "/"))
+    ends_in = asked.select("page_id", "path", F.explode(tails("path")).alias("key")).join(keys, "key").select("page_id", "path", "key")
+    within = keys.select("key", F.explode(tails("key")).alias("path")).join(asked, "path").select("page_id", "path", "key")
+    found = ends_in.union(within).groupBy("page_id").agg(F.min("key").alias("key"), F.min(F.when(F.col("key") == F.col("path"), F.col("key"))).alias("same"))
+    return asked.join(found, "page_id", "left").select("page_id", "path", F.coalesce("same", "key").alias("key"))
 
 
 @query("WITH b AS (SELECT lower(p_name) AS k, min(p_partkey) AS boundary, count(*) AS n FROM part GROUP BY 1) SELECT p_partkey, CASE WHEN b.n = 1 THEN 'known' WHEN b.n > 1 THEN 'ambiguous' ELSE 'unknown' END AS state, CASE WHEN b.n = 1 THEN boundary END AS boundary FROM part LEFT JOIN b ON lower(p_name) = k")

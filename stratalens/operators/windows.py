@@ -204,7 +204,7 @@ def f12_symbol_cap(t: Tables) -> DataFrame:
 
 @query(with_views("commits", "commit_files") + " SELECT path, hash, ts FROM (SELECT path, hash, ts, row_number() OVER (PARTITION BY path ORDER BY ts DESC, hash DESC) AS k FROM commits JOIN commit_files USING (hash)) WHERE k <= 5")
 def f13_recent_commits(t: Tables) -> DataFrame:
-    """The five newest commits of each file (also k18)."""
+    """The five newest commits of each file."""
     log = commits(t).join(commit_files(t), "hash").select("path", "hash", "ts")
     return log.withColumn("k", F.row_number().over(W.partitionBy("path").orderBy(F.desc("ts"), F.desc("hash")))).filter("k <= 5").drop("k")
 

@@ -8,17 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalens.operators.aggregates import _PAST, _RISK, _SHAPE, change_risk, d19_benchmark_conditions, d21_valid_pairs, d26_session_summary, d27_delivery_times, module_risk
+from stratalens.operators.aggregates import _PAST, _RISK, _SHAPE, change_risk, d19_benchmark_conditions, d20_paired_deltas, d21_valid_pairs, d26_session_summary, d27_delivery_times, module_risk
 from stratalens.operators.evidence import b19_audit_status, sql_of
 from stratalens.operators.graph import _IMPACT, h01_impacted_files, impacted
-from stratalens.operators.joins import WIDE, c18_paired_deltas
+from stratalens.operators.joins import WIDE
 from stratalens.operators.ordered import last_frames, running_sums
 from stratalens.operators.paths import b17_evidence_chain, b18_gate_verdict
 from stratalens.operators.reach import joined_groups, settled
 from stratalens.operators.retrieval import best_documents, keyword_hits, lines_of, terms_of
 from stratalens.operators.scan import b16_evidence_coverage
 from stratalens.plans.registry import Tables, query
-from stratalens.sources.bindings import DAY, commit_files, commits, files, session_events, with_views
+from stratalens.sources.bindings import DAY, commit_files, commits, files, imports, session_events, with_views
 
 
 SAMPLE = 50
@@ -253,13 +253,14 @@ def k02_edit_impact(t: Tables) -> DataFrame:
     return reached.join(tests, "node", "left").select("node", "distance", "reason", "via", "confidence", F.coalesce("n", F.lit(0)).alias("tests"), F.col("n").isNull().alias("fallback"))
 
 
-@query(f"WITH c AS {sql_of('b16_evidence_coverage')} SELECT k.lang AS kind, count(*) AS total, count(*) FILTER (WHERE contains(lower(text), 'license')) AS matched, least(count(*) FILTER (WHERE contains(lower(text), 'license')), 20) AS returned, count(*) FILTER (WHERE contains(lower(text), 'license')) > 20 AS truncated, any_value(coverage) AS coverage, any_value(confidence) AS confidence FROM documents k JOIN c USING (lang) GROUP BY 1")
+@query(f"WITH c AS {sql_of('b16_evidence_coverage')}, m AS (SELECT lang AS kind, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place, count(*) OVER (PARTITION BY lang) AS matched, left(text, 120) AS fact FROM documents WHERE contains(lower(text), 'license')) SELECT kind, doc_id, place, matched, matched > 20 AS truncated, fact, coverage, confidence FROM m JOIN c ON c.lang = kind WHERE place <= 20")
 def k05_get_facts(t: Tables) -> DataFrame:
-    """Facts asked for by a word: how many of each kind match, how many are given, and what the evidence covers (b15, b16)."""
-    hit = F.lower("text").contains("license")
-    counted = t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("matched"))
-    x = counted.join(b16_evidence_coverage(t), "lang")
-    return x.select(F.col("lang").alias("kind"), "total", "matched", F.least("matched", F.lit(20)).alias("returned"), (F.col("matched") > 20).alias("truncated"), "coverage", "confidence")
+    """Facts asked for by a word: the first twenty of each kind, how many match, whether more do, and what the evidence covers (b15, b16)."""
+    hit = t.documents.filter(F.lower("text").contains("license")).select(F.col("lang").alias("kind"), "doc_id", F.left("text", F.lit(120)).alias("fact"))
+    first = hit.withColumn("place", F.row_number().over(W.partitionBy("kind").orderBy("doc_id")).cast("long")).filter("place <= 20")
+    counted = hit.groupBy("kind").agg(F.count(F.lit(1)).alias("matched"))
+    x = first.join(counted, "kind").join(b16_evidence_coverage(t).withColumnRenamed("lang", "kind"), "kind")
+    return x.select("kind", "doc_id", "place", "matched", (F.col("matched") > 20).alias("truncated"), "fact", "coverage", "confidence")
 
 
 @query(f"SELECT 'get_evidence' AS tool, finding AS subject, CASE WHEN backed THEN 'backed' ELSE 'unbacked' END AS status FROM {sql_of('b17_evidence_chain')} UNION ALL SELECT 'get_gate_verdict', artifact, verdict FROM {sql_of('b18_gate_verdict')} UNION ALL SELECT 'get_audit_status', department, status FROM {sql_of('b19_audit_status')} UNION ALL SELECT 'get_change_impact', node, 'distance ' || distance FROM {sql_of('h01_impacted_files')}")
@@ -281,12 +282,12 @@ def k08_survival_scan(t: Tables) -> DataFrame:
     return x.withColumn("share", F.round(100 * F.col("n") / F.sum("n").over(W.partitionBy("source")), 2))
 
 
-@query(f"WITH d AS {sql_of('d19_benchmark_conditions')}, p AS {sql_of('c18_paired_deltas')}, v AS {sql_of('d21_valid_pairs')} SELECT d.condition, attempted, completed, completion_rate, pairs, quality_delta, cost_delta, (SELECT count(*) FROM v WHERE verdict = 'decided') AS cases_decided FROM d LEFT JOIN p USING (condition)")
+@query(f"WITH d AS {sql_of('d19_benchmark_conditions')}, p AS {sql_of('d20_paired_deltas')}, v AS {sql_of('d21_valid_pairs')} SELECT d.condition, attempted, completed, availability_rate, p.pairs, recall_delta, wall_ms_delta, (SELECT count(*) FROM v WHERE verdict = 'decided') AS cases_decided FROM d LEFT JOIN p USING (condition)")
 def k10_benchmark_tools(t: Tables) -> DataFrame:
     """Each condition's completion with its paired differences from the baseline, and in how many cases they decide (d19 to d21)."""
     decided = d21_valid_pairs(t).agg(F.count_if(F.col("verdict") == "decided").alias("cases_decided"))
-    x = d19_benchmark_conditions(t).join(c18_paired_deltas(t), "condition", "left").crossJoin(F.broadcast(decided))  # one row
-    return x.select("condition", "attempted", "completed", "completion_rate", "pairs", "quality_delta", "cost_delta", "cases_decided")
+    x = d19_benchmark_conditions(t).join(d20_paired_deltas(t), "condition", "left").crossJoin(F.broadcast(decided))  # one row
+    return x.select("condition", "attempted", "completed", "availability_rate", "pairs", "recall_delta", "wall_ms_delta", "cases_decided")
 
 
 @query(with_views("commits") + ", w AS (SELECT author AS repo, arg_max(hash, (ts, hash)) AS latest, count(*) AS runs, count(*) FILTER (WHERE starts_with(subject, 'fix')) AS fixes FROM commits GROUP BY 1), o AS (SELECT author AS repo, arg_max(hash, (ts, hash)) AS before FROM commits WHERE ts <= 852076800 GROUP BY 1) SELECT w.repo, latest, runs, fixes, coalesce(before = latest, false) AS unchanged FROM w LEFT JOIN o USING (repo)")
@@ -335,3 +336,27 @@ def l04_evolution_hotspots(t: Tables) -> DataFrame:
     churn = commit_files(t).groupBy(F.col("path").alias("name")).agg(F.count(F.lit(1)).alias("value"))
     some = (top(module_risk(t).select(F.col("module").alias("name"), F.col("risk").alias("value")), "module", 20), top(files(t).select(F.col("path").alias("name"), F.col("size").alias("value")), "file", 30), top(churn, "churn", 50))
     return reduce(DataFrame.unionByName, some)
+
+
+#: Files of a context pack, and the commits and references that it gives of each.
+PACKED, RECENT, REFERENCES = 10, 5, 10
+
+
+@query(with_views("commits", "files", "commit_files", "imports") + f""", h AS (SELECT path, count(*) AS n FROM commit_files GROUP BY 1), hot AS (SELECT path, n, row_number() OVER (ORDER BY n DESC, path) AS place FROM h QUALIFY place <= {PACKED}),
+  own AS (SELECT hot.path, module || '/' || lower(p_type) AS node, sha256(f.path || ':' || f.size) AS digest FROM hot JOIN files f USING (path)),
+  c AS (SELECT path, hash, row_number() OVER (PARTITION BY path ORDER BY ts DESC, hash DESC) AS place FROM commit_files JOIN hot USING (path) JOIN commits USING (hash)),
+  r AS (SELECT path, importer, row_number() OVER (PARTITION BY path ORDER BY importer) AS place FROM (SELECT DISTINCT path, importer FROM own JOIN imports ON target = node))
+  SELECT 'hotspot' AS kind, path, CAST(n AS VARCHAR) AS item, place FROM hot UNION ALL SELECT 'digest', path, digest, 1 FROM own UNION ALL SELECT 'commit', path, CAST(hash AS VARCHAR), place FROM c WHERE place <= {RECENT} UNION ALL SELECT 'reference', path, importer, place FROM r WHERE place <= {REFERENCES}""")
+def k18_context_pack(t: Tables) -> DataFrame:
+    """A pack of context: the files that change most, each with its digest, its newest commits and the files that import it (f10, f13, c02)."""
+    touched = commit_files(t).select("path", "hash")
+    counts = touched.groupBy("path").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "path").limit(PACKED)
+    hot = settled(counts.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "path")).cast("long")))  # PACKED rows
+    f = files(t).join(F.broadcast(hot.select("path")), "path")
+    own = f.select("path", F.concat("module", F.lit("/"), F.lower("p_type")).alias("node"), F.sha2(F.concat("path", F.lit(":"), F.col("size").cast("string")), 256).alias("digest"))
+    log = touched.join(F.broadcast(hot.select("path")), "path").join(commits(t).select("hash", "ts"), "hash")
+    newest = log.withColumn("place", F.row_number().over(W.partitionBy("path").orderBy(F.desc("ts"), F.desc("hash"))).cast("long")).filter(F.col("place") <= RECENT)
+    users = imports(t).select("importer", F.col("target").alias("node")).join(F.broadcast(own.select("path", "node")), "node").select("path", "importer").distinct()
+    users = users.withColumn("place", F.row_number().over(W.partitionBy("path").orderBy("importer")).cast("long")).filter(F.col("place") <= REFERENCES)
+    row = lambda df, kind, item, place="place": df.select(F.lit(kind).alias("kind"), "path", F.col(item).cast("string").alias("item"), (F.col(place) if isinstance(place, str) else place).alias("place"))
+    return reduce(DataFrame.unionByName, (row(hot, "hotspot", "n"), row(own, "digest", "digest", F.lit(1).cast("long")), row(newest, "commit", "hash"), row(users, "reference", "importer")))
