@@ -430,7 +430,7 @@ _PARTS = (("rules", "c_acctbal >= 0"), ("gate", "c_mktsegment = 'BUILDING'"), ("
 @query("WITH c AS (SELECT n_name AS unit, " + ", ".join(f"CAST(round_even(100.0::DOUBLE * count(*) FILTER (WHERE {r}) / count(*), 0) AS BIGINT) AS {c}" for c, r in _PARTS) + """ FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), s AS (SELECT *, CAST(round_even((rules + gate + checked) / 3.0::DOUBLE, 0) AS BIGINT) AS governance, CAST(round_even((ct + mri + graph + memory) / 4.0::DOUBLE, 0) AS BIGINT) AS diagnostic FROM c)
   SELECT unit, governance, diagnostic, resolution, pollution, CAST(round_even((diagnostic + governance + resolution + pollution) / 4.0::DOUBLE, 0) AS BIGINT) AS overall, CASE WHEN diagnostic >= 75 THEN 100 WHEN diagnostic >= 50 THEN 75 WHEN diagnostic >= 25 THEN 50 ELSE 30 END AS band FROM s""")
 def d34_composite_scores(t: Tables) -> DataFrame:
-    """Governance of three parts, diagnostic of four, overall of these with resolution and pollution, halves to even; and a banded score (also d35)."""
+    """Governance of three parts, diagnostic of four, overall of these with resolution and pollution, halves to even; and a banded score."""
     even = lambda x: F.bround(x, 0).cast("long")
     c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("unit")).agg(*(even(100 * F.count_if(F.expr(r)) / count()).alias(name) for name, r in _PARTS))
     mean = lambda *cs: even(reduce(Column.__add__, map(F.col, cs)) / len(cs))
@@ -459,7 +459,7 @@ def d42_register_summary(t: Tables) -> DataFrame:
 @query(with_views("commits", "commit_files") + """, a AS (SELECT path, author, count(*) AS touches FROM commits JOIN commit_files USING (hash) GROUP BY 1, 2), l AS (SELECT path, arg_max(author, (ts, hash)) AS last_author FROM commits JOIN commit_files USING (hash) GROUP BY 1)
   SELECT a.path, count(*) AS authors, any_value(last_author) AS last_author, round_even(max(touches) / sum(touches), 4) AS top_share, CAST(least(100, greatest(0, round_even(55 / count(*) + 45 * max(touches) / sum(touches), 0))) AS BIGINT) AS risk FROM a JOIN l USING (path) GROUP BY 1""")
 def l02_bus_factor(t: Tables) -> DataFrame:
-    """Authors, last author, top share and risk of knowledge in few heads per file (also l01, l06)."""
+    """Authors, last author, top share and risk of knowledge in few heads per file (also l01)."""
     log = commits(t).join(commit_files(t), "hash")
     last = log.groupBy("path").agg(F.max_by("author", F.struct("ts", "hash")).alias("last_author"))
     shares = log.groupBy("path", "author").agg(count().alias("touches")).groupBy("path").agg(count().alias("authors"), (F.max("touches") / F.sum("touches")).alias("share"))

@@ -12,7 +12,7 @@ from stratalens.operators.aggregates import _QUALITY_OF, _RISK, blast_radius, mo
 from stratalens.operators.graph import _GROUPS, two_graphs
 from stratalens.operators.reach import connected_groups, settled
 from stratalens.plans.registry import Tables, query
-from stratalens.sources.bindings import DAY, commits, files, with_views
+from stratalens.sources.bindings import DAY, commit_files, commits, files, with_views
 
 # Limits of the structural rules; files of the first kind of module may not use the second, nor a layer a later one.
 MAX_CC, MAX_GODS, MAX_CYCLES, MAX_COUPLING, FORBIDDEN, LAYERS = 49, 6, 1, 60.0, (1, 3), 3
@@ -86,14 +86,37 @@ def j03_what_if(t: Tables) -> DataFrame:
     return what_if(t)
 
 
-@query(_IMPACT + """, scen(o, scenario) AS (VALUES (1, 'current_max_cc_gate'), (2, 'module_coupling_cap'), (3, 'blast_radius_cap'), (4, 'test_gap_gate')), n AS (SELECT scen.o, scen.scenario, count(w.target) AS failing FROM scen LEFT JOIN w USING (scenario) GROUP BY 1, 2)
-  SELECT scenario, failing, failing = 0 AS pass, coalesce(o = (SELECT min(o) FROM n WHERE failing > 0), false) AS primary_risk FROM n""")
+# All scenarios with the severity of failing each; ceilings of complexity, and the risk from which a module's knowledge is in too few heads.
+WHAT_IF = (("current_max_cc_gate", "high"), ("strict_max_cc_gate", "medium"), ("hard_max_cc_gate", "medium"), ("module_coupling_cap", "high"), ("blast_radius_cap", "high"), ("test_gap_gate", "medium"), ("god_file_gate", "high"), ("bus_factor_gate", "medium"), ("pollution_gate", "medium"))
+STRICT_CC, HARD_CC, GOD_SIZE, BUS_RISK, SHOWN = 15, 10, 45, 45, 20
+_EXTENDED = _IMPACT + f""", au AS (SELECT module, author, count(*) AS touches FROM commit_files JOIN commits USING (hash) GROUP BY 1, 2), bus AS (SELECT module, CAST(least(100, greatest(0, round_even(55 / count(*) + 45 * max(touches) / sum(touches), 0))) AS BIGINT) AS value FROM au GROUP BY 1),
+  polluted AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path FROM pages),
+  w9 AS (SELECT scenario, target, value, bound FROM w UNION ALL SELECT 'strict_max_cc_gate', path, CAST(size AS BIGINT), {STRICT_CC} FROM files WHERE size > {STRICT_CC} UNION ALL SELECT 'hard_max_cc_gate', path, CAST(size AS BIGINT), {HARD_CC} FROM files WHERE size > {HARD_CC}
+    UNION ALL SELECT 'god_file_gate', path, CAST(size AS BIGINT), {GOD_SIZE} FROM files WHERE size > {GOD_SIZE} UNION ALL SELECT 'bus_factor_gate', module, value, {BUS_RISK} FROM bus WHERE value >= {BUS_RISK}
+    UNION ALL SELECT 'pollution_gate', path, CAST(count(*) AS BIGINT), 0 FROM polluted WHERE regexp_matches(path, '(^|/)(static|public|dist|build)(/|$)') GROUP BY path),
+  scen(o, scenario, severity) AS (VALUES {", ".join(f"({i}, '{n}', '{sev}')" for i, (n, sev) in enumerate(WHAT_IF))}), ranked AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY value DESC, target) AS k FROM w9),
+  n AS (SELECT scen.o, scen.scenario, any_value(severity) AS severity, count(r.target) AS failing, coalesce(string_agg(r.target, ',' ORDER BY k) FILTER (WHERE k <= {SHOWN}), '') AS affected FROM scen LEFT JOIN ranked r USING (scenario) GROUP BY 1, 2)"""
+
+
+@query(_EXTENDED + " SELECT scenario, failing, failing = 0 AS pass, CASE WHEN failing = 0 THEN 'ok' ELSE severity END AS severity, affected, coalesce(o = (SELECT min(o) FROM n WHERE failing > 0), false) AS primary_risk FROM n")
 def l08_what_if_summary(t: Tables) -> DataFrame:
-    """Each scenario with the number of what fails it; the first that fails is the primary risk."""
-    names = t.spark.createDataFrame([(i, name) for i, (name, _) in enumerate(SCENARIOS)], "o int, scenario string")
-    n = settled(names.join(what_if(t).groupBy("scenario").agg(F.count(F.lit(1)).alias("failing")), "scenario", "left").fillna(0, ["failing"]))
+    """Nine scenarios, with stricter ceilings of complexity, god files, knowledge in few heads and pollution beside j03's four: how many fail each, the worst twenty, and the first that fails as the primary risk."""
+    f = files(t).select(F.col("path").alias("target"), F.col("size").alias("value"))
+    over = lambda df, name, limit, least=False: df.filter(F.col("value") >= limit if least else F.col("value") > limit).select(F.lit(name).alias("scenario"), "target", "value")
+    authors = commit_files(t).select("hash", "module").join(commits(t).select("hash", "author"), "hash").groupBy("module", "author").agg(F.count(F.lit(1)).alias("touches"))
+    risk = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.bround(55 / F.count(F.lit(1)) + 45 * F.max("touches") / F.sum("touches"), 0)))
+    bus = authors.groupBy(F.col("module").alias("target")).agg(risk.cast("long").alias("value"))
+    path = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
+    polluted = t.pages.select(path.alias("target")).filter(F.col("target").rlike("(^|/)(static|public|dist|build)(/|$)")).groupBy("target").agg(F.count(F.lit(1)).alias("value"))
+    some = (what_if(t).select("scenario", "target", "value"), over(f, "strict_max_cc_gate", STRICT_CC), over(f, "hard_max_cc_gate", HARD_CC), over(f, "god_file_gate", GOD_SIZE), over(bus, "bus_factor_gate", BUS_RISK, True), over(polluted, "pollution_gate", 0))
+    found = settled(reduce(DataFrame.unionByName, some))
+    worst = found.withColumn("k", F.row_number().over(W.partitionBy("scenario").orderBy(F.desc("value"), "target"))).filter(F.col("k") <= SHOWN)
+    shown = worst.groupBy("scenario").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "target"))), lambda x: x["target"]), ",").alias("affected"))  # SHOWN at most
+    names = t.spark.createDataFrame([(i, name, severity) for i, (name, severity) in enumerate(WHAT_IF)], "o int, scenario string, severity string")
+    n = settled(names.join(found.groupBy("scenario").agg(F.count(F.lit(1)).alias("failing")), "scenario", "left").join(shown, "scenario", "left").fillna(0, ["failing"]).fillna("", ["affected"]))
     first = n.filter("failing > 0").agg(F.min("o").alias("first"))
-    return n.crossJoin(first).select("scenario", "failing", (F.col("failing") == 0).alias("pass"), F.coalesce(F.col("o") == F.col("first"), F.lit(False)).alias("primary_risk"))  # one row
+    ok = F.col("failing") == 0
+    return n.crossJoin(first).select("scenario", "failing", ok.alias("pass"), F.when(ok, "ok").otherwise(F.col("severity")).alias("severity"), "affected", F.coalesce(F.col("o") == F.col("first"), F.lit(False)).alias("primary_risk"))  # one row
 
 
 # The cascade as (diagnosis, status, protocol, disposition, verdict), first match wins.

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalens.operators.aggregates import _PAST, _QUALITY, _SHAPE, change_risk, count, module_metrics
+from stratalens.operators.aggregates import _PAST, _QUALITY, _RISK, _SHAPE, change_risk, count, module_edges, module_metrics, module_risk, modules
 from stratalens.operators.reach import settled
 from stratalens.operators.selection import MIDDLE, nth, order_statistics
 from stratalens.plans.registry import Tables, query
-from stratalens.sources.bindings import commit_files, files, imports, with_views
+from stratalens.sources.bindings import commit_files, commits, files, imports, with_views
 
 # Segment names of generated paths.
 GENERATED = ("generated", "gen", "dist", "build", "out", "target", "vendor", "node_modules", "coverage", "bin", "obj", "tests")
@@ -173,12 +174,42 @@ def f11_naive_ranking(t: Tables) -> DataFrame:
     return t.lineitem.filter("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("file")).agg(count().alias("hits")).orderBy(F.desc("hits"), "file").limit(5)
 
 
-@query(with_views("imports") + ", d AS (SELECT importer AS m, count(DISTINCT target) AS o FROM imports GROUP BY 1), i AS (SELECT target AS m, count(DISTINCT importer) AS n FROM imports GROUP BY 1) SELECT coalesce(d.m, i.m) AS file, coalesce(o, 0) + coalesce(n, 0) AS coupling FROM d FULL JOIN i ON d.m = i.m ORDER BY 2 DESC, 1 LIMIT 50")
+_COUPLED = _RISK + """, x AS (SELECT module, coupling FROM t), deg AS (SELECT module, CAST(count(DISTINCT CASE WHEN dst = module THEN src END) AS BIGINT) AS inbound, CAST(count(DISTINCT CASE WHEN src = module THEN dst END) AS BIGINT) AS outbound FROM x LEFT JOIN mw ON src = module OR dst = module GROUP BY 1),
+  a AS (SELECT 'module' AS kind, module AS name, '' AS other, CAST(coupling AS BIGINT) AS value, inbound, outbound, CAST(risk AS BIGINT) AS risk FROM x JOIN deg USING (module) JOIN risk USING (module) ORDER BY coupling DESC, module LIMIT 30),
+  e AS (SELECT 'edge' AS kind, src AS name, dst AS other, CAST(weight AS BIGINT) AS value, CAST(NULL AS BIGINT) AS inbound, CAST(NULL AS BIGINT) AS outbound, CAST(NULL AS BIGINT) AS risk FROM mw ORDER BY weight DESC, src, dst LIMIT 50)"""
+
+
+@query(_COUPLED + " SELECT * FROM a UNION ALL SELECT * FROM e UNION ALL SELECT 'summary', (SELECT name FROM a ORDER BY value DESC, name LIMIT 1), (SELECT CAST(count(*) AS VARCHAR) FROM x) || ' modules', (SELECT max(value) FROM a), (SELECT count(*) FROM mw), NULL, NULL")
 def l05_coupling_details(t: Tables) -> DataFrame:
-    """The fifty files with most distinct neighbours, in and out."""
-    e = imports(t).select("importer", "target").distinct()
-    ends = e.select(F.col("importer").alias("file")).unionAll(e.select("target"))
-    return ends.groupBy("file").agg(count().alias("coupling")).orderBy(F.desc("coupling"), "file").limit(50)
+    """The thirty modules of most coupling with their edges in and out and their risk, the fifty heaviest edges, and a summary: the top module, the number of modules, the greatest coupling and the number of edges."""
+    edges = settled(module_edges(t))
+    degree = edges.select(F.col("dst").alias("module"), F.col("src").alias("i"), F.lit(None).cast("string").alias("o")).union(edges.select("src", F.lit(None).cast("string"), "dst")).groupBy("module").agg(F.count("i").alias("inbound"), F.count("o").alias("outbound"))
+    m = modules(t).select("module", F.coalesce("coupling", F.lit(0)).cast("long").alias("value")).join(degree, "module", "left").join(module_risk(t), "module").fillna(0, ["inbound", "outbound"])
+    m = settled(m)
+    top = settled(m.orderBy(F.desc("value"), "module").limit(30).select(F.lit("module").alias("kind"), F.col("module").alias("name"), F.lit("").alias("other"), "value", "inbound", "outbound", "risk"))
+    none = F.lit(None).cast("long")
+    heavy = edges.orderBy(F.desc("weight"), "src", "dst").limit(50).select(F.lit("edge").alias("kind"), F.col("src").alias("name"), F.col("dst").alias("other"), F.col("weight").cast("long").alias("value"), none.alias("inbound"), none.alias("outbound"), none.alias("risk"))
+    first = top.agg(F.min_by("name", F.struct(-F.col("value"), F.col("name"))).alias("name"), F.max("value").alias("value"))
+    counts = m.agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(" modules")).alias("other")).crossJoin(edges.agg(F.count(F.lit(1)).alias("inbound")))  # of single rows
+    summary = first.crossJoin(counts).select(F.lit("summary").alias("kind"), "name", "other", "value", "inbound", none.alias("outbound"), none.alias("risk"))
+    return top.unionByName(heavy).unionByName(summary)
+
+
+_HEADS = with_views("commits", "commit_files") + """, h AS (SELECT 'file' AS kind, path AS name, author, hash FROM commits JOIN commit_files USING (hash) UNION ALL SELECT 'module', module, author, hash FROM commits JOIN commit_files USING (hash)),
+  au AS (SELECT kind, name, author, count(*) AS n FROM h GROUP BY 1, 2, 3), s AS (SELECT kind, name, count(*) AS authors, CAST(sum(n) AS BIGINT) AS touches, arg_min(author, (-n, author)) AS top_author, round_even(max(n) / sum(n), 4) AS top_share, CAST(least(100, greatest(0, round_even(55 / count(*) + 45 * max(n) / sum(n), 0))) AS BIGINT) AS risk FROM au GROUP BY 1, 2)"""
+
+
+@query(_HEADS + " SELECT kind, name, place, authors, touches, top_author, top_share, risk FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY risk DESC, touches DESC, name) AS place FROM s) WHERE place <= 30")
+def l06_bus_factor_details(t: Tables) -> DataFrame:
+    """The thirty files and the thirty modules whose knowledge is in fewest heads, each with its authors, touches and top author."""
+    log = commits(t).select("hash", "author").join(commit_files(t).select("hash", "path", "module"), "hash")
+    h = log.select(F.lit("file").alias("kind"), F.col("path").alias("name"), "author").union(log.select(F.lit("module"), "module", "author"))
+    own = h.groupBy("kind", "name", "author").agg(count().alias("n"))
+    share = F.max("n") / F.sum("n")
+    risk = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.bround(55 / count() + 45 * share, 0)))
+    s = own.groupBy("kind", "name").agg(count().alias("authors"), F.sum("n").alias("touches"), F.min_by("author", F.struct(-F.col("n"), F.col("author"))).alias("top_author"), F.bround(share, 4).alias("top_share"), risk.cast("long").alias("risk"))
+    place = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("risk"), F.desc("touches"), "name")).cast("long")
+    return s.withColumn("place", place).filter(F.col("place") <= 30).select("kind", "name", "place", "authors", "touches", "top_author", "top_share", "risk")
 
 
 @query("SELECT c_custkey, CASE WHEN s >= 50 THEN 'recommended' WHEN s >= 30 THEN 'optional' ELSE 'skip' END AS advice, CAST(s AS INTEGER) AS score FROM (SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 30 ELSE 0 END + CASE WHEN c_mktsegment = 'BUILDING' THEN 25 ELSE 0 END + CASE WHEN c_nationkey < 10 THEN 20 ELSE 5 END AS s FROM customer)")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratalens.functions.code import i04_symbols, i12_complexity
 from stratalens.operators.aggregates import _PAST, _RISK, _SHAPE, change_risk, d19_benchmark_conditions, d20_paired_deltas, d21_valid_pairs, d26_session_summary, d27_delivery_times, module_risk
 from stratalens.operators.evidence import b19_audit_status, sql_of
 from stratalens.operators.graph import _IMPACT, h01_impacted_files, impacted
@@ -311,13 +312,17 @@ def k13_lint(t: Tables) -> DataFrame:
     return line.groupBy("host").agg(F.count(F.lit(1)).alias("lines"), hits.alias("hits"), F.when(hits > 0, 1).otherwise(0).alias("exit_code"))
 
 
-@query(with_views("commits") + ", r AS (SELECT author AS repo, sha256(string_agg(CAST(hash AS VARCHAR), ',' ORDER BY hash)) AS now, sha256(string_agg(CAST(hash AS VARCHAR), ',' ORDER BY hash) FILTER (WHERE ts <= 883612800)) AS recorded FROM commits GROUP BY 1) SELECT repo, recorded, now, CASE WHEN recorded IS NULL THEN 'no_run' WHEN recorded = now THEN 'current' ELSE 'stale' END AS status FROM r")
+_IDENTITY = "CASE WHEN count(*) {0} > 0 THEN sha256(count(*) {0} || ':' || CAST(sum(a) {0} AS VARCHAR) || ':' || CAST(sum(b) {0} AS VARCHAR)) END"
+
+
+@query(with_views("commits") + ", d AS (SELECT author AS repo, ts, CAST('0x' || left(sha256(CAST(hash AS VARCHAR)), 15) AS BIGINT)::HUGEINT AS a, CAST('0x' || substr(sha256(CAST(hash AS VARCHAR)), 16, 15) AS BIGINT)::HUGEINT AS b FROM commits), r AS (SELECT repo, " + _IDENTITY.format("") + " AS now, " + _IDENTITY.format("FILTER (WHERE ts <= 883612800)") + " AS recorded FROM d GROUP BY 1) SELECT repo, recorded, now, CASE WHEN recorded IS NULL THEN 'no_run' WHEN recorded = now THEN 'current' ELSE 'stale' END AS status FROM r")
 def k14_snapshot_status(t: Tables) -> DataFrame:
-    """Identity of a snapshot as recorded and as it is now, and whether they agree (a12)."""
-    identity = lambda keep: F.sort_array(F.collect_list(F.when(keep, F.col("hash"))))
-    digest = lambda c: F.when(F.size(c) > 0, F.sha2(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), 256))
-    r = commits(t).groupBy(F.col("author").alias("repo")).agg(identity(F.col("ts") <= 883_612_800).alias("a"), identity(F.lit(True)).alias("b"))
-    x = r.select("repo", digest(F.col("a")).alias("recorded"), digest(F.col("b")).alias("now"))
+    """Identity of a snapshot as recorded and as it is now, and whether they agree; sums of the members' digests, so no list of them is ever one row (a12)."""
+    digest = lambda at: F.conv(F.substring(F.sha2(F.col("hash").cast("string"), 256), at, 15), 16, 10).cast("decimal(38,0)")
+    d = commits(t).select(F.col("author").alias("repo"), (F.col("ts") <= 883_612_800).alias("old"), digest(1).alias("a"), digest(16).alias("b"))
+    part = lambda keep: (F.count_if(keep), *(F.sum(F.when(keep, F.col(c))) for c in "ab"))
+    identity = lambda n, a, b: F.when(n > 0, F.sha2(F.concat_ws(":", n.cast("string"), a.cast("string"), b.cast("string")), 256))
+    x = d.groupBy("repo").agg(identity(*part(F.col("old"))).alias("recorded"), identity(*part(F.lit(True))).alias("now"))
     return x.withColumn("status", F.when(F.col("recorded").isNull(), "no_run").when(F.col("recorded") == F.col("now"), "current").otherwise("stale"))
 
 
@@ -329,12 +334,17 @@ def k15_delivery(t: Tables) -> DataFrame:
     return x.select("session", "lead_ms", "touch_ms", "avoidable_ms", share.alias("avoidable_share"), (F.col("errors") == 0).alias("first_pass"), (F.col("unverified_edits") == 0).alias("verified"))
 
 
-@query(with_views("files", "commit_files") + f", m AS (SELECT module AS name, risk AS value FROM {sql_of('d12_module_risk')} ORDER BY 2 DESC, 1 LIMIT 20), f AS (SELECT path AS name, size AS value FROM files ORDER BY 2 DESC, 1 LIMIT 30), c AS (SELECT path AS name, count(*) AS value FROM commit_files GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50) SELECT 'module' AS kind, name, CAST(value AS BIGINT) AS value FROM m UNION ALL SELECT 'file', name, value FROM f UNION ALL SELECT 'churn', name, value FROM c")
+_FUNCTIONS = sql_of("i04_symbols")
+
+
+@query(with_views("files", "commit_files") + f", m AS (SELECT module AS name, risk AS value FROM {sql_of('d12_module_risk')} ORDER BY 2 DESC, 1 LIMIT 20), f AS (SELECT path AS name, size AS value FROM files ORDER BY 2 DESC, 1 LIMIT 30), c AS (SELECT path AS name, count(*) AS value FROM commit_files GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50),"
+  f" fn AS (SELECT id AS name, complexity AS value FROM {_FUNCTIONS} s JOIN {sql_of('i12_complexity')} x USING (path) WHERE kind = 'function' ORDER BY 2 DESC, 1 LIMIT 50) SELECT 'module' AS kind, name, CAST(value AS BIGINT) AS value FROM m UNION ALL SELECT 'file', name, value FROM f UNION ALL SELECT 'churn', name, value FROM c UNION ALL SELECT 'function', name, value FROM fn")
 def l04_evolution_hotspots(t: Tables) -> DataFrame:
-    """The 20 modules of most risk, the 30 largest files and the 50 most changed ones."""
+    """The 20 modules of most risk, the 30 largest files, the 50 most changed ones, and 50 functions of the corpus by their file's complexity."""
     top = lambda df, kind, n: df.orderBy(F.desc("value"), "name").limit(n).select(F.lit(kind).alias("kind"), "name", "value")
     churn = commit_files(t).groupBy(F.col("path").alias("name")).agg(F.count(F.lit(1)).alias("value"))
-    some = (top(module_risk(t).select(F.col("module").alias("name"), F.col("risk").alias("value")), "module", 20), top(files(t).select(F.col("path").alias("name"), F.col("size").alias("value")), "file", 30), top(churn, "churn", 50))
+    functions = i04_symbols(t).filter("kind = 'function'").join(i12_complexity(t), "path").select(F.col("id").alias("name"), F.col("complexity").alias("value"))
+    some = (top(module_risk(t).select(F.col("module").alias("name"), F.col("risk").alias("value")), "module", 20), top(files(t).select(F.col("path").alias("name"), F.col("size").alias("value")), "file", 30), top(churn, "churn", 50), top(functions, "function", 50))
     return reduce(DataFrame.unionByName, some)
 
 
