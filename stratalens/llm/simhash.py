@@ -248,31 +248,40 @@ def ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def with_mains(members: DataFrame) -> DataFrame:
+    """members (node, band, key, root) with main, the group that most members of the bucket are in."""
+    sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mains = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    return members.join(mains, "key").select("node", "band", "key", "root", "main")
+
+
 def split_wide(members: DataFrame, most: int) -> DataFrame:
-    """members (node, key, root, main), with the buckets that have over `most` members outside the main group replaced by what pairs of them share."""
+    """members (node, band, key, root, main), with the buckets that have over `most` members outside the main group replaced by what pairs of them share; these have band -1."""
     wide = materialize(members.filter(F.col("root") != F.col("main")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("key"), "wide-buckets")
     if wide.isEmpty():
         return members
     held = members.join(wide, "key").groupBy("node", "root").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # PARTS at most
     both = held.select("node", "root", F.explode("keys").alias("one"), "keys").select("node", "root", "one", F.explode("keys").alias("two")).filter("one < two")
-    narrow = materialize(both.select("node", F.xxhash64("one", "two").alias("key"), "root"), "narrow-buckets")
-    mains = narrow.groupBy("key").agg(F.min_by("root", "node").alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return members.join(wide, "key", "left_anti").select("node", "key", "root", "main").union(narrow.join(mains, "key").select("node", "key", "root", "main"))
+    narrow = materialize(both.select("node", F.lit(-1).alias("band"), F.xxhash64("one", "two").alias("key"), "root"), "narrow-buckets")
+    return members.join(wide, "key", "left_anti").select("node", "band", "key", "root", "main").union(with_mains(narrow))
 
 
 def pairs_across(members: DataFrame, nodes: DataFrame, least: float, similarity: float) -> DataFrame:
     """a, b: pairs of a bucket in different groups that may have the similarity (see likely).
 
-    members: node, key, root, main (the group of the bucket's first); nodes: node, fp, n. Those outside the main group
-    meet all members, in blocks of about BLOCK.
+    members: node, band, key, root, main (a group of the bucket); nodes: node, fp, n. Those outside the main group
+    meet all members, in blocks of about BLOCK; a pair meets in the first bucket that it shares.
     """
     members = split_wide(members, MOST_OUTSIDE)
     few = members.filter(F.col("root") != F.col("main")).groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    contested = materialize(members.join(few, "key").join(nodes.select("node", "fp", "n"), "node"), "contested")
+    held = materialize(members.join(few, "key"), "contested-members")
+    keys = held.groupBy("node").agg(F.array(*(F.max(F.when(F.col("band") == i, F.col("key"))) for i in range(PARTS))).alias("keys"))  # null where the node's bucket isn't contested
+    contested = materialize(held.join(keys.join(nodes.select("node", "fp", "n"), "node"), "node"), "contested")
     a = contested.filter(F.col("root") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("x")
     b = contested.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.root") != F.col("y.root")) & once
+    first = reduce(Column.__and__, ((F.col("x.band") <= i) | F.coalesce(F.col("x.keys")[i] != F.col("y.keys")[i], F.lit(True)) for i in range(PARTS)))
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.root") != F.col("y.root")) & once & first
     return a.join(b, met & likely("x.", "y.", least, similarity)).select(*ordered("x.node", "y.node")).distinct()
 
 
@@ -346,7 +355,7 @@ def near_duplicate_clusters(docs: DataFrame, similarity: float = SIMILARITY, shi
         found = similar_pairs(materialize(likely_pairs(new, nodes, similarity - DOUBT, similarity), "likely-pairs"), nodes, prints, similarity)
         links, pairs = (found, new) if links is None else (links.union(found), pairs.union(new))
     for least in (similarity, similarity - DOUBT):  # the likely pairs before the doubtful, for the same reason
-        members = materialize(members_now().select("node", "key", "root", "main"), "members")
+        members = materialize(with_mains(members_now().select("node", "band", "key", "root")), "members")
         across = materialize(pairs_across(members, nodes, least, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs-across")
         links, pairs = links.union(similar_pairs(across, nodes, prints, similarity)), pairs.union(across)
     roots = components(links).withColumnRenamed("root", "group")
