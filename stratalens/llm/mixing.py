@@ -2,7 +2,7 @@
 
 Each source has a target number of words: shares of a budget by weight, none above `most` times the source's own size; what
 is above is shared out anew among the others, found in one sorted pass over the sources. Documents are put in an order by the hash of their rows, and
-runs of hash values are blocks of about BLOCK_WORDS words. A source is passed over as often as its target asks for; in each pass
+runs of hash values are blocks of about BLOCK_WORDS words, or of BLOCK_DOCS documents where these are short. A source is passed over as often as its target asks for; in each pass
 its blocks have an order of their own, and the blocks before the point where the target is met are its quota. The block at that point
 is taken in part, its last document by its first words, so a source gives its target to the word.
 
@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from .common import checked_broadcast, materialize
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), (3, 2), 2  # the budget is 3/2 of all sizes
-BLOCK_WORDS, SHARD_BLOCKS, MOST_BLOCKS, MOST_SOURCES = 1 << 16, 64, 500_000_000, 100_000
+BLOCK_WORDS, BLOCK_DOCS, SHARD_BLOCKS, MOST_BLOCKS, MOST_SOURCES = 1 << 16, 512, 64, 500_000_000, 100_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 PLACES = "source_no int, place long, shard long"
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST) -> DataFrame:
-    """source, source_no, source_size, target; sizes: one row a source.
+    """sizes (one row a source: source, source_size and what else) with source_no and target.
 
     In ascending order of size over weight, the sources that are at their limit come first; what is left of the budget goes
     to the others by weight. All sums are of whole numbers; the target is one division.
@@ -53,7 +53,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
     x = x.withColumn("full", full)
     open_left, open_rest = (F.max(F.when(~F.col("full"), F.col(c))).over(everything) for c in ("left", "rest"))  # both fall along the order: those of the first that isn't full
     target = F.when(F.col("full"), F.col("source_size").cast("double") * most).otherwise((open_left * F.col("w")).cast("double") / (open_rest * down).cast("double"))
-    return x.select("source", "source_no", "source_size", target.alias("target"))
+    return x.select(*sizes.columns, "source_no", target.alias("target"))
 
 
 def draw(counts: np.ndarray, n: int, seed: list[int]) -> np.ndarray:
@@ -99,12 +99,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), source.alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), source, text).alias("h"))
     rows = materialize(rows, "sized")
-    goal = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
-    n_sources, words = goal.agg(F.count(F.lit(1)), F.sum("source_size")).first()
+    goal = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")), weights, share, most), "targets")
+    n_sources, words, n_docs = goal.agg(F.count(F.lit(1)), F.sum("source_size"), F.sum("docs")).first()
     if n_sources > MOST_SOURCES:
         raise ValueError(f"{n_sources} sources: a node of the splitting tree holds {MOST_SOURCES} at most")
-    per_block = max(block_words, (words or 0) * most // MOST_BLOCKS)
-    blocks_of = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(per_block))).cast("long")
+    per_block, docs_per_block = max(block_words, (words or 0) * most // MOST_BLOCKS), max(BLOCK_DOCS, (n_docs or 0) * most // MOST_BLOCKS)
+    blocks_of = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(per_block)), F.ceil(F.col("docs") / F.lit(docs_per_block))).cast("long")
     goal = checked_broadcast(goal.withColumn("blocks", blocks_of).withColumn("quota", F.round("target").cast("long")), MOST_SOURCES)
     placed = rows.join(goal.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).withColumn("block", share_of(F.col("h"), F.col("blocks")))
     # rows that are equal in all that is read are one row with a number of copies
