@@ -3,7 +3,7 @@
 A byte-level tokenizer finds terms: the texts of a slice lie one behind another in a UTF-8 buffer, a look-up table folds
 A-Z and blanks out what is no letter, and the edges of what is left are the boundaries. Slices are grouped by XXH64; every slice
 is compared byte by byte with the first of its hash, and those that differ get a group of their own. Counts and numbers
-of documents are summed per (lang, source, term) within the slice, then by Spark. Each language keeps the terms of at least
+of documents are summed per (lang, source, term) within the slice, within a task as far as HELD_ROWS allow, then by Spark. Each language keeps the terms of at least
 `least_docs` of its documents.
 
 Kept terms are dealt into blocks by their hash, all sources' counts of a term into one. A block is a CSR matrix of sources by
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import batches, checked_broadcast, materialize, small_batches
 
 LEAST_DOCS, SMOOTH, SCALE, BEST_TERMS = 30, 5, 1_000_000_000, 50
-SLICE_BYTES, BLOCK_CELLS, MOST_CELLS = 4 << 20, 4096, 1 << 20
+SLICE_BYTES, HELD_ROWS, BLOCK_CELLS, MOST_CELLS = 4 << 20, 400_000, 4096, 1 << 20
 TERMS = "lang string, source string, term string, n long, docs long"
 FOUND = "lang string, source string, part string, item string, value long"
 #: What a byte is within a term: A-Z become a-z, other letters and all bytes from 0x80 stay, 0 ends a term.
@@ -106,6 +106,12 @@ def count_terms(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch(columns, [x.split()[0] for x in TERMS.split(", ")])
 
 
+def summed(parts: list[pa.RecordBatch], names: list[str]) -> pa.RecordBatch:
+    """Rows of TERMS of several slices, each group and term once."""
+    table = pa.Table.from_batches(parts).group_by(names[:3]).aggregate([(c, "sum") for c in names[3:]])
+    return pa.record_batch([table[c].combine_chunks() for c in (*names[:3], "n_sum", "docs_sum")], names)
+
+
 def shares(count: np.ndarray, of: np.ndarray | int) -> np.ndarray:
     """1 + floor(SCALE * count / of) for count <= of < 2^53, digit by digit in base 1000."""
     rest, out = count.astype(np.int64), np.zeros(len(count), np.int64)
@@ -166,8 +172,18 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, best: int =
     small_batches(docs.sparkSession)
 
     def scan(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held, rows = [x.split()[0] for x in TERMS.split(", ")], [], 0
         for batch in batches(frames, SLICE_BYTES, "divergence"):
-            yield count_terms(batch)
+            held.append(count_terms(batch))
+            rows += held[-1].num_rows
+            if rows > HELD_ROWS:
+                held = [summed(held, names)]
+                rows = held[0].num_rows
+                if rows > HELD_ROWS // 2:  # too many different ones to wait for
+                    yield held[0]
+                    held, rows = [], 0
+        if held:
+            yield summed(held, names)
 
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(to) for c, to in ((lang_col, "lang"), (source_col, "source")))
     found = docs.select(lang, source, F.col(text_col).alias("text")).mapInArrow(scan, TERMS)
