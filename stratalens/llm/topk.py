@@ -4,9 +4,10 @@ Vectors become integers floor(256 x). Giving every stored vector one more compon
 norm M turns the inner product into a distance: |q-x|^2 = |q|^2 + M^2 - 2 q.x. Distances from each stored
 vector to many pivots are computed once; |d(q,p) - d(x,p)|, at its largest over the pivots, bounds d(q,x) from
 below. Vectors and queries are sorted by their nearest pivot and the distance from it and cut into blocks, which keep
-the least and the greatest distance to each pivot. A query's k-th best score among the pivots is its first floor. Only
+the least and the greatest distance to each pivot. A query's k-th best score among the pivots and the vectors of the block that it lies in itself is its first floor. Only
 block pairs whose intervals let some query of the block reach its floor are joined; within one, candidates are
-evaluated in order of their bounds until the next bound exceeds the k-th distance so far.
+evaluated in order of their bounds until the next bound exceeds the k-th distance so far. Blocks of queries travel to the stored blocks, as 32-bit
+integers (as doubles where a component needs more) without their distances to pivots, which are worked out anew there; a stored block is shuffled once, however many query blocks it meets.
 
 What decides which blocks meet is a join of the intervals alone, spread over groups of stored blocks. Nothing that
 grows is broadcast and no pair of vectors becomes a row; only the k best of each block pair do.
@@ -31,8 +32,8 @@ from .common import materialize, small_batches
 
 PIVOTS, VECTOR_BLOCK, QUERY_BLOCK, LEAST_BLOCK, GROUP = 32, 4096, 1024, 256, 1024
 VECTORS = "row_id long, vec_id long, dim int, v array<double>"
-PLACED = "row_id long, vec_id long, dim int, v array<double>, cell int, near double"
-BLOCKS = "dim int, block long, rows binary, ids binary, matrix binary, table binary, floors binary, radius double, lo array<double>, hi array<double>"
+PLACED = "row_id long, vec_id long, dim int, v array<double>, floor double, cell int, near double"
+BLOCKS = "dim int, block long, rows binary, ids binary, matrix binary, table binary, floors binary, radius double, lo array<double>, hi array<double>, own_rows array<long>, own_floors array<double>"
 BEST = "query_row long, query_id long, vec_id long, score long"
 
 
@@ -108,14 +109,20 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, n_pivots: int = PIVOT
                 dim = int(part["dim"].iloc[0])
                 m, own = np.array(part["v"].tolist(), dtype=np.float64), part["row_id"].to_numpy()
                 d = to_pivots(m, dim, stored)
-                floors = np.zeros(0)
+                floors, asking = np.zeros(0), np.zeros(0, np.int64)
+                own_floors = np.zeros(0)
+                if stored:  # what queries find in their own block
+                    asking = np.flatnonzero(part["vec_id"].to_numpy() % every == 0)
+                    scores = m[asking] @ m.T
+                    scores[np.arange(len(asking)), asking] = -np.inf
+                    own_floors = np.partition(scores, -k, axis=1)[:, -k] if len(m) > k else np.full(len(asking), -np.inf)
                 if not stored:
                     p_rows, p = pivots[dim]
                     seeds = m @ p.T
                     seeds[own[:, None] == p_rows[None, :]] = -np.inf
-                    floors = np.sort(seeds, axis=1)[:, -k] if len(p) >= k else np.full(len(m), -np.inf)
+                    floors = np.maximum(np.sort(seeds, axis=1)[:, -k] if len(p) >= k else -np.inf, part["floor"].to_numpy(dtype=np.float64))
                 radius = np.inf if stored or not np.isfinite(floors).all() else float(np.sqrt(np.maximum((m * m).sum(1) + norm * norm - 2 * floors, 0)).max()) + 1e-6 * (1 + 2 * norm)
-                return pd.DataFrame({"dim": [dim], "block": [int(own[0])], "rows": [own.tobytes()], "ids": [part["vec_id"].to_numpy().tobytes()], "matrix": [m.tobytes()], "table": [d.tobytes()], "floors": [floors.tobytes()], "radius": [radius], "lo": [d.min(axis=0)], "hi": [d.max(axis=0)]})
+                return pd.DataFrame({"dim": [dim], "block": [int(own[0])], "rows": [own.tobytes()], "ids": [part["vec_id"].to_numpy().tobytes()], "matrix": [m.tobytes() if stored else packed(m)], "table": [d.tobytes() if stored else b""], "floors": [floors.tobytes()], "radius": [radius], "lo": [d.min(axis=0)], "hi": [d.max(axis=0)], "own_rows": [own[asking]], "own_floors": [own_floors]})
 
             for pdf in frames:
                 for (dim, cell), part in pdf.groupby(["dim", "cell"], sort=False):
@@ -142,8 +149,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, n_pivots: int = PIVOT
         for pdf in frames:
             for r in pdf.itertuples(index=False):
                 n_p = len(pivots[r.dim][0])
-                x, q = matrix(r.matrix, r.dim), matrix(r.q_matrix, r.dim)
-                dx, dq, floors = matrix(r.table, n_p), matrix(r.q_table, n_p), np.frombuffer(r.q_floors, dtype=np.float64)
+                x, q = matrix(r.matrix, r.dim), unpacked(r.q_matrix, r.dim, len(r.q_rows) // 8)
+                dx, dq, floors = matrix(r.table, n_p), to_pivots(q, r.dim, False), np.frombuffer(r.q_floors, dtype=np.float64)
                 rows, ids, q_rows, q_ids = (np.frombuffer(b, dtype=np.int64) for b in (r.rows, r.ids, r.q_rows, r.q_ids))
                 out = []
                 for at in range(0, len(q), 32):
@@ -156,15 +163,28 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, n_pivots: int = PIVOT
                         out += [(int(q_rows[n]), int(q_ids[n]), v, s) for v, s in best_in_block(q[n], q_rows[n], x, rows, ids, bounds[i], floors[n], norm, k)]
                 yield pd.DataFrame(out, columns=["query_row", "query_id", "vec_id", "score"])
 
-    stored = blocked(table, total, vector_block, min(LEAST_BLOCK, vector_block), True)
-    asked = blocked(table.filter(asks), n_queries, query_block, query_block, False).select("dim", F.col("block").alias("q_block"), F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("table").alias("q_table"), F.col("floors").alias("q_floors"), "radius", F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"))
+    no_floor = F.lit(float("-inf")).alias("floor")
+    stored = blocked(table.select("*", no_floor), total, vector_block, min(LEAST_BLOCK, vector_block), True)
+    first = stored.select(F.explode(F.arrays_zip("own_rows", "own_floors")).alias("x")).select(F.col("x.own_rows").alias("row_id"), F.col("x.own_floors").alias("first"))
+    queries = table.filter(asks).join(first, "row_id", "left").select(*table.columns, F.coalesce("first", no_floor).alias("floor"))
+    asked = blocked(queries, n_queries, query_block, query_block, False).select("dim", F.col("block").alias("q_block"), F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("floors").alias("q_floors"), "radius", F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"))
     met = materialize(block_pairs(stored.select("dim", "block", "lo", "hi"), asked.select("dim", "q_block", "radius", "q_lo", "q_hi"), n_pivots, -(-total // (vector_block * GROUP))), "block-pairs")
-    shipped = met.join(stored.select("dim", "block", "rows", "ids", "matrix", "table"), ["dim", "block"]).join(asked.drop("radius", "q_lo", "q_hi"), ["dim", "q_block"])
+    shipped = met.join(asked.drop("radius", "q_lo", "q_hi"), ["dim", "q_block"]).join(stored.select("dim", "block", "rows", "ids", "matrix", "table"), ["dim", "block"])
     found = shipped.mapInPandas(search, BEST)
     best = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def packed(m: np.ndarray) -> bytes:
+    """Whole numbers as 32-bit integers, or as doubles where one needs more."""
+    small = bool((np.abs(m) < 2**31).all())
+    return m.astype("<i4" if small else "<f8").tobytes()
+
+
+def unpacked(data: bytes, width: int, rows: int) -> np.ndarray:
+    return np.frombuffer(data, "<i4" if len(data) == 4 * width * rows else "<f8").reshape(rows, width).astype(np.float64)
+
+
 def block_pairs(stored: DataFrame, asked: DataFrame, n_pivots: int, n_groups: int) -> DataFrame:
     """dim, block, q_block: the pairs in which some stored vector can lie within the radius of some query.
 
