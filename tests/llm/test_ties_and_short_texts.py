@@ -122,3 +122,31 @@ def test_checked_broadcast(spark, most):
     table = spark.range(4)
     plan = table.join(common.checked_broadcast(table, most), "id")._jdf.queryExecution().optimizedPlan().toString()
     assert ("strategy=broadcast" in plan) == (most >= 4)
+
+
+def test_query_blocks_travel_small(spark, monkeypatch):
+    """Of evenly spread vectors, whose blocks rule little out: a query takes four bytes a component and some for its ids and floor; the result is that of brute force."""
+    from stratalens.llm import topk
+
+    rng, sizes = np.random.default_rng(14), []
+    x = rng.normal(0, 0.3, (600, 16))
+    table = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    plain = topk.materialize
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name == "blocks":
+            sizes.append(out.agg(F.count("block"), F.sum(F.length("matrix") + F.length("table") + F.length("rows") + F.length("ids") + F.length("floors")), F.sum(F.length("rows") / 8)).first())
+        return out
+
+    monkeypatch.setattr(topk, "materialize", counted)
+    got = topk.top_k(table, every=10, vector_block=100, query_block=20)
+    v = np.floor(256 * x).astype(np.int64)
+    want = [(i, r + 1, j, s) for i in range(0, len(v), 10) for r, (s, j) in enumerate(sorted(((int(v[i] @ v[j]), j) for j in range(len(v)) if j != i), key=lambda p: (-p[0], p[1]))[:5])]
+    assert sorted(map(tuple, got.collect())) == want
+    (n_stored, stored_bytes, vectors), (n_asked, asked_bytes, queries) = sizes
+    assert (vectors, queries) == (600, 60) and asked_bytes == queries * (16 * 4 + 24)
+    # every query block to every stored block, and each stored block once, is far below a stored block for every pair
+    assert n_stored * asked_bytes + stored_bytes < 0.3 * n_asked * stored_bytes
+    big = np.array([[2.0**40, -1.0], [3.0, 4.0]])
+    assert (topk.unpacked(topk.packed(big), 2, 2) == big).all() and len(topk.packed(big[1:])) == 8
