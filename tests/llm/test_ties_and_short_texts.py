@@ -140,7 +140,7 @@ def test_query_blocks_travel_small(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(topk, "materialize", counted)
-    got = topk.top_k(table, every=10, vector_block=100, query_block=20)
+    got = topk.top_k(table, every=10, vector_block=100, query_block=5)
     v = np.floor(256 * x).astype(np.int64)
     want = [(i, r + 1, j, s) for i in range(0, len(v), 10) for r, (s, j) in enumerate(sorted(((int(v[i] @ v[j]), j) for j in range(len(v)) if j != i), key=lambda p: (-p[0], p[1]))[:5])]
     assert sorted(map(tuple, got.collect())) == want
