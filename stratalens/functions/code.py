@@ -326,11 +326,26 @@ def i25_record_hash(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.sha2(F.concat(field(F.col("p_name")), field(F.col("p_brand"))), 256).alias("digest"))
 
 
-@query("""SELECT conv_id, turn, CASE role WHEN 'user' THEN 'ask' WHEN 'assistant' THEN 'answer' WHEN 'system' THEN 'setup' ELSE 'other' END AS action, CASE WHEN length(text) > 500 THEN 'long' WHEN length(text) > 100 THEN 'medium' ELSE 'short' END AS touch FROM conversations""")
+# The closed lists of a trace's fields, and tool families in order with the parts of a name that tell them (of rg, the whole).
+_ACTIONS, _TOUCHES, _GRADES = ("search", "read", "edit", "exec", "verify"), ("read", "edit"), ("exact", "estimated")
+_FAMILIES = (("edit", ("apply_patch", "write", "edit")), ("shell", ("exec", "command", "shell")), ("read", ("read", "view", "open")), ("search", ("search", "find")), ("orchestration", ("agent", "wait", "message")))
+#: Raw values that the events of the tables stand for, by turns.
+_RAW = {
+    "action": ("search", "read", "edit", "exec", "verify", "READ", None, "click"), "touch": ("read", "edit", "hit", None, "Edit"), "grade": ("exact", "estimated", "unavailable", None, "about"),
+    "tool": ("apply_patch", "WriteFile", "exec_command", "shell", "view_image", "OpenFile", "rg", "Find", "agent", "wait", "send_message", "browser", None, "read_and_write", "rg2"),
+}
+_RAW_SQL = "WITH r AS (SELECT event_id, " + ", ".join(f"[{', '.join('NULL' if v is None else repr(v) for v in some)}][event_id % {len(some)} + 1] AS {name}" for name, some in _RAW.items()) + " FROM events)"
+
+
+@query(_RAW_SQL + f" SELECT event_id, CASE WHEN action IN {_ACTIONS} THEN action ELSE 'other' END AS action, CASE WHEN touch IN {_TOUCHES} THEN touch ELSE 'hit' END AS touch, CASE WHEN grade IN {_GRADES} THEN grade ELSE 'unavailable' END AS grade, CASE "
+  + " ".join(f"WHEN regexp_matches(lower(tool), '{'|'.join(parts)}'){' OR lower(tool) = ' + repr('rg') if family == 'search' else ''} THEN '{family}'" for family, parts in _FAMILIES) + " ELSE 'other' END AS family FROM r")
 def i26_normalisers(t: Tables) -> DataFrame:
-    """Closed enumerations with a default."""
-    role, n = F.col("role"), F.length("text")
-    return t.conversations.select("conv_id", "turn", F.when(role == "user", "ask").when(role == "assistant", "answer").when(role == "system", "setup").otherwise("other").alias("action"), F.when(n > 500, "long").when(n > 100, "medium").otherwise("short").alias("touch"))
+    """Actions, touches, grades and tool families from free values, each a closed list with a default."""
+    raw = lambda name: F.element_at(F.array(*map(F.lit, _RAW[name])), (F.col("event_id") % len(_RAW[name]) + 1).cast("int")).alias(name)
+    r, tool = t.events.select("event_id", *map(raw, _RAW)), F.lower("tool")
+    known = lambda c, some, default: F.when(F.col(c).isin(*some), F.col(c)).otherwise(default).alias(c)
+    family = F.coalesce(*(F.when(tool.rlike("|".join(parts)) | ((tool == "rg") & F.lit(name == "search")), name) for name, parts in _FAMILIES), F.lit("other"))
+    return r.select("event_id", known("action", _ACTIONS, "other"), known("touch", _TOUCHES, "hit"), known("grade", _GRADES, "unavailable"), family.alias("family"))
 
 
 @query("""SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 3))), ' ') AS terms FROM benchmark""")
@@ -347,11 +362,23 @@ def i28_keyword_match(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.forall(wanted, lambda w: F.contains(F.lower("text"), w)).alias("matched"))
 
 
-@query("SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 5 WHEN 'STANDARD' THEN 15 WHEN 'PROMO' THEN 30 WHEN 'SMALL' THEN 60 ELSE CAST(p_size AS INTEGER) END AS coupling_limit FROM part")
+# The gate's ladder of coupling grades and the what-if tool's; the latter's default.
+_GATE, _TOOL, _TOOL_DEFAULT = {"A": 5, "B": 15, "C": 30, "D": 60}, {"A": 2, "B": 5, "C": 8, "D": 12}, 5
+_GRADE_TEXTS = ("A", " B ", "c", "D", "76.5", "-1", "E", None, " 76 ", "")
+_GRADED = f"WITH g AS (SELECT p_partkey, [{', '.join('NULL' if v is None else repr(v) for v in _GRADE_TEXTS)}][p_partkey % {len(_GRADE_TEXTS)} + 1] AS grade FROM part)"
+
+
+@query(_GRADED + " SELECT p_partkey, grade, CASE trim(grade) " + " ".join(f"WHEN '{g}' THEN {n}.0::DOUBLE" for g, n in _GATE.items()) + " ELSE CASE WHEN TRY_CAST(trim(grade) AS DOUBLE) >= 0 THEN TRY_CAST(trim(grade) AS DOUBLE) END END AS gate_limit, CASE upper(trim(grade)) " + " ".join(f"WHEN '{g}' THEN {n}" for g, n in _TOOL.items())
+  + f" ELSE CASE WHEN regexp_matches(trim(grade), '^[+-]?[0-9]+$') THEN TRY_CAST(trim(grade) AS INTEGER) ELSE {_TOOL_DEFAULT} END END AS tool_limit FROM g")
 def i29_grade_limit(t: Tables) -> DataFrame:
-    """Grade to limit, else the number itself."""
-    k = F.col("p_type")
-    return t.part.select("p_partkey", F.when(k == "ECONOMY", 5).when(k == "STANDARD", 15).when(k == "PROMO", 30).when(k == "SMALL", 60).otherwise(F.col("p_size")).alias("coupling_limit"))
+    """Limit of a coupling grade by two ladders: the gate's takes a number of 0 or more too, and is unknown otherwise; the tool's takes lower case and whole numbers, and has a default."""
+    texts = F.element_at(F.array(*map(F.lit, _GRADE_TEXTS)), (F.col("p_partkey") % len(_GRADE_TEXTS) + 1).cast("int"))
+    g, mark = t.part.select("p_partkey", texts.alias("grade")), F.trim("grade")
+    ladder = lambda c, steps: F.coalesce(*(F.when(c == k, n) for k, n in steps.items()))
+    number, whole = F.expr("try_cast(trim(grade) as double)"), F.expr("try_cast(trim(grade) as int)")
+    gate = F.coalesce(ladder(mark, _GATE).cast("double"), F.when(number >= 0, number))
+    tool = F.coalesce(ladder(F.upper(mark), _TOOL), F.when(mark.rlike("^[+-]?[0-9]+$"), whole), F.lit(_TOOL_DEFAULT))
+    return g.select("p_partkey", "grade", gate.alias("gate_limit"), tool.alias("tool_limit"))
 
 
 @query("""SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1) AS owner, regexp_extract(url, '^https?://[^/]+/[^/?#]+/([^/?#]+)', 1) AS repo FROM pages""")

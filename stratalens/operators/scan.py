@@ -180,11 +180,13 @@ def d05_gate_rollup(t: Tables) -> DataFrame:
 @query(with_views("files") + ", " + _GATE.removeprefix("WITH ") + """, r AS (SELECT *, row_number() OVER (PARTITION BY gate ORDER BY path) AS k FROM g WHERE gate NOT IN ('default_include', 'unsupported_ext'))
   SELECT gate, count(*) AS n, string_agg(path, ',' ORDER BY path) FILTER (WHERE k <= 8) AS samples FROM r GROUP BY gate""")
 def d06_excluded_samples(t: Tables) -> DataFrame:
-    """Excluded files per reason with the first eight paths."""
+    """Excluded files per reason with the first eight paths; each task keeps eight of a reason, whatever their number."""
     from pyspark.sql import Window as W
 
-    first = gated(t).filter(~F.col("gate").isin("default_include", "unsupported_ext")).withColumn("k", F.row_number().over(W.partitionBy("gate").orderBy("path")))
-    return first.groupBy("gate").agg(F.count(F.lit(1)).alias("n"), F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("k") <= 8, F.col("path"))))).alias("samples"))
+    out = gated(t).filter(~F.col("gate").isin("default_include", "unsupported_ext"))
+    first = out.withColumn("k", F.row_number().over(W.partitionBy("gate").orderBy("path"))).filter(F.col("k") <= 8)
+    samples = first.groupBy("gate").agg(F.concat_ws(",", F.array_sort(F.collect_list("path"))).alias("samples"))
+    return out.groupBy("gate").agg(F.count(F.lit(1)).alias("n")).join(samples, "gate")
 
 
 @query(with_views("files") + """ SELECT module, count(*) FILTER (WHERE path LIKE '%/tests/%') AS t1, count(*) FILTER (WHERE path LIKE '%/tests/%' OR path LIKE '%\\_test.%' ESCAPE '\\') AS t2,
