@@ -186,6 +186,29 @@ def complexity_of(texts: DataFrame) -> DataFrame:
     return texts.select("path", F.aggregate(F.transform(lines, terms), F.lit(1), lambda a, b: a + b).cast("long").alias("complexity"))
 
 
+# Signatures per language, as (languages, pattern with name and parameters in its groups, pattern of asynchronous ones, pattern of public ones), the first that fits.
+_SIGNED = (
+    (("python",), r"^(?:async )?def ([A-Za-z0-9_]+) *[(]([^)]*)", "^async ", "^$"),
+    (("rust",), r"^(?:pub (?:async )?|pub[(][^)]*[)] (?:async )?|async )?fn ([A-Za-z0-9_]+) *[(]([^)]*)", r"^(?:pub(?:[(][^)]*[)])? )?async ", "^pub"),
+    (("javascript", "typescript"), r"function ([A-Za-z0-9_$]+) *[(]([^)]*)", "async function |= async ", "^export "),
+    (("javascript", "typescript"), r"([A-Za-z0-9_$-]+) *= *(?:async *)?[(]?([^()=]*)[)]? *=>", "async function |= async ", "^export "),
+    (("powershell",), r"^(?i:function) +([A-Za-z0-9_:-]+) *[(]?([^){]*)", "^$", "^$"),
+)
+
+
+@query(_LINES + f", s AS (SELECT path, no, ltrim(line) AS s, {_LANG_SQL} AS lang FROM lines), m AS (SELECT path, no, CASE " + " ".join(
+    f"WHEN lang IN ({', '.join(repr(x) for x in langs)}) AND regexp_matches(s, '{pattern}') THEN {{'name': regexp_extract(s, '{pattern}', 1), 'p': regexp_extract(s, '{pattern}', 2), 'is_async': regexp_matches(s, '{late}'), 'is_public': regexp_matches(s, '{seen}')}}" for langs, pattern, late, seen in _SIGNED
+) + " END AS x FROM s) SELECT path, no, x.name AS name, CAST(len(list_filter(string_split(x.p, ','), lambda y: trim(y) NOT IN ('', 'self', '&self', '&mut self'))) AS BIGINT) AS params, x.is_async AS is_async, x.is_public AS is_public FROM m WHERE x IS NOT NULL")
+def i09_signatures(t: Tables) -> DataFrame:
+    """Signatures in four languages: name, number of parameters without the receiver, whether asynchronous and whether public."""
+    s, lang = F.col("s"), F.col("lang")
+    made = lambda pattern, late, seen: F.struct(F.regexp_extract(s, pattern, 1).alias("name"), F.regexp_extract(s, pattern, 2).alias("p"), s.rlike(late).alias("is_async"), s.rlike(seen).alias("is_public"))
+    found = F.coalesce(*(F.when(lang.isin(*langs) & s.rlike(pattern), made(pattern, late, seen)) for langs, pattern, late, seen in _SIGNED))
+    x = numbered_lines(t).select("path", "no", F.ltrim("line").alias("s"), language(F.col("path")).alias("lang")).select("path", "no", found.alias("x")).filter("x is not null")
+    params = F.size(F.filter(F.split("x.p", ","), lambda y: ~F.trim(y).isin("", "self", "&self", "&mut self")))
+    return x.select("path", "no", "x.name", params.cast("long").alias("params"), "x.is_async", "x.is_public")
+
+
 @query(_CORPUS + r""" SELECT path, CAST(len(regexp_extract_all(text, '[A-Za-z0-9_] *\(')) AS BIGINT) AS calls FROM corpus""")
 def i14_call_sites(t: Tables) -> DataFrame:
     """Opening brackets behind a name."""
@@ -203,7 +226,7 @@ def i16_line_stats(t: Tables) -> DataFrame:
 @query(_LINES + """, sig AS (SELECT path, no, regexp_extract(line, '(?:def|fn|function|func) [A-Za-z0-9_]+[(]([^)]*)[)]', 1) AS p, regexp_matches(line, '(def|fn|function|func) [A-Za-z0-9_]+[(]') AS is_sig FROM lines)
   SELECT path, no, CAST(len(list_filter(string_split(p, ','), lambda x: trim(x) NOT IN ('', 'self', '&self', '&mut self'))) AS BIGINT) AS params FROM sig WHERE is_sig""")
 def i17_param_count(t: Tables) -> DataFrame:
-    """Parameters of declared functions without the receiver (also i09)."""
+    """Parameters of declared functions without the receiver."""
     sig = numbered_lines(t).filter(F.col("line").rlike(r"(def|fn|function|func) [A-Za-z0-9_]+[(]"))
     inside = F.regexp_extract("line", r"(?:def|fn|function|func) [A-Za-z0-9_]+[(]([^)]*)[)]", 1)
     return sig.select("path", "no", F.size(F.filter(F.split(inside, ","), lambda x: ~F.trim(x).isin("", "self", "&self", "&mut self"))).cast("long").alias("params"))

@@ -322,7 +322,7 @@ def d24_retrieval_arms(t: Tables) -> DataFrame:
 @query("""WITH q AS (SELECT CASE WHEN c_acctbal >= 5000 THEN CASE WHEN c_nationkey >= 12 THEN 'Known Core' ELSE 'Critical Unknown' END ELSE CASE WHEN c_nationkey >= 12 THEN 'Supporting Context' ELSE 'Deferred Unknown' END END AS quadrant FROM customer),
   l(quadrant) AS (VALUES ('Known Core'), ('Critical Unknown'), ('Supporting Context'), ('Deferred Unknown')) SELECT l.quadrant, count(q.quadrant) AS n FROM l LEFT JOIN q ON q.quadrant = l.quadrant GROUP BY 1""")
 def d25_quadrant_counts(t: Tables) -> DataFrame:
-    """Count per fixed label; labels without rows stay with zero (also j05)."""
+    """Count per fixed label; labels without rows stay with zero."""
     critical, sure = F.col("c_acctbal") >= 5000, F.col("c_nationkey") >= 12
     label = F.when(critical & sure, "Known Core").when(critical, "Critical Unknown").when(sure, "Supporting Context").otherwise("Deferred Unknown")
     found = t.customer.groupBy(label.alias("quadrant")).agg(count().alias("n"))

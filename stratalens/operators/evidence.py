@@ -268,3 +268,22 @@ def i30_unknown_criticality(t: Tables) -> DataFrame:
     field = F.lower(F.concat("p_name", ends))
     harmless = F.exists(F.array(*map(F.lit, ("language", "documentation", "example", "context", "metadata", "style"))), lambda w: F.contains(field, w))
     return t.part.select(k.alias("k"), F.when(harmless, 25).otherwise(90).alias("criticality"))
+
+
+# How critical each kind of item of an orientation is, and the confidence of each level; an unknown has none.
+CRITICALITY = (("identity", 100), ("purpose", 90), ("language", 30), ("boundary", 90), ("entry-point", 80), ("command", 75), ("active-change", 70), ("risk", 85), ("evidence", 35))
+_CONFIDENCE = "CASE WHEN s_acctbal >= 5000 THEN 100 WHEN s_acctbal >= 0 THEN 70 ELSE 40 END"
+_HIDDEN = "kind = 'purpose' AND s_nationkey % 3 = 0 OR kind = 'evidence' AND s_suppkey % 4 = 0"
+
+
+@query(f"WITH k(kind, criticality) AS (VALUES {', '.join(map(str, CRITICALITY))}), i AS (SELECT s_suppkey AS project, kind AS item, criticality, CASE WHEN {_HIDDEN} THEN 0 ELSE {_CONFIDENCE} END AS confidence, CASE WHEN {_HIDDEN} THEN 'unknown' ELSE 'known' END AS state FROM supplier, k)"
+  " SELECT project, item, criticality, confidence, state, CASE WHEN criticality >= 50 THEN 'critical' ELSE 'supporting' END AS weight, CASE WHEN criticality >= 50 THEN CASE WHEN confidence >= 50 THEN 'Known Core' ELSE 'Critical Unknown' END WHEN confidence >= 50 THEN 'Supporting Context' ELSE 'Deferred Unknown' END AS quadrant FROM i")
+def j05_understanding_quadrants(t: Tables) -> DataFrame:
+    """Items of a project's orientation by their fixed criticality and the confidence of what is known of them, in four quadrants; what is unknown stays visible."""
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(c).alias("criticality")) for k, c in CRITICALITY))).alias("k")
+    i = t.supplier.select("*", kinds).select("*", "k.*")
+    hidden, critical = F.expr(_HIDDEN), F.col("criticality") >= 50
+    i = i.withColumn("confidence", F.when(hidden, 0).otherwise(F.expr(_CONFIDENCE)))
+    sure = F.col("confidence") >= 50
+    quadrant = F.when(critical & sure, "Known Core").when(critical, "Critical Unknown").when(sure, "Supporting Context").otherwise("Deferred Unknown")
+    return i.select(F.col("s_suppkey").alias("project"), F.col("kind").alias("item"), "criticality", "confidence", F.when(hidden, "unknown").otherwise("known").alias("state"), F.when(critical, "critical").otherwise("supporting").alias("weight"), quadrant.alias("quadrant"))
