@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, tau: int = 3, shingle: int = 3, id_col: str
     return prints.join(materialize(named, "named"), "fp").select("doc_id", "fp", "component_id")
 
 
-MIN_WORDS, BAND, WIDE, SHINGLE, SIMILARITY, DOUBT, SMALL, EARLY, SALTS = 48, 4, 20, 5, 0.8, 0.1, 32, 2, 4
+MIN_WORDS, BAND, WIDE, SHINGLE, SIMILARITY, DOUBT, SMALL, EARLY, SALTS = 48, 4, 32, 5, 0.8, 0.08, 32, 2, 4
 PARTS = MIN_WORDS // BAND
 BLOCK, MOST_OUTSIDE = 256, 4096  # members of a bucket that meet all others in one task; and of which more are not met whole
 #: Odd multipliers that derive the hash functions from one hash.
