@@ -30,14 +30,14 @@ def best_documents(docs: DataFrame, questions: DataFrame, k: int = 10) -> DataFr
     """
     asked = questions.select("item_id", F.array_distinct(terms_of(F.col("text"))).alias("terms"))
     asked = settled(asked.groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")))
-    held = docs.select("doc_id", F.array_distinct(terms_of(F.col("text"))).alias("terms"))
+    held = settled(docs.select("doc_id", F.array_distinct(terms_of(F.col("text"))).alias("terms")))  # read in every round
     word = asked.select("item_id", F.explode("terms").alias("term"), F.size("terms").alias("m"))
     wanted = checked(settled(word.select("term").distinct()))
     postings = settled(held.select("doc_id", F.size("terms").alias("size"), F.explode("terms").alias("term")).join(wanted, "term"))
     held_by = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(W.partitionBy("item_id").orderBy("n", "term"))
     placed = settled(word.join(held_by, "term").withColumn("place", place))
-    buckets = max(1, -(-docs.count() // BLOCK_DOCS))
+    buckets = max(1, -(-held.count() // BLOCK_DOCS))
     best, low = None, 1
     while True:
         floors = asked.select("item_id", F.lit(1).alias("floor"))
