@@ -13,7 +13,7 @@ Defined results: vectors that are null or hold null or non-finite components tak
 smallest kept vec_id, vectors of another length take no part either, and a length that can't be cut equally is filled up
 with zeros; a null vec_id comes last, repeated vec_ids are ordered by their integer vectors, and repeated rows count each;
 with fewer vectors than entries each starts an entry; an empty table gives an empty result; components beyond
-+-2^31 / sqrt(length) / scale are cut there, so that distances stay exact in 64 bits; other columns are read only where named in `keep`.
++-2^30 / sqrt(length) / scale are cut there, so that distances stay exact in 64 bits; other columns are read only where named in `keep`.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def integer_vectors(vectors: pa.Array, dim: int, scale: int = SCALE) -> tuple[np
     flat = vectors.filter(pa.array(right)).flatten()
     x = np.asarray(flat.cast(pa.float64()).to_numpy(zero_copy_only=False), np.float64).reshape(int(right.sum()), dim)
     finite = np.isfinite(x).all(axis=1)
-    most = int(2**31 / max(dim, 1) ** 0.5)
+    most = int(2**30 / max(dim, 1) ** 0.5)
     with np.errstate(over="ignore"):
         whole = np.clip(np.floor(scale * x[finite]), -most, most).astype(np.int64)
     return np.flatnonzero(right)[finite], whole
