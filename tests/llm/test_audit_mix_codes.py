@@ -260,3 +260,13 @@ def test_filter_bounds_hold_and_leave_few():
         assert (best == exact.argmin(1)).all() and (distance == exact.min(1)).all()
         if entries.shape == (16, 8):
             assert worked < 0.35 * exact.size
+
+
+def test_far_components_do_not_overflow():
+    """The farthest vectors that are kept, against whole numbers of Python."""
+    rows, x = vector_codes.integer_vectors(pa.array([[3e38] * 64, [-3e38] * 64], pa.list_(pa.float32())), 64)
+    f = vector_codes.Filter(x)
+    best, distance, _ = f.nearest(x)
+    assert best.tolist() == [0, 1] and distance.tolist() == [0, 0]
+    _, across, _ = vector_codes.Filter(x[1:]).nearest(x[:1])
+    assert across.tolist() == [sum((a - b) ** 2 for a, b in zip(x[0].tolist(), x[1].tolist(), strict=True))] and across[0] > 0
