@@ -175,7 +175,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                     edges = np.concatenate([np.arange(p["first"], p["first"] + p["n"]) for p in branching])
                     found.append((digests(words, edges, np.full(len(edges), window)), edges))
                     sizes[-1] = len(edges)
-                    last = np.array([b for _, b in spans] or [0])[np.maximum(np.searchsorted([a for a, _ in spans], edges, side="right") - 1, 0)] if spans else np.zeros(len(edges), int)
+                    # the end of the last span that starts at the edge or before it; 0: none does
+                    last = np.array([0, *(b for _, b in spans)])[np.searchsorted([a for a, _ in spans], edges, side="right")]
                 if branching and not (edges + window <= last).all():
                     row |= {"text": text.decode(), "first": firsts, "n": lengths}
                 else:

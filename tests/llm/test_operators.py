@@ -202,6 +202,15 @@ def test_substrings_random(spark, seed):
     assert by_row(found, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings(rows)
 
 
+def test_substrings_that_begin_in_a_branching_piece(spark):
+    """A passage up to the end of two texts, with other words before it, and texts that begin inside the passage."""
+    passage = [f"p{i}" for i in range(120)]
+    rows = [(i, " ".join([*(f"u{i}x{k}" for k in range(20 + i)), *passage])) for i in range(4)]
+    rows += [(10 + i, " ".join([*passage[i : 60 + i], *(f"w{i}x{k}" for k in range(50))])) for i in range(4)]
+    found = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert by_row(found, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings(rows)
+
+
 def check_packing(rows, pieces):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ids = sorted((tuple([*tok.encode(t or "", add_special_tokens=False).ids, 1]) for _, t in rows), key=repr)
