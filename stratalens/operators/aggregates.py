@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalens.operators.joins import _RECENT, _RUNS, benchmark_runs, history_counts
+from stratalens.operators.joins import _RUNS, benchmark_runs, history_counts
 from stratalens.operators.reach import chain_depths, closure, settled
 from stratalens.operators.selection import MIDDLE, nth, order_statistics
 from stratalens.plans.registry import REGISTERED, Tables, query
@@ -204,14 +204,20 @@ def d17_risk_combine(t: Tables) -> DataFrame:
     return change_risk(t).select("hash", F.round("b", 6).alias("bug_magnet"), F.round("c", 6).alias("churn"), "score")
 
 
-@query(with_views("commits", "files") + _RECENT + """ SELECT (SELECT count(DISTINCT hash) FROM walked) AS commits_walked, (SELECT count(DISTINCT hash) FROM walked WHERE width > 50) AS wide_skipped, (SELECT count(*) FROM (SELECT DISTINCT l, r FROM hits)) AS pairs_observed, (SELECT count(*) FROM edges) AS edges_kept""")
+_OBSERVED = """, d AS (SELECT DISTINCT l.hash, module || '/' || lower(p_type) AS file FROM (SELECT l_orderkey AS hash, l_partkey AS partkey FROM lineitem) l JOIN files USING (partkey)),
+  walked AS (SELECT hash, count(*) AS width FROM d GROUP BY 1), e AS (SELECT d.* FROM d JOIN walked USING (hash) WHERE width <= 50),
+  pairs AS (SELECT a.file AS l, b.file AS r, count(*) AS co_commits FROM e a JOIN e b ON a.hash = b.hash AND a.file < b.file GROUP BY 1, 2)"""
+
+
+@query(with_views("files") + _OBSERVED + """ SELECT (SELECT count(*) FROM walked) AS commits_walked, (SELECT count(*) FROM walked WHERE width > 50) AS wide_skipped, (SELECT count(*) FROM pairs) AS pairs_observed, (SELECT count(*) FROM pairs WHERE co_commits >= 3) AS edges_kept, (SELECT CAST(sum(co_commits) AS BIGINT) FROM pairs WHERE co_commits >= 3) AS observations""")
 def d18_cochange_observations(t: Tables) -> DataFrame:
-    """What the co-change relation rests on: commits walked, wide ones left out, pairs seen and edges kept; an edge's newest commits are in c15."""
-    from stratalens.operators.joins import WIDE, recent_edges, recent_touches
+    """What the co-change relation of all commits rests on: commits walked, wide ones left out, pairs seen, edges kept and their observations; an edge's newest commits are in c15."""
+    from stratalens.operators.joins import WIDE, co_changed, typed_files
 
-    touched = settled(recent_touches(t))
-    sizes = touched.groupBy("hash").agg(F.max("width").alias("n")).agg(count().alias("commits_walked"), F.count_if(F.col("n") > WIDE).alias("wide_skipped"))
-    pairs = recent_edges(touched, 1).agg(count().alias("pairs_observed"), F.count_if(F.col("co_commits") >= 3).alias("edges_kept"))
+    touched = settled(typed_files(t))
+    sizes = touched.groupBy("hash").agg(count().alias("n")).agg(count().alias("commits_walked"), F.count_if(F.col("n") > WIDE).alias("wide_skipped"))
+    kept = F.col("co_commits") >= 3
+    pairs = co_changed(touched, 1).agg(count().alias("pairs_observed"), F.count_if(kept).alias("edges_kept"), F.sum(F.when(kept, F.col("co_commits"))).alias("observations"))
     return sizes.crossJoin(pairs)  # of single rows
 
 

@@ -104,7 +104,11 @@ def typed_files(t: Tables) -> DataFrame:
 
 def co_changes(t: Tables, least: int = 3) -> DataFrame:
     """l, r, co_commits, newest: ordered pairs of files that change together; a commit of over WIDE files is left out before the self-join."""
-    touched = typed_files(t)
+    return co_changed(typed_files(t), least)
+
+
+def co_changed(touched: DataFrame, least: int) -> DataFrame:
+    """The same of touched (hash, file; each once)."""
     narrow = touched.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= WIDE).select("hash")
     kept = touched.join(narrow, "hash")
     pairs = kept.alias("a").join(kept.alias("b"), (F.col("a.hash") == F.col("b.hash")) & (F.col("a.file") < F.col("b.file")))

@@ -1,5 +1,6 @@
 """Every registered query against its SQL over the same tables, and the driver's entry points."""
 
+import hashlib
 import math
 
 import duckdb
@@ -119,3 +120,10 @@ def test_ends_of_functions_in_one_pass():
     assert len(indented_ends(deep)) == 100_000
     assert brace_ends("{\n" * 50_000 + "}\n" * 50_000, list(range(1, 50_001)))[:2] == [100_000, 99_999]
     assert time.time() - began < 10
+
+
+def test_cochange_observations_of_all_years(spark, duck, sf_dir):
+    """Every commit counts, not those of the last year only."""
+    row = queries()["d18_cochange_observations"](spark, sf_dir).first()
+    assert row["commits_walked"] == duck.execute("SELECT count(DISTINCT l_orderkey) FROM lineitem JOIN part ON p_partkey = l_partkey").fetchone()[0]
+    assert row["pairs_observed"] >= row["edges_kept"] and row["observations"] >= 3 * row["edges_kept"] > 0
