@@ -127,3 +127,8 @@ def test_cochange_observations_of_all_years(spark, duck, sf_dir):
     row = queries()["d18_cochange_observations"](spark, sf_dir).first()
     assert row["commits_walked"] == duck.execute("SELECT count(DISTINCT l_orderkey) FROM lineitem JOIN part ON p_partkey = l_partkey").fetchone()[0]
     assert row["pairs_observed"] >= row["edges_kept"] and row["observations"] >= 3 * row["edges_kept"] > 0
+
+
+def test_snapshot_identity_is_of_all_members(spark, duck, sf_dir):
+    want = {a: hashlib.sha256(",".join(map(str, sorted(keys))).encode()).hexdigest() for a, keys in duck.execute("SELECT o_custkey, list(o_orderkey) FROM orders GROUP BY 1").fetchall()}
+    assert {r["repo"]: r["now"] for r in queries()["k14_snapshot_status"](spark, sf_dir).collect()} == want
