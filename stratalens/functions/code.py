@@ -33,11 +33,15 @@ CORPUS = (
 
 
 def corpus(t: Tables) -> DataFrame:
-    """path, text: one source file per part, in the part's turn of the templates; its key is in the leaf's name and in names of main."""
+    """path, text: one source file per part, in the part's turn of the templates; its key is in the leaf's name and in names of main.
+
+    The keys are dealt out first: a table of parts is few bytes, so one or two tasks would read it and scan all that is made of it.
+    """
     templates = t.spark.createDataFrame([(i, p, s) for i, (p, s) in enumerate(CORPUS)], "no long, path string, text string")
     key = F.col("p_partkey").cast("string")
     path = F.regexp_replace("path", F.lit(r"([^/.]+)\.([^/.]+)$"), F.concat(F.lit("$1_"), key, F.lit(".$2")))
-    made = t.part.select("p_partkey").join(F.broadcast(templates), F.col("p_partkey") % len(CORPUS) == F.col("no"))  # eleven fixed rows
+    tasks = max(t.spark.sparkContext.defaultParallelism, int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+    made = t.part.select("p_partkey").repartition(tasks, "p_partkey").join(F.broadcast(templates), F.col("p_partkey") % len(CORPUS) == F.col("no"))  # eleven fixed rows
     return made.select(path.alias("path"), F.replace("text", F.lit("main"), F.concat(F.lit("main_"), key)).alias("text"))
 
 
@@ -53,17 +57,18 @@ _LINES = _CORPUS + ", lines AS (SELECT path, CAST(unnest(range(1, len(l) + 1)) A
 
 def native_lines(text: Column) -> Column:
     """Lines without their carriage returns; an empty text has none, a final line end gives an empty line."""
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, "\r+$", "")))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(text, "\n", -1), lambda x: F.rtrim(x, F.lit("\r"))))
 
 
 def numbered_lines(t: Tables) -> DataFrame:
-    """path, no (from 1), line of the corpus."""
+    """path, lang, no (from 1), line of the corpus."""
     return lines_in(corpus(t))
 
 
 def lines_in(texts: DataFrame) -> DataFrame:
-    """path, no (from 1), line of texts (path, text)."""
-    return texts.select("path", F.posexplode(native_lines(F.col("text"))).alias("i", "line")).select("path", (F.col("i") + 1).cast("long").alias("no"), "line")
+    """path, lang, no (from 1), line of texts (path, text). The language is told once a file, below the lines: above them a filter would take its expression along for every use."""
+    told = texts.select("path", language(F.col("path")).alias("lang"), native_lines(F.col("text")).alias("lines"))
+    return told.select("path", "lang", F.posexplode("lines").alias("i", "line")).select("path", "lang", (F.col("i") + 1).cast("long").alias("no"), "line")
 
 
 def extension(path: Column) -> Column:
@@ -73,7 +78,7 @@ def extension(path: Column) -> Column:
 @query(_LINES + " SELECT path, no, line FROM lines")
 def i01_native_lines(t: Tables) -> DataFrame:
     """Lines of each file, native rule."""
-    return numbered_lines(t)
+    return numbered_lines(t).select("path", "no", "line")
 
 
 @query(_CORPUS + " SELECT path, CAST(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END AS BIGINT) AS n FROM corpus")
@@ -90,11 +95,8 @@ _LANG_SQL = "CASE lower(regexp_extract(path, '[.]([^./]+)$', 1)) " + " ".join(f"
 
 def language(path: Column) -> Column:
     """Native language map; all else is text."""
-    ext = extension(path)
-    out = F.lit("text")
-    for e, name in _LANGS.items():
-        out = F.when(ext == e, name).otherwise(out)
-    return out
+    known = F.create_map(*(F.lit(x) for pair in _LANGS.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, extension(path)), F.lit("text"))
 
 
 @query(_CORPUS + f" SELECT path, {_LANG_SQL} AS lang, {_LANG_SQL} <> 'text' AS supported FROM corpus")
@@ -121,11 +123,15 @@ _SYMBOL_SQL = """, trimmed AS (SELECT path, no, ltrim(line) AS s, """ + _LANG_SQ
 ) + """ END AS x FROM trimmed))"""
 
 
+def declared(s: Column, lang: Column) -> Column:
+    """name, kind of what a trimmed line declares, by its prefix; else null."""
+    return F.coalesce(*(F.when(lang.isin(*langs) & s.rlike(pattern), F.struct(F.regexp_extract(s, pattern, 1).alias("name"), F.lit(kind).alias("kind"))) for langs, pattern, kind in _DECLARED))
+
+
 def symbols_in(lines: DataFrame) -> DataFrame:
-    """path, no, name, kind of lines (path, no, line): one symbol per line at most, by prefix of the trimmed line."""
-    s, lang = F.col("s"), F.col("lang")
-    found = F.coalesce(*(F.when(lang.isin(*langs) & s.rlike(pattern), F.struct(F.regexp_extract(s, pattern, 1).alias("name"), F.lit(kind).alias("kind"))) for langs, pattern, kind in _DECLARED))
-    return lines.select("path", "no", F.ltrim("line").alias("s"), language(F.col("path")).alias("lang")).select("path", "no", found.alias("x")).filter("x is not null").select("path", "no", "x.name", "x.kind")
+    """path, no, name, kind of lines (path, lang, no, line): one symbol per line at most."""
+    found = declared(F.ltrim("line"), F.col("lang"))
+    return lines.select("path", "no", found.alias("x")).filter("x is not null").select("path", "no", "x.name", "x.kind")
 
 
 def symbols(t: Tables) -> DataFrame:
@@ -146,7 +152,7 @@ _IMPORT_SQL = """, t AS (SELECT path, no, ltrim(line) AS s, """ + _LANG_SQL + ""
 
 
 def file_imports(t: Tables) -> DataFrame:
-    """path, no, target."""
+    """path, no, s (the trimmed line), target."""
     s, lang = F.col("s"), F.col("lang")
     js = lang.isin("javascript", "typescript")
     target = (
@@ -158,13 +164,13 @@ def file_imports(t: Tables) -> DataFrame:
         .when(lang == "text", F.regexp_extract(s, '^#include ["<]([^">]+)', 1))
         .otherwise("")
     )
-    return numbered_lines(t).select("path", "no", F.ltrim("line").alias("s"), language(F.col("path")).alias("lang")).select("path", "no", target.alias("target")).filter("target <> ''")
+    return numbered_lines(t).select("path", "no", "lang", F.ltrim("line").alias("s")).select("path", "no", "s", target.alias("target")).filter("target <> ''")
 
 
 @query(_LINES + _IMPORT_SQL + " SELECT path, no, target FROM im WHERE target <> ''")
 def i07_imports(t: Tables) -> DataFrame:
     """Imported names per line."""
-    return file_imports(t)
+    return file_imports(t).select("path", "no", "target")
 
 
 # Words that branch.
@@ -181,9 +187,10 @@ def i12_complexity(t: Tables) -> DataFrame:
 def complexity_of(texts: DataFrame) -> DataFrame:
     """path, complexity of texts (path, text)."""
     lines = F.filter(F.transform(native_lines(F.col("text")), lambda x: F.trim(x)), lambda s: (s != "") & ~s.startswith("#") & ~s.startswith("//"))
-    arm = lambda s: F.when(~language(F.col("path")).isin("javascript", "typescript") & s.contains(" => "), 1).otherwise(0)
+    arm = lambda s: F.when(~F.col("lang").isin("javascript", "typescript") & s.contains(" => "), 1).otherwise(0)
     terms = lambda s: F.regexp_count(s, F.lit(_BRANCHES)) + F.regexp_count(s, F.lit("&&")) + F.regexp_count(s, F.lit(r"\|\|")) + arm(s)
-    return texts.select("path", F.aggregate(F.transform(lines, terms), F.lit(1), lambda a, b: a + b).cast("long").alias("complexity"))
+    told = texts.select("path", "text", language(F.col("path")).alias("lang"))
+    return told.select("path", F.aggregate(F.transform(lines, terms), F.lit(1), lambda a, b: a + b).cast("long").alias("complexity"))
 
 
 # Signatures per language, as (languages, pattern with name and parameters in its groups, pattern of asynchronous ones, pattern of public ones), the first that fits.
@@ -204,7 +211,7 @@ def i09_signatures(t: Tables) -> DataFrame:
     s, lang = F.col("s"), F.col("lang")
     made = lambda pattern, late, seen: F.struct(F.regexp_extract(s, pattern, 1).alias("name"), F.regexp_extract(s, pattern, 2).alias("p"), s.rlike(late).alias("is_async"), s.rlike(seen).alias("is_public"))
     found = F.coalesce(*(F.when(lang.isin(*langs) & s.rlike(pattern), made(pattern, late, seen)) for langs, pattern, late, seen in _SIGNED))
-    x = numbered_lines(t).select("path", "no", F.ltrim("line").alias("s"), language(F.col("path")).alias("lang")).select("path", "no", found.alias("x")).filter("x is not null")
+    x = numbered_lines(t).select("path", "no", "lang", F.ltrim("line").alias("s")).select("path", "no", found.alias("x")).filter("x is not null")
     params = F.size(F.filter(F.split("x.p", ","), lambda y: ~F.trim(y).isin("", "self", "&self", "&mut self")))
     return x.select("path", "no", "x.name", params.cast("long").alias("params"), "x.is_async", "x.is_public")
 
@@ -548,8 +555,10 @@ def i11_brace_ends(t: Tables) -> DataFrame:
     def ends(text: pa.Array, starts: pa.Array) -> pa.Array:
         return pa.array([brace_ends(x or "", s) for x, s in zip(text.to_pylist(), starts.to_pylist(), strict=True)], pa.list_(pa.int64()))
 
-    found = symbols(t).filter(~F.col("path").endswith(".py")).groupBy("path").agg(F.collect_list(F.struct("name", "no")).alias("f"))  # of one file
-    braced = found.join(corpus(t), "path").select("path", "f", ends("text", F.col("f.no")).alias("ends"))
+    told = corpus(t).filter(~F.col("path").endswith(".py")).select("path", "text", language(F.col("path")).alias("lang"))
+    own = F.transform(native_lines(F.col("text")), lambda x, i: F.struct(declared(F.ltrim(x), F.col("lang"))["name"].alias("name"), (i + 1).cast("long").alias("no")))
+    found = told.select("path", "text", F.filter(own, lambda x: x["name"].isNotNull()).alias("f"))
+    braced = found.select("path", "f", ends("text", F.col("f.no")).alias("ends"))
     return braced.select("path", F.explode(F.arrays_zip("f", "ends")).alias("x")).select("path", "x.f.name", F.col("x.f.no").alias("start"), F.col("x.ends").alias("end_no"))
 
 

@@ -62,9 +62,9 @@ def i22_quoted(t: Tables) -> DataFrame:
 @query(_LINES + _IMPORT_SQL + """ SELECT im.path, im.no, target, CASE WHEN starts_with(t.s, 'mod ') THEN 'module' WHEN starts_with(t.s, 'use ') THEN 'use' WHEN contains(t.s, 'require(') THEN 'require' WHEN starts_with(t.s, '#include') THEN 'path_reference' ELSE 'import' END AS kind FROM im JOIN t ON t.path = im.path AND t.no = im.no WHERE target <> ''""")
 def i21_edge_kinds(t: Tables) -> DataFrame:
     """Targets of graph edges with their kind, by how the line starts."""
-    s = F.ltrim("line")
+    s = F.col("s")
     kind = F.when(s.startswith("mod "), "module").when(s.startswith("use "), "use").when(s.contains("require("), "require").when(s.startswith("#include"), "path_reference").otherwise("import")
-    return file_imports(t).join(numbered_lines(t), ["path", "no"]).select("path", "no", "target", kind.alias("kind"))
+    return file_imports(t).select("path", "no", "target", kind.alias("kind"))
 
 
 @query(_LINES + """ SELECT path, count(*) FILTER (WHERE regexp_matches(ltrim(line), '^(async |pub |export |export default |public static )*(def|fn|function|func|void) ')) AS functions, count(*) FILTER (WHERE regexp_matches(ltrim(line), '^(import |from |use |mod |#include|const .*require[(])')) AS imports FROM lines GROUP BY 1""")

@@ -132,3 +132,11 @@ def test_cochange_observations_of_all_years(spark, duck, sf_dir):
 def test_snapshot_identity_is_of_all_members(spark, duck, sf_dir):
     want = {a: hashlib.sha256(",".join(map(str, sorted(keys))).encode()).hexdigest() for a, keys in duck.execute("SELECT o_custkey, list(o_orderkey) FROM orders GROUP BY 1").fetchall()}
     assert {r["repo"]: r["now"] for r in queries()["k14_snapshot_status"](spark, sf_dir).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["i04_symbols", "i07_imports", "i09_signatures", "i12_complexity"])
+def test_language_is_told_once_a_file(spark, sf_dir, name):
+    """The pattern of a path's extension isn't copied into the conditions on lines, and files fill all tasks."""
+    df = queries()[name](spark, sf_dir)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("([^./]+)$") <= 2
+    assert df.rdd.getNumPartitions() >= 4
