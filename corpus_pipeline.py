@@ -4,8 +4,8 @@ repeat are cut out, and what is left is packed.
 Each stage takes (spark, docs, sf_dir) and gives the next one's documents; the last gives packed pieces.
 
 Defined results: a null text counts as empty and is never toxic; of equal texts (null and empty are equal) the row with the largest
-doc_id stays, a null doc_id being the smallest, and rows that repeat doc_id and text leave one; of near copies (0.8 or more of five-word
-shingles, directly or through others) the smallest doc_id stays, and texts without words are like no other; passages are cut out of every
+doc_id stays, a null doc_id being the smallest, and rows that repeat doc_id and text leave one; of near copies (SimHash
+fingerprints within three bits, directly or through others) the smallest doc_id stays, and texts without words are like no other; passages are cut out of every
 document that has them, and a null text comes out empty; documents whose text is cut to nothing stay; other columns, whatever their
 names, pass through the first four stages unchanged but for n_chars; an empty table gives an empty result.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from stratalens.llm.common import materialize, read
 from stratalens.llm.exact_dedup import drop_exact_duplicates
 from stratalens.llm.packing import pack_documents
-from stratalens.llm.simhash import drop_near_duplicates
+from stratalens.llm.simhash import drop_near_copies
 from stratalens.llm.substring_dedup import drop_repeats
 from stratalens.llm.toxicity import keep_clean
 
@@ -32,7 +32,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    """By op9's links: 64-bit SimHash of three-word shingles at three differing bits or fewer, found by the generalised pigeonhole."""
+    return drop_near_copies(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

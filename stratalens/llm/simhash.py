@@ -78,15 +78,18 @@ def majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * total > n, bitorder="little").view("<i8")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp for each document."""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", carried: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, fp for each document, and the carried columns (longs)."""
     small_batches(docs.sparkSession)
+    more = carried or {}
+    names = ["doc_id", "fp", *more]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames):
-            yield pa.record_batch([batch.column(0), pa.array([fingerprint(shingle_hashes(t, shingle)) for t in texts_of(batch.column(1))], pa.int64())], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array([fingerprint(shingle_hashes(t, shingle)) for t in texts_of(batch.column(1))], pa.int64()), *batch.columns[2:]], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(c.alias(n) for n, c in more.items()))
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def signed(mask: int) -> int:
@@ -372,5 +375,30 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col
     with scratch(docs.sparkSession) as keep:
         clusters = near_duplicate_clusters(docs, similarity, id_col=id_col, text_col=text_col)
         gone = keep(clusters.filter(~F.col("keep")).select(F.col("name").alias("__name"), F.col("h").alias("__h")).distinct(), "near-copies")
+    return without(docs, gone, id_col, text_col)
+
+
+def drop_near_copies(docs: DataFrame, tau: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The first document (smallest doc_id) of each group that near_duplicates' links make, with all columns; rows that repeat doc_id and text stay or go together.
+
+    A text without words is like no other here: it stays.
+    """
+    with scratch(docs.sparkSession) as keep:
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        worded = docs.filter(text.rlike(r"[^\x20\x09-\x0D]"))
+        prints = materialize(fingerprints(worded, shingle, id_col, text_col, {"h": F.xxhash64(text)}), "fingerprints")
+        nodes = materialize(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count(F.lit(1)).alias("rows")), "nodes")
+        roots = components(links_of(nodes.select("fp"), tau)).withColumnRenamed("node", "fp")
+        placed = materialize(nodes.join(roots, "fp", "left").filter("rows > 1 or root is not null").select("fp", "first", F.coalesce("root", "fp").alias("root")), "placed")
+        firsts = placed.groupBy("root").agg(F.min("first").alias("stays"))
+        named = materialize(placed.join(materialize(firsts, "firsts"), "root").select("fp", "stays"), "named")
+        met, _ = apart(prints, F.col("fp"), named, F.col("fp"))
+        clusters = met.join(named, "fp").filter(~F.struct("doc_id", "h").eqNullSafe(F.col("stays")))
+        gone = keep(clusters.select(*(c.alias(f"__{n}") for n, c in zip(("name", "h"), key_of("doc_id", "h"), strict=True))).distinct(), "near-copies")
+    return without(docs, gone, id_col, text_col)
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The documents but those that `gone` (__name, __h) names."""
     marked = docs.select(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null")).alias("__name"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__h"), F.struct(*docs.columns).alias("row"))
     return without_keys(marked, ["__name", "__h"], gone).select("row.*")  # a struct, so that no column's name can clash

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stratalens.llm import queries
+from stratalens.llm import queries, simhash
 
 SPACE, WORD = re.compile(rb"[^\x20\x09-\x0D]+"), re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -176,3 +176,14 @@ def test_stages_on_edges(spark, tmp_path, rows):
         elif name == "packing":
             assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_near_dedup_is_by_the_links_of_op9(spark, sf_dir):
+    """Of each group of SimHash links the smallest doc_id stays; wordless texts all stay."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id is not null").dropDuplicates(["doc_id"])
+    worded = docs.filter(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    want = {r["component_id"] for r in simhash.near_duplicates(worded).collect()} | {r["doc_id"] for r in docs.join(worded.select("doc_id"), "doc_id", "left_anti").collect()}
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()} == want
+    assert len(want) < docs.count()
