@@ -111,7 +111,8 @@ def c07_suffix_key(t: Tables) -> DataFrame:
     asked = p.select("page_id", F.when(F.col("page_id") % 5 == 0, F.element_at(parts, -1)).otherwise(F.col("path")).alias("path"))
     tails = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda i: F.array_join(F.slice(F.split(c, "/"), i, F.size(F.split(c, "/"))), "/"))
     ends_in = asked.select("page_id", "path", F.explode(tails("path")).alias("key")).join(keys, "key").select("page_id", "path", "key")
-    within = keys.select("key", F.explode(tails("key")).alias("path")).join(asked, "path").select("page_id", "path", "key")
+    first = keys.select("key", F.explode(tails("key")).alias("path")).groupBy("path").agg(F.min("key").alias("key"))  # a path that ends many keys and is asked by many pages is no product of both
+    within = first.join(asked, "path").select("page_id", "path", "key")
     found = ends_in.union(within).groupBy("page_id").agg(F.min("key").alias("key"), F.min(F.when(F.col("key") == F.col("path"), F.col("key"))).alias("same"))
     return asked.join(found, "page_id", "left").select("page_id", "path", F.coalesce("same", "key").alias("key"))
 

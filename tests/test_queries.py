@@ -140,3 +140,9 @@ def test_language_is_told_once_a_file(spark, sf_dir, name):
     df = queries()[name](spark, sf_dir)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("([^./]+)$") <= 2
     assert df.rdd.getNumPartitions() >= 4
+
+
+def test_suffix_keys_are_reduced_before_the_join(spark, sf_dir):
+    """Of the keys that end in a path the first is taken before pages meet them."""
+    plan = queries()["c07_suffix_key"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Aggregate [path#" in line and "min(key#" in line for line in plan.splitlines()) == 1
