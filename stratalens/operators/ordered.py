@@ -37,6 +37,22 @@ def running_sums(df: DataFrame, key: list[str], order: list[str], sums: dict[str
     return summed.join(before, same).select(*df.columns, "at", *((F.col(f"__so_far_{n}") + F.col(f"__ahead_{n}")).alias(n) for n in sums))
 
 
+def sums_of_span(rows: DataFrame, key: list[str], span: int, sums: dict[str, Column], tasks: int | None = None) -> DataFrame:
+    """key, ts and, for each name of `sums`, the sum of its column over the rows of the key whose ts is at most `span` before this one, itself included.
+
+    Time is cut into periods of a span, so a key of any number of rows fills many tasks. A moment counts in its period and the next, and is taken off there
+    when the span is over: one running sum, where a sliding frame would add up all of its rows for each row.
+    """
+    deal = lambda df, *by: df.repartition(tasks, *by) if tasks else df
+    moments = deal(rows.select(*key, "ts", *(c.alias(n) for n, c in sums.items())), *key, "ts").groupBy(*key, "ts").agg(*(F.sum(n).alias(n) for n in sums))
+    own, put = F.floor(F.col("ts") / span), lambda period, at, sign, real: F.struct(period.alias("period"), at.alias("at"), F.lit(sign).alias("sign"), F.lit(real).alias("real"))
+    ts = F.col("ts")
+    placed_at = moments.select(*key, *sums, F.explode(F.array(put(own, ts, 1, True), put(own + 1, ts, 1, False), put(own + 1, ts + span + 1, -1, False))).alias("e")).select(*key, *sums, "e.*")
+    order = W.partitionBy(*key, "period").orderBy("at").rangeBetween(W.unboundedPreceding, 0)
+    running = deal(placed_at, *key, "period").select(*key, "at", "real", *(F.sum(F.col(n) * F.col("sign")).over(order).alias(n) for n in sums))
+    return running.filter("real").select(*key, F.col("at").alias("ts"), *sums)
+
+
 def last_frames(df: DataFrame, position: str, most: int, value: Column, name: str, chunk: int = 1 << 14) -> DataFrame:
     """df with `name`: the non-null values of the rows whose position (a long from 1) is at most `most` - 1 before the row's own, itself included; an array.
 

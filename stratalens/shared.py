@@ -9,6 +9,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROWS = 1 << 19  # rows of which a task sorts or groups some at once
+
+
+def tasks_of(table: DataFrame, each: int = 1) -> int:
+    """Tasks to deal a table's rows to, `each` rows made of one, so that a task's share does not grow with the table. Rows are counted from the files' footers."""
+    spark = table.sparkSession
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, -(-table.count() * each // ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder of our own where it is unset and all runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

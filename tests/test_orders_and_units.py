@@ -60,6 +60,23 @@ def test_last_frames(spark, most, chunk):
     assert {r["i"]: sorted(r["seen"]) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("tasks", [None, 7])
+def test_sums_of_span(spark, tasks):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(0, 90)]), rng.randint(0, 4)) for _ in range(400)] + [("c", 9, 2), ("c", 19, 1), ("c", 20, 1)]
+    got = ordered.sums_of_span(spark.createDataFrame(rows, "k string, ts long, v long"), ["k"], 10, {"total": F.col("v"), "n": F.lit(1)}, tasks).collect()
+    near = lambda a, b: a == b if a is None or b is None else b - 10 <= a <= b
+    seen = {(k, ts): [v for q, at, v in rows if q == k and near(at, ts)] for k, ts, _ in rows}
+    assert {tuple(r) for r in got} == {(*at, sum(v), len(v)) for at, v in seen.items()} and len(got) == len(seen)
+
+
+def test_units_add_no_frame_up_again_for_each_row(spark):
+    """A frame with a lower bound is added up anew for every row, so that a file or pair of n rows in a year costs n * n."""
+    df = spark.createDataFrame([(1, "a", 1, 0, True), (1, "b", 1, 0, True), (2, "a", 3, DAY, False)], "hash long, file string, lines long, ts long, fix boolean")
+    plan = review_units(df, 1, 100, 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, unboundedpreceding" in plan and "RangeFrame, -" not in plan
+
+
 def dispatched(items, wall, limit, percent):
     """The loop itself: batches in turn, each accepted as a whole before it runs."""
     out, stopped = {}, {}
