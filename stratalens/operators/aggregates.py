@@ -95,12 +95,17 @@ _MODULES = with_views("files", "commits", "commit_files", "imports") + _EDGES +
 """
 
 
-def modules(t: Tables) -> DataFrame:
-    """module, n_files, sources, tests, test_gap, churn, last, coupling."""
+def touched_paths(t: Tables) -> DataFrame:
+    """module, path, churn, last: each file's commits and the newest of them."""
+    return commit_files(t).join(commits(t).select("hash", "ts"), "hash").groupBy("module", "path").agg(count().alias("churn"), F.max("ts").alias("last"))
+
+
+def modules(t: Tables, edges: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
+    """module, n_files, sources, tests, test_gap, churn, last, coupling; from module_edges and touched_paths, if these are known already."""
     path = F.col("path")
     s = files(t).groupBy("module").agg(count().alias("n_files"), F.count_if(path.contains("/src/")).alias("sources"), F.count_if(path.contains("/tests/")).alias("tests"))
-    c = commit_files(t).join(commits(t), "hash").groupBy("module").agg(count().alias("churn"), F.max("ts").alias("last"))
-    e = module_edges(t)
+    c = (paths or touched_paths(t)).groupBy("module").agg(F.sum("churn").alias("churn"), F.max("last").alias("last"))
+    e = edges or settled(module_edges(t))
     o = e.select(F.col("src").alias("module"), "weight").union(e.select("dst", "weight")).groupBy("module").agg(F.sum("weight").alias("coupling"))
     joined = s.join(c, "module", "left").join(o, "module", "left")
     return joined.select("module", "n_files", "sources", "tests", F.greatest(F.lit(0), F.col("sources") - F.col("tests")).alias("test_gap"), F.coalesce("churn", F.lit(0)).alias("churn"), "last", F.coalesce("coupling", F.lit(0)).alias("coupling"))
@@ -145,15 +150,17 @@ _RISK = _MODULES + """, mc(src, dst) AS (SELECT src, dst FROM mw UNION SELECT mc
 HEATS = (("coupling", 0.18), ("blast_radius", 0.18), ("depth", 0.14), ("churn", 0.14), ("git_files", 0.12), ("test_gap", 0.12), ("age", 0.07), ("n_files", 0.05))
 
 
-def module_risk(t: Tables) -> DataFrame:
-    """module, risk of 0 to 100 from eight heats relative to the greatest value; a part divisible by five stands for a dirty file."""
-    edges = settled(module_edges(t))
-    log = commit_files(t).join(commits(t).select("hash", "ts"), "hash")
-    now = log.agg(F.max("ts").alias("now"))
-    last = log.groupBy("module", "path").agg(F.max("ts").alias("last")).crossJoin(F.broadcast(now))  # one row
+def module_risk(t: Tables, edges: DataFrame | None = None, table: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
+    """module, risk of 0 to 100 from eight heats relative to the greatest value; a part divisible by five stands for a dirty file.
+
+    Lines are read once for the edges and once for the files' commits; what is known of module_edges, modules and touched_paths is not worked out again.
+    """
+    edges, paths = edges or settled(module_edges(t)), paths or settled(touched_paths(t))
+    now = paths.agg(F.max("last").alias("now"))
+    last = paths.crossJoin(F.broadcast(now))  # one row
     ages = last.groupBy("module").agg(F.round(F.avg(F.floor((F.col("now") - F.col("last")) / 86_400))).cast("long").alias("age"))
     git = files(t).groupBy("module").agg(F.count_if(F.col("partkey") % 5 == 0).alias("git_files"))
-    m = modules(t).join(blast_radius(edges), "module", "left").join(chain_depths(edges).withColumnRenamed("node", "module"), "module", "left").join(ages, "module", "left").join(git, "module", "left").fillna(0, ["blast_radius", "depth", "age"])
+    m = (table or modules(t, edges, paths)).join(blast_radius(edges), "module", "left").join(chain_depths(edges).withColumnRenamed("node", "module"), "module", "left").join(ages, "module", "left").join(git, "module", "left").fillna(0, ["blast_radius", "depth", "age"])
     m = settled(m)
     top = m.agg(*(F.max(c).alias(f"max_{c}") for c, _ in HEATS))
     h = m.crossJoin(F.broadcast(top))  # one row

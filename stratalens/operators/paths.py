@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalens.operators.aggregates import _PAST, _QUALITY, _RISK, _SHAPE, change_risk, count, module_edges, module_metrics, module_risk, modules
+from stratalens.operators.aggregates import _PAST, _QUALITY, _RISK, _SHAPE, change_risk, count, module_edges, module_metrics, module_risk, modules, touched_paths
 from stratalens.operators.reach import settled
 from stratalens.operators.selection import MIDDLE, nth, order_statistics
 from stratalens.plans.registry import Tables, query
@@ -183,9 +183,10 @@ _COUPLED = _RISK + """, x AS (SELECT module, coupling FROM t), deg AS (SELECT mo
 @query(_COUPLED + " SELECT * FROM a UNION ALL SELECT * FROM e UNION ALL SELECT 'summary', (SELECT name FROM a ORDER BY value DESC, name LIMIT 1), (SELECT CAST(count(*) AS VARCHAR) FROM x) || ' modules', (SELECT max(value) FROM a), (SELECT count(*) FROM mw), NULL, NULL")
 def l05_coupling_details(t: Tables) -> DataFrame:
     """The thirty modules of most coupling with their edges in and out and their risk, the fifty heaviest edges, and a summary: the top module, the number of modules, the greatest coupling and the number of edges."""
-    edges = settled(module_edges(t))
+    edges, paths = settled(module_edges(t)), settled(touched_paths(t))
+    table = settled(modules(t, edges, paths))
     degree = edges.select(F.col("dst").alias("module"), F.col("src").alias("i"), F.lit(None).cast("string").alias("o")).union(edges.select("src", F.lit(None).cast("string"), "dst")).groupBy("module").agg(F.count("i").alias("inbound"), F.count("o").alias("outbound"))
-    m = modules(t).select("module", F.coalesce("coupling", F.lit(0)).cast("long").alias("value")).join(degree, "module", "left").join(module_risk(t), "module").fillna(0, ["inbound", "outbound"])
+    m = table.select("module", F.coalesce("coupling", F.lit(0)).cast("long").alias("value")).join(degree, "module", "left").join(module_risk(t, edges, table, paths), "module").fillna(0, ["inbound", "outbound"])
     m = settled(m)
     top = settled(m.orderBy(F.desc("value"), "module").limit(30).select(F.lit("module").alias("kind"), F.col("module").alias("name"), F.lit("").alias("other"), "value", "inbound", "outbound", "risk"))
     none = F.lit(None).cast("long")

@@ -164,3 +164,15 @@ def test_review_units(spark):
     df = spark.createDataFrame(rows, "hash long, file string, lines long, ts long, fix boolean")
     got = {tuple(r) for r in review_units(df, least, days, most).collect()}
     assert got == want and max(r[3] for r in got) > 3 and any(r[0] == 100 and r[4] > 0 for r in got)
+
+
+def test_coupling_details_read_the_lines_once_a_purpose(spark, sf_dir, monkeypatch):
+    """Edges come from the imports and churn from the commits' files; each was worked out several times."""
+    from stratalens.operators import aggregates
+    from stratalens.registry import queries
+
+    asked = []
+    for name in ("imports", "commit_files"):
+        monkeypatch.setattr(aggregates, name, lambda t, f=getattr(aggregates, name), name=name: asked.append(name) or f(t))
+    queries()["l05_coupling_details"](spark, sf_dir)
+    assert sorted(asked) == ["commit_files", "imports"]
