@@ -12,6 +12,7 @@ from stratalens.operators.joins import _RUNS, benchmark_runs, history_counts
 from stratalens.operators.reach import chain_depths, closure, settled
 from stratalens.operators.selection import MIDDLE, nth, order_statistics
 from stratalens.plans.registry import REGISTERED, Tables, query
+from stratalens.shared import tasks_of
 from stratalens.sources.bindings import commit_files, commits, files, imports, session_events, with_views
 
 
@@ -186,7 +187,7 @@ _PAST = """, h AS (SELECT hash, ts, path, subject FROM commits JOIN commit_files
 def diff_shape(t: Tables) -> DataFrame:
     """hash, n, lines, d (shape of the diff, 0 to 1), a (sources without tests)."""
     size, path = F.col("ins") + F.col("del"), F.col("path")
-    s = commit_files(t).groupBy("hash").agg(count().alias("n"), F.sum(size).alias("lines"), (F.max(size) / F.sum(size)).alias("share"), F.count_if(path.contains("/tests/")).alias("tests"), F.count_if(path.contains("/src/")).alias("sources"))
+    s = commit_files(t).repartition(tasks_of(t.lineitem), "hash").groupBy("hash").agg(count().alias("n"), F.sum(size).alias("lines"), (F.max(size) / F.sum(size)).alias("share"), F.count_if(path.contains("/tests/")).alias("tests"), F.count_if(path.contains("/src/")).alias("sources"))
     one = F.lit(1.0)
     return s.select("hash", "n", "lines", ((F.least(F.col("n") / 20, one) + F.least(F.col("lines") / 600, one) + F.col("share")) / 3).alias("d"), F.when((F.col("sources") > 0) & (F.col("tests") == 0), 1.0).otherwise(0.0).alias("a"))
 

@@ -176,3 +176,13 @@ def test_coupling_details_read_the_lines_once_a_purpose(spark, sf_dir, monkeypat
         monkeypatch.setattr(aggregates, name, lambda t, f=getattr(aggregates, name), name=name: asked.append(name) or f(t))
     queries()["l05_coupling_details"](spark, sf_dir)
     assert sorted(asked) == ["commit_files", "imports"]
+
+
+@pytest.mark.parametrize("name", ["d13_diff_shape"])
+def test_tasks_grow_with_the_table(spark, sf_dir, monkeypatch, name):
+    """A task's share of rows is bounded: more rows make more tasks, not larger ones."""
+    from stratalens import shared
+    from stratalens.registry import queries
+
+    monkeypatch.setattr(shared, "ROWS", 100)
+    assert queries()[name](spark, sf_dir).rdd.getNumPartitions() >= 8
