@@ -11,6 +11,7 @@ from stratalens.operators.joins import _PAIRS, co_changes
 from stratalens.operators.ordered import running_sums
 from stratalens.operators.reach import settled
 from stratalens.plans.registry import Tables, query
+from stratalens.shared import tasks_of
 from stratalens.sources.bindings import commit_files, commits, files, imports, session_events, with_views
 
 
@@ -57,7 +58,8 @@ _RANGES = """WITH r AS (SELECT DISTINCT l_suppkey AS file, l_partkey AS lo, l_pa
 
 def merged_ranges(t: Tables) -> DataFrame:
     """file, lo, hi: inclusive ranges merged where they touch or overlap."""
-    r = t.lineitem.select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("lo"), (F.col("l_partkey") + F.col("l_linenumber").cast("long") * 3).alias("hi")).distinct()
+    r = t.lineitem.select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("lo"), (F.col("l_partkey") + F.col("l_linenumber").cast("long") * 3).alias("hi"))
+    r = r.repartition(tasks_of(t.lineitem), "file").distinct()  # the one exchange of all steps
     order = W.partitionBy("file").orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(W.unboundedPreceding, -1))
     fresh = r.withColumn("fresh", F.when(F.col("lo") <= reach + 1, 0).otherwise(1))
