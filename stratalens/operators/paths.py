@@ -10,6 +10,7 @@ from stratalens.operators.aggregates import _PAST, _QUALITY, _RISK, _SHAPE, chan
 from stratalens.operators.reach import settled
 from stratalens.operators.selection import MIDDLE, nth, order_statistics
 from stratalens.plans.registry import Tables, query
+from stratalens.shared import tasks_of
 from stratalens.sources.bindings import commit_files, commits, files, imports, with_views
 
 # Segment names of generated paths.
@@ -204,12 +205,18 @@ _HEADS = with_views("commits", "commit_files") + """, h AS (SELECT 'file' AS kin
 @query(_HEADS + " SELECT kind, name, place, authors, touches, top_author, top_share, risk FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY risk DESC, touches DESC, name) AS place FROM s) WHERE place <= 30")
 def l06_bus_factor_details(t: Tables) -> DataFrame:
     """The thirty files and the thirty modules whose knowledge is in fewest heads, each with its authors, touches and top author."""
-    log = commits(t).select("hash", "author").join(commit_files(t).select("hash", "path", "module"), "hash")
-    h = log.select(F.lit("file").alias("kind"), F.col("path").alias("name"), "author").union(log.select(F.lit("module"), "module", "author"))
-    own = h.groupBy("kind", "name", "author").agg(count().alias("n"))
+    n = tasks_of(t.lineitem)
+    log = commits(t).select("hash", "author").repartition(n, "hash").join(commit_files(t).select("hash", "path", "module"), "hash")
     share = F.max("n") / F.sum("n")
     risk = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.bround(55 / count() + 45 * share, 0)))
-    s = own.groupBy("kind", "name").agg(count().alias("authors"), F.sum("n").alias("touches"), F.min_by("author", F.struct(-F.col("n"), F.col("author"))).alias("top_author"), F.bround(share, 4).alias("top_share"), risk.cast("long").alias("risk"))
+
+    def heads(kind: str, c: str, deal: bool) -> DataFrame:
+        own = log.repartition(n, c, "author").groupBy(F.col(c).alias("name"), "author").agg(count().alias("n"))
+        own = own.repartition(n, "name") if deal else own  # modules are few: each task's rows come down to one a module first
+        s = own.groupBy("name").agg(count().alias("authors"), F.sum("n").alias("touches"), F.min_by("author", F.struct(-F.col("n"), F.col("author"))).alias("top_author"), F.bround(share, 4).alias("top_share"), risk.cast("long").alias("risk"))
+        return s.select(F.lit(kind).alias("kind"), "*")
+
+    s = heads("file", "path", True).union(heads("module", "module", False))
     place = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("risk"), F.desc("touches"), "name")).cast("long")
     return s.withColumn("place", place).filter(F.col("place") <= 30).select("kind", "name", "place", "authors", "touches", "top_author", "top_share", "risk")
 
