@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.plans.registry import Tables, query
+from stratalens.shared import tasks_of
 from stratalens.sources.bindings import files, with_views
 
 # Extensions in the order in which they are tried.
@@ -147,7 +148,9 @@ def c11_crate_edges(t: Tables) -> DataFrame:
   c AS (SELECT k, path, path = target AS exact FROM w JOIN files ON path = target OR ends_with(target, '/' || path) OR ends_with(path, '/' || target)) SELECT w.k, arg_max(path, (CASE WHEN exact THEN 1 ELSE 0 END, length(path), path)) AS path FROM w LEFT JOIN c USING (k) GROUP BY 1""")
 def c06_two_way_suffix(t: Tables) -> DataFrame:
     """Targets to hotspots: the same path, else the longest of which one ends in the other; suffixes of both sides are exploded."""
-    f = files(t)
+    n = tasks_of(t.part, 4)  # tails of a path
+    f = files(t).repartition(n, "partkey")
+    paths = f.select("path").repartition(n, "path")
     target = turn(4, F.col("path"), F.concat(F.lit("repo/"), "path"), F.regexp_replace("path", "^crates/[^/]+/", ""), text("lost/", "{k}"))
     wanted = f.select(F.col("partkey").alias("k"), "path").select("k", target.alias("target"))
 
@@ -155,7 +158,7 @@ def c06_two_way_suffix(t: Tables) -> DataFrame:
         parts = F.split(c, "/")
         return F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/")))
 
-    ours = wanted.select("k", "target", tails("target").alias("path")).join(f.select("path"), "path").select("k", "target", "path")
-    theirs = f.select("path", tails("path").alias("target")).join(wanted, "target").select("k", "target", "path")
-    best = ours.union(theirs).groupBy("k").agg(F.max_by("path", F.struct((F.col("path") == F.col("target")).alias("exact"), F.length("path").alias("n"), "path")).alias("path"))
+    ours = wanted.select("k", "target", tails("target").alias("path")).join(paths, "path").select("k", "target", "path")
+    theirs = f.select("path", tails("path").alias("target")).join(wanted.repartition(n, "target"), "target").select("k", "target", "path")
+    best = ours.union(theirs).repartition(n, "k").groupBy("k").agg(F.max_by("path", F.struct((F.col("path") == F.col("target")).alias("exact"), F.length("path").alias("n"), "path")).alias("path"))
     return wanted.select("k").join(best, "k", "left")
