@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalens.plans.registry import Tables, query
+from stratalens.shared import tasks_of
 from stratalens.sources.bindings import DAY, commit_files, commits, files, imports, session_events, with_views
 
 _RESOLVE = """, wanted AS (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'crates/' || lower(replace(p_brand, '#', '_')) || '/src/' || p_partkey WHEN 1 THEN p_partkey || '_test' ELSE 'none/' || p_partkey END AS token FROM part),
@@ -23,15 +24,16 @@ def c01_import_resolution(t: Tables) -> DataFrame:
     Suffixes of each path are exploded, so the fallback is an equi-join as well.
     """
     stem = F.regexp_replace("path", r"\.rs$", "")
-    known = files(t).select("path", stem.alias("stem"))
+    n = tasks_of(t.part, 2)  # tails of a path
+    known = files(t).repartition(n, "partkey").select("path", stem.alias("stem"))
     key = F.col("partkey").cast("string")
     token = F.when(F.col("partkey") % 3 == 0, F.concat(F.lit("crates/"), "module", F.lit("/src/"), key)).when(F.col("partkey") % 3 == 1, F.concat(key, F.lit("_test"))).otherwise(F.concat(F.lit("none/"), key))
     wanted = files(t).select(F.col("partkey").alias("k"), token.alias("token"))
     parts = F.split("stem", "/")
     tails = known.select("path", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("token"))
-    unique = tails.groupBy("token").agg(F.min("path").alias("tail"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+    unique = tails.repartition(n, "token").groupBy("token").agg(F.min("path").alias("tail"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
     exact = known.select(F.col("stem").alias("token"), F.col("path").alias("exact"))
-    found = wanted.join(exact, "token", "left").join(unique, "token", "left")
+    found = wanted.repartition(n, "token").join(exact, "token", "left").join(unique, "token", "left")
     return found.select("k", F.coalesce("exact", "tail").alias("path"), F.when(F.col("exact").isNotNull(), "high").when(F.col("tail").isNotNull(), "medium").otherwise("unresolved").alias("confidence"))
 
 
