@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stratalens.plans.registry import Tables, query
 from stratalens.shared import tasks_of
-from stratalens.sources.bindings import DAY, commit_files, commits, files, imports, session_events, with_views
+from stratalens.sources.bindings import DAY, commit_files, commits, dealt_files, files, imports, session_events, with_views
 
 _RESOLVE = """, wanted AS (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'crates/' || lower(replace(p_brand, '#', '_')) || '/src/' || p_partkey WHEN 1 THEN p_partkey || '_test' ELSE 'none/' || p_partkey END AS token FROM part),
   stems AS (SELECT path, regexp_replace(path, '\\.rs$', '') AS stem FROM files),
@@ -101,7 +101,8 @@ _PAIRS = """, d AS (SELECT DISTINCT l.hash, module || '/' || lower(p_type) AS fi
 def typed_files(t: Tables) -> DataFrame:
     """hash (a commit, of a size that no number of commits changes), file (module/type)."""
     lines = t.lineitem.select(F.col("l_orderkey").alias("hash"), F.col("l_partkey").alias("partkey"))
-    return lines.join(files(t), "partkey").select("hash", F.concat("module", F.lit("/"), F.lower("p_type")).alias("file")).distinct()
+    named = lines.join(dealt_files(t), "partkey").select("hash", F.concat("module", F.lit("/"), F.lower("p_type")).alias("file"))
+    return named.repartition(tasks_of(t.lineitem), "hash").distinct()
 
 
 def co_changes(t: Tables, least: int = 3) -> DataFrame:
@@ -130,7 +131,7 @@ def recent_touches(t: Tables, days: int = 365) -> DataFrame:
     log = commits(t).select("hash", "ts")
     tip = log.agg(F.max("ts").alias("tip"))
     touched = typed_files(t).join(log.crossJoin(F.broadcast(tip)).filter(F.col("ts") >= F.col("tip") - days * DAY).select("hash", "ts"), "hash")  # one row
-    return touched.join(touched.groupBy("hash").agg(F.count(F.lit(1)).alias("width")), "hash")
+    return touched.withColumn("width", F.count(F.lit(1)).over(W.partitionBy("hash")))
 
 
 def recent_edges(touched: DataFrame, least: int = 3) -> DataFrame:
