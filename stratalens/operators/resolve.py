@@ -57,10 +57,10 @@ def walked(parent: Column, path: Column, strict: bool) -> Column:
     return F.aggregate(F.split(path, "/"), parent, lambda a, x: F.when(x.isin("", "."), a).when(x == "..", up(a)).otherwise(F.concat(a, F.array(x))))
 
 
-def first_known(candidates: DataFrame, known: DataFrame) -> DataFrame:
-    """k, path: of each k's candidates (an array) the first that is a known path."""
-    tried = candidates.select("k", F.posexplode("candidates").alias("pos", "path"))
-    return tried.join(known.select("path"), "path").groupBy("k").agg(F.min_by("path", "pos").alias("path"))
+def first_known(candidates: DataFrame, known: DataFrame, tasks: int) -> DataFrame:
+    """k, path: of each k's candidates (an array) the first that is a known path. Both are dealt to `tasks` tasks before the candidates are made rows."""
+    tried = candidates.repartition(tasks, "k").select("k", F.posexplode("candidates").alias("pos", "path"))
+    return tried.join(known.select("path").repartition(tasks, "path"), "path").repartition(tasks, "k").groupBy("k").agg(F.min_by("path", "pos").alias("path"))
 
 
 _REDUCE = "list_reduce(list_prepend(parent, list_transform(string_split(name, '/'), lambda x: [x])), lambda a, x: CASE WHEN a IS NULL THEN NULL WHEN x[1] IN ('', '.') THEN a WHEN x[1] = '..' THEN CASE WHEN len(a) > 0 THEN a[1:len(a) - 1] ELSE {out} END ELSE list_concat(a, x) END)"
@@ -80,12 +80,14 @@ def c01_import_candidates(t: Tables) -> DataFrame:
     b = F.col("base")
     endings = [x for e in CODE for x in (F.concat(b, F.lit(f".{e}")), F.concat(b, F.lit(f"/index.{e}")))]
     tries = F.when(F.element_at(F.split(b, "/"), -1).contains("."), F.array(b)).otherwise(F.array(b, *endings, F.concat(b, F.lit("/mod.rs")), F.concat(b, F.lit("/__init__.py"))))
-    known = known_files(t)
-    exact = first_known(wanted.filter("base is not null").select("k", tries.alias("candidates")), known).withColumnRenamed("path", "exact")
+    n, m = tasks_of(t.part, 4), tasks_of(t.part, len(CODE) * 2 + 3)  # for tails of a path, and for candidates
+    known = known_files(t).repartition(n, "k")
+    exact = first_known(wanted.filter("base is not null").select("k", tries.alias("candidates")), known, m).withColumnRenamed("path", "exact")
     parts = F.split(F.regexp_replace("path", r"\.[^.]*$", ""), "/")
     tails = known.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("token"))
-    only = tails.groupBy("token").agg(F.min("path").alias("only"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
-    found = wanted.withColumn("token", F.btrim("base", F.lit("/"))).join(exact, "k", "left").join(only, "token", "left")
+    only = tails.repartition(n, "token").groupBy("token").agg(F.min("path").alias("only"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+    none = F.concat(F.lit("\0"), F.col("k").cast("string"))  # no path's token: names that leave the root do not all meet in one task
+    found = wanted.withColumn("token", F.coalesce(F.btrim("base", F.lit("/")), none)).join(exact, "k", "left").join(only, "token", "left")
     return found.select("k", "target", F.coalesce("exact", "only").alias("path"), F.when(F.col("exact").isNotNull(), "high").when(F.col("only").isNotNull(), "medium").otherwise("unresolved").alias("confidence"))
 
 
@@ -97,7 +99,7 @@ def c12_graph_targets(t: Tables) -> DataFrame:
     wanted = wanted_names(t).select("k", "target", F.when(name.startswith("."), F.array_join(walked(F.col("parent"), name, strict=False), "/")).otherwise(name).alias("base"))
     b = F.col("base")
     tries = F.array(b, *(F.concat(b, F.lit(f".{e}")) for e in GRAPH), *(F.concat(b, F.lit(f"/{m}.{e}")) for e in GRAPH for m in ("mod", "index")))
-    hit = first_known(wanted.select("k", tries.alias("candidates")), known_files(t))
+    hit = first_known(wanted.select("k", tries.alias("candidates")), known_files(t), tasks_of(t.part, 3 * len(GRAPH) + 1))
     return wanted.join(hit, "k", "left").select("k", F.coalesce("path", "target").alias("node"), F.col("path").isNotNull().alias("resolved"))
 
 
