@@ -134,6 +134,20 @@ def test_snapshot_identity_is_of_all_members(spark, duck, sf_dir):
     assert {r["repo"]: r["now"] for r in queries()["k14_snapshot_status"](spark, sf_dir).collect()} == want
 
 
+def test_snapshot_status_keeps_every_repository(spark, duck, sf_dir, tmp_path):
+    """Repositories whose members all lack a key stay, and missing dates, missing authors and repeated keys are taken as the SQL takes them."""
+    odd = """SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 7 = 0
+        UNION ALL SELECT * REPLACE (NULL AS o_orderkey, -1 - o_custkey AS o_custkey) FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT * REPLACE (NULL AS o_orderkey) FROM orders WHERE o_orderkey % 5 = 1
+        UNION ALL SELECT * REPLACE (NULL AS o_orderdate) FROM orders WHERE o_orderkey % 5 = 2 UNION ALL SELECT * REPLACE (NULL AS o_custkey) FROM orders WHERE o_orderkey % 5 = 3"""
+    duck.execute(f"COPY ({odd}) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    columns = ["repo", "recorded", "now", "status"]
+    want = [dict(zip(columns, row, strict=True)) for row in con.execute(f"SELECT repo, recorded, now, status FROM ({oracle_sql()['k14_snapshot_status']})").fetchall()]
+    assert any(r["now"] is None for r in want)
+    assert canonical(queries()["k14_snapshot_status"](spark, str(tmp_path)).collect(), columns) == canonical(want, columns)
+
+
 @pytest.mark.parametrize("name", ["i04_symbols", "i07_imports", "i09_signatures", "i12_complexity"])
 def test_language_is_told_once_a_file(spark, sf_dir, name):
     """The pattern of a path's extension isn't copied into the conditions on lines, and files fill all tasks."""
